@@ -11,6 +11,8 @@ sample, and one hash aggregation with K minima yields the signature.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,10 @@ from .common import NULL_ID, range_bucket, range_splits, shuffle_partitions, sta
 
 #: Samples in a signature, words in a term.
 SAMPLES, TERM_WORDS = 16, 2
+#: Text is dealt to this many times the usual number of partitions.
+SMALLER = 8
+#: Bits that choose r from its quantiles.
+R_BITS = 12
 
 
 def terms(text: Column, n: int = TERM_WORDS) -> Column:
@@ -34,19 +40,40 @@ def terms(text: Column, n: int = TERM_WORDS) -> Column:
     return F.get(F.transform(F.array(words), grams), 0)
 
 
+def gamma_quantiles(n: int) -> list[float]:
+    """Quantiles of Gamma(2, 1) at (i + 0.5) / n: x with 1 - exp(-x) * (1 + x) = p, by bisection."""
+    found = []
+    for i in range(n):
+        low, high, p = 0.0, 40.0, (i + 0.5) / n
+        for _ in range(50):
+            mid = (low + high) / 2
+            low, high = (mid, high) if 1 - math.exp(-mid) * (1 + mid) < p else (low, mid)
+        found.append(round(low, 9))
+    return found
+
+
 def _unit(bits: Column, shift: int, width: int) -> Column:
     """A number in (0, 1) from `width` bits of a hash."""
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) / F.lit(float(1 << width))
 
 
+_R = gamma_quantiles(1 << R_BITS)
+
+
 def sample(term: Column, weight: Column, k: int) -> Column:
-    """a of one term for sample k: the smallest over a document's terms is its sample."""
-    one, two = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
-    r = -F.log(_unit(one, 0, 32) * _unit(one, 32, 32))
-    c = -F.log(_unit(two, 0, 24) * _unit(two, 24, 24))
-    b = _unit(two, 48, 16)
-    t = F.floor(F.when(weight == 1, F.lit(0.0)).otherwise(F.log(weight)) / r + b)
-    return c * F.exp(-r * (t - b + 1))
+    """a of one term for sample k: the smallest over a document's terms is its sample.
+
+    One 64-bit hash gives all randomness: r is a Gamma(2, 1) quantile (R_BITS bits), c the sum of
+    two exponentials (16 bits each), b the remaining bits.
+    """
+    h = F.xxhash64(term, F.lit(k))
+    table = F.split(F.lit(",".join(map(str, _R))), ",").cast("array<double>")
+    r = F.get(table, F.shiftrightunsigned(h, 64 - R_BITS).cast("int"))
+    c = -F.log(_unit(h, 0, 16) * _unit(h, 16, 16))
+    b = _unit(h, 32, 32 - R_BITS)
+    # ln 1 = 0, so most terms need no logarithm and no floor: t is 0.
+    t = F.when(weight == 1, F.lit(0.0)).otherwise(F.floor(F.log(weight) / r + b).cast("double"))
+    return c * F.exp(r * (b - F.lit(1.0) - t))
 
 
 def signatures(bags: DataFrame, keys: list[str], term: str, weight: str, samples: int = SAMPLES) -> DataFrame:
@@ -106,13 +133,15 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
     of the next document's. Text is shuffled once; only the prefixes asked for travel on.
     """
     held = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    # Terms are counted where the text lies, so partitions are cut small enough for their hash tables.
+    laid = held.repartition(SMALLER * shuffle_partitions(docs.sparkSession), "id")
     follow = stash(next_ids(held.select("id").distinct(), "id"), "next")
     asked = held.select("id", F.char_length("text").alias("n")).join(follow, "id")
     asks = asked.select(F.col("next_id").alias("__of"), F.col("id").alias("__for"), "next_id", F.col("n").alias("n_chars"), F.floor(F.col("n") / 3).cast("int").alias("__need"))
-    given = held.join(asks.hint("shuffle_hash"), held["id"] == asks["__of"]).select("__for", "next_id", "n_chars", "__need", F.col("text").substr(F.lit(1), F.col("__need")).alias("__tail"))
-    both = held.join(given.hint("shuffle_hash"), held["id"] == given["__for"])
+    given = laid.join(asks.hint("shuffle_hash"), laid["id"] == asks["__of"]).select("__for", "next_id", "n_chars", "__need", F.col("text").substr(F.lit(1), F.col("__need")).alias("__tail"))
+    both = laid.join(given.hint("shuffle_hash"), laid["id"] == given["__for"])
     edited = F.concat(F.col("text").substr(F.lit(1), F.col("n_chars") - F.col("__need")), F.col("__tail"))
-    return both.select("id", "next_id", F.col("n_chars").cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    return both.select("id", "next_id", F.col("n_chars").cast("long").alias("n_chars"), "text", F.coalesce(edited, F.lit("")).alias("edited"))
 
 
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, n: int = TERM_WORDS) -> DataFrame:
@@ -122,24 +151,14 @@ def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, n: int = TERM_W
     with one id and unlike texts are pooled. Null id: ordered before all others. Null text: empty.
     """
     pairs = edited_pairs(docs)
-    forms = pairs.select(
-        "id",
-        F.inline(
-            F.array(
-                F.struct(F.lit(False).alias("form"), F.col("text").alias("body"), F.col("next_id").alias("next_id"), F.col("n_chars").alias("n_chars"), F.lit(None).cast("string").alias("sha")),
-                F.struct(F.lit(True).alias("form"), F.col("edited").alias("body"), F.lit(None).cast("long").alias("next_id"), F.lit(None).cast("long").alias("n_chars"), F.sha2("edited", 256).alias("sha")),
-            )
-        ),
-    )
-    facts = ["next_id", "n_chars", "sha"]
-    words = forms.select("id", "form", *facts, F.explode_outer(terms(F.col("body"), n)).alias("__term"))
-    bags = words.groupBy("id", "form", *facts, "__term").agg(F.count(F.lit(1)).alias("__weight"))
-    sigs = signatures(bags, ["id", "form", *facts], "__term", "__weight", samples)
-    pick = lambda c, form: F.max(F.when(F.col("form") == form, F.col(c)))
-    rows = stash(
-        sigs.groupBy("id").agg(pick("next_id", False).alias("next_id"), pick("n_chars", False).alias("n_chars"), pick("sha", True).alias("edited_sha256"), pick("sig", False).alias("sig"), pick("sig", True).alias("edited_sig")),
-        "fingerprints",
-    )
+    forms = pairs.select("id", F.inline(F.array(F.struct(F.lit(False).alias("form"), F.col("text").alias("body")), F.struct(F.lit(True).alias("form"), F.col("edited").alias("body")))))
+    words = forms.select("id", "form", F.explode_outer(terms(F.col("body"), n)).alias("__term"))
+    bags = words.groupBy("id", "form", "__term").agg(F.count(F.lit(1)).alias("__weight"))
+    sigs = signatures(bags, ["id", "form"], "__term", "__weight", samples)
+    pick = lambda form: F.max(F.when(F.col("form") == form, F.col("sig")))
+    both = sigs.groupBy("id").agg(pick(False).alias("sig"), pick(True).alias("edited_sig"))
+    facts = pairs.select("id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).dropDuplicates(["id"])
+    rows = stash(both.join(facts.hint("shuffle_hash"), "id"), "fingerprints")
     following = rows.select(F.col("id").alias("next_id"), F.col("sig").alias("next_sig"))
     return rows.join(following, "next_id").select(
         F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
