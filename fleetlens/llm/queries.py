@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, packing, quality, simple8b, toxicity
+from . import fingerprints, langid, mixing, ngram_join, packing, quality, simple8b, toxicity, url_filter
 from .common import running_start, scratch_dir, stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "ratio", "bad_chunks", "n_chunks", "verdict")
@@ -45,6 +50,10 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running_start(read, "doc_id", "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     taken = (F.col("mix_size") * F.col("mix_copies")).cast("long").alias("taken")
@@ -65,14 +74,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_language": op5_language,
     "op6_simple8b": op6_simple8b,
+    "op7_ngram_join": op7_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_join": ngram_join.SQL,
     "op8_mixing": mixing.SQL,
 }
