@@ -2,5 +2,50 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import filters, metrics
+from ..operators.edits import ai_edits_scored
+from ..sources.fixtures import Tables, load
+from . import oracles
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def over(question: Callable[[Tables], DataFrame]) -> Query:
+    """A question about the tables as a query of (spark, sf_dir)."""
+    return lambda spark, sf_dir: question(load(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {
+    "ai_edits_scored": over(ai_edits_scored),
+    "overview": over(metrics.overview),
+    "top_model": over(lambda T: metrics.top_model(ai_edits_scored(T))),
+    "commit_totals": over(metrics.commit_totals),
+    "session_active": over(metrics.session_active),
+    "working_hours": over(metrics.working_hours),
+    "max_concurrent": over(metrics.max_concurrent),
+    "token_totals": over(metrics.token_totals),
+    "tokens_by_agent": over(metrics.tokens_by_agent),
+    **{f"breakdown_{by}": over(lambda T, by=by: metrics.breakdown(T, by=by)) for by in ("agent", "model", "engineer", "repo")},
+    "daily_activity": over(metrics.daily_activity),
+    "edit_heatmap": over(metrics.edit_heatmap),
+    "tool_mix": over(metrics.tool_mix),
+    "time_split": over(metrics.time_split),
+    "slowest_calls": over(metrics.slowest_calls),
+    "untimed_agents": over(metrics.untimed_agents),
+    "session_outcomes": over(metrics.session_outcomes),
+    "funnel": over(metrics.funnel),
+    "lead_time": over(metrics.lead_time),
+    "model_table": over(lambda T: metrics.model_table(T).withColumn("active_minutes", F.round("active_minutes", 6))),
+    "status_counts": over(metrics.status_counts),
+    "status_agents": over(metrics.status_agents),
+    "newest_commits": over(metrics.newest_commits),
+    "active_repos": over(filters.active_repos),
+    "filter_options": over(filters.filter_options),
+}
+
+ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
