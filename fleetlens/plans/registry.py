@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import filters, metrics
+from ..operators import attribution, filters, metrics, sessions
 from ..operators.edits import ai_edits_scored
 from ..sources.fixtures import Tables, load
-from . import oracles
+from . import oracles, oracles_sessions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,28 @@ QUERIES: dict[str, Query] = {
     "newest_commits": over(metrics.newest_commits),
     "active_repos": over(filters.active_repos),
     "filter_options": over(filters.filter_options),
+    "candidate_ranges": over(attribution.candidate_ranges),
+    "owned_lines": over(lambda T: attribution.owned_lines(attribution.candidate_ranges(T), attribution.added_lines(T))),
+    "attribute_files": over(attribution.attribute_files),
+    "attribute_sessions": over(attribution.attribute_sessions),
+    "attribute_by_churn": over(attribution.attribute_by_churn),
+    "line_runs": over(lambda T: attribution.line_runs(attribution.owned_lines(attribution.candidate_ranges(T), attribution.added_lines(T)), ["commit_id", "file_path", "session_id"])),
+    "commit_of_edit": over(attribution.commit_of_edit),
+    "prompt_before": over(lambda T: attribution.prompt_before(T.events, T.prompts)),
+    "checkout_groups": over(lambda T: attribution.checkout_groups(T.repositories)),
+    "ancestors": over(lambda T: attribution.ancestor_closure(attribution.parents_by_time(T.commits), 20)),
+    "list_sessions": over(sessions.list_sessions),
+    "session_detail": over(sessions.session_detail),
+    "files_touched": over(sessions.files_touched),
+    "session_commits": over(sessions.session_commits),
+    "tool_calls": over(sessions.tool_calls),
+    "stops": over(sessions.stops),
+    "classify_prompts": over(lambda T: sessions.classify_prompts(T.prompts)),
+    "build_turns": over(lambda T: sessions.turn_durations(sessions.build_turns(T))),
+    "commit_turns": over(sessions.commit_turns),
+    "file_rows": over(sessions.file_rows),
+    "idle_gaps": over(sessions.idle_gaps),
+    "turn_blocks": over(sessions.turn_blocks),
 }
 
-ORACLE_SQL: dict[str, str] = dict(oracles.SQL)
+ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_sessions.SQL

@@ -84,7 +84,7 @@ SELECT 'c' || l_orderkey AS commit_id, session_id, min(agent_slug) AS agent_slug
   cast(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_quantity END) AS bigint) AS lines_attributed
 FROM picked JOIN numbered ON no = pick GROUP BY l_orderkey, session_id""",
         "prompts": f"""
-SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY conv_id, turn) AS seq,
+SELECT session_id, cast(row_number() OVER (PARTITION BY session_id ORDER BY conv_id, turn) AS bigint) AS seq,
   {ts.format(d['us'].format('started_at') + ' + cast(turn AS bigint) * 90000000')} AS ts, agent_slug, text AS prompt_text
 FROM asked JOIN numbered ON no = pick""",
     }
