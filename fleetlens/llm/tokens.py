@@ -8,6 +8,7 @@ assembled by array gathers. Other tokenizers encode text by text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers; code points handled at once.
-MEMO_WORDS, SLICE = 400_000, 4_000_000
+MEMO_WORDS, SLICE = 800_000, 4_000_000
 
 #: A word that is Latin letters (one pre-token, also after lower-casing) and then signs (another); the fixed
 #: ranges are the letters of Latin-1. Everything else goes to the library as it is.
@@ -42,38 +43,33 @@ class Encoder:
 
     def _forget(self) -> None:
         self.at: dict[str, int] = {"": 0}
-        self.parts: dict[str, np.ndarray] = {"": np.zeros(0, dtype=np.uint32)}
-        self.start, self.len = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
-        self.pool, self.used = np.zeros(1 << 18, dtype=np.uint32), 0
+        self.parts: dict[str, bytes] = {"": b""}
+        self.start, self.len, self.pool = array("i", [0]), array("i", [0]), bytearray()
 
     def _encode_parts(self, parts: list[str]) -> None:
         """Remember the ids of pre-tokens; a thousand at a time, told apart by the marks of word ends."""
         for i in range(0, len(parts), 1000):
             some = parts[i : i + 1000]
             ids = np.asarray(self._ids(" ".join(some)), dtype=np.uint32)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(some):
-                self.parts.update(zip(some, np.split(ids, cuts[:-1]), strict=True))
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            if len(cuts) == len(some) + 1:
+                raw = ids.tobytes()
+                self.parts.update((w, raw[a:b]) for w, a, b in zip(some, cuts[:-1], cuts[1:], strict=True))
             else:
-                self.parts.update((w, np.asarray(self._ids(w), dtype=np.uint32)) for w in some)
+                self.parts.update((w, np.asarray(self._ids(w), dtype=np.uint32).tobytes()) for w in some)
 
     def _learn(self, words: list[str]) -> None:
-        split = {w: m.groups() for w in words if (m := _SIMPLE.fullmatch(w))}
-        lower = {w: (a.lower(), b) for w, (a, b) in split.items()}
-        self._encode_parts(list({p for pair in lower.values() for p in pair if p not in self.parts}))
-        odd = [w for w in words if w not in split]
-        whole = dict(zip(odd, (np.asarray(e.ids, dtype=np.uint32) for e in self.lib.encode_batch_fast(odd, add_special_tokens=False)), strict=True)) if odd else {}
-        for w in words:
-            pieces = [self.parts[p] for p in lower[w]] if w in lower else [whole[w]]
-            k, n = len(self.at), sum(map(len, pieces))
-            if k >= len(self.start):
-                self.start, self.len = np.resize(self.start, 2 * k), np.resize(self.len, 2 * k)
-            while self.used + n > len(self.pool):
-                self.pool = np.resize(self.pool, 2 * len(self.pool))
-            self.at[w], self.start[k], self.len[k] = k, self.used, n
-            for p in pieces:
-                self.pool[self.used : self.used + len(p)] = p
-                self.used += len(p)
+        match, parts = _SIMPLE.fullmatch, self.parts
+        split = [(m.group(1).lower(), m.group(2)) if (m := match(w)) else None for w in words]
+        self._encode_parts(list({p for pair in split if pair for p in pair if p not in parts}))
+        odd = [w for w, pair in zip(words, split, strict=True) if not pair]
+        whole = iter(self.lib.encode_batch_fast(odd, add_special_tokens=False) if odd else ())
+        for w, pair in zip(words, split, strict=True):
+            raw = parts[pair[0]] + parts[pair[1]] if pair else np.asarray(next(whole).ids, dtype=np.uint32).tobytes()
+            self.at[w] = len(self.start)
+            self.start.append(len(self.pool) >> 2)
+            self.len.append(len(raw) >> 2)
+            self.pool += raw
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of some texts in a row, bounds) slice by slice; text i of a slice is ids[bounds[i]:bounds[i + 1]]. Null counts as empty."""
@@ -93,11 +89,14 @@ class Encoder:
         coded = split.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         self._learn([w for w in words if w not in self.at])
-        at = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        lens = self.len[at]
-        ends = np.cumsum(lens)
+        own = np.fromiter(map(self.at.__getitem__, words), dtype=np.int32, count=len(words))
+        at = own[coded.indices.to_numpy(zero_copy_only=False)]
+        start, length, pool = np.frombuffer(self.start, np.int32), np.frombuffer(self.len, np.int32), np.frombuffer(self.pool, np.uint32)
+        lens = length[at]
+        ends = np.cumsum(lens, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.repeat(self.start[at] - (ends - lens), lens) + np.arange(total)]
+        ids = pool[np.repeat(start[at] - (ends - lens).astype(np.int32), lens) + np.arange(total, dtype=np.int32)]
+        del start, length, pool  # or the arrays could not grow
         offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
         return ids, np.concatenate(([0], ends))[offsets]
 
