@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,6 +100,25 @@ def rank_within(df: DataFrame, keys: list[str], by: list[str], out: str, salts:
     return ranked.join(bases, on).select(*[ranked[c] for c in df.columns], (F.col("__base") + F.col("__k") - 1).alias(out))
 
 
+def map_texts(docs: DataFrame, carried: list[str], fields: list[tuple[str, pa.DataType, str]], setup: Callable[[], Callable[[list], list[tuple]]]) -> DataFrame:
+    """The carried columns of docs as they are + fields (name, Arrow type, SQL type), one row for each row of docs.
+
+    setup() runs once a task and returns the function from texts (strings or None) to rows of fields.
+    """
+    names = [*carried, *(f[0] for f in fields)]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carried).schema), *(f"{n} {t}" for n, _, t in fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = setup()
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                made = zip(*work(part.column("text").to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *(pa.array(c, kind) for c, (_, kind, _) in zip(made, fields, strict=True))], names=names)
+
+    return docs.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, schema)
+
+
 def words_pattern() -> str:
     """A word is a run of characters other than ASCII white space."""
     return r"[^\x20\x09-\x0D]+"

@@ -16,10 +16,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Bits of a codeword, hashed features, bytes per n-gram, and the gap of losses below which a text is ambiguous.
 BITS, SPACE, GRAM, AMBIGUOUS = 15, 1 << 15, 3, 0.02
 #: Languages a model can tell apart.
@@ -162,25 +165,21 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     Null text, or no letter in it: `und`, score 0, not ambiguous. A model that knows no language
     says `und` of everything. Extra columns are carried along; those three are replaced.
     """
-    names = ["lang_pred", "lang_score", "lang_ambiguous"]
-    carried = [c for c in (docs.columns if carry is None else carry) if c not in names]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carried) + ", lang_pred string, lang_score double, lang_ambiguous boolean"
+    fields = [("lang_pred", pa.string(), "string"), ("lang_score", pa.float64(), "double"), ("lang_ambiguous", pa.bool_(), "boolean")]
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in [f[0] for f in fields]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> list[tuple]:
         m = shared.value
-        for batch in batches:
-            texts = list(batch["text"])
-            lang, score, unsure = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
-            real = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
-            for part in in_slices([texts[i] for i in real]):
-                rows = [real[j] for j in part]
-                best, sure, gap = m.decode(m.margins([texts[i] for i in rows]))
-                for i, b, s, g in zip(rows, best, sure, gap, strict=True):
-                    lang[i], score[i], unsure[i] = m.langs[b], float(s), bool(g < AMBIGUOUS)
-            yield batch[carried].reset_index(drop=True).assign(lang_pred=lang, lang_score=score, lang_ambiguous=unsure)
-
-    return docs.select(*dict.fromkeys([*carried, "text"])).mapInPandas(run, schema)
+        rows: list[tuple] = [(UNKNOWN, 0.0, False)] * len(texts)
+        real = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
+        for part in in_slices([texts[i] for i in real]):
+            at = [real[j] for j in part]
+            for i, b, s, g in zip(at, *m.decode(m.margins([texts[i] for i in at])), strict=True):
+                rows[i] = (m.langs[b], float(s), bool(g < AMBIGUOUS))
+        return rows
+
+    return map_texts(docs, carried, fields, lambda: work)
 
 
 def held_out(doc_id: str = "doc_id"):

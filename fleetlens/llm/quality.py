@@ -7,12 +7,12 @@ compresses too well, random or encoded text hardly at all.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import map_texts
+
 #: zstandard level and bytes per chunk.
 LEVEL, CHUNK = 3, 4096
 #: (bytes up to, least ratio, most ratio); the last holds for all longer texts. Very short texts can't be judged.
@@ -22,7 +22,10 @@ CHUNK_SHARE = 0.3
 #: Base rules: least words, most per cent of words in repeated windows of three.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
-FACTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, bad_chunks long, n_chunks long, verdict string, kept boolean"
+FIELDS = [
+    *((n, pa.int64(), "long") for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+    ("base_failed", pa.bool_(), "boolean"), ("ratio", pa.float64(), "double"), ("bad_chunks", pa.int64(), "long"), ("n_chunks", pa.int64(), "long"), ("verdict", pa.string(), "string"), ("kept", pa.bool_(), "boolean"),
+]
 SPACES = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 
@@ -86,25 +89,23 @@ def judge(docs: DataFrame, carry: list[str] | None = None, level: int = LEVEL, c
     Null or empty text: all counts 0, base_failed. `kept` is false if the base rules fail, else
     whether the compression bands hold. Columns of docs named like one of the facts are replaced.
     """
-    facts = [x.split()[0] for x in FACTS.split(", ")]
+    facts = [f[0] for f in FIELDS]
     carried = [c for c in (docs.columns if carry is None else carry) if c not in facts]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carried) + ", " + FACTS
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def setup():
         packer = zstandard.ZstdCompressor(level=level)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                text = text if isinstance(text, str) else ""
-                data = text.encode("utf-8", "surrogatepass")
-                n, chars, symbols, dups, repeats = base_counts(text, data, data.split())
-                failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-                ratio, bad, chunks, verdict = compression(data, packer, chunk)
-                rows.append((n, chars, symbols, dups, repeats, failed, ratio, bad, chunks, verdict, not failed and verdict == "ok"))
-            made = pd.DataFrame(rows, columns=facts)
-            yield pd.concat([batch[carried].reset_index(drop=True), made], axis=1)
-
-    return docs.select(*dict.fromkeys([*carried, "text"])).mapInPandas(run, schema)
+
+        def row(text: str | None) -> tuple:
+            text = text or ""
+            data = text.encode("utf-8", "surrogatepass")
+            n, chars, symbols, dups, repeats = base_counts(text, data, data.split())
+            failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+            ratio, bad, chunks, verdict = compression(data, packer, chunk)
+            return n, chars, symbols, dups, repeats, failed, ratio, bad, chunks, verdict, not failed and verdict == "ok"
+
+        return lambda texts: list(map(row, texts))
+
+    return map_texts(docs, carried, FIELDS, setup)
 
 
 def keep_good(docs: DataFrame, **how) -> DataFrame:

@@ -9,15 +9,16 @@ scores then show where a document offends.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: The fit uses at most this many labelled documents, and of those at most this many code points in all;
 #: beyond, documents are taken in the order of a hash of their ids. Scoring has no such bound.
 MAX_DOCS, MAX_CHARS = 4_000, 40_000_000
@@ -161,22 +162,16 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     Whole texts; null counts as empty. toxic_spans: array of (start, end, score) in code points,
     in the order of the text. Columns of those names are replaced.
     """
-    carried = [c for c in (docs.columns if carry is None else carry) if c not in ("toxicity", "toxic_spans")]
-    spans = "array<struct<start: int, end: int, score: double>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in carried) + f", toxicity double, toxic_spans {spans}"
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+    fields = [("toxicity", pa.float64(), "double"), ("toxic_spans", pa.list_(span), "array<struct<start: int, end: int, score: double>>")]
+    carried = [c for c in (docs.columns if carry is None else carry) if c not in [f[0] for f in fields]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(texts: list[str | None]) -> list[tuple]:
         m = shared.value
-        for batch in batches:
-            scores, where = [], []
-            for text in batch["text"]:
-                text = text if isinstance(text, str) else ""
-                scores.append(m.score(text))
-                where.append([{"start": a, "end": b, "score": p} for a, b, p in m.sentence_scores(text) if p >= 0.5])
-            yield batch[carried].reset_index(drop=True).assign(toxicity=scores, toxic_spans=where)
-
-    return docs.select(*dict.fromkeys([*carried, "text"])).mapInPandas(run, schema)
+        return [(m.score(t or ""), [{"start": a, "end": b, "score": p} for a, b, p in m.sentence_scores(t or "") if p >= 0.5]) for t in texts]
+
+    return map_texts(docs, carried, fields, lambda: work)
 
 
 def held_out(doc_id: str = "doc_id"):
