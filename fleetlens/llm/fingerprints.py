@@ -22,9 +22,9 @@ from .common import NULL_ID, range_bucket, range_splits, shuffle_partitions, sta
 #: Samples in a signature, words in a term.
 SAMPLES, TERM_WORDS = 16, 2
 #: Text is dealt to this many times the usual number of partitions.
-SMALLER = 8
+SMALLER = 4
 #: Bits that choose r from its quantiles.
-R_BITS = 12
+R_BITS = 8
 
 
 def terms(text: Column, n: int = TERM_WORDS) -> Column:
