@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attribution, filters, metrics, sessions
+from ..operators import attribution, filters, maintenance, metrics, normalize, sessions
 from ..operators.edits import ai_edits_scored
+from ..sources import git
 from ..sources.fixtures import Tables, load
-from . import oracles, oracles_sessions
+from . import derived, oracles, oracles_sessions, oracles_upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +70,20 @@ QUERIES: dict[str, Query] = {
     "file_rows": over(sessions.file_rows),
     "idle_gaps": over(sessions.idle_gaps),
     "turn_blocks": over(sessions.turn_blocks),
+    "build_sessions": over(lambda T: maintenance.build_sessions(T.events)),
+    "session_repo": over(lambda T: maintenance.session_repo(T.events)),
+    "session_engineer": over(lambda T: maintenance.session_engineer(T.sessions, T.commits)),
+    "prune_counts": over(lambda T: maintenance.prune_counts(T, dt.datetime(2024, 1, 31), 15)),
+    "latest_rows": over(lambda T: maintenance.latest_rows(T.events.where("session_id is not null").select("session_id", "event_type", "id", "ts"), ["session_id", "event_type"], ["ts", "id"])),
+    "export_status": over(lambda T: maintenance.export_status({"events": T.events.withColumn("synced_at", F.col("lines_generated")), "sessions": T.sessions.withColumn("synced_at", F.col("ended_at"))})),
+    "inspect_events": over(lambda T: maintenance.inspect_events(T.events, agent="codex", event_type="PostToolUse")),
+    "redact_events": over(lambda T: normalize.redact_events(T.events).select("id", "session_id", "event_type", "lines_added", "payload")),
+    "resolve_paths": over(lambda T: normalize.resolve_paths(T.events.select("id", "file_path"), T.repositories)),
+    "parse_envelopes": over(lambda T: normalize.parse_envelopes(derived.envelopes(T)).groupBy("session_id", "ts", "event_type", "agent_slug", "model").agg(F.count(F.lit(1)).alias("n"))),
+    "parse_commit_log": over(lambda T: git.parse_commit_log(derived.commit_log(T))),
+    "parse_numstat": over(lambda T: git.commit_totals_of(git.parse_numstat(derived.numstat(T)))),
+    "parse_unified_diff": over(lambda T: git.parse_unified_diff(derived.diffs(T))),
+    "notes_round_trip": over(lambda T: git.read_notes(git.build_notes(T.commit_files.where("lines_added > 0").select("commit_id", "file_path", F.concat(F.lit("1-"), F.col("lines_added").cast("string")).alias("runs"), F.lit("codex").alias("agent"), F.lit("s").alias("session"), F.lit("m0").alias("model"))))),
 }
 
-ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_sessions.SQL
+ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_sessions.SQL | oracles_upkeep.SQL
