@@ -227,8 +227,10 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return held.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
 
-def _exact(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link, by intersecting their sets."""
+def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a stored table that link, by intersecting their sets; only the texts named are read into sets again."""
+    ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
+    arrays = stash(_map_texts(_only(docs, ids), [("s", pa.list_(pa.int64()), "array<bigint>")], lambda s: (s.view(np.int64),)), "arrays")
     side = lambda x: arrays.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
     return both.where(DEN * F.col("common") >= NUM * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
@@ -254,17 +256,13 @@ def join(docs: DataFrame) -> DataFrame:
     met = tokens.withColumns({"first": F.first("id").over(order), "first_n": F.first("n").over(order), "next": F.lead("id").over(order)})
     lists = stash(met.where("id <> first or next is not null").drop("next"), "lists")
 
-    candidates = stash(lists.select("id").distinct(), "candidates")
-    whole = _map_texts(_only(docs, candidates), [("s", pa.list_(pa.int64()), "array<bigint>")], lambda s: (s.view(np.int64),))
-    arrays = stash(whole, "arrays")
-
     near = f"{DEN} * least(n, first_n) >= {NUM} * greatest(n, first_n)"
     tried = stash(_bounded(lists.where("id <> first").where(near).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), sets), "tried")
-    links = stash(_exact(tried, arrays), "links")
+    links = stash(_exact(tried, docs), "links")
     for keep in (FIRST_CANDIDATES, None):
         known = classes(links)
         fresh = stash(_tiled(lists.select("token", "id", "n"), sets, known, keep).join(tried, ["a", "b"], "left_anti"), "fresh")
-        found = stash(_exact(fresh, arrays), "found")
+        found = stash(_exact(fresh, docs), "found")
         links, tried = links.union(found), tried.union(fresh)
     known = classes(links)
     per_text = firsts.join(sets.select("id", "n"), "id").join(known, "id", "left").select("key", F.col("n").cast("long").alias("n"), F.coalesce("class", "id").alias("class"))
