@@ -77,7 +77,7 @@ def trim_payloads(events: DataFrame) -> DataFrame:
     def reduced(v: Column) -> Column:
         inner = F.from_json(F.to_json(v), "map<string,variant>")
         kept = F.map_filter(inner, lambda k, x: k.isin(*KEPT_TEXT) | small(x))
-        return F.parse_json(F.to_json(F.transform_values(kept, lambda k, x: F.when(small(x), x).otherwise(F.parse_json(F.to_json(F.substring(F.try_variant_get(x, "$", "string"), 1, TEXT_BYTES)))))))
+        return F.parse_json(F.to_json(F.transform_values(kept, lambda k, x: F.when(small(x), x).otherwise(F.get(F.from_json(F.to_json(F.array(F.substring(F.try_variant_get(x, "$", "string"), 1, TEXT_BYTES))), "array<variant>"), 0)))))
 
     has = F.exists(F.map_keys(held), lambda k: k.isin(*OUTPUT_KEYS))
     new = F.to_json(F.transform_values(held, lambda k, v: F.when(k.isin(*OUTPUT_KEYS), F.coalesce(reduced(v), F.parse_json(F.lit("{}")))).otherwise(v)))
