@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +16,8 @@ from ..functions.columns import line_hash
 
 #: Fingerprints that a session's ledger of a file holds at most; the oldest go first.
 LEDGER = 50_000
+#: Pairs of equal lines beyond which two stretches count as wholly replaced.
+MAX_CELLS = 4_000_000
 
 
 def hunk_changes(hunks: DataFrame) -> DataFrame:
@@ -38,6 +41,60 @@ def _lines(text: str) -> list[str]:
     return rows[:-1] if rows[-1] == "" else rows
 
 
+def align(x: list, y: list) -> list[tuple[int, int]]:
+    """Pairs (index in x, index in y) of a longest common subsequence: for each item of x its places in y, last first, extend the shortest chains.
+
+    Beyond MAX_CELLS pairs of equal items nothing is paired: the stretch counts as replaced.
+    """
+    places: dict = {}
+    for j, v in enumerate(y):
+        places.setdefault(v, []).append(j)
+    if sum(len(places.get(v, ())) for v in x) > MAX_CELLS:
+        return []
+    ends: list[int] = []
+    links: list[tuple | None] = []
+    for i, v in enumerate(x):
+        for j in reversed(places.get(v, ())):
+            k = bisect_left(ends, j)
+            link = (i, j, links[k - 1] if k else None)
+            if k == len(ends):
+                ends.append(j)
+                links.append(link)
+            else:
+                ends[k], links[k] = j, link
+    out, at = [], links[-1] if links else None
+    while at:
+        out.append(at[:2])
+        at = at[2]
+    return out[::-1]
+
+
+def _trimmed(x: list[str], y: list[str]) -> tuple[int, int]:
+    """How many lines both begin with, and then end with."""
+    head = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
+    tail = next((i for i, (p, q) in enumerate(zip(x[head:][::-1], y[head:][::-1], strict=False)) if p != q), min(len(x), len(y)) - head)
+    return head, tail
+
+
+def version_alignment(pairs: DataFrame) -> DataFrame:
+    """(file, version, old_line, new_line): lines of before and after that are the same, as version_diff pairs them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for file, version, a, b in zip(*(batch.column(c).to_pylist() for c in ("file", "version", "before", "after")), strict=True):
+                x, y = _lines(a), _lines(b)
+                head, tail = _trimmed(x, y)
+                out.extend((file, version, i + 1, i + 1) for i in range(head))
+                out.extend((file, version, head + i + 1, head + j + 1) for i, j in align(x[head : len(x) - tail], y[head : len(y) - tail]))
+                out.extend((file, version, len(x) - i, len(y) - i) for i in range(tail - 1, -1, -1))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "version", "old_line", "new_line"])
+
+    return pairs.select(F.col("file").cast("string").alias("file"), F.col("version").cast("long").alias("version"), "before", "after").mapInArrow(run, "file string, version long, old_line long, new_line long")
+
+
 def version_diff(pairs: DataFrame) -> DataFrame:
     """(file, version, kind, line, text): lines added and removed between before and after; carriage returns and a missing last line end don't count.
 
@@ -49,13 +106,12 @@ def version_diff(pairs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for file, version, a, b in zip(*(batch.column(c).to_pylist() for c in ("file", "version", "before", "after")), strict=True):
                 x, y = _lines(a), _lines(b)
-                head = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-                tail = next((i for i, (p, q) in enumerate(zip(x[head:][::-1], y[head:][::-1], strict=False)) if p != q), min(len(x), len(y)) - head)
+                head, tail = _trimmed(x, y)
                 x, y = x[head : len(x) - tail], y[head : len(y) - tail]
-                for op, i, j, k, n in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
-                    if op != "equal":
-                        out.extend((file, version, "removed", head + 1 + r, x[r]) for r in range(i, j))
-                        out.extend((file, version, "added", head + 1 + r, y[r]) for r in range(k, n))
+                same = align(x, y)
+                left, right = {i for i, _ in same}, {j for _, j in same}
+                out.extend((file, version, "removed", head + 1 + i, v) for i, v in enumerate(x) if i not in left)
+                out.extend((file, version, "added", head + 1 + j, v) for j, v in enumerate(y) if j not in right)
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "version", "kind", "line", "text"])
@@ -69,8 +125,6 @@ def rework_event(own: list[int], added: list[int], removed: list[int], before: l
     own: fingerprints the session wrote and still stand; before: how many copies of each removed
     line the file had. A removed line counts as rework only as far as other copies don't explain it.
     """
-    from collections import Counter
-
     mine, gone, there = Counter(own), Counter(removed), Counter(before)
     reworked, ledger = 0, list(own)
     for h, k in gone.items():
@@ -101,3 +155,22 @@ def rework(changes: DataFrame) -> DataFrame:
 
     held = changes.select("session_id", "file", "at", "event_id", "kind", F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), line_hash(F.col("text")).alias("h"))
     return held.groupBy("session_id", "file").applyInPandas(fold, "session_id string, file string, event_id string, generated long, reworked long")
+
+
+def line_origins(alignment: DataFrame, lines: DataFrame) -> DataFrame:
+    """(file, version, line, origin_version, origin_line): the version in which each line (file, version, line) first stood.
+
+    alignment: (file, version, prior, old_line, new_line) pairs each version with its prior one. Pointers to
+    the prior version are doubled by self-joins until they reach lines that have no earlier self, so
+    a file with many versions takes a logarithmic number of rounds and no group is folded in one task.
+    """
+    at = lines.select("file", "version", "line")
+    up = alignment.select("file", "version", F.col("new_line").alias("line"), F.col("prior").alias("o_version"), F.col("old_line").alias("o_line"))
+    held = at.join(up, ["file", "version", "line"], "left").withColumns({"o_version": F.coalesce("o_version", "version"), "o_line": F.coalesce("o_line", "line")})
+    while True:
+        held = held.checkpoint() if held.sparkSession.sparkContext.getCheckpointDir() else held.cache()
+        far = held.select("file", F.col("version").alias("o_version"), F.col("line").alias("o_line"), F.col("o_version").alias("n_version"), F.col("o_line").alias("n_line"))
+        next_ = held.join(far, ["file", "o_version", "o_line"]).select("file", "version", "line", F.col("n_version").alias("o_version"), F.col("n_line").alias("o_line"), ((F.col("n_version") != F.col("o_version")) | (F.col("n_line") != F.col("o_line"))).alias("moved"))
+        if next_.where("moved").isEmpty():
+            return held.select("file", "version", "line", F.col("o_version").alias("origin_version"), F.col("o_line").alias("origin_line"))
+        held = next_.drop("moved")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,3 +33,14 @@ def diffs(T: Tables, most: int = 60) -> DataFrame:
     lines = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda i: F.concat(F.lit("+line "), i.cast("string"))), "\n")
     head = F.concat(F.lit("--- /dev/null\n+++ b/"), F.col("file_path"), F.lit("\n@@ -0,0 +1,"), n.cast("string"), F.lit(" @@\n"))
     return T.commit_files.where("lines_added > 0").select("commit_id", F.concat(head, lines).alias("diff"))
+
+
+INSERTED = "<inserted>"
+
+
+def edited_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file, version, before, after): every document, and a copy without its lines 3, 10, 17 and so on (from 0) and with a line put in after lines 5, 16, 27 and so on."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    lines = F.split("text", "\n")
+    kept = F.flatten(F.transform(lines, lambda x, i: F.concat(F.when(i % 7 != 3, F.array(x)).otherwise(F.array().cast("array<string>")), F.when(i % 11 == 5, F.array(F.lit(INSERTED))).otherwise(F.array().cast("array<string>")))))
+    return docs.select(F.col("source").alias("file"), F.col("doc_id").alias("version"), F.col("text").alias("before"), F.array_join(kept, "\n").alias("after"))

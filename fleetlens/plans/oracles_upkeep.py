@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 from .oracles import BASE
+from .oracles_sessions import FILES
 
+BLAME = FILES + """,
+bl AS (SELECT repo_id, al.file_path, al.line, arg_max(al.commit_id, (committed_at, al.commit_id)) AS commit_id FROM al JOIN commits c ON c.id = al.commit_id GROUP BY 1, 2, 3),
+bb AS (SELECT bl.*, ow.session_id, ow.event_id, ow.ts FROM bl LEFT JOIN ow ON ow.commit_id = bl.commit_id AND ow.file_path = bl.file_path AND ow.line = bl.line)
+"""
 _MODEL = "json_extract_string(payload, '$.model')"
 
 SQL: dict[str, str] = {
@@ -26,5 +31,11 @@ UNION ALL SELECT NULL, ts, 'hook_misfire', agent_slug, NULL, count(*) FROM ev WH
     "parse_commit_log": BASE + ", p AS (SELECT *, lag(sha) OVER (PARTITION BY repo_id ORDER BY committed_at, id) AS parent_sha FROM commits) SELECT sha, parent_sha, author_email, author_name, committed_at, 'work on ' || id AS message FROM p",
     "parse_numstat": BASE + "SELECT commit_id, CAST(sum(lines_added) AS BIGINT) AS lines_added, CAST(sum(lines_removed) AS BIGINT) AS lines_removed, count(*) AS files_changed FROM commit_files GROUP BY 1",
     "parse_unified_diff": BASE + "SELECT commit_id, file_path, unnest(generate_series(1, least(lines_added, 60))) AS line_no, 'line ' || unnest(generate_series(1, least(lines_added, 60))) AS text FROM commit_files WHERE lines_added > 0",
+    "blame": BASE + BLAME + "SELECT * FROM bb",
+    "blame_summary": BASE + BLAME + "SELECT repo_id, file_path, count(*) AS total, count(session_id) AS ai_lines, count(DISTINCT session_id) AS sessions, count(session_id) * CAST(100 AS DOUBLE) / count(*) AS ai_percent FROM bb GROUP BY 1, 2",
+    "blame_sessions": BASE + BLAME + "SELECT repo_id, file_path, session_id, count(*) AS lines, min(line) AS first_line FROM bb WHERE session_id IS NOT NULL GROUP BY 1, 2, 3",
+    "version_diff": """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents),
+k AS (SELECT * FROM l WHERE NOT (i = n - 1 AND t = ''))
+SELECT source AS file, doc_id AS version, count(*) FILTER (i % 7 = 3) AS removed, count(*) FILTER (i % 11 = 5) AS added FROM k GROUP BY 1, 2 HAVING count(*) FILTER (i % 7 = 3) + count(*) FILTER (i % 11 = 5) > 0""",
     "notes_round_trip": BASE + "SELECT commit_id, file_path, '1-' || lines_added AS runs, 'codex' AS agent, 's' AS session, 'm0' AS model FROM commit_files WHERE lines_added > 0",
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attribution, filters, maintenance, metrics, normalize, sessions
+from ..operators import attribution, blame, changes, filters, maintenance, metrics, normalize, sessions
 from ..operators.edits import ai_edits_scored
 from ..sources import git
 from ..sources.fixtures import Tables, load
@@ -83,6 +83,10 @@ QUERIES: dict[str, Query] = {
     "parse_commit_log": over(lambda T: git.parse_commit_log(derived.commit_log(T))),
     "parse_numstat": over(lambda T: git.commit_totals_of(git.parse_numstat(derived.numstat(T)))),
     "parse_unified_diff": over(lambda T: git.parse_unified_diff(derived.diffs(T))),
+    "blame": over(lambda T: blame.blame(T, blame.latest_lines(T))),
+    "blame_summary": over(lambda T: blame.blame_summary(blame.blame(T, blame.latest_lines(T)))),
+    "blame_sessions": over(lambda T: blame.blame_sessions(blame.blame(T, blame.latest_lines(T)))),
+    "version_diff": lambda spark, sf_dir: changes.version_diff(derived.edited_versions(spark, sf_dir)).groupBy("file", "version").agg(F.count_if(F.col("kind") == "removed").alias("removed"), F.count_if(F.col("kind") == "added").alias("added")),
     "notes_round_trip": over(lambda T: git.read_notes(git.build_notes(T.commit_files.where("lines_added > 0").select("commit_id", "file_path", F.concat(F.lit("1-"), F.col("lines_added").cast("string")).alias("runs"), F.lit("codex").alias("agent"), F.lit("s").alias("session"), F.lit("m0").alias("model"))))),
 }
 
