@@ -43,14 +43,15 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _encode_some(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
-    here = np.arange(n)
+    here = np.arange(n, dtype=np.int32)
     block_end = np.minimum((here // BLOCK + 1) * BLOCK, n)
-    selector = np.full(n, ESCAPE, dtype=np.int64)
+    left = block_end - here
+    selector = np.full(n, ESCAPE, dtype=np.int32)
+    width = np.frexp(ids.astype(np.float64))[1]  # bits that an id needs; exact wherever it matters, up to 30
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[s]
-        wide = np.where(ids >> np.uint64(bits) != 0, here, n)
-        first = np.minimum.accumulate(wide[::-1])[::-1]  # the next id too wide
-        selector[first - here >= np.minimum(count, block_end - here)] = s
+        first = np.minimum.accumulate(np.where(width > bits, here, np.int32(n))[::-1])[::-1]  # the next id too wide
+        selector[first - here >= np.minimum(count, left)] = s
     step = np.minimum(here + np.append([c for c, _ in SELECTORS], 1)[selector], block_end).tolist()
     starts, i = [], 0
     while i < n:
@@ -61,13 +62,19 @@ def _encode_some(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     extra = np.cumsum(chosen == ESCAPE)
     place = np.arange(len(starts)) + extra - (chosen == ESCAPE)
     out = np.zeros(len(starts) + int(extra[-1]), dtype=np.uint64)
-    padded = np.append(ids, np.zeros(256, dtype=np.uint64))
+    # Blocks apart by the most ids a word can hold, so a word's last ids past its block read zeros.
+    apart = np.zeros((-(-n // BLOCK), BLOCK + SELECTORS[0][0]), dtype=np.uint64)
+    filled = np.zeros(len(apart) * BLOCK, dtype=np.uint64)
+    filled[:n] = ids
+    apart[:, :BLOCK] = filled.reshape(-1, BLOCK)
+    flat, base = apart.ravel(), starts + starts // BLOCK * SELECTORS[0][0]
     for s, (count, bits) in enumerate(SELECTORS):
         at = np.flatnonzero(chosen == s)
-        word = np.full(len(at), s << 60, dtype=np.uint64)
+        if not len(at):
+            continue
+        word, own = np.full(len(at), s << 60, dtype=np.uint64), base[at]
         for j in range(count if bits else 0):
-            inside = starts[at] + j < block_end[starts[at]]
-            word |= np.where(inside, padded[starts[at] + j], np.uint64(0)) << np.uint64(j * bits)
+            word |= flat[own + j] << np.uint64(j * bits)
         out[place[at]] = word
     raw = np.flatnonzero(chosen == ESCAPE)
     out[place[raw]] = np.uint64(ESCAPE << 60)
