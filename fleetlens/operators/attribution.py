@@ -161,3 +161,48 @@ def carried_overlap(lines: DataFrame, commits: DataFrame, groups: DataFrame, mos
     sums = met.groupBy("commit_id", "carried_id", "old_at").agg(F.sum(F.least("n", "m")).alias("shared")).join(total.withColumnRenamed("commit_id", "carried_id"), "carried_id")
     newest = F.row_number().over(Window.partitionBy("commit_id").orderBy(F.desc("old_at"), "carried_id"))
     return sums.withColumn("r", newest).where(F.col("r") <= most).where("shared * 2 > of").select("commit_id", "carried_id", "shared", "of")
+
+
+def attribution_sources(commits: DataFrame, carried: DataFrame) -> DataFrame:
+    """(commit_id, repo_id, upto): a commit's own repository up to the commit, and each other repository of the commits it carries (commit_id, carried_id) up to the newest of those."""
+    own = commits.select(F.col("id").alias("commit_id"), "repo_id", F.col("committed_at").alias("upto"))
+    other = carried.join(commits.select(F.col("id").alias("carried_id"), "repo_id", F.col("committed_at").alias("at")), "carried_id").groupBy("commit_id", "repo_id").agg(F.max("at").alias("upto"))
+    return own.unionByName(other.join(own.select("commit_id", "repo_id"), ["commit_id", "repo_id"], "left_anti"))
+
+
+def home_repository(commits: DataFrame, carried: DataFrame) -> DataFrame:
+    """(commit_id, repo_id): the repository of the newest commit that a rewrite carries, or its own if it carries one from there."""
+    own = commits.select(F.col("id").alias("commit_id"), F.col("repo_id").alias("own"))
+    of = carried.join(commits.select(F.col("id").alias("carried_id"), "repo_id", "committed_at"), "carried_id").join(own, "commit_id")
+    found = of.groupBy("commit_id").agg(F.max_by("repo_id", F.struct("committed_at", "carried_id")).alias("newest"), F.max((F.col("repo_id") == F.col("own")).cast("int")).alias("kept"), F.first("own").alias("own"))
+    return found.select("commit_id", F.when(F.col("kept") == 1, F.col("own")).otherwise(F.col("newest")).alias("repo_id"))
+
+
+def retire_replaced(files: DataFrame, replaced: DataFrame) -> DataFrame:
+    """files (commit_id, session_id, file_path, lines_attributed) where a commit gave its lines up: 0 for what its replacement (old_id, new_id, on_branch) holds too.
+
+    A commit that some branch still holds, or may hold (on_branch null), keeps its lines.
+    """
+    gone = replaced.where("on_branch = false").select(F.col("old_id").alias("commit_id"), "new_id")
+    held = files.select(F.col("commit_id").alias("new_id"), "session_id", "file_path").distinct()
+    given = gone.join(held, "new_id").select("commit_id", "session_id", "file_path").distinct().withColumn("__given", F.lit(True))
+    return files.join(given, ["commit_id", "session_id", "file_path"], "left").withColumn("lines_attributed", F.when(F.col("__given"), F.lit(0)).otherwise(F.col("lines_attributed"))).drop("__given")
+
+
+def merge_attribution(fresh: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Lines (commit_id, file_path, line, session_id, by_content) after a new pass: content beats position, and a new credit beats a recorded one of its kind."""
+    rows = fresh.withColumn("rank", F.when(F.col("by_content"), 0).otherwise(2)).unionByName(recorded.withColumn("rank", F.when(F.col("by_content"), 1).otherwise(3)))
+    best = F.row_number().over(Window.partitionBy("commit_id", "file_path", "line").orderBy("rank", "session_id"))
+    return rows.withColumn("r", best).where("r = 1").drop("r", "rank")
+
+
+def affected_commits(changed: DataFrame, T: Tables) -> DataFrame:
+    """(commit_id): commits that touch a changed file (repo_id, file_path, since) from a second before `since` on."""
+    made = T.commit_files.select("commit_id", "file_path").join(T.commits.select(F.col("id").alias("commit_id"), "repo_id", "committed_at"), "commit_id")
+    return made.join(changed, ["repo_id", "file_path"]).where("committed_at >= since - interval 1 second").select("commit_id").distinct()
+
+
+def missing_commits(log: DataFrame, commits: DataFrame, since=None, most: int = 200) -> DataFrame:
+    """Commits of a log (sha, committed_at, ...) that aren't recorded, the newest `most`, none before `since`."""
+    found = log.join(commits.select("sha"), "sha", "left_anti")
+    return (found if since is None else found.where(F.col("committed_at") >= F.lit(since))).orderBy(F.desc("committed_at"), "sha").limit(most)

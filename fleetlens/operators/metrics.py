@@ -98,7 +98,6 @@ def max_concurrent(T: Tables, f: Filters = ALL, bucket_us: int = 3_600_000_000)
     )).alias("p")).select("id", "p.*").withColumn("bucket", F.floor(F.col("at") / bucket_us))
     before = Window.partitionBy("of").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = points.groupBy("of", "bucket").agg(F.sum("add").alias("n")).select("of", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("of", "bucket").orderBy("at", "turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     inside = Window.partitionBy("of", "bucket").orderBy("at", "turn", F.desc("add")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counted = points.withColumn("here", F.sum("add").over(inside)).join(base, ["of", "bucket"]).where("add = 0").select("id", "of", (F.col("base") + F.col("here")).alias("n"))
     per = counted.groupBy("id").agg(F.sum(F.when(F.col("of") == "s", F.col("n")).otherwise(-F.col("n"))).alias("n"))

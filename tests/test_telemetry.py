@@ -200,3 +200,33 @@ def test_stream_equals_batch(spark, tables, tmp_path):
     ingest.running_active(files).writeStream.format("memory").queryName("active").outputMode("update").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start().awaitTermination()
     last = {r["session_id"]: r["active_us"] / 6e7 for r in spark.table("active").groupBy("session_id").agg(F.max("active_us").alias("active_us")).collect()}
     assert last == {r["session_id"]: r["active_minutes"] for r in metrics.session_active(tables.having(events=events)).collect()}
+
+
+def test_split_of_an_edit_tells_a_missing_key_from_null(spark):
+    split = json.dumps([{"file_path": "a", "lines_generated": 5, "lines_reworked": 1}, {"repo_id": None, "file_path": "b", "lines_generated": 2, "lines_reworked": 9}, {"repo_id": "q", "rel_file_path": "c", "lines_generated": 1}])
+    df = spark.createDataFrame([("1", "s", "r", split), ("2", "s", "r", split), ("3", "s", "r", None)], "id string, session_id string, repo_id string, file_lines string")
+    assert got(edits.edit_file_lines(df).fillna("-"), "repo_id", "file_path", "edits", "lines") == [("-", "b", 2, 0), ("q", "c", 2, 2), ("r", "a", 2, 8)]
+
+
+def test_rewrites(spark, tables):
+    carried = spark.createDataFrame([("c2", "c1")], "commit_id string, carried_id string")
+    assert got(attribution.home_repository(tables.commits, carried), "commit_id", "repo_id") == [("c2", "r")]
+    assert attribution.attribution_sources(tables.commits, carried).count() == 2
+    files = spark.createDataFrame([("c1", "A", "f", 5), ("c2", "A", "f", 5), ("c1", "B", "g", 2)], "commit_id string, session_id string, file_path string, lines_attributed int")
+    swap = "old_id string, new_id string, on_branch boolean"
+    assert got(attribution.retire_replaced(files, spark.createDataFrame([("c1", "c2", False)], swap)), "commit_id", "session_id", "lines_attributed") == [("c1", "A", 0), ("c1", "B", 2), ("c2", "A", 5)]
+    assert got(attribution.retire_replaced(files, spark.createDataFrame([("c1", "c2", None)], swap)), "lines_attributed") == [(2,), (5,), (5,)]
+    line = "commit_id string, file_path string, line int, session_id string, by_content boolean"
+    merged = attribution.merge_attribution(spark.createDataFrame([("c", "f", 1, "new", False), ("c", "f", 2, "new", False)], line), spark.createDataFrame([("c", "f", 1, "old", True), ("c", "f", 2, "old", False)], line))
+    assert got(merged, "line", "session_id") == [(1, "old"), (2, "new")]
+    changed = spark.createDataFrame([("r", "a.py", at(501))], "repo_id string, file_path string, since timestamp")
+    assert got(attribution.affected_commits(changed, tables), "commit_id") == [("c1",), ("c2",)]
+
+
+def test_line_origins(spark):
+    versions = {1: ["a", "b"], 2: ["x", "a", "b"], 3: ["a", "b", "y"], 4: ["a", "y", "b"]}
+    df = spark.createDataFrame([("f", v, "\n".join(t)) for v, t in versions.items()], "file string, version long, text string")
+    aligned = changes.version_alignment(changes.successive_versions(df)).withColumn("prior", F.col("version") - 1)
+    lines = df.select("file", "version", F.posexplode(F.split("text", "\n")).alias("n", "t")).withColumn("line", F.col("n") + 1).selectExpr("file", "version", "cast(line as bigint) line")
+    found = {(r["version"], versions[r["version"]][r["line"] - 1]): r["origin_version"] for r in changes.line_origins(aligned, lines).collect()}
+    assert found[4, "a"] == 1 and found[3, "y"] == 3 and found[2, "x"] == 2 and found[3, "b"] == 1
