@@ -34,6 +34,7 @@ class Encoder:
         self.by_word = bool(suffix) and self._ids("a b") == self._ids("a\n b ") == self._ids("a") + self._ids("b")
         if self.by_word:
             vocab = self.lib.get_vocab(with_added_tokens=True)
+            self.plain = self._plain()
             self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
             self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
         self._forget()
@@ -41,6 +42,17 @@ class Encoder:
     def _ids(self, text: str) -> list[int]:
         return self.lib.encode(text, add_special_tokens=False).ids
 
+    def _plain(self):
+        """The same model behind white space alone, for pre-tokens that are already in lower case: it spares the library's normalising and splitting. The library itself where it would differ."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        own = Tokenizer(self.lib.model)
+        own.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = [chr(c) for c in range(256) if chr(c).isalpha() and chr(c).islower() and _SIMPLE.fullmatch(chr(c))]
+        signs = [chr(c) for c in range(33, 127) if not chr(c).isalnum() and c != 39]
+        sample = " ".join([*letters, *signs, "".join(letters), "the", "wording", "".join(signs), "...", "!!"])
+        return own if own.encode(sample, add_special_tokens=False).ids == self._ids(sample) else self.lib
+
     def _forget(self) -> None:
         self.at: dict[str, int] = {"": 0}
         self.parts: dict[str, bytes] = {"": b""}
@@ -48,9 +60,9 @@ class Encoder:
 
     def _encode_parts(self, parts: list[str]) -> None:
         """Remember the ids of pre-tokens; a thousand at a time, told apart by the marks of word ends."""
-        for i in range(0, len(parts), 1000):
-            some = parts[i : i + 1000]
-            ids = np.asarray(self._ids(" ".join(some)), dtype=np.uint32)
+        runs = [parts[i : i + 1000] for i in range(0, len(parts), 1000)]
+        for some, made in zip(runs, self.plain.encode_batch_fast([" ".join(r) for r in runs], add_special_tokens=False), strict=True):
+            ids = np.asarray(made.ids, dtype=np.uint32)
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             if len(cuts) == len(some) + 1:
                 raw = ids.tobytes()
