@@ -201,7 +201,8 @@ def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None
     tiles = rows.groupBy("token", "tile").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     other = tiles.select("token", F.col("tile").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     pairs = tiles.join(other, "token").where("tile <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("token", F.col("tile").alias("i"), "j")
-    met = rows.join(pairs, "token").where("tile = i or tile = j").join(sets.select("id", "bits"), "id")
+    sides = pairs.select("token", F.col("i").alias("tile"), "i", "j").unionByName(pairs.where("i < j").select("token", F.col("j").alias("tile"), "i", "j"))
+    met = rows.join(sides, ["token", "tile"]).join(sets.select("id", "bits"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_key(batches, ["token", "i", "j"]):

@@ -217,7 +217,8 @@ def brute_components(texts):
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
 
 
-def test_ngram_join(docs, empty, spark):
+def test_ngram_join(docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TILE", 16)  # so that lists take several tiles
     r = random.Random(9)
     passage = " ".join(words(77, 60))
     texts = [None, "", " ", "a b", "A  b", "a b c"] + [" ".join(words(100 + i, 200)) + " " + passage for i in range(20)]
