@@ -143,48 +143,60 @@ def classes(links: DataFrame) -> DataFrame:
     return held
 
 
-def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[list[dict]]:
-    """Rows of one key after another, of batches sorted by it."""
-    rows: list[dict] = []
+def _by_key(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of one key after another, of batches sorted by it."""
+    kept: pa.RecordBatch | None = None
     for batch in batches:
-        for row in batch.to_pylist():
-            if rows and any(row[k] != rows[0][k] for k in key):
-                yield rows
-                rows = []
-            rows.append(row)
-    if rows:
-        yield rows
-
-
-def compare_tile(rows: list[dict], keep: int | None) -> list[tuple[int, int]]:
-    """Pairs (smaller id first) of a tile pair's rows (id, n, class, tile, i, j, bits) that sizes, classes and bitmaps let pass; the nearest `keep` of each document."""
-    cross = rows[0]["i"] != rows[0]["j"]
-    rows = sorted(rows, key=lambda r: r["n"])
-    n, group, tile = (np.array([r[k] for r in rows]) for k in ("n", "class", "tile"))
-    maps = [np.frombuffer(r["bits"], dtype=np.uint64) for r in rows]
+        if batch.num_rows == 0:
+            continue
+        if kept is not None:
+            batch = pa.Table.from_batches([kept, batch]).combine_chunks().to_batches()[0]
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in key]
+        cuts = [0, *(np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1).tolist()]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            yield batch.slice(lo, hi - lo)
+        kept = batch.slice(cuts[-1])
+    if kept is not None:
+        yield kept
+
+
+def _words(column: pa.Array) -> list[np.ndarray]:
+    """The 64-bit words of each value of a binary column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    return [data[lo:hi].view(np.uint64) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
+def compare_tile(ids: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.ndarray, bits: list[np.ndarray], cross: bool, keep: int | None) -> list[tuple[int, int]]:
+    """Pairs of ids (smaller first) that sizes n, classes and bitmaps let pass, only between tiles if cross; the nearest `keep` of each document."""
+    order = np.argsort(n, kind="stable")
+    ids, n, group, tile = ids[order], n[order].astype(np.int64), group[order], tile[order]
+    tops = np.searchsorted(n, n * DEN // NUM, side="right")  # partners of k are k + 1 to tops[k] - 1
+    if (tops == np.arange(1, len(n) + 1)).all():
+        return []
+    maps = [bits[k] for k in order]
     lengths = np.array([len(m) for m in maps])
     stacks: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # band: rows of that width or twice that, folded to it
     for w in set(lengths.tolist()):
         at = np.flatnonzero((lengths == w) | (lengths == 2 * w))
         stacks[w] = at, np.stack([maps[k] if lengths[k] == w else maps[k][:w] ^ maps[k][w:] for k in at])
     found = []
-    for k in range(len(rows) - 1):
-        at, bits = stacks[lengths[k]]
-        lo = np.searchsorted(at, k, side="right")
-        hi = np.searchsorted(at, np.searchsorted(n, n[k] * DEN // NUM, side="right"))
+    for k in range(len(n) - 1):
+        at, own = stacks[lengths[k]]
+        lo, hi = np.searchsorted(at, (k + 1, tops[k]))
         j = at[lo:hi]
         ok = group[j] != group[k]
         if cross:
             ok &= tile[j] != tile[k]
         if not ok.any():
             continue
-        far = np.bitwise_count(bits[lo:hi][ok] ^ maps[k]).sum(axis=1)
+        far = np.bitwise_count(own[lo:hi][ok] ^ maps[k]).sum(axis=1).astype(np.int64)
         j = j[ok]
-        near = 7 * far.astype(np.int64) <= n[j] + n[k]
+        near = 7 * far <= n[j] + n[k]
         j, far = j[near], far[near]
         if keep and len(j) > keep:
             j = j[np.argsort(far, kind="stable")[:keep]]
-        found.extend((min(rows[k]["id"], rows[x]["id"]), max(rows[k]["id"], rows[x]["id"])) for x in j)
+        found.extend((int(min(ids[k], ids[x])), int(max(ids[k], ids[x]))) for x in j)
     return found
 
 
@@ -205,8 +217,10 @@ def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None
     met = rows.join(sides, ["token", "tile"]).join(sets.select("id", "bits"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _by_key(batches, ["token", "i", "j"]):
-            if found := compare_tile(group, keep):
+        for rows in _by_key(batches, ["token", "i", "j"]):
+            ids, n, group, tile = (rows.column(c).to_numpy() for c in ("id", "n", "class", "tile"))
+            cross = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+            if found := compare_tile(ids, n, group, tile, _words(rows.column("bits")), cross, keep):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 

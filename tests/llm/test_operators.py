@@ -241,8 +241,8 @@ def test_tiles_and_bitmaps_lose_nothing(monkeypatch):
     r = np.random.default_rng(4)
     base = np.unique(r.integers(0, 2**63, 900).astype(np.uint64))
     sets = [np.unique(np.concatenate((base[r.random(len(base)) < p], r.integers(0, 2**63, k).astype(np.uint64)))) for p, k in [(r.uniform(0.7, 1), int(r.integers(0, 200))) for _ in range(60)]]
-    tile = [{"id": i, "n": len(s), "class": i, "tile": 0, "i": 0, "j": 0, "bits": ngram_join.bitmap(s)} for i, s in enumerate(sets)]
-    found = set(ngram_join.compare_tile(tile, None))
+    bits = [np.frombuffer(ngram_join.bitmap(s), np.uint64) for s in sets]
+    found = set(ngram_join.compare_tile(np.arange(60), np.array([len(s) for s in sets]), np.arange(60), np.zeros(60), bits, False, None))
     for i in range(60):
         for j in range(i):
             k = len(np.intersect1d(sets[i], sets[j]))
