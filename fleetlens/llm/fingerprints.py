@@ -11,8 +11,6 @@ sample, and one hash aggregation with K minima yields the signature.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,8 +21,6 @@ from .common import NULL_ID, range_bucket, range_splits, shuffle_partitions, sta
 SAMPLES, TERM_WORDS = 16, 2
 #: Text is dealt to this many times the usual number of partitions.
 SMALLER = 4
-#: Bits that choose r from its quantiles.
-R_BITS = 8
 
 
 def terms(text: Column, n: int = TERM_WORDS) -> Column:
@@ -40,37 +36,24 @@ def terms(text: Column, n: int = TERM_WORDS) -> Column:
     return F.get(F.transform(F.array(words), grams), 0)
 
 
-def gamma_quantiles(n: int) -> list[float]:
-    """Quantiles of Gamma(2, 1) at (i + 0.5) / n: x with 1 - exp(-x) * (1 + x) = p, by bisection."""
-    found = []
-    for i in range(n):
-        low, high, p = 0.0, 40.0, (i + 0.5) / n
-        for _ in range(50):
-            mid = (low + high) / 2
-            low, high = (mid, high) if 1 - math.exp(-mid) * (1 + mid) < p else (low, mid)
-        found.append(round(low, 9))
-    return found
-
-
 def _unit(bits: Column, shift: int, width: int) -> Column:
     """A number in (0, 1) from `width` bits of a hash."""
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << width) - 1)) + F.lit(0.5)) / F.lit(float(1 << width))
 
 
-_R = gamma_quantiles(1 << R_BITS)
+def _gamma(bits: Column) -> Column:
+    """A draw of Gamma(2, 1), the sum of two exponentials, from the low 32 bits of a hash (16 each)."""
+    return -F.log(_unit(bits, 0, 16) * _unit(bits, 16, 16))
 
 
 def sample(term: Column, weight: Column, k: int) -> Column:
     """a of one term for sample k: the smallest over a document's terms is its sample.
 
-    One 64-bit hash gives all randomness: r is a Gamma(2, 1) quantile (R_BITS bits), c the sum of
-    two exponentials (16 bits each), b the remaining bits.
+    Two 64-bit hashes give all randomness: c and b come from the first (32 bits each), r from the
+    second. r must not be cut off: on a long text the rare terms' smallest a come from the largest r.
     """
-    h = F.xxhash64(term, F.lit(k))
-    table = F.split(F.lit(",".join(map(str, _R))), ",").cast("array<double>")
-    r = F.get(table, F.shiftrightunsigned(h, 64 - R_BITS).cast("int"))
-    c = -F.log(_unit(h, 0, 16) * _unit(h, 16, 16))
-    b = _unit(h, 32, 32 - R_BITS)
+    h, g = F.xxhash64(term, F.lit(k)), F.xxhash64(term, F.lit(-1 - k))
+    c, b, r = _gamma(h), _unit(h, 32, 32), _gamma(g)
     # ln 1 = 0, so most terms need no logarithm and no floor: t is 0.
     t = F.when(weight == 1, F.lit(0.0)).otherwise(F.floor(F.log(weight) / r + b).cast("double"))
     return c * F.exp(r * (b - F.lit(1.0) - t))

@@ -74,6 +74,18 @@ def test_fingerprints_estimate_generalised_jaccard(spark):
         assert abs(found - true) < 4 * math.sqrt(max(true * (1 - true), 0.02) / 64)
 
 
+def test_frequent_terms_of_a_long_text_win_by_their_weight_only(spark):
+    frequent = " ".join(f"often{i}" for i in range(401))
+    pairs = [tuple(" ".join([frequent] * 20 + [f"{form}{p}x{i}" for i in range(40_000)]) for form in "ab") for p in range(4)]
+    made = fingerprints.fingerprint(spark.createDataFrame(list(enumerate(x for p in pairs for x in p)), "doc_id long, text string"), ["doc_id"], "text", samples=64)
+    sig = {r["doc_id"]: r["sig"] for r in made.collect()}
+    x, y = (Counter(zip(t.split(), t.split()[1:])) for t in pairs[0])
+    assert len(x) > 20_000
+    true = sum(min(x[k], y[k]) for k in x | y) / sum(max(x[k], y[k]) for k in x | y)
+    found = sum(p == q for i in range(0, 8, 2) for p, q in zip(sig[i], sig[i + 1])) / 256
+    assert abs(found - true) < 4 * math.sqrt(true * (1 - true) / 256), (found, true)
+
+
 def test_sharding(docs, empty, spark):
     got = sharding.shard_documents(docs).collect()
     assert len(got) == len(TEXTS)
