@@ -40,10 +40,10 @@ def candidate_ranges(T: Tables) -> DataFrame:
     return dated.join(commits.withColumnRenamed("at", "next_at"), ["repo_id", "file_path", "next_at"]).select("commit_id", "file_path", "event_id", "session_id", "ts", "start_line", "end_line")
 
 
-def added_lines(T: Tables, most: int = 60) -> DataFrame:
-    """(commit_id, file_path, line): stands in for a parsed diff, lines 1 to lines_added (at most `most`) of each file."""
+def added_lines(T: Tables) -> DataFrame:
+    """(commit_id, file_path, line): stands in for a parsed diff, lines 1 to lines_added of each file."""
     some = T.commit_files.where("lines_added > 0")
-    return some.select("commit_id", "file_path", F.explode(F.sequence(F.lit(1).cast("long"), F.least("lines_added", F.lit(most)).cast("long"))).alias("line"))
+    return some.select("commit_id", "file_path", F.explode(F.sequence(F.lit(1).cast("long"), F.col("lines_added").cast("long"))).alias("line"))
 
 
 def owned_lines(candidates: DataFrame, lines: DataFrame) -> DataFrame:

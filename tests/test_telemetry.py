@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns
-from fleetlens.operators import attribution, changes, edits, filters, maintenance, metrics, normalize, sessions
+from fleetlens.operators import attribution, blame, changes, edits, filters, maintenance, metrics, normalize, sessions
 from fleetlens.sources import envelopes, git
 from fleetlens.sources.fixtures import Tables
 from fleetlens.streaming import ingest
@@ -77,6 +77,17 @@ def test_position_attribution(tables):
     assert got(attribution.attribute_by_churn(tables), "lines_attributed") == [(5,)]
 
 
+def test_attribution_counts_every_added_line(tables, spark):
+    long = tables.having(
+        ranges=spark.createDataFrame([("g1", "e1", "a.py", "/w/r/a.py", 3, 200)], tables.ranges.schema),
+        commit_files=spark.createDataFrame([("c1", "a.py", 150, 0)], tables.commit_files.schema),
+    )
+    assert got(attribution.attribute_files(long), "commit_id", "lines_attributed") == [("c1", 148)]
+    assert got(attribution.attribute_sessions(long), "commit_id", "session_id", "lines_attributed") == [("c1", "A", 148)]
+    rows = blame.blame(long, blame.latest_lines(long))
+    assert got(blame.blame_summary(rows), "total", "ai_lines") == [(150, 148)] and got(blame.blame_sessions(rows), "session_id", "lines") == [("A", 148)]
+
+
 def test_closure_reaches_any_depth(spark):
     chain = spark.createDataFrame([(str(i), str(i - 1) if i else None) for i in range(40)], "id string, parent string")
     for depth in (1, 5, 7, 39):
