@@ -135,15 +135,19 @@ def parents_by_time(commits: DataFrame) -> DataFrame:
 
 
 def ancestor_closure(parents: DataFrame, depth: int = 500) -> DataFrame:
-    """(id, ancestor, steps) along first parents (id, parent), up to depth, by pointer doubling: each round joins what it has with itself."""
-    known = parents.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
+    """(id, ancestor, steps) along first parents (id, parent), up to depth, by pointer doubling: each round joins what it has with itself.
+
+    A round's rows are kept between rounds: they are read three times in the next, so a plan of nine rounds would hold its first 3^9 times.
+    """
+    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    edge = known = keep(parents.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
     reach = 1
     while reach < depth:
         far = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more")).where(F.col("more") <= depth - reach)
-        edge = known.where(F.col("steps") == reach)
-        known = known.unionByName(edge.join(far, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
+        made = keep(edge.where(F.col("steps") == reach).join(far, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
+        known, edge = known.unionByName(made), made
         reach *= 2
-    return known.where(F.col("steps") <= depth)
+    return known
 
 
 def carried_overlap(lines: DataFrame, commits: DataFrame, groups: DataFrame, most: int = 50) -> DataFrame:

@@ -57,7 +57,7 @@ QUERIES: dict[str, Query] = {
     "commit_of_edit": over(attribution.commit_of_edit),
     "prompt_before": over(lambda T: attribution.prompt_before(T.events, T.prompts)),
     "checkout_groups": over(lambda T: attribution.checkout_groups(T.repositories)),
-    "ancestors": over(lambda T: attribution.ancestor_closure(attribution.parents_by_time(T.commits), 20)),
+    "ancestors": over(lambda T: attribution.ancestor_closure(attribution.parents_by_time(T.commits))),
     "list_sessions": over(sessions.list_sessions),
     "session_detail": over(sessions.session_detail),
     "files_touched": over(sessions.files_touched),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import columns
 from fleetlens.operators import attribution, blame, changes, edits, filters, maintenance, metrics, normalize, sessions
+from fleetlens.plans import registry
 from fleetlens.sources import envelopes, git
 from fleetlens.sources.fixtures import Tables
 from fleetlens.streaming import ingest
@@ -94,6 +95,14 @@ def test_closure_reaches_any_depth(spark):
         assert attribution.ancestor_closure(chain, depth).count() == sum(min(i, depth) for i in range(40))
 
 
+def test_ancestors_reach_five_hundred_steps(spark, tables):
+    commits = spark.createDataFrame([(f"c{i:03}", "r", at(i)) for i in range(520)], "id string, repo_id string, committed_at timestamp")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(registry, "load", lambda spark, sf_dir: tables.having(commits=commits))
+        made = {(r["id"], r["ancestor"], r["steps"]) for r in registry.QUERIES["ancestors"](spark, "").collect()}
+    assert made == {(f"c{i:03}", f"c{i - k:03}", k) for i in range(520) for k in range(1, min(i, 500) + 1)}
+
+
 def test_carried_commits(spark, tables):
     lines = [("c1", "a.py", f"line {i}") for i in range(4)] + [("c2", "a.py", f" line {i}") for i in range(3)] + [("c2", "a.py", "}")]
     made = attribution.carried_overlap(spark.createDataFrame(lines, "commit_id string, file_path string, text string"), tables.commits, attribution.checkout_groups(tables.repositories))
