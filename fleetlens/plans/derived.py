@@ -27,10 +27,10 @@ def numstat(T: Tables) -> DataFrame:
     return T.commit_files.select("commit_id", F.concat_ws("\t", F.col("lines_added").cast("string"), F.col("lines_removed").cast("string"), "file_path").alias("value"))
 
 
-def diffs(T: Tables, most: int = 60) -> DataFrame:
+def diffs(T: Tables) -> DataFrame:
     """(commit_id, diff): a unified diff per file whose added lines are 'line 1', 'line 2' and so on."""
-    n = F.least("lines_added", F.lit(most))
-    lines = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n.cast("long")), lambda i: F.concat(F.lit("+line "), i.cast("string"))), "\n")
+    n = F.col("lines_added").cast("long")
+    lines = F.array_join(F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.concat(F.lit("+line "), i.cast("string"))), "\n")
     head = F.concat(F.lit("--- /dev/null\n+++ b/"), F.col("file_path"), F.lit("\n@@ -0,0 +1,"), n.cast("string"), F.lit(" @@\n"))
     return T.commit_files.where("lines_added > 0").select("commit_id", F.concat(head, lines).alias("diff"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import columns
 from fleetlens.operators import attribution, blame, changes, edits, filters, maintenance, metrics, normalize, sessions
-from fleetlens.plans import registry
+from fleetlens.plans import derived, registry
 from fleetlens.sources import envelopes, git
 from fleetlens.sources.fixtures import Tables
 from fleetlens.streaming import ingest
@@ -176,6 +176,11 @@ def test_git_text(spark):
     assert got(git.parse_numstat(spark.createDataFrame([("c", "-\t-\tbin"), ("c", "3\t1\ta b")], "commit_id string, value string")), "file_path", "lines_added") == [("a b", 3), ("bin", 0)]
 
 
+def test_derived_diffs_hold_every_added_line(tables, spark):
+    long = tables.having(commit_files=spark.createDataFrame([("c1", "a.py", 150, 0), ("c1", "b.py", 0, 2)], tables.commit_files.schema))
+    assert got(git.parse_unified_diff(derived.diffs(long)), "file_path", "line_no", "text") == [("a.py", i, f"line {i}") for i in range(1, 151)]
+
+
 def test_transcripts(spark, tmp_path):
     usage = lambda i, o, m="m": json.dumps({"type": "assistant", "timestamp": "2026-01-01T00:00:01Z", "message": {"id": i, "model": m, "usage": {"input_tokens": 1, "output_tokens": o}}})
     (tmp_path / "a.jsonl").write_text("\n".join([json.dumps({"type": "user", "timestamp": "2026-01-01T00:00:00Z", "message": {"content": "hi"}}), usage("1", 5), usage("1", 9), "broken {", usage("2", 2, "n"), usage("3", 1), json.dumps({"type": "user", "isMeta": True, "message": {"content": "no"}})]))
