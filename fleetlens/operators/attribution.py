@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,10 +136,10 @@ def parents_by_time(commits: DataFrame) -> DataFrame:
     return commits.select("id", F.lag("id").over(Window.partitionBy("repo_id").orderBy("committed_at", "id")).alias("parent"))
 
 
-def ancestor_closure(parents: DataFrame, depth: int = 500) -> DataFrame:
-    """(id, ancestor, steps) along first parents (id, parent), up to depth, by pointer doubling: each round joins what it has with itself.
+def _doubled(parents: DataFrame, depth: int) -> DataFrame:
+    """(id, ancestor, steps) along (id, parent), up to depth (1 at least), by pointer doubling: each round joins what it has with itself.
 
-    A round's rows are kept between rounds: they are read three times in the next, so a plan of nine rounds would hold its first 3^9 times.
+    A round's rows are kept between rounds: the next reads them three times, so a nested plan would hold its first 3^rounds times.
     """
     keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
     edge = known = keep(parents.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
@@ -150,6 +152,21 @@ def ancestor_closure(parents: DataFrame, depth: int = 500) -> DataFrame:
     return known
 
 
+def ancestor_closure(parents: DataFrame, depth: int = 500) -> DataFrame:
+    """(id, ancestor, steps) along first parents (id, parent), up to depth.
+
+    Steps are whole blocks of about the root of depth, then single ones; both are found by pointer
+    doubling, and the two meet in a join whose rows are spread out last, so they are never shuffled.
+    """
+    block = math.isqrt(depth) + 1
+    near = _doubled(parents, block)
+    blocks = _doubled(near.where(F.col("steps") == block).select("id", F.col("ancestor").alias("parent")), max(1, depth // block)).withColumn("steps", F.col("steps") * block)
+    near = near.where(F.col("steps") < block)
+    lists = near.groupBy(F.col("id").alias("ancestor")).agg(F.collect_list(F.struct(F.col("ancestor").alias("next"), F.col("steps").alias("more"))).alias("rest"))
+    beyond = blocks.join(lists.hint("merge"), "ancestor").select("id", F.col("steps").alias("far"), F.inline("rest")).select("id", F.col("next").alias("ancestor"), (F.col("far") + F.col("more")).alias("steps"))
+    return near.unionByName(blocks).unionByName(beyond).where(F.col("steps") <= depth)
+
+
 def carried_overlap(lines: DataFrame, commits: DataFrame, groups: DataFrame, most: int = 50) -> DataFrame:
     """(commit_id, carried_id, shared, of): earlier commits of the same checkout group more than half of whose added, non-trivial lines come again in the same file.
 
