@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for tables between jobs: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The shared folder for tables between jobs: spark.checkpoint.dir, or one of our own where that is unset and Spark runs in one process (tests); an error on a cluster without one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="fleetlens-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -80,15 +82,16 @@ def running_start(df: DataFrame, order: str, size: str, out: str, parts: int | N
     return local.join(F.broadcast(totals), "__r").withColumn(out, F.col("__base") + F.col("__local")).drop("__r", "__base", "__local")
 
 
-def rank_within(df: DataFrame, keys: list[str], by: list[str], out: str, salts: int = 64) -> DataFrame:
+def rank_within(df: DataFrame, keys: list[str], by: list[str], out: str, salts: int | None = None, salt: Column | None = None) -> DataFrame:
     """df with out = a gapless rank from 0 within each combination of keys.
 
-    Each group is split into `salts` parts by a hash of the `by` columns, ranked inside the
-    part and shifted by the sizes of the parts before it, so a group that holds a third of
-    all rows spreads over `salts` tasks. The table of part sizes has (groups x salts) rows
-    and is joined by shuffle unless Spark sees it is small.
+    Each group is split into `salts` parts (as many as there are shuffle partitions) by a hash of
+    the `by` columns or by salt, ranked inside the part and shifted by the sizes of the parts
+    before it, so a group that holds a third of all rows spreads over all tasks. The table of
+    part sizes has (groups x salts) rows and is joined by shuffle unless Spark sees it is small.
     """
-    salted = df.withColumn("__s", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    salts = salts or shuffle_partitions(df.sparkSession)
+    salted = df.withColumn("__s", F.pmod(F.xxhash64(*by) if salt is None else salt, F.lit(salts)).cast("int"))
     sizes = salted.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*keys, "__s", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__base"))
@@ -111,14 +114,33 @@ def map_texts(docs: DataFrame, carried: list[str], fields: list[tuple[str, pa.Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
                 made = zip(*work(part.column("text").to_pylist()), strict=True)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *(pa.array(c, kind) for c, (_, kind, _) in zip(made, fields, strict=True))], names=names)
 
     return docs.select(*dict.fromkeys([*carried, "text"])).mapInArrow(run, schema)
 
 
+def text_verdict(setup: Callable[[], Callable[[list], list[bool]]]) -> Callable[[Column], Column]:
+    """A function from a text column to a boolean one. setup() runs once a task and returns the function from texts (strings or None) to verdicts.
+
+    Only text goes to Python and only verdicts come back; the other columns stay where they are.
+    """
+
+    @F.arrow_udf("boolean")
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        work = setup()
+        for texts in batches:
+            made: list[bool] = []
+            for i in range(0, len(texts), 500):
+                made.extend(work(texts.slice(i, 500).to_pylist()))
+            yield pa.array(made, pa.bool_())
+            pa.default_memory_pool().release_unused()
+
+    return verdict
+
+
 def words_pattern() -> str:
     """A word is a run of characters other than ASCII white space."""
     return r"[^\x20\x09-\x0D]+"

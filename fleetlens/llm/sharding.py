@@ -1,9 +1,11 @@
 """Sharding by balanced label propagation.
 
-Rows start in shards of equal count. In each round linked rows look for the shard that holds most
-of their neighbours; moves between two shards are made in equal numbers, so the counts never
-change: wishes from a to b are met by wishes from b to a and, beyond those, by rows of b that
-have no links. A group larger than a shard fills one and then the next.
+Rows start in shards of equal count. In each round a linked row looks for the shard that holds most
+of its neighbours and wishes to move there if that cuts fewer links. Moves between two shards are
+made in equal numbers, so counts never change: wishes from a to b are met first by wishes from
+b to a; then, the largest gains first, by those rows of b that lose least by leaving, as long as the
+move gains more than it costs. Rounds go on until no such exchange is left. A group larger
+than a shard fills one and then the next.
 
 Links come as memberships (id, group): all rows of a group are each other's neighbours, so a
 group of any size costs a row per member and no pairs.
@@ -11,17 +13,22 @@ group of any size costs a row per member and no pairs.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import rank_within, stash
 
-#: Rounds of propagation; a shard this full of one group is no longer a goal for its other members.
-ROUNDS, FULL = 4, 0.98
+#: Rounds of propagation at most; it usually settles before. A shard this full of one group is no longer a goal for its other members.
+ROUNDS, FULL = 24, 0.98
 #: Groups with more rows than one in so many are joined by broadcast: there are at most HEAVY of them.
 HEAVY = 1000
-SALTS = 32
+#: Rows of a group that are ranked in one piece.
+PIECE = 10_000
+#: Propagation has settled when a round moves fewer than one row in so many.
+SETTLED = 2_000
 
 
 def _join_groups(rows: DataFrame, per_group: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -35,59 +42,88 @@ def assign(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int =
     """(id, shard) for nodes (id), counts at most one apart, from links members (id, group).
 
     Repeated ids in nodes are rows of their own that share a fate only by chance; members must
-    name each id once. Ids without a group, or alone in it, have no links and fill up.
+    name each id once. Ids without a group, or alone in it, have no links and make room for others.
     """
-    state = rank_within(nodes.select("id"), [], ["id"], "r", SALTS).select("id", F.pmod("r", F.lit(shards)).cast("int").alias("shard"))
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    sizes = stash(sizes, "groups")
+    spark = nodes.sparkSession
+    state = rank_within(nodes.select("id"), [], ["id"], "r").select("id", F.pmod("r", F.lit(shards)).cast("int").alias("shard"))
+    sizes = stash(members.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "groups")
     n = nodes.count()
     heavy = stash(sizes.where(F.col("size") * HEAVY > n).select("group"), "heavy")
-    linked = _join_groups(members.where("group is not null"), sizes, heavy).where("size > 1").select("id", "group")
+    linked = _join_groups(members.where("group is not null"), sizes, heavy).where("size > 1").select("id", "group", "size")
     state = stash(state.join(linked, "id", "left"), "shards")
-    room = max(1, n // shards)
+    full = max(1, int(FULL * (n // shards)))
     for _ in range(rounds):
         held = state.where("group is not null").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("c"))
         tally = held.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("tally"))  # at most `shards` entries
-        seen = stash(_join_groups(state.where("group is not null"), tally, heavy), "tally")
-        # The goal: the shard with most of the group that isn't full of it; ties by a hash that all members share.
+        seen = _join_groups(state.where("group is not null"), tally, heavy)
+        # The goal: of the shards that aren't full of the group, that with most of it; ties by a hash that all members share.
         order = F.array_sort(
             F.transform(
-                F.filter(F.map_entries("tally"), lambda e: (e["value"] < F.lit(int(FULL * room))) | (e["key"] == F.col("shard"))),
-                lambda e: F.struct((-F.when(e["value"] >= F.lit(int(FULL * room)), F.lit(room)).otherwise(e["value"])).alias("c"), F.xxhash64("group", e["key"]).alias("h"), e["key"].alias("k")),
+                F.filter(F.map_entries("tally"), lambda e: e["value"] < F.lit(full)),
+                lambda e: F.struct((-e["value"]).alias("c"), F.xxhash64("group", e["key"]).alias("h"), e["key"].alias("k")),
             )
         )
         here = F.element_at("tally", F.col("shard"))
-        goal = F.when(here >= F.lit(int(FULL * room)), F.col("shard")).otherwise(F.get(order, 0)["k"])
-        wishes = seen.select("id", "group", "shard", goal.alias("goal"))
-        free = state.where("group is null").select("id", "group", "shard", F.lit(-1).alias("goal"))
-        movers = wishes.where("goal <> shard").unionByName(free)
-        ranked = stash(rank_within(movers, ["shard", "goal"], ["group", "id"], "rank", SALTS), "movers")
-        counts = {(r["shard"], r["goal"]): r["n"] for r in ranked.groupBy("shard", "goal").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards
+        best = F.get(order, 0)
+        goal = F.when((here >= F.lit(full)) | best.isNull(), F.col("shard")).otherwise(best["k"])
+        asked = seen.select("id", "group", "size", "shard", here.alias("here"), goal.alias("goal"), (-best["c"] - here + 1).alias("gain"))
+        # Links won by a wish; links lost by a row that leaves, which is what it has in its shard.
+        step = lambda x: F.when(x > 0, F.floor(F.log2(x.cast("double"))).cast("int") + 1).otherwise(F.lit(0))
+        wishes = asked.where("goal <> shard and gain > 0").select("id", "group", "size", "shard", "goal", step(F.col("gain")).alias("step"))
+        rest = asked.where("not (goal <> shard and gain > 0)").select("id", "group", "size", "shard", F.lit(-1).alias("goal"), step(F.col("here") - 1).alias("step"))
+        free = state.where("group is null").select("id", "group", "size", "shard", F.lit(-1).alias("goal"), F.lit(0).alias("step"))
+        # Members of a group are ranked side by side, so that what must leave leaves together.
+        piece = F.xxhash64("group", F.pmod("id", F.ceil(F.coalesce("size", F.lit(1)) / PIECE)), F.when(F.col("group").isNull(), F.col("id")))
+        movers = stash(wishes.unionByName(rest).unionByName(free).withColumn("piece", piece), "wishes")
+        ranked = stash(rank_within(movers, ["shard", "goal", "step"], ["group", "id"], "rank", salt=F.col("piece")), "movers")
+        counts = {(r["shard"], r["goal"], r["step"]): r["n"] for r in ranked.groupBy("shard", "goal", "step").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards x 64 at most
         plan = _plan(counts, shards)
         if not plan:
             break
-        moves = F.broadcast(state.sparkSession.createDataFrame(plan, "shard int, goal int, lo long, hi long, to int"))
-        moved = ranked.join(moves, ["shard", "goal"]).where("rank >= lo and rank < hi").select("id", "to")
-        state = stash(state.join(moved, "id", "left").select("id", "group", F.coalesce("to", "shard").alias("shard")), "shards")
+        moves = F.broadcast(spark.createDataFrame(plan, "shard int, goal int, step int, lo long, hi long, to int"))
+        moved = ranked.join(moves, ["shard", "goal", "step"]).where("rank >= lo and rank < hi").select("id", "to")
+        state = stash(state.join(moved, "id", "left").select("id", "group", "size", F.coalesce("to", "shard").alias("shard")), "shards")
+        if sum(hi - lo for *_, lo, hi, _ in plan) * SETTLED < n:
+            break
     return state.select("id", "shard")
 
 
-def _plan(counts: dict[tuple[int, int], int], shards: int) -> list[tuple[int, int, int, int, int]]:
-    """Ranks [lo, hi) of movers (shard, goal) that go `to` another shard, in equal numbers both ways between any two."""
-    out = []
-    for b in range(shards):
-        spare = counts.get((b, -1), 0)
-        want = {a: max(0, counts.get((a, b), 0) - counts.get((b, a), 0)) for a in range(shards) if a != b}
-        total, at = sum(want.values()), 0
-        for a, w in want.items():
-            both = min(counts.get((a, b), 0), counts.get((b, a), 0))
-            given = w if total <= spare else spare * w // max(1, total)
-            if both + given:
-                out.append((a, b, 0, both + given, b))
-            if given:
-                out.append((b, -1, at, at + given, a))
-                at += given
-    return out
+def _plan(counts: dict[tuple[int, int, int], int], shards: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Ranks [lo, hi) of rows (shard, goal or -1, step) that go `to` another shard, in equal numbers both ways between any two.
+
+    A wish of step g gains at least 2^(g-1) links; a row of step c that leaves for it loses less than 2^c.
+    """
+    used: dict[tuple[int, int, int], int] = defaultdict(int)
+    plan = []
+
+    def take(key: tuple[int, int, int], n: int, to: int) -> None:
+        if n:
+            plan.append((*key, used[key], used[key] + n, to))
+            used[key] += n
+
+    def left(key: tuple[int, int, int]) -> int:
+        return counts.get(key, 0) - used[key]
+
+    steps = range(64)
+    for a in range(shards):
+        for b in range(a):  # wishes that meet
+            both = min(sum(counts.get((x, y, g), 0) for g in steps) for x, y in ((a, b), (b, a)))
+            for x, y in ((a, b), (b, a)):
+                due = both
+                for g in reversed(steps):
+                    n = min(due, left((x, y, g)))
+                    take((x, y, g), n, y)
+                    due -= n
+    for g in reversed(steps):
+        for c in range(g):
+            for b in range(shards):
+                wanting = [(a, left((a, b, g))) for a in range(shards) if left((a, b, g))]
+                spare, due = left((b, -1, c)), sum(n for _, n in wanting)
+                for a, n in wanting:
+                    n = min(left((b, -1, c)), n if due <= spare else -(-n * spare // due))
+                    take((a, b, g), n, b)
+                    take((b, -1, c), n, a)
+    return plan
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
@@ -99,7 +135,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """
     body = F.coalesce("text", F.lit(""))
     facts = docs.select("doc_id", (F.octet_length(body) + 1).cast("long").alias("size"), F.crc32(body).alias("text_crc32"), F.when(F.col("text").isNotNull(), F.md5("text")).alias("group"))
-    rows = stash(rank_within(stash(facts, "facts"), [], ["doc_id", "group"], "id", SALTS), "rows")
+    rows = stash(rank_within(stash(facts, "facts"), [], ["doc_id", "group"], "id"), "rows")
     placed = assign(rows.select("id"), rows.select("id", "group").where("group is not null"), shards)
     full = rows.join(placed, "id").select("doc_id", "size", "text_crc32", "shard", "id")
-    return rank_within(stash(full, "placed"), ["shard"], ["id"], "slot", SALTS).drop("id")
+    return rank_within(stash(full, "placed"), ["shard"], ["id"], "slot").drop("id")
