@@ -18,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, shuffle_partitions
-from .tokens import encoder
+from .common import NULL_ID, range_bucket, range_splits, shuffle_partitions
+from .tokens import encoder, with_end
 
 #: Fixed values of the format: (ids in a word, bits of each) by selector 0 to 14; 15 is the escape.
 SELECTORS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
 ESCAPE = 15
 #: Ids per block; a chunk is closed once it has so many ids.
-BLOCK, CHUNK_IDS = 1024, 1 << 16
+BLOCK, CHUNK_IDS = 1024, 1 << 18
 SCHEMA = "first_doc long, n_ids long, doc_ids array<long>, lengths array<int>, block_offsets binary, words binary"
 
 
@@ -41,33 +41,49 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(words), np.concatenate(offsets).astype(np.uint32)) if words else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
 
 
+#: Blocks lie so far apart in work arrays: by the most ids a word can hold, so that a block's last word reads past its ids.
+APART = BLOCK + SELECTORS[0][0]
+
+
+def _selectors(ids: np.ndarray) -> np.ndarray:
+    """The selector of the word that would begin at each id (blocks APART apart, zeros between): the one that takes most ids."""
+    selector = np.full(len(ids), ESCAPE, dtype=np.int8)
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.int8)  # bits that an id needs; exact wherever it matters, up to 30
+    for s in range(len(SELECTORS) - 1, -1, -1):
+        count, bits = SELECTORS[s]
+        fits, have = width <= bits, 1
+        while have < count:  # fits[i]: `have` ids from i on are narrow enough
+            step = min(have, count - have)
+            fits, have = fits[:-step] & fits[step:], have + step
+        np.putmask(selector[: len(fits)], fits, s)
+    return selector
+
+
 def _encode_some(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
+    blocks = -(-n // BLOCK)
+    apart = np.zeros((blocks, APART), dtype=np.uint64)
+    filled = np.zeros(blocks * BLOCK, dtype=np.uint64)
+    filled[:n] = ids
+    apart[:, :BLOCK] = filled.reshape(-1, BLOCK)
+    flat = apart.ravel()
     here = np.arange(n, dtype=np.int32)
-    block_end = np.minimum((here // BLOCK + 1) * BLOCK, n)
-    left = block_end - here
-    selector = np.full(n, ESCAPE, dtype=np.int32)
-    width = np.frexp(ids.astype(np.float64))[1]  # bits that an id needs; exact wherever it matters, up to 30
-    for s in range(len(SELECTORS) - 1, -1, -1):
-        count, bits = SELECTORS[s]
-        first = np.minimum.accumulate(np.where(width > bits, here, np.int32(n))[::-1])[::-1]  # the next id too wide
-        selector[first - here >= np.minimum(count, left)] = s
-    step = np.minimum(here + np.append([c for c, _ in SELECTORS], 1)[selector], block_end).tolist()
-    starts, i = [], 0
-    while i < n:
-        starts.append(i)
-        i = step[i]
-    starts = np.asarray(starts, dtype=np.int64)
+    block_end = np.minimum((here // BLOCK + 1) * BLOCK, n).astype(np.int32)
+    selector = _selectors(flat).reshape(-1, APART)[:, :BLOCK].ravel()[:n]
+    after = np.minimum(here + np.append([c for c, _ in SELECTORS], 1).astype(np.int32)[selector], block_end)
+    # All blocks step from word to word at once; a block that is through stands still at its end.
+    at, ends, begins = here[::BLOCK].copy(), block_end[::BLOCK], np.zeros(n + 1, dtype=bool)
+    while len(at):
+        begins[at] = True
+        at = after[at]
+        go = at < ends
+        at, ends = at[go], ends[go]
+    starts = np.flatnonzero(begins)
     chosen = selector[starts]
     extra = np.cumsum(chosen == ESCAPE)
     place = np.arange(len(starts)) + extra - (chosen == ESCAPE)
     out = np.zeros(len(starts) + int(extra[-1]), dtype=np.uint64)
-    # Blocks apart by the most ids a word can hold, so a word's last ids past its block read zeros.
-    apart = np.zeros((-(-n // BLOCK), BLOCK + SELECTORS[0][0]), dtype=np.uint64)
-    filled = np.zeros(len(apart) * BLOCK, dtype=np.uint64)
-    filled[:n] = ids
-    apart[:, :BLOCK] = filled.reshape(-1, BLOCK)
-    flat, base = apart.ravel(), starts + starts // BLOCK * SELECTORS[0][0]
+    base = starts + starts // BLOCK * (APART - BLOCK)
     for s, (count, bits) in enumerate(SELECTORS):
         at = np.flatnonzero(chosen == s)
         if not len(at):
@@ -84,10 +100,9 @@ def _encode_some(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     """The n ids of words whose blocks begin at offsets."""
-    out = np.zeros(n, dtype=np.uint64)
     if n == 0:
-        return out
-    selector = (words >> np.uint64(60)).astype(np.int64)
+        return np.zeros(0, dtype=np.uint64)
+    selector = (words >> np.uint64(60)).astype(np.int8)
     raw = np.zeros(len(words), dtype=bool)
     for i in np.flatnonzero(selector == ESCAPE):
         if not raw[i]:
@@ -95,18 +110,20 @@ def decode(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     counts = np.append([c for c, _ in SELECTORS], 1)[selector]
     counts[raw] = 0
     ends = np.cumsum(counts)
-    block = np.searchsorted(offsets, np.arange(len(words)), side="right") - 1
-    base = (ends - counts)[offsets.astype(np.int64)]
-    at = ends - counts - base[block] + block * BLOCK
-    stop = np.minimum((block + 1) * BLOCK, n)
+    offsets = offsets.astype(np.int64)
+    words_in = np.diff(np.append(offsets, len(words)))
+    # What a block's last word holds beyond its ids falls between the blocks.
+    at = ends - counts - np.repeat((ends - counts)[offsets] - np.arange(len(offsets)) * APART, words_in)
+    out = np.zeros(len(offsets) * APART, dtype=np.uint64)
     for s, (count, bits) in enumerate(SELECTORS):
-        mine = np.flatnonzero((selector == s) & ~raw)
-        for j in range(count if bits else 0):
-            keep = mine[at[mine] + j < stop[mine]]
-            out[at[keep] + j] = (words[keep] >> np.uint64(j * bits)) & np.uint64((1 << bits) - 1)
+        mine = np.flatnonzero((selector == s) & ~raw) if bits else ()
+        if len(mine):
+            place, own = at[mine], words[mine]
+            for j in range(count):
+                out[place + j] = (own >> np.uint64(j * bits)) & np.uint64((1 << bits) - 1)
     esc = np.flatnonzero((selector == ESCAPE) & ~raw)
     out[at[esc]] = words[esc + 1]
-    return out
+    return out.reshape(-1, APART)[:, :BLOCK].ravel()[:n]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None) -> None:
@@ -117,32 +134,34 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, docs_held, ids_held, held = encoder(tokenizer), [], [], 0
-        end = np.zeros(0 if end_id is None else 1, dtype=np.uint32) + np.uint32(end_id or 0)
+        enc = encoder(tokenizer)
+        docs, ids, sizes = np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int64)
         for batch in batches:
-            doc = batch.column("doc_id").to_pylist()
-            i = 0
-            for ids, bounds in enc.encode(batch.column("text")):
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    docs_held.append(doc[i])
-                    ids_held.append(np.concatenate((ids[a:b], end)))
-                    held += len(ids_held[-1])
-                    i += 1
-                    if held >= CHUNK_IDS:
-                        yield chunk(docs_held, ids_held)
-                        docs_held, ids_held, held = [], [], 0
-        if docs_held:
-            yield chunk(docs_held, ids_held)
+            names, first = batch.column("doc_id").to_numpy(), 0
+            for own, bounds in enc.encode(batch.column("text")):
+                own, bounds = with_end(own, bounds, end_id)
+                docs, first = np.concatenate((docs, names[first : first + len(bounds) - 1])), first + len(bounds) - 1
+                ids, sizes = np.concatenate((ids, own)), np.concatenate((sizes, np.diff(bounds)))
+                ends, done = np.cumsum(sizes), 0
+                while len(ends) and ends[-1] - (base := ends[done - 1] if done else 0) >= CHUNK_IDS:
+                    upto = int(np.searchsorted(ends, base + CHUNK_IDS)) + 1
+                    yield chunk(docs[done:upto], ids[base : ends[upto - 1]], sizes[done:upto])
+                    done = upto
+                docs, ids, sizes = docs[done:], ids[ends[done - 1] if done else 0 :], sizes[done:]
+        if len(docs):
+            yield chunk(docs, ids, sizes)
 
     n = shuffle_partitions(docs.sparkSession)
     rows = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text")
-    rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    # Ranges come from the ids alone: ranging by Spark's own sample would read all texts once more.
+    ranged = rows.repartitionById(n, range_bucket(F.col("doc_id"), range_splits(rows.select("doc_id"), "doc_id", n)))
+    ranged.sortWithinPartitions("doc_id").mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
 
 
-def chunk(docs: list[int], ids: list[np.ndarray]) -> pa.RecordBatch:
-    flat = np.concatenate(ids)
-    words, offsets = encode(flat)
-    columns = [[docs[0]], [len(flat)], [docs], [[len(x) for x in ids]], [offsets.astype("<u4").tobytes()], [words.astype("<u8").tobytes()]]
+def chunk(docs: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """The row of a chunk: documents with their ids in a row and how many each has."""
+    words, offsets = encode(ids)
+    columns = [[int(docs[0])], [len(ids)], [docs], [sizes], [offsets.astype("<u4").tobytes()], [words.astype("<u8").tobytes()]]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
