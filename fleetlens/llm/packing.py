@@ -13,35 +13,32 @@ import heapq
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import rank_within, stash
-from .tokens import encoder
+from .tokens import encoder, with_end
 
 CAPACITY = 2048
-#: Parts into which each length's pieces are split for ranking.
-RANK_SALTS = 64
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int | None = 0, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, copy, piece, start, length, ids_crc32): each document's ids, cut into capacity-token pieces if longer.
+    """(doc_id, piece, start, length, ids_crc32): each document's ids, cut into capacity-token pieces if longer.
 
-    Null text counts as empty: end_id alone, or no piece if there is none. copy tells apart rows
-    that repeat a doc_id (a hash of where the row stood; only its being different matters).
+    Null text counts as empty: end_id alone, or no piece if there is none. Rows that repeat a
+    doc_id are documents of their own, with pieces of the same names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.zeros(0 if end_id is None else 1, dtype=np.uint32) + np.uint32(end_id or 0)
         for batch in batches:
             doc, i, rows = batch.column("doc_id").to_pylist(), 0, []
             for ids, bounds in enc.encode(batch.column("text")):
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = np.concatenate((ids[a:b], end)).astype("<u4")
-                    rows.extend((doc[i], k // capacity, k, min(capacity, len(own) - k), zlib.crc32(own[k : k + capacity].tobytes())) for k in range(0, len(own), capacity))
+                ids, bounds = with_end(ids, bounds, end_id)
+                raw, ends = memoryview(ids.astype("<u4").tobytes()), bounds.tolist()
+                for a, b in zip(ends[:-1], ends[1:], strict=True):
+                    rows.extend((doc[i], (k - a) // capacity, k - a, min(capacity, b - k), zlib.crc32(raw[4 * k : 4 * min(b, k + capacity)])) for k in range(a, b, capacity))
                     i += 1
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * 5
@@ -108,7 +105,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     rows = rows.where("length > 0")
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = spark.createDataFrame(plan(counts, capacity) or [(0, 0, 0, 0, 1, 0)], "length long, __rank long, __n long, __first long, __per long, __offset long")
-    ranked = rank_within(rows, ["length"], ["doc_id", "piece"], "__k", RANK_SALTS)
+    ranked = rank_within(rows, ["length"], ["doc_id", "piece"], "__k")
     within = F.col("__k") - F.col("__rank")
     # The plan follows from at most capacity counts, so its size is bounded by the capacity, not by the corpus.
     held = ranked.join(F.broadcast(slots), "length").where((within >= 0) & (within < F.col("__n")))
