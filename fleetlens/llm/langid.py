@@ -21,29 +21,31 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import map_texts, stash, text_verdict
 
-#: Bits of a codeword, hashed features, bytes per n-gram, and the gap of losses below which a text is ambiguous.
+#: Least bits of a codeword beyond five languages, hashed features, bytes per n-gram, and the gap of losses below which a text is ambiguous.
 BITS, SPACE, GRAM, AMBIGUOUS = 15, 1 << 15, 3, 0.02
+#: A text whose margins reach less than this share of what its language's own n-grams give is in none of the languages.
+FOREIGN = 0.2
 #: Languages a model can tell apart.
-MAX_LANGS = 512
+MAX_LANGS = 128
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
-_SLICE = 4_000_000
+_SLICE = 1_000_000
 
 
 def codewords(langs: list[str], bits: int = BITS) -> np.ndarray:
     """A (languages x bits) matrix of +1 and -1, rows far apart.
 
-    Few languages (up to 5): all distinct non-trivial splits (the exhaustive code), repeated
-    to fill. More: seeded random words, redrawn in favour of the largest least distance.
+    Few languages (up to 5): all distinct non-trivial splits, each once (the exhaustive code:
+    1, 3, 7 or 15 bits for 2 to 5 languages). More: seeded random words, redrawn in favour of the largest least distance.
     """
     n = len(langs)
     if n < 2:
         return np.ones((n, bits), dtype=np.int8)
     if n <= 5:
         splits = [np.array((1, *x), dtype=np.int8) for x in itertools.product((1, -1), repeat=n - 1) if -1 in x]
-        return np.stack([splits[i % len(splits)] for i in range(max(bits, len(splits)))], axis=1)[:, : max(bits, len(splits))]
+        return np.stack(splits, axis=1)
     rng, best, width = np.random.default_rng(7), None, max(bits, int(np.ceil(3 * np.log2(n))))
     for _ in range(200):
         code = rng.choice(np.array([1, -1], dtype=np.int8), size=(n, width))
@@ -88,12 +90,13 @@ def has_letter(text: object) -> bool:
 
 @dataclass(frozen=True)
 class Model:
-    """langs; codes (langs x bits); table (features x bits) of log-odds; weights and scales of the bits."""
+    """langs; codes (langs x bits); table (features x bits) of log-odds; weights of the bits; each language's own mean margins (langs x bits)."""
 
     langs: list[str]
     codes: np.ndarray
     table: np.ndarray
     weight: np.ndarray
+    own: np.ndarray
     space: int
 
     def margins(self, texts: list[str]) -> np.ndarray:
@@ -106,6 +109,11 @@ class Model:
             out[i] = counts.astype(np.float32) @ self.table / (hi - lo) if counts is not None else self.table[h[lo:hi]].mean(axis=0)
         return out
 
+    def reach(self, margins: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Share of the margins that text of the chosen language has on average; about 1 for such text, about 0 for other text."""
+        code, own = self.codes[best], self.own[best]
+        return (margins * code * self.weight).sum(axis=1) / np.maximum((own * code * self.weight).sum(axis=1), 1e-9)
+
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of the nearest codeword, score 0 to 1, gap of losses to the second)."""
         agree = np.einsum("tb,lb->tlb", margins, self.codes)
@@ -121,7 +129,7 @@ def train(docs: DataFrame, bits: int = BITS, space: int = SPACE) -> Model:
     """Fit on all rows of docs (text, lang) with a language and a letter.
 
     Executors count n-grams per language; what reaches the driver is at most languages x space
-    sums. Without labelled rows the model knows no language. More than MAX_LANGS languages: an error.
+    sums, as Arrow columns. Without labelled rows the model knows no language. More than MAX_LANGS languages: an error.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,26 +145,26 @@ def train(docs: DataFrame, bits: int = BITS, space: int = SPACE) -> Model:
             yield pd.DataFrame({"lang": lang, "feature": at.astype("int32"), "n": sums[at]})
 
     rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    counts = rows.mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    langs_only = counts.groupBy("lang").agg(F.collect_list(F.struct("feature", "n")).alias("c"))
-    found = {r["lang"]: r["c"] for r in langs_only.limit(MAX_LANGS + 1).collect()}
+    counts = stash(rows.mapInPandas(count, "lang string, feature int, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")), "grams")
+    found = counts.select("lang").distinct().limit(MAX_LANGS + 1).collect()
     if len(found) > MAX_LANGS:
         raise ValueError(f"more than {MAX_LANGS} languages")
-    langs = sorted(found)
+    langs = sorted(r["lang"] for r in found)
     n = np.zeros((len(langs), space))
-    for i, lang in enumerate(langs):
-        for feature, k in found[lang]:
-            n[i, feature] = k
+    for part in counts.toArrow().to_batches():
+        names = part.column("lang").dictionary_encode()
+        row = np.array([langs.index(x) for x in names.dictionary.to_pylist()], dtype=np.int64)[names.indices.to_numpy()]
+        n[row, part.column("feature").to_numpy()] = part.column("n").to_numpy()
     codes = codewords(langs, bits)
     p = (n + 0.5) / (n.sum(axis=1, keepdims=True) + 0.5 * space) if langs else n
     table = np.zeros((space, codes.shape[1]), dtype=np.float32)
-    weight = np.zeros(codes.shape[1])
+    weight, own = np.zeros(codes.shape[1]), np.zeros(codes.shape)
     for b in range(codes.shape[1] if len(langs) > 1 else 0):
         one, two = p[codes[:, b] == 1].mean(axis=0), p[codes[:, b] == -1].mean(axis=0)
         table[:, b] = np.log(one / two)
-        mean = p @ table[:, b]  # of each language's own n-grams
-        weight[b] = max(1e-6, (mean * codes[:, b]).min())
-    return Model(langs, codes, table, weight / max(weight.sum(), 1e-9), space)
+        own[:, b] = p @ table[:, b]  # of each language's own n-grams
+        weight[b] = max(1e-6, (own[:, b] * codes[:, b]).min())
+    return Model(langs, codes, table, weight / max(weight.sum(), 1e-9), own, space)
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
@@ -172,16 +180,24 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
     def work(texts: list[str | None]) -> list[tuple]:
         m = shared.value
         rows: list[tuple] = [(UNKNOWN, 0.0, False)] * len(texts)
-        real = [i for i, t in enumerate(texts) if m.langs and has_letter(t)]
-        for part in in_slices([texts[i] for i in real]):
-            at = [real[j] for j in part]
-            for i, b, s, g in zip(at, *m.decode(m.margins([texts[i] for i in at])), strict=True):
-                rows[i] = (m.langs[b], float(s), bool(g < AMBIGUOUS))
+        for i, best, score, gap, reach in _decoded(m, texts):
+            rows[i] = (m.langs[best], float(score), bool(gap < AMBIGUOUS or reach < FOREIGN))
         return rows
 
     return map_texts(docs, carried, fields, lambda: work)
 
 
+def _decoded(model: Model, texts: list[str | None]) -> Iterator[tuple]:
+    """(index, language number, score, gap of losses, reach) of each text with a letter, if the model knows a language; with a single one, reach is 1."""
+    real = [i for i, t in enumerate(texts) if model.langs and has_letter(t)]
+    for part in in_slices([texts[i] for i in real]):
+        at = [real[j] for j in part]
+        margins = model.margins([texts[i] for i in at])
+        best, score, gap = model.decode(margins)
+        reach = model.reach(margins, best) if len(model.langs) > 1 else np.ones(len(at))
+        yield from zip(at, best, score, gap, reach, strict=True)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether a document is kept out of training: crc32 of its id's text modulo 4 is 2 (null id: no)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
@@ -193,5 +209,19 @@ def learned(docs: DataFrame) -> Model:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose text has no language (`und`); columns as they were."""
-    return identify(docs, learned(docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    """docs without the rows whose text has no letter or, as decoded, is in none of the languages that docs' labels teach; columns as they were.
+
+    Ambiguity between two known languages keeps a text. Without a language to learn, all texts with a letter stay. Only text goes to Python.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(learned(docs))
+
+    def keeps(texts: list[str | None]) -> list[bool]:
+        m = shared.value
+        if not m.langs:
+            return [has_letter(t) for t in texts]
+        out = [False] * len(texts)
+        for i, _, _, _, reach in _decoded(m, texts):
+            out[i] = bool(reach >= FOREIGN)
+        return out
+
+    return docs.where(text_verdict(lambda: keeps)(docs["text"]))

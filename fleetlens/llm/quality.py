@@ -11,7 +11,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import map_texts, text_verdict
 
 #: zstandard level and bytes per chunk.
 LEVEL, CHUNK = 3, 4096
@@ -91,23 +91,28 @@ def judge(docs: DataFrame, carry: list[str] | None = None, level: int = LEVEL, c
     """
     facts = [f[0] for f in FIELDS]
     carried = [c for c in (docs.columns if carry is None else carry) if c not in facts]
+    return map_texts(docs, carried, FIELDS, lambda: _judging(level, chunk))
 
-    def setup():
-        packer = zstandard.ZstdCompressor(level=level)
 
-        def row(text: str | None) -> tuple:
-            text = text or ""
-            data = text.encode("utf-8", "surrogatepass")
-            n, chars, symbols, dups, repeats = base_counts(text, data, data.split())
-            failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
-            ratio, bad, chunks, verdict = compression(data, packer, chunk)
-            return n, chars, symbols, dups, repeats, failed, ratio, bad, chunks, verdict, not failed and verdict == "ok"
+def _judging(level: int, chunk: int):
+    packer = zstandard.ZstdCompressor(level=level)
+
+    def row(text: str | None) -> tuple:
+        text = text or ""
+        data = text.encode("utf-8", "surrogatepass")
+        n, chars, symbols, dups, repeats = base_counts(text, data, data.split())
+        failed = n < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * n
+        ratio, bad, chunks, verdict = compression(data, packer, chunk)
+        return n, chars, symbols, dups, repeats, failed, ratio, bad, chunks, verdict, not failed and verdict == "ok"
 
-        return lambda texts: list(map(row, texts))
+    return lambda texts: list(map(row, texts))
 
-    return map_texts(docs, carried, FIELDS, setup)
 
+def keep_good(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK) -> DataFrame:
+    """The rows of docs that judge() keeps, with their own columns; only the text goes to Python."""
+
+    def setup():
+        judging = _judging(level, chunk)
+        return lambda texts: [r[-1] for r in judging(texts)]
 
-def keep_good(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs that judge() keeps, with their own columns."""
-    return judge(docs, **how).where("kept").select(*docs.columns)
+    return docs.where(text_verdict(setup)(docs["text"]))
