@@ -9,6 +9,9 @@ scores then show where a document offends.
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,47 +33,71 @@ STEPS, RATE, L1, L2 = 100, 0.15, 2e-4, 1e-6
 STEMS, STEM_MARK = (4, 5, 6), "^"
 
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+(?:['’\-][\p{L}\p{M}\p{N}]+)*")
-SENTENCE = regex.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$")
+#: The same on ASCII text.
+ASCII_WORD = re.compile(r"[A-Za-z0-9]+(?:['\-][A-Za-z0-9]+)*")
+SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]+|[^.!?\n]+$")
+#: Words whose marks a worker remembers.
+MEMO_WORDS = 500_000
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence; together they cover the text. Ends: runs of . ! ? and line ends."""
-    return [m.span() for m in SENTENCE.finditer(text)]
+def sentences(text: str) -> list[str]:
+    """The sentences of a text; in a row they are the text. Ends: runs of . ! ? and line ends."""
+    return SENTENCE.findall(text)
+
+
+def words_of(text: str) -> list[str]:
+    return (ASCII_WORD if text.isascii() else WORD).findall(text)
+
+
+def marks_of(word: str) -> list[str]:
+    """A word's features: its lower case and, marked, the beginnings of a longer one."""
+    low = word.lower()
+    return [low, *(STEM_MARK + low[:n] for n in STEMS if len(low) > n)]
+
+
+class _Weighted(dict):
+    """word -> its marks that have a weight, as (mark, weight)."""
+
+    def __init__(self, weights: dict[str, float]) -> None:
+        self.weights = weights
+
+    def __missing__(self, word: str) -> tuple:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = found = tuple((m, self.weights[m]) for m in marks_of(word) if m in self.weights)
+        return found
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights of words and of beginnings of longer words, and the bias of a sentence."""
+    """Weights of the marks of words, and the bias of a sentence."""
 
     weights: dict[str, float]
-    stems: dict[str, float]
     bias: float
 
-    def sentence_scores(self, text: str) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of each sentence that has a weighted word; the others have the bias alone."""
-        spans, found, k = sentences(text), {}, 0
-        get, stem = self.weights.get, self.stems.get
-        for m in WORD.finditer(text.lower() if len(text.lower()) == len(text) else text):
-            word = m.group()
-            w = get(word, 0.0)
-            for n in STEMS:
-                if len(word) > n:
-                    w += stem(word[:n], 0.0)
-            if w:
-                while k < len(spans) and spans[k][1] <= m.start():
-                    k += 1
-                found[k] = found.get(k, 0.0) + w
-        return [(*spans[k], _sigmoid(self.bias + w)) for k, w in found.items()]
-
-    def score(self, text: str) -> float:
-        """Noisy-or over the sentences; a text without words has the bias's share of one sentence."""
-        hits = self.sentence_scores(text)
-        calm = np.log1p(-_sigmoid(self.bias)) * max(1, text.count(".") + text.count("\n") - len(hits))
-        return float(1 - np.exp(calm + sum(np.log1p(-min(p, 1 - 1e-9)) for *_, p in hits)))
+    def scorer(self):
+        """The function from a text to (score, [(start, end, probability) of each sentence with a weighted mark]).
+
+        As in fit(), a mark counts once a sentence, and all other sentences have the bias alone;
+        a text without sentences counts as one. The score is the noisy-or over the sentences.
+        """
+        weighted, calm = _Weighted(self.weights), math.log1p(-_sigmoid(self.bias))
+
+        def score(text: str) -> tuple[float, list[tuple[int, int, float]]]:
+            at, hits, spans = 0, [], sentences(text)
+            find = ASCII_WORD.findall if text.isascii() else WORD.findall
+            for s in spans:
+                if found := {m for w in find(s) for m in weighted[w]}:
+                    hits.append((at, at + len(s), _sigmoid(self.bias + math.fsum(w for _, w in found))))
+                at += len(s)
+            log = calm * (max(1, len(spans)) - len(hits)) + math.fsum(math.log1p(-min(p, 1 - 1e-9)) for *_, p in hits)
+            return -math.expm1(log), hits
+
+        return score
 
 
 def _sigmoid(x: float) -> float:
-    return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+    return 1 / (1 + math.exp(-min(30.0, max(-30.0, x))))
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -78,30 +105,26 @@ def fit(texts: list[str], labels: list[int]) -> Model:
 
     Documents without both labels: a model that scores everything near the labels' mean.
     """
-    from collections import Counter
-
     y = np.asarray(labels, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-        return Model({}, {}, float(np.log(p / (1 - p))))
-    marks = lambda words: {*words, *(STEM_MARK + w[:n] for w in words for n in STEMS if len(w) > n)}
-    docs = [[marks(WORD.findall(t[a:b].lower())) for a, b in sentences(t)] for t in texts]
+        return Model({}, float(np.log(p / (1 - p))))
     df, df1 = Counter(), Counter()
-    for d, label in zip(docs, labels, strict=True):
-        seen = {w for s in d for w in s}
+    for t, label in zip(texts, labels, strict=True):
+        seen = {m for w in set(words_of(t)) for m in marks_of(w)}
         df.update(seen)
         if label:
             df1.update(seen)
     vocab = _telling(df, df1, len(y), int(y.sum()))
+    del df, df1
     cols, rows, sent_doc, s = [], [], [], 0
-    for k, d in enumerate(docs):
-        for words in d or [[]]:
-            ids = {vocab[w] for w in words if w in vocab}
+    for k, t in enumerate(texts):
+        for sentence in sentences(t) or [""]:
+            ids = sorted({vocab[m] for w in words_of(sentence) for m in marks_of(w) if m in vocab})
             cols.extend(ids)
             rows.extend([s] * len(ids))
             sent_doc.append(k)
             s += 1
-    del docs
     cols, rows, sent_doc = np.asarray(cols, dtype=np.int64), np.asarray(rows, dtype=np.int64), np.asarray(sent_doc, dtype=np.int64)
     w, bias = np.zeros(len(vocab)), -6.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
@@ -121,9 +144,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         w = w - scale * m / a
         w = np.sign(w) * np.maximum(np.abs(w) - scale * L1, 0)
         bias -= RATE * (mb / a) / (np.sqrt(vb / c) + 1e-5)
-    strong = {x: float(w[i]) for x, i in vocab.items() if abs(w[i]) > 1e-3}
-    stems = {x[1:]: strong.pop(x) for x in list(strong) if x[0] == STEM_MARK}
-    return Model(strong, stems, float(bias))
+    return Model({x: float(w[i]) for x, i in vocab.items() if abs(w[i]) > 1e-3}, float(bias))
 
 
 def _telling(df: dict[str, int], df1: dict[str, int], n: int, n1: int) -> dict[str, int]:
@@ -167,11 +188,16 @@ def score(docs: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     carried = [c for c in (docs.columns if carry is None else carry) if c not in [f[0] for f in fields]]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(texts: list[str | None]) -> list[tuple]:
-        m = shared.value
-        return [(m.score(t or ""), [{"start": a, "end": b, "score": p} for a, b, p in m.sentence_scores(t or "") if p >= 0.5]) for t in texts]
+    def setup():
+        one = shared.value.scorer()
+
+        def work(texts: list[str | None]) -> list[tuple]:
+            made = [one(t or "") for t in texts]
+            return [(p, [{"start": a, "end": b, "score": q} for a, b, q in hits if q >= 0.5]) for p, hits in made]
+
+        return work
 
-    return map_texts(docs, carried, fields, lambda: work)
+    return map_texts(docs, carried, fields, setup)
 
 
 def held_out(doc_id: str = "doc_id"):
