@@ -21,11 +21,13 @@ from .common import stash
 
 #: (verdict, host, path) of the lists; a rule fits its host and all subdomains if the path starts with its own.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: The fit uses at most about this many labelled urls, chosen by a hash; suffix statistics use all of them.
+#: The fit uses at most about this many different labelled urls, chosen by a hash and weighed by their number of rows; suffix statistics use all rows.
 MAX_TRAIN = 20_000
 TREES, DEPTH, RATE, BINS, LEAST, RIDGE = 8, 3, 0.4, 16, 20, 1.0
 #: Slots of the hashed table of suffix statistics, and the weight of the overall rate in a slot's.
 SLOTS, PRIOR = 4096, 20.0
+#: A url that the trees learn from gets suffix rates of the other folds' urls, so that its own label isn't among its features.
+FOLDS = 4
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -92,12 +94,7 @@ class Model:
 
     def features(self, spark: SparkSession, rows: DataFrame) -> DataFrame:
         """rows (__url, host, path, ...) + a column f_<name> per feature."""
-        rows = rows.withColumns({f"f_{k}": v for k, v in lexical(F.col("__url"), F.col("host"), F.col("path")).items()})
-        for name, labels in SUFFIXES.items():
-            own = sorted((s, r) for (k, s), r in self.rates.items() if k == name)
-            table = spark.createDataFrame(own or [(-1, 0.0)], f"__slot int, f_{name} double")  # at most SLOTS rows
-            rows = rows.withColumn("__slot", slot(F.col("host"), labels)).join(F.broadcast(table), "__slot", "left").drop("__slot").fillna(self.overall, [f"f_{name}"])
-        return rows
+        return with_features(spark, rows, {(k, s, 0): r for (k, s), r in self.rates.items()}, self.overall, F.lit(0))
 
     def log_odds(self) -> Column:
         total = F.lit(self.base)
@@ -106,6 +103,20 @@ class Model:
         return total
 
 
+def with_features(spark: SparkSession, rows: DataFrame, rates: dict[tuple[str, int, int], float], overall: float, fold: Column) -> DataFrame:
+    """rows (__url, host, path, ...) + a column f_<name> per feature, with the suffix rates of each row's fold: at most FOLDS x SLOTS rows a suffix."""
+    rows = rows.withColumns({f"f_{k}": v for k, v in lexical(F.col("__url"), F.col("host"), F.col("path")).items()} | {"__fold": fold})
+    for name, labels in SUFFIXES.items():
+        own = sorted((s, f, r) for (k, s, f), r in rates.items() if k == name)
+        table = spark.createDataFrame(own or [(-1, 0, 0.0)], f"__slot int, __fold int, f_{name} double")
+        rows = rows.withColumn("__slot", slot(F.col("host"), labels)).join(F.broadcast(table), ["__slot", "__fold"], "left").drop("__slot").fillna(overall, [f"f_{name}"])
+    return rows.drop("__fold")
+
+
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 FEATURES = ["length", "host_length", "depth", "digits", "entropy", "parameters", "hyphens", "labels", "signs", "fragment", "secure", *SUFFIXES]
 
 
@@ -117,9 +128,9 @@ def _as_case(tree) -> Column:
 
 
 def _grow(rows: DataFrame, cuts: dict[str, list[float]], score: Column):
-    """One tree for rows with y and score: each level is one aggregation into (node, feature, bin) sums, at most 2^DEPTH x features x bins rows."""
+    """One tree for rows with y, weight n and score: each level is one aggregation into (node, feature, bin) sums, at most 2^DEPTH x features x bins rows."""
     p = 1 / (1 + F.exp(-score))
-    graded = rows.select(*[f"b_{k}" for k in cuts], (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
+    graded = rows.select(*[f"b_{k}" for k in cuts], (F.col("n") * (F.col("y") - p)).alias("g"), (F.col("n") * p * (1 - p)).alias("h"))
     tree: dict[int, tuple] = {1: ()}
     splits: dict[int, tuple[str, int]] = {}
     for level in range(DEPTH + 1):
@@ -169,23 +180,31 @@ def _descend(node: Column, splits: dict[int, tuple[str, int]]) -> Column:
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on rows (__url, host, path, y: 1 block, 0 allow). Without both labels: the overall rate alone."""
     spark = labelled.sparkSession
-    found = labelled.select("y", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), slot(F.col("host"), n).alias("s")) for k, n in SUFFIXES.items()])).alias("x"))
-    sums = found.groupBy("x.k", "x.s").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")).collect()  # at most 3 x SLOTS rows
+    found = labelled.select("y", "__url", fold_of(F.col("__url")).alias("fold"), F.explode(F.array(*[F.struct(F.lit(k).alias("k"), slot(F.col("host"), n).alias("s")) for k, n in SUFFIXES.items()])).alias("x"))
+    sums = found.groupBy("x.k", "x.s", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")).collect()  # at most 3 x SLOTS x FOLDS rows
     n, b = sum(r["n"] for r in sums if r["k"] == "tld"), sum(r["b"] for r in sums if r["k"] == "tld")
     overall = b / n if n else 0.0
-    rates = {(r["k"], r["s"]): (r["b"] + PRIOR * overall) / (r["n"] + PRIOR) for r in sums}
+    whole: dict[tuple[str, int], list[int]] = {}
+    for r in sums:
+        of = whole.setdefault((r["k"], r["s"]), [0, 0])
+        of[0], of[1] = of[0] + r["n"], of[1] + r["b"]
+    smooth = lambda count, blocked: (blocked + PRIOR * overall) / (count + PRIOR)
+    rates = {k: smooth(*v) for k, v in whole.items()}
+    apart = {(*k, f): smooth(*v) for k, v in whole.items() for f in range(FOLDS)}
+    apart |= {(r["k"], r["s"], r["fold"]): smooth(whole[r["k"], r["s"]][0] - r["n"], whole[r["k"], r["s"]][1] - r["b"]) for r in sums}
     base = math.log((b + 1) / (n - b + 1))
     model = Model(base, [], rates, overall)
     if not 0 < b < n:
         return model
-    keep = max(1, math.ceil(n / max_train))
-    sample = labelled.where(F.pmod(F.xxhash64("__url"), F.lit(keep)) == 0) if keep > 1 else labelled
-    rows = stash(model.features(spark, sample).select("y", *[f"f_{k}" for k in FEATURES]), "url-sample")
+    different = labelled.agg(F.approx_count_distinct("__url").alias("n")).head()["n"]
+    keep = max(1, math.ceil(different / max_train))
+    sample = labelled.where(F.pmod(F.xxhash64("__url"), F.lit(keep)) == 0).groupBy("__url", "host", "path", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    rows = stash(with_features(spark, sample, apart, overall, fold_of(F.col("__url"))).select("y", "n", *[f"f_{k}" for k in FEATURES]), "url-sample")
     at = [i / BINS for i in range(1, BINS)]
     ends = rows.agg(*[F.percentile_approx(f"f_{k}", at).alias(k) for k in FEATURES]).head()
     cuts = {k: sorted(set(ends[k] or [])) or [0.0] for k in FEATURES}
     binned = rows.select("*", *[sum(((F.col(f"f_{k}") > c).cast("int") for c in cuts[k]), F.lit(0)).alias(f"b_{k}") for k in FEATURES])
-    binned = stash(binned.coalesce(4), "url-bins")  # at most about MAX_TRAIN rows
+    binned = stash(binned.coalesce(4), "url-bins")  # about MAX_TRAIN rows at most
     trees: list = []
     for _ in range(TREES):
         trees.append(_grow(binned, cuts, Model(base, trees, rates, overall).log_odds()))
