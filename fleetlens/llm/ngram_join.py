@@ -3,13 +3,14 @@
 1. Equal texts count once. A text's set is the hashes of its shingles; its *prefix* is its
    n - ceil(3n/4) + 1 rarest (frequent shingles, found on a sample, sort last; the rest by hash), so two
    linked documents share a prefix shingle whatever the order was.
-2. Documents meet in the lists of their prefix shingles. First each is compared with its
-   list's first document only; the links found already join most copies.
-3. Lists whose documents are still in several classes are cut into tiles ordered by class. Within
-   a tile, in bands of size, parity bitmaps bound the overlap from above by bit counts: bits that
+2. Documents meet in the lists of their prefix shingles. First each is compared with the first
+   document of its size in the list only; the links found already join most copies.
+3. Lists whose documents are still in several classes are cut into bands of set size, such that partners
+   lie in the same band or the next, and each band into tiles, ordered by class. Within a tile and
+   between tiles of such bands, parity bitmaps bound the overlap from above by bit counts: bits that
    differ are shingles that differ, and J >= 3/4 allows (|A| + |B|) / 7 of those. Pairs that survive
-   and lie in different classes are settled by exact intersection. Comparing all of these makes the
-   classes exact; pairs inside a class could add nothing.
+   and lie in different classes are settled by intersecting the sorted arrays of their shingles.
+   Comparing all of these makes the classes exact; pairs inside a class could add nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, stash
+from .common import NULL_ID, range_bucket, stash
 
 #: Words in a shingle; two sets link if DEN * intersection >= NUM * union (the prefix and the bound on differing bits are for 3/4).
 SHINGLE, NUM, DEN = 5, 3, 4
@@ -32,8 +33,10 @@ SHINGLE, NUM, DEN = 5, 3, 4
 SAMPLE_RATE, LEAST_SEEN, MOST_FREQUENT = 40, 4, 200_000
 #: Documents in a tile; candidates a document keeps in the first of the two tiled rounds (the second keeps all).
 TILE, FIRST_CANDIDATES = 1024, 8
-#: Up to so many ids are broadcast to pick their documents; more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of a band of a list that one task orders; longer ones are ordered in parts.
+ORDERED = 1 << 16
+#: Up to so many ids (8 bytes each) are broadcast to pick their documents; more are joined by shuffle.
+BROADCAST_IDS = 500_000
 
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -66,6 +69,14 @@ def prefix(s: np.ndarray, frequent: np.ndarray, seen: np.ndarray) -> np.ndarray:
     return s[np.lexsort((s, rank))[:size]]
 
 
+def bands() -> list[int]:
+    """The least size of each band of set sizes after the first: partners of a size in one band lie in it, the next or the one before."""
+    edges = [1]
+    while edges[-1] < 1 << 31:
+        edges.append(edges[-1] * DEN // NUM + 1)
+    return edges
+
+
 def width(n: int) -> int:
     """Bits of the bitmap of n shingles: at least twice as many, a power of two."""
     return max(64, 1 << (2 * n - 1).bit_length()) if n else 64
@@ -201,30 +212,34 @@ def compare_tile(ids: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.nda
 
 
 def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None) -> DataFrame:
-    """(a, b): pairs that survive the bitmaps in lists (token, id) whose documents are in several classes."""
-    labelled = lists.join(known, "id", "left").select("token", "id", "n", F.coalesce("class", "id").alias("class"))
+    """(a, b): pairs that survive the bitmaps in lists (token, band, id, n) whose documents are in several classes."""
+    labelled = lists.join(known, "id", "left").select("token", "band", "id", "n", F.coalesce("class", "id").alias("class"))
     labelled = stash(labelled, "lists")
     shape = labelled.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
     # Shingles of one passage have the same list of documents: one of them does.
-    open_lists = shape.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token"))
-    order = Window.partitionBy("token").orderBy("class", "id")
-    rows = labelled.join(open_lists.select("token"), "token", "left_semi").withColumn("tile", F.floor((F.row_number().over(order) - 1) / TILE).cast("int"))
-    rows = stash(rows, "tiles")
+    open_lists = stash(shape.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")), "open")
+    rows = labelled.join(open_lists.select("token", F.ceil(F.col("m") / ORDERED).alias("parts")), "token")
+    # A class stays in one part of its list, unless the list is long; then it may lie in several, which costs comparisons but loses none.
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class", F.pmod("id", "parts")), "parts")).otherwise(F.lit(0))
+    order = Window.partitionBy("token", "band", "part").orderBy("class", "id")
+    place = F.struct("part", F.floor((F.row_number().over(order) - 1) / TILE).cast("int").alias("at"))
+    rows = stash(rows.withColumn("part", part.cast("int")).withColumn("tile", F.struct("band", place.alias("place"))).drop("parts", "part", "band"), "tiles")
     tiles = rows.groupBy("token", "tile").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
     other = tiles.select("token", F.col("tile").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    pairs = tiles.join(other, "token").where("tile <= j and not (lo = hi and lo2 = hi2 and lo = lo2)").select("token", F.col("tile").alias("i"), "j")
-    sides = pairs.select("token", F.col("i").alias("tile"), "i", "j").unionByName(pairs.where("i < j").select("token", F.col("j").alias("tile"), "i", "j"))
-    met = rows.join(sides, ["token", "tile"]).join(sets.select("id", "bits"), "id")
+    pairs = tiles.join(other, "token").where("tile <= j and j.band - tile.band <= 1 and not (lo = hi and lo2 = hi2 and lo = lo2)").select("token", F.col("tile").alias("i"), "j")
+    pairs = pairs.select("*", F.xxhash64("i", "j").alias("pair"))
+    sides = pairs.select("token", F.col("i").alias("tile"), "pair", F.lit(False).alias("second")).unionByName(pairs.where("i < j").select("token", F.col("j").alias("tile"), "pair", F.lit(True).alias("second")))
+    met = rows.join(sides, ["token", "tile"]).select("id", "n", "class", "token", "pair", "second").join(sets.select("id", "bits"), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_key(batches, ["token", "i", "j"]):
-            ids, n, group, tile = (rows.column(c).to_numpy() for c in ("id", "n", "class", "tile"))
-            cross = rows.column("i")[0].as_py() != rows.column("j")[0].as_py()
+        for rows in _by_key(batches, ["token", "pair"]):
+            ids, n, group, tile = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "class", "second"))
+            cross = bool(tile.any())
             if found := compare_tile(ids, n, group, tile, _words(rows.column("bits")), cross, keep):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    dealt = met.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
+    dealt = met.repartition("token", "pair").sortWithinPartitions("token", "pair")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -247,8 +262,28 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     ids = stash(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "named")
     arrays = stash(_map_texts(_only(docs, ids), [("s", pa.list_(pa.int64()), "array<bigint>")], lambda s: (s.view(np.int64),)), "arrays")
     side = lambda x: arrays.select(F.col("id").alias(x), F.col("s").alias(f"s{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("sa", "sb")))
-    return both.where(DEN * F.col("common") >= NUM * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [_lists(batch.column(c)) for c in ("sa", "sb")]
+            ok = [linked(x, y) for x, y in zip(*sides, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    """The sorted arrays of a list column."""
+    ends, data = column.offsets.to_numpy(), column.values.to_numpy().view(np.uint64)
+    return [data[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def linked(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets link. Merged and sorted again (runs are merged, not sorted anew), what both hold stands twice."""
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return DEN * common >= NUM * (len(both) - common)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -266,17 +301,18 @@ def join(docs: DataFrame) -> DataFrame:
     fields = [("n", pa.int32(), "int"), ("prefix", pa.list_(pa.int64()), "array<bigint>"), ("bits", pa.binary(), "binary")]
     sets = stash(_map_texts(texts, fields, lambda s: (len(s), prefix(s, *frequent.value).view(np.int64), bitmap(s))), "sets")
 
-    order = Window.partitionBy("token").orderBy("id")
-    tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
-    met = tokens.withColumns({"first": F.first("id").over(order), "first_n": F.first("n").over(order), "next": F.lead("id").over(order)})
-    lists = stash(met.where("id <> first or next is not null").drop("next"), "lists")
+    listed, banded = Window.partitionBy("token").orderBy("band", "id"), Window.partitionBy("token", "band").orderBy("id")
+    tokens = sets.select("id", "n", range_bucket(F.col("n").cast("long"), bands()).alias("band"), F.explode("prefix").alias("token"))
+    near_by = F.coalesce(F.col("band") - F.lag("band").over(listed) <= 1, F.lit(False)) | F.coalesce(F.lead("band").over(listed) - F.col("band") <= 1, F.lit(False))
+    met = tokens.withColumn("met", near_by).where("met").withColumns({"first": F.first("id").over(banded), "first_n": F.first("n").over(banded)})
+    lists = stash(met.drop("met"), "lists")
 
     near = f"{DEN} * least(n, first_n) >= {NUM} * greatest(n, first_n)"
     tried = stash(_bounded(lists.where("id <> first").where(near).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), sets), "tried")
     links = stash(_exact(tried, docs), "links")
     for keep in (FIRST_CANDIDATES, None):
         known = classes(links)
-        fresh = stash(_tiled(lists.select("token", "id", "n"), sets, known, keep).join(tried, ["a", "b"], "left_anti"), "fresh")
+        fresh = stash(_tiled(lists.select("token", "band", "id", "n"), sets, known, keep).join(tried, ["a", "b"], "left_anti"), "fresh")
         found = stash(_exact(fresh, docs), "found")
         links, tried = links.union(found), tried.union(fresh)
     known = classes(links)
