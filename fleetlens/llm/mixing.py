@@ -53,9 +53,9 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return settled.select("source", "source_size", target.alias("target"))
 
 
-def chance(doc_id: Column) -> Column:
-    """A number in [0, 1) from the md5 of an id's decimal text (null: the text 'null')."""
-    hexed = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 8)
+def chance(doc_id: Column, text: Column) -> Column:
+    """A number in [0, 1) from the md5 of an id's decimal text (null id: of the text, or of 'null')."""
+    hexed = F.substring(F.md5(F.coalesce(doc_id.cast("string"), text, F.lit("null"))), 1, 8)
     return F.conv(hexed, 16, 10).cast("long") / F.lit(4294967296.0)
 
 
@@ -64,7 +64,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
     Null source is a source of its own, null text has size 0; a source of size 0 has target 0
     and its documents are taken 0 times. Repeated rows are separate documents that share
-    their luck. Only the sums per source are shuffled.
+    their luck; rows with a null id take theirs from the text. Only the sums per source are shuffled.
     """
     sized = docs.withColumn("mix_size", n_words(F.col("text")))
     targets = source_targets(sized.select("source", F.col("mix_size").alias("size")), weights, share, most)
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     side = targets.select(F.col("source").alias("__src"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
     joined = sized.join(F.broadcast(side) if few else side, F.col("source").eqNullSafe(F.col("__src"))).drop("__src")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
-    copies = F.floor(rate) + (chance(F.col("doc_id")) < rate - F.floor(rate)).cast("int")
+    copies = F.floor(rate) + (chance(F.col("doc_id"), F.col("text")) < rate - F.floor(rate)).cast("int")
     return joined.withColumn("mix_copies", copies.cast("int"))
 
 
@@ -83,7 +83,7 @@ def emit(docs: DataFrame, **how) -> DataFrame:
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, coalesce(CAST(doc_id AS VARCHAR), text, 'null') AS own, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w, 2 * source_size AS cap FROM s),
 r AS (SELECT *, cap / w AS ratio FROM w),
@@ -94,7 +94,7 @@ l AS (SELECT *, (CAST(total AS DOUBLE) * CAST(1.5 AS DOUBLE) - CAST(caps AS DOUB
 f AS (SELECT arg_min(lv, ratio) FILTER (lv <= ratio) AS lv FROM l),
 t AS (SELECT source, source_size, CASE WHEN f.lv IS NULL OR w * f.lv > cap THEN CAST(cap AS DOUBLE) ELSE w * f.lv END AS target FROM l, f),
 p AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / CAST(t.source_size AS DOUBLE) ELSE 0 END AS rate,
-        CAST(('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8)) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) AS luck
+        CAST(('0x' || substr(md5(d.own), 1, 8)) AS BIGINT) / CAST(4294967296.0 AS DOUBLE) AS luck
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST(size * (floor(rate) + CAST(luck < rate - floor(rate) AS INT)) AS BIGINT) AS taken FROM p
 """
