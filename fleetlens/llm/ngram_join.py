@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, range_bucket, stash
+from .common import NULL_ID, give_back, range_bucket, stash
 
 #: Words in a shingle; two sets link if DEN * intersection >= NUM * union (the prefix and the bound on differing bits are for 3/4).
 SHINGLE, NUM, DEN = 5, 3, 4
@@ -107,6 +107,7 @@ def _map_texts(docs: DataFrame, fields: list[tuple[str, pa.DataType, str]], make
                 rows = [make(shingles(t)) for t in part.column("text").to_pylist()]
                 columns = [pa.array([r[k] for r in rows], kind) for k, (_, kind, _) in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=["id", *(f[0] for f in fields)])
+            give_back()
 
     return docs.select("id", "text").mapInArrow(run, "id long, " + ", ".join(f"{n} {t}" for n, _, t in fields))
 
@@ -238,6 +239,7 @@ def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None
             if found := compare_tile(ids, n, group, tile, _words(rows.column("bits")), cross, keep):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            give_back()
 
     dealt = met.repartition("token", "pair").sortWithinPartitions("token", "pair")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -253,6 +255,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             c = {k: batch.column(k).to_pylist() for k in ("na", "nb", "bitsa", "bitsb")}
             ok = [7 * differ(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) <= x + y for x, y, p, q in zip(c["na"], c["nb"], c["bitsa"], c["bitsb"], strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            give_back()
 
     return held.select("a", "b", "na", "nb", "bitsa", "bitsb").mapInArrow(run, "a long, b long")
 
@@ -268,6 +271,7 @@ def _exact(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             sides = [_lists(batch.column(c)) for c in ("sa", "sb")]
             ok = [linked(x, y) for x, y in zip(*sides, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            give_back()
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, range_bucket, range_splits, shuffle_partitions
+from .common import NULL_ID, give_back, range_bucket, range_splits, shuffle_partitions
 from .tokens import encoder, with_end
 
 #: Fixed values of the format: (ids in a word, bits of each) by selector 0 to 14; 15 is the escape.
@@ -177,6 +177,7 @@ def _read(spark: SparkSession, path: str, per_doc: Callable[[np.ndarray], object
                 ends = np.cumsum(lengths)
                 made = [per_doc(ids[e - n : e]) for n, e in zip(lengths, ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([x["doc_ids"].values, pa.array(lengths), pa.array(made, kind)], names=["doc_id", "n_tokens", "made"])
+            give_back()
 
     return spark.read.schema(SCHEMA).parquet(path).mapInArrow(run, f"doc_id long, n_tokens long, made {schema}")
 

@@ -15,8 +15,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import give_back
+
 #: Pre-tokens a worker remembers; code points handled at once.
-MEMO_WORDS, SLICE = 800_000, 4_000_000
+MEMO_WORDS, SLICE = 800_000, 2_000_000
 
 # Classes of bytes: white space, letter, sign, digit (a pre-token each), and those that leave a word to the library.
 _SPACE, _LETTER, _SIGN, _DIGIT, _ODD = range(5)
@@ -125,6 +127,7 @@ class Encoder:
         for cut in np.split(np.arange(len(size)), np.flatnonzero(np.diff(group)) + 1) if len(size) else ():
             some = texts.slice(cut[0], len(cut))
             yield self._encode(some) if self.by_word else self._by_text(some)
+            give_back()
 
     def _by_text(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         got = [np.asarray(e.ids, dtype=np.uint32) for e in self.lib.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
