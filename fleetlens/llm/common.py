@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 #: A null id counts as this one wherever documents are ordered or joined by id.
 NULL_ID = -(2**63)
+#: Rows that Spark and Python exchange at once while a table is written: rows hold texts and arrays, and two batches a task lie in memory outside the heap.
+BATCH_ROWS, _BATCH = 2_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +41,12 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS)))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     return spark.read.schema(df.schema).parquet(path)
 
 

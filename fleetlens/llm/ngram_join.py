@@ -3,10 +3,10 @@
 1. Equal texts count once. A text's set is the hashes of its shingles; its *prefix* is its
    n - ceil(3n/4) + 1 rarest (frequent shingles, found on a sample, sort last; the rest by hash), so two
    linked documents share a prefix shingle whatever the order was.
-2. Documents meet in the lists of their prefix shingles. First each is compared with the first
-   document of its size in the list only; the links found already join most copies.
-3. Lists whose documents are still in several classes are cut into bands of set size, such that partners
-   lie in the same band or the next, and each band into tiles, ordered by class. Within a tile and
+2. Documents meet in the lists of their prefix shingles. First each is compared with its
+   list's first document only; the links found already join most copies.
+3. Lists whose documents are still in several classes, if longer than a tile, are cut into bands of set size,
+   such that partners lie in the same band or the next, and each band into tiles, ordered by class. Within a tile and
    between tiles of such bands, parity bitmaps bound the overlap from above by bit counts: bits that
    differ are shingles that differ, and J >= 3/4 allows (|A| + |B|) / 7 of those. Pairs that survive
    and lie in different classes are settled by intersecting the sorted arrays of their shingles.
@@ -213,13 +213,15 @@ def compare_tile(ids: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.nda
 
 
 def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None) -> DataFrame:
-    """(a, b): pairs that survive the bitmaps in lists (token, band, id, n) whose documents are in several classes."""
-    labelled = lists.join(known, "id", "left").select("token", "band", "id", "n", F.coalesce("class", "id").alias("class"))
+    """(a, b): pairs that survive the bitmaps in lists (token, id, n) whose documents are in several classes."""
+    labelled = lists.join(known, "id", "left").select("token", "id", "n", F.coalesce("class", "id").alias("class"))
     labelled = stash(labelled, "lists")
     shape = labelled.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
     # Shingles of one passage have the same list of documents: one of them does.
     open_lists = stash(shape.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")), "open")
-    rows = labelled.join(open_lists.select("token", F.ceil(F.col("m") / ORDERED).alias("parts")), "token")
+    rows = labelled.join(open_lists.select("token", "m", F.ceil(F.col("m") / ORDERED).alias("parts")), "token")
+    # A list that fits one tile is one; compare_tile minds sizes there.
+    rows = rows.withColumn("band", F.when(F.col("m") > TILE, range_bucket(F.col("n").cast("long"), bands())).otherwise(F.lit(0))).drop("m")
     # A class stays in one part of its list, unless the list is long; then it may lie in several, which costs comparisons but loses none.
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class", F.pmod("id", "parts")), "parts")).otherwise(F.lit(0))
     order = Window.partitionBy("token", "band", "part").orderBy("class", "id")
@@ -239,7 +241,7 @@ def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None
             if found := compare_tile(ids, n, group, tile, _words(rows.column("bits")), cross, keep):
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            give_back()
+        give_back()
 
     dealt = met.repartition("token", "pair").sortWithinPartitions("token", "pair")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -305,18 +307,17 @@ def join(docs: DataFrame) -> DataFrame:
     fields = [("n", pa.int32(), "int"), ("prefix", pa.list_(pa.int64()), "array<bigint>"), ("bits", pa.binary(), "binary")]
     sets = stash(_map_texts(texts, fields, lambda s: (len(s), prefix(s, *frequent.value).view(np.int64), bitmap(s))), "sets")
 
-    listed, banded = Window.partitionBy("token").orderBy("band", "id"), Window.partitionBy("token", "band").orderBy("id")
-    tokens = sets.select("id", "n", range_bucket(F.col("n").cast("long"), bands()).alias("band"), F.explode("prefix").alias("token"))
-    near_by = F.coalesce(F.col("band") - F.lag("band").over(listed) <= 1, F.lit(False)) | F.coalesce(F.lead("band").over(listed) - F.col("band") <= 1, F.lit(False))
-    met = tokens.withColumn("met", near_by).where("met").withColumns({"first": F.first("id").over(banded), "first_n": F.first("n").over(banded)})
-    lists = stash(met.drop("met"), "lists")
+    order = Window.partitionBy("token").orderBy("id")
+    tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
+    met = tokens.withColumns({"first": F.first("id").over(order), "first_n": F.first("n").over(order), "next": F.lead("id").over(order)})
+    lists = stash(met.where("id <> first or next is not null").drop("next"), "lists")
 
     near = f"{DEN} * least(n, first_n) >= {NUM} * greatest(n, first_n)"
     tried = stash(_bounded(lists.where("id <> first").where(near).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), sets), "tried")
     links = stash(_exact(tried, docs), "links")
     for keep in (FIRST_CANDIDATES, None):
         known = classes(links)
-        fresh = stash(_tiled(lists.select("token", "band", "id", "n"), sets, known, keep).join(tried, ["a", "b"], "left_anti"), "fresh")
+        fresh = stash(_tiled(lists.select("token", "id", "n"), sets, known, keep).join(tried, ["a", "b"], "left_anti"), "fresh")
         found = stash(_exact(fresh, docs), "found")
         links, tried = links.union(found), tried.union(fresh)
     known = classes(links)
