@@ -6,14 +6,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import event_type_col, pick_string
+from ..functions.columns import SHELL_TOOLS, canonical_tool, event_type_col, newlines, pick_string
 
 # Payload keys that hold a tool's output, and the scalar keys of it that are kept.
 OUTPUT_KEYS = ("tool_response", "tool_output", "tool_result", "toolResult")
 KEPT_TEXT = ("stderr", "result_type")
 TEXT_BYTES, STRING_BYTES = 2048, 256 * 1024
-# Payload keys that metadata-only export may keep.
-ALLOWED = ("hook_event_name", "tool_name", "model", "permission_mode", "duration_ms", "duration", "session_id", "cursor_version", "effort")
+# Payload keys that metadata-only export may keep, those of tool_input, and the keys whose value is a list of strings.
+ALLOWED = (
+    "hook_event_name", "event", "type",
+    "session_id", "sessionId", "conversation_id", "generation_id",
+    "prompt_id", "turn_id", "tool_use_id",
+    "agent_type", "agent_id", "model", "model_id", "cursor_version",
+    "permission_mode", "effort", "source", "stop_hook_active", "mcp_server",
+    "tool_name", "duration_ms", "duration",
+    "cwd", "transcript_path", "transcriptPath", "workspace_roots",
+    "scratchpad_dir", "file_path", "file_paths",
+    "user_email",
+)
+ALLOWED_INPUT = ("file_path", "file_paths", "notebook_path", "cwd", "timeout", "replace_all")
+LIST_KEYS = ("file_paths", "workspace_roots")
 
 
 def parse_envelopes(envelopes: DataFrame) -> DataFrame:
@@ -85,14 +97,49 @@ def trim_payloads(events: DataFrame) -> DataFrame:
     return events.withColumn("__new", trimmed).withColumn("dropped_bytes", F.greatest(F.octet_length("payload") - F.octet_length("__new"), F.lit(0))).withColumn("payload", F.col("__new")).drop("__new")
 
 
+def _kept(held: Column, keys: tuple[str, ...]) -> Column:
+    """The entries of a map of variants that have an allowed key and a scalar value, or for list keys a list of strings."""
+    kind = F.schema_of_variant
+    scalar = lambda v: kind(v).isin("STRING", "BOOLEAN", "BIGINT", "DOUBLE", "VOID") | kind(v).startswith("DECIMAL")
+    return F.map_filter(held, lambda k, v: k.isin(*keys) & F.when(k.isin(*LIST_KEYS) & kind(v).startswith("ARRAY"), kind(v) == "ARRAY<STRING>").otherwise(scalar(v)))
+
+
 def redact_events(events: DataFrame) -> DataFrame:
-    """events for metadata-only export: allowed payload keys with scalar values alone; the line ends of dropped edit text stay as lines_added where that was null."""
-    held = F.from_json("payload", "map<string,variant>")
-    scalar = lambda v: F.schema_of_variant(v).isin("STRING", "BOOLEAN", "BIGINT", "DOUBLE") | F.schema_of_variant(v).startswith("DECIMAL")
-    kept = F.to_json(F.map_filter(held, lambda k, v: k.isin(*ALLOWED) & scalar(v)))
-    text = F.concat(*[F.coalesce(F.get_json_object("payload", f"$.tool_input.{k}"), F.lit("")) for k in ("new_string", "content")])
-    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
-    return events.withColumns({"lines_added": F.coalesce("lines_added", F.when(lines > 0, lines)), "payload": F.when(F.col("payload").isNotNull(), F.coalesce(kept, F.lit('{"redacted":true}')))})
+    """events for metadata-only export: allowed keys with allowed values alone, of the payload and of its tool_input, and a mark.
+
+    The line ends of dropped edit text stay as lines_added where that was null. A payload
+    that is no JSON object becomes a mark; null stays null.
+    """
+    entries = "map<string,variant>"
+    is_object = F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT")
+    inner = F.get_json_object("payload", "$.tool_input")
+    has_input = F.coalesce(inner.startswith("{"), F.lit(False))
+    parsed = lambda x: F.create_map(F.lit("redacted"), F.parse_json(x))
+    tool_input = F.create_map(F.lit("tool_input"), F.parse_json(F.to_json(_kept(F.from_json(inner, entries), ALLOWED_INPUT))))
+    own = _kept(F.from_json("payload", entries), ALLOWED)
+    kept = F.to_json(F.when(has_input, F.map_concat(own, tool_input, parsed(F.lit("true")))).otherwise(F.map_concat(own, parsed(F.lit("true")))))
+    edits = lambda path: F.coalesce(F.array_join(F.from_json(F.get_json_object("payload", path), "array<struct<new_string:string>>")["new_string"], ""), F.lit(""))
+    texts = [F.coalesce(F.get_json_object("payload", f"$.{at}{k}"), F.lit("")) for at in ("tool_input.", "") for k in ("new_string", "content")]
+    lines = newlines(F.concat(*texts, edits("$.tool_input.edits"), edits("$.edits")))
+    marked = F.when(F.coalesce(is_object, F.lit(False)), kept).otherwise(F.lit('{"redacted":true,"raw_dropped":true}'))
+    return events.withColumns({"lines_added": F.coalesce("lines_added", F.when(lines > 0, lines)), "payload": F.when(F.coalesce("payload", F.lit("")) != "", marked).otherwise(F.col("payload"))})
+
+
+def file_path(payload: Column, patched: Column, written: Column) -> Column:
+    """The file that an event is about: its input's file_path, the first of file_paths, a patch's first file, a shell command's first target."""
+    first = lambda path: F.get_json_object(payload, path)
+    named = [F.nullif(first(p), F.lit("")) for p in ("$.tool_input.file_path", "$.file_path", "$.tool_input.file_paths[0]", "$.file_paths[0]")]
+    return F.coalesce(*named, patched, written)
+
+
+def with_file_path(events: DataFrame) -> DataFrame:
+    """events (id, agent_slug, payload, ...) with file_path found in the payload where it was null, and the canonical tool name as tool."""
+    command = F.get_json_object("payload", "$.tool_input.command")
+    patch = F.coalesce(F.get_json_object("payload", "$.tool_input.patch"), command)
+    patched = F.nullif(F.regexp_extract(patch, r"(?m)^\*\*\* (?:Add|Update) File: (.*?)\s*$", 1), F.lit(""))
+    tool = canonical_tool(F.col("agent_slug"), F.get_json_object("payload", "$.tool_name"))
+    shell = F.when(tool.isin(*SHELL_TOOLS), F.get(shell_targets(command), 0))
+    return events.withColumns({"tool": tool, "file_path": F.coalesce("file_path", file_path(F.col("payload"), patched, shell))})
 
 
 def redact(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -119,11 +166,16 @@ def patch_files(patches: DataFrame) -> DataFrame:
     return named.where("file_path <> ''").groupBy("event_id", "file_path").agg(F.count_if(F.col("line").startswith("+")).alias("added"), F.count_if(F.col("line").startswith("-")).alias("removed"))
 
 
-def shell_writes(commands: DataFrame) -> DataFrame:
-    """(event_id, file_path): files that shell commands (event_id, command) write by redirection, tee or sed -i; devices, descriptors and names with shell metacharacters don't count."""
+def shell_targets(command: Column) -> Column:
+    """Array of the files that a shell command writes by redirection, tee or sed -i; devices, descriptors and names with shell metacharacters don't count."""
     found = F.flatten(F.array(
-        F.regexp_extract_all("command", F.lit(r"(?<![0-9<>&-])(?:[12&]?>>?)\s*([^\s;|&<>()'\"]+)"), 1),
-        F.regexp_extract_all("command", F.lit(r"\btee\s+(?:-a\s+)?([^\s;|&<>()'\"-][^\s;|&<>()'\"]*)"), 1),
-        F.regexp_extract_all("command", F.lit(r"\bsed\s+-i\S*\s+(?:'[^']*'|\"[^\"]*\"|\S+)\s+([^\s;|&<>()'\"]+)"), 1),
+        F.regexp_extract_all(command, F.lit(r"(?<![0-9<>&-])(?:[12&]?>>?)\s*([^\s;|&<>()'\"]+)"), 1),
+        F.regexp_extract_all(command, F.lit(r"\btee\s+(?:-a\s+)?([^\s;|&<>()'\"-][^\s;|&<>()'\"]*)"), 1),
+        F.regexp_extract_all(command, F.lit(r"\bsed\s+-i\S*\s+(?:'[^']*'|\"[^\"]*\"|\S+)\s+([^\s;|&<>()'\"]+)"), 1),
     ))
-    return commands.select("event_id", F.explode(F.array_distinct(found)).alias("file_path")).where(~F.col("file_path").rlike(r"^/dev/|[$`*?~]"))
+    return F.filter(F.array_distinct(found), lambda p: ~p.rlike(r"^/dev/|[$`*?~]"))
+
+
+def shell_writes(commands: DataFrame) -> DataFrame:
+    """(event_id, file_path): files that shell commands (event_id, command) write."""
+    return commands.select("event_id", F.explode(shell_targets(F.col("command"))).alias("file_path"))
