@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import norm_hash
 from ..sources.fixtures import Tables
 
 
@@ -24,7 +25,8 @@ def next_at(edits: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
     """edits (keys, at, ...) + next_at: the time of the first of commits (keys, at) at or after; no range join, one shuffle on keys."""
     marks = commits.select(*keys, "at").distinct().withColumn("mark", F.col("at"))
     both = edits.withColumn("mark", F.lit(None).cast("bigint")).unionByName(marks, allowMissingColumns=True)
-    after = Window.partitionBy(*keys).orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    # Backwards, so that the frame grows by its rows and isn't summed anew for each.
+    after = Window.partitionBy(*keys).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return both.withColumn("next_at", F.min("mark").over(after)).where("mark is null").drop("mark")
 
 
@@ -125,10 +127,10 @@ def prompt_before(events: DataFrame, prompts: DataFrame) -> DataFrame:
 
 
 def checkout_groups(repositories: DataFrame) -> DataFrame:
-    """(repo_id, other_id): repositories with the same non-empty remote, each with itself too."""
-    remote = repositories.where("remote_url <> ''").select("remote_url", "id")
-    pairs = remote.select("remote_url", F.col("id").alias("repo_id")).join(remote.select("remote_url", F.col("id").alias("other_id")), "remote_url").select("repo_id", "other_id")
-    return pairs.union(repositories.select("id", "id")).distinct()
+    """(repo_id, group_id): repositories with the same non-empty remote share a group, named by its smallest id; one without a remote is a group of its own."""
+    key = F.coalesce(F.nullif("remote_url", F.lit("")), F.concat(F.lit("\x1f"), "id"))
+    groups = repositories.groupBy(key.alias("key")).agg(F.min("id").alias("group_id"))
+    return repositories.select(F.col("id").alias("repo_id"), key.alias("key")).join(groups, "key").select("repo_id", "group_id")
 
 
 def parents_by_time(commits: DataFrame) -> DataFrame:
@@ -167,21 +169,40 @@ def ancestor_closure(parents: DataFrame, depth: int = 500) -> DataFrame:
     return near.unionByName(blocks).unionByName(beyond).where(F.col("steps") <= depth)
 
 
-def carried_overlap(lines: DataFrame, commits: DataFrame, groups: DataFrame, most: int = 50) -> DataFrame:
+def carried_overlap(lines: DataFrame, commits: DataFrame, groups: DataFrame, ancestors: DataFrame | None = None, most: int | None = None) -> DataFrame:
     """(commit_id, carried_id, shared, of): earlier commits of the same checkout group more than half of whose added, non-trivial lines come again in the same file.
 
-    lines: (commit_id, file_path, text). Lines are counted as multisets per file and trimmed text;
-    a commit has at most `most` candidates, the newest.
+    lines: (commit_id, file_path, text); groups: (repo_id, group_id). Lines are counted as multisets per file and trimmed text.
+    Commits among ancestors (id, ancestor) are no rewrites' originals and don't count. With `most`, a commit has that many
+    candidates, the newest.
     """
     counts = lines.withColumn("t", F.trim("text")).where(F.col("t").rlike(r"[\p{L}\p{Nd}]")).groupBy("commit_id", "file_path", "t").agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy("commit_id").agg(F.sum("n").alias("of"))
     dated = commits.select(F.col("id").alias("commit_id"), "repo_id", "committed_at")
-    new = counts.join(dated, "commit_id").join(groups, "repo_id").select("commit_id", "file_path", "t", "n", F.col("other_id").alias("repo_id"), "committed_at")
-    old = counts.join(dated, "commit_id").select(F.col("commit_id").alias("carried_id"), "file_path", "t", F.col("n").alias("m"), "repo_id", F.col("committed_at").alias("old_at"))
-    met = new.join(old, ["repo_id", "file_path", "t"]).where("old_at <= committed_at and carried_id <> commit_id")
+    held = counts.join(dated, "commit_id").join(groups, "repo_id")
+    new = held.select("commit_id", "file_path", "t", "n", "group_id", "committed_at")
+    old = held.select(F.col("commit_id").alias("carried_id"), "file_path", "t", F.col("n").alias("m"), "group_id", F.col("committed_at").alias("old_at"))
+    met = new.join(old, ["group_id", "file_path", "t"]).where("old_at <= committed_at and carried_id <> commit_id")
     sums = met.groupBy("commit_id", "carried_id", "old_at").agg(F.sum(F.least("n", "m")).alias("shared")).join(total.withColumnRenamed("commit_id", "carried_id"), "carried_id")
-    newest = F.row_number().over(Window.partitionBy("commit_id").orderBy(F.desc("old_at"), "carried_id"))
-    return sums.withColumn("r", newest).where(F.col("r") <= most).where("shared * 2 > of").select("commit_id", "carried_id", "shared", "of")
+    if ancestors is not None:
+        sums = sums.join(ancestors.select(F.col("id").alias("commit_id"), F.col("ancestor").alias("carried_id")), ["commit_id", "carried_id"], "left_anti")
+    if most:
+        newest = F.row_number().over(Window.partitionBy("commit_id").orderBy(F.desc("old_at"), "carried_id"))
+        sums = sums.withColumn("r", newest).where(F.col("r") <= most)
+    return sums.where("shared * 2 > of").select("commit_id", "carried_id", "shared", "of")
+
+
+def recorded_lines(owned: DataFrame, texts: DataFrame, T: Tables) -> DataFrame:
+    """(commit_id, file_path, line, norm, session_id, agent_slug, model_slug, ts): the lines that commits credit, with the fingerprints of their texts (commit_id, file_path, line, text).
+
+    Lines of a commit, session and file whose credit was given up (a row with 0 lines in T.extra["commit_session_files"]) are left out.
+    """
+    known = owned.join(texts, ["commit_id", "file_path", "line"]).withColumn("norm", norm_hash(F.col("text")))
+    if "commit_session_files" in T.extra:
+        given_up = T.extra["commit_session_files"].where("lines_attributed = 0").select("commit_id", "session_id", "file_path")
+        known = known.join(given_up, ["commit_id", "session_id", "file_path"], "left_anti")
+    of = T.sessions.select(F.col("id").alias("session_id"), "agent_slug", "model_slug")
+    return known.join(of, "session_id", "left").select("commit_id", "file_path", "line", "norm", "session_id", "agent_slug", "model_slug", "ts")
 
 
 def attribution_sources(commits: DataFrame, carried: DataFrame) -> DataFrame:
@@ -223,7 +244,8 @@ def affected_commits(changed: DataFrame, T: Tables) -> DataFrame:
     return made.join(changed, ["repo_id", "file_path"]).where("committed_at >= since - interval 1 second").select("commit_id").distinct()
 
 
-def missing_commits(log: DataFrame, commits: DataFrame, since=None, most: int = 200) -> DataFrame:
-    """Commits of a log (sha, committed_at, ...) that aren't recorded, the newest `most`, none before `since`."""
+def missing_commits(log: DataFrame, commits: DataFrame, since=None, most: int | None = None) -> DataFrame:
+    """Commits of a log (sha, committed_at, ...) that aren't recorded, none before `since`; with `most`, the newest so many."""
     found = log.join(commits.select("sha"), "sha", "left_anti")
-    return (found if since is None else found.where(F.col("committed_at") >= F.lit(since))).orderBy(F.desc("committed_at"), "sha").limit(most)
+    found = found if since is None else found.where(F.col("committed_at") >= F.lit(since))
+    return found.orderBy(F.desc("committed_at"), "sha").limit(most) if most else found

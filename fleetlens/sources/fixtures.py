@@ -10,6 +10,8 @@ import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 T0, WINDOW = 1704067200000000, 345600000000
 
@@ -33,7 +35,9 @@ FROM (SELECT *, {d['k']} AS k, {d['us'].format('ts')} - {T0} AS off, ({d['us'].f
 SELECT *, CASE WHEN et = 'signup' THEN 'Stop' WHEN et = 'purchase' AND agent_slug = 'cursor' THEN 'afterFileEdit'
     WHEN et = 'error' AND event_id % 4 = 0 THEN 'hook_misfire' ELSE 'PostToolUse' END AS kind,
   CASE WHEN et = 'click' THEN 'Edit' WHEN et = 'purchase' AND agent_slug <> 'cursor' THEN 'Write'
-    WHEN et = 'view' THEN CASE event_id % 3 WHEN 0 THEN 'Read' WHEN 1 THEN 'Bash' ELSE 'mcp__docs__get' END
+    WHEN et = 'view' THEN CASE event_id % 20 WHEN 0 THEN 'Grep' WHEN 1 THEN 'Glob' WHEN 2 THEN 'view_image' WHEN 3 THEN 'NotebookRead' WHEN 4 THEN 'LS' WHEN 5 THEN 'exec' WHEN 6 THEN 'shell' WHEN 7 THEN 'NotebookEdit'
+      WHEN 8 THEN 'Agent' WHEN 9 THEN 'Task' WHEN 10 THEN 'TaskOutput' WHEN 11 THEN 'SubagentHandback' WHEN 12 THEN 'TaskCreate' WHEN 13 THEN 'TaskUpdate' WHEN 14 THEN 'collaboration_ask' WHEN 15 THEN 'WebSearch' WHEN 16 THEN 'webrun'
+      WHEN 17 THEN 'Read' WHEN 18 THEN 'Bash' ELSE 'mcp__docs__get' END
     WHEN et = 'error' AND event_id % 4 <> 0 THEN 'WebFetch' END AS tool,
   et IN ('click', 'purchase') AS is_edit, 0 AS dup FROM raw""",
         "spread": """
@@ -112,6 +116,9 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     """The projection of the tables in sf_dir."""
     made = {f"__{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders", "lineitem", "conversations")}
     for name, text in statements(SPARK).items():
+        if name == "numbered":
+            made[name] = _numbered(made["sessions"])
+            continue
         text = text.replace("{", "{{").replace("}", "}}")
         for known in made:
             text = _named(text, known, "{" + known + "}")
@@ -119,6 +126,15 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(**{k: made[k] for k in ("sessions", "events", "ranges", "commits", "commit_files", "commit_sessions", "prompts", "repositories")})
 
 
+def _numbered(sessions: DataFrame) -> DataFrame:
+    """Sessions with their rank by id from 0. Ranked within the first four characters of the id (s and up to three digits or _, so a few thousand groups), whose sizes give the rest."""
+    held = sessions.select(F.col("id").alias("session_id"), "agent_slug", "model_slug", "started_at", F.substring("id", 1, 4).alias("head"))
+    before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    bases = held.groupBy("head").agg(F.count(F.lit(1)).alias("n")).select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("session_id"))
+    return held.withColumn("place", place).join(F.broadcast(bases), "head").withColumn("no", F.col("base") + F.col("place") - 1).drop("head", "base", "place")
+
+
 def _named(text: str, table: str, by: str) -> str:
     return re.sub(rf"(FROM|JOIN) {table}\b", rf"\1 {by}", text)
 
