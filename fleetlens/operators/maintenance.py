@@ -56,11 +56,16 @@ def remove_phantoms(T: Tables) -> Tables:
     )
 
 
-def prune(T: Tables, now: dt.datetime, days: int = 365) -> Tables:
-    """T without events older than the cutoff that no range refers to, and without prompts as old."""
+def prune(T: Tables, now: dt.datetime, days: int = 365, require_synced: bool = False) -> Tables:
+    """T without events older than the cutoff that no range refers to, and without prompts as old (by created_at, if there is one, where ts is null).
+
+    With require_synced only rows go that have been exported (synced_at).
+    """
     cutoff = F.lit(now - dt.timedelta(days=days))
-    old = T.events.where(F.col("ts") < cutoff).join(T.ranges.select(F.col("event_id").alias("id")), "id", "left_anti").select("id")
-    return T.having(events=T.events.join(old, "id", "left_anti"), prompts=T.prompts.where(F.col("ts").isNull() | (F.col("ts") >= cutoff)))
+    sent = F.col("synced_at").isNotNull() if require_synced else F.lit(True)
+    old = T.events.where((F.col("ts") < cutoff) & sent).join(T.ranges.select(F.col("event_id").alias("id")), "id", "left_anti").select("id")
+    asked = F.coalesce("ts", "created_at") if "created_at" in T.prompts.columns else F.col("ts")
+    return T.having(events=T.events.join(old, "id", "left_anti"), prompts=T.prompts.where(~F.coalesce((asked < cutoff) & sent, F.lit(False))))
 
 
 def prune_counts(T: Tables, now: dt.datetime, days: int = 365) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import duration_ms, json_text, tool_family
 from ..sources.fixtures import Tables
+from .attribution import attribute_sessions
 from .edits import ai_edits_scored
 from .filters import UNKNOWN, Filters, active_repos
 
@@ -174,6 +175,17 @@ def activity_totals(daily: DataFrame) -> DataFrame:
     return daily.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("active_minutes", "sessions", "prompts", "edits", "generated", "committed")])
 
 
+def with_delta(now: DataFrame, prior: DataFrame, flat: float = 0.02) -> DataFrame:
+    """(metric, value, before, delta, trend): activity_totals of a window against those of the window before it.
+
+    delta is the change as a share of the earlier value (null if that is 0); within the band of 2 % it is flat.
+    """
+    tall = lambda df, name: df.unpivot([], [F.col(c).cast("double").alias(c) for c in df.columns], "metric", name)
+    both = tall(now, "value").join(tall(prior, "before"), "metric")
+    delta = F.when(F.col("before") > 0, (F.col("value") - F.col("before")) / F.col("before"))
+    return both.withColumn("delta", delta).withColumn("trend", F.when(F.col("delta").isNull(), None).when(F.abs("delta") < flat, "flat").when(F.col("delta") > 0, "up").otherwise("down"))
+
+
 def daily_series(daily: DataFrame, spark_days: DataFrame) -> DataFrame:
     """(day, generated, committed, keep_rate) for every day of spark_days (day), zero where nothing happened; keep rate at most 1, 0 without lines."""
     sums = daily.groupBy("day").agg(F.sum("generated").alias("generated"), F.sum("committed").alias("committed"))
@@ -236,14 +248,15 @@ def funnel(T: Tables, f: Filters = ALL) -> DataFrame:
     return a.crossJoin(b).crossJoin(c)  # one row each
 
 
-def lead_time(T: Tables, f: Filters = ALL) -> DataFrame:
-    """One row: commits with an attributed session's edit before them, and how many came within 15 minutes or a day or more after the last."""
-    credited = committed_ai(T).where(f.dated(F.col("committed_at")) & (F.col("lines_attributed") > 0)).select("commit_id", "session_id", "committed_at")
-    edits = ai_edits_scored(T).where("session_id is not null").select("session_id", "ts")
-    last = edits.groupBy("session_id").agg(F.max("ts").alias("last"))
-    gap = F.unix_micros("committed_at") - F.unix_micros("last")
-    per = credited.join(last, "session_id").where("last <= committed_at").groupBy("commit_id", "committed_at").agg(F.max("last").alias("last")).withColumn("gap", gap)
-    return per.agg(F.count(F.lit(1)).alias("commits"), F.count_if(F.col("gap") < 900_000_000).alias("fast"), F.count_if(F.col("gap") >= 86_400_000_000).alias("slow"))
+def lead_time(T: Tables, f: Filters = ALL, credited: DataFrame | None = None) -> DataFrame:
+    """One row: total, under_15m, over_1d of the times from a session's last edit in a commit's window to the commit.
+
+    A row of credited (commit_id, session_id, last_event_ts, lines_attributed; by position if not given) with lines counts once.
+    """
+    rows = attribute_sessions(T) if credited is None else credited
+    made = T.commits.select(F.col("id").alias("commit_id"), "committed_at").where(f.dated(F.col("committed_at")))
+    gaps = rows.where("lines_attributed > 0").join(made, "commit_id").select((F.unix_micros("committed_at") - F.unix_micros("last_event_ts")).alias("gap"))
+    return gaps.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("gap") < 900_000_000).alias("under_15m"), F.count_if(F.col("gap") >= 86_400_000_000).alias("over_1d"))
 
 
 def model_table(T: Tables, f: Filters = ALL) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.columns import json_text, tool_family
+from ..functions.columns import duration_ms, json_text, tool_family
 from ..sources.fixtures import Tables
+from .attribution import attribute_files
 from .edits import ai_edits_scored
 from .filters import Filters
 from .metrics import session_active, session_outcomes, tool_calls_of
@@ -64,13 +65,21 @@ def transcript_paths(T: Tables) -> DataFrame:
 
 
 def tool_calls(T: Tables) -> DataFrame:
-    """Timeline rows of tool calls: id, session_id, ts, tool, family, ms, file, lines_written (edits only), summary, has_stderr, ranged."""
+    """Timeline rows of tool reports and file edits: id, session_id, ts, tool (null for file edits), family, ms, file, lines_written (0 if it is no AI edit), summary, has_stderr, ranged.
+
+    file: the path in the repository, else a range's, else the event's own.
+    """
     j = lambda path: json_text(F.col("payload"), path)
-    summary = F.substring(F.coalesce(j("$.tool_input.command"), j("$.tool_input.description"), j("$.tool_input.pattern"), j("$.tool_input.prompt"), j("$.tool_input.file_path")), 1, 200)
-    of = T.events.select("id", F.coalesce("rel_file_path", "file_path", j("$.tool_input.file_path"), j("$.file_path")).alias("file"), summary.alias("summary"), (F.coalesce(j("$.tool_response.stderr"), F.lit("")) != "").alias("has_stderr"))
-    ranged = T.ranges.where("end_line >= start_line").select(F.col("event_id").alias("id")).distinct().withColumn("ranged", F.lit(True))
+    by = F.struct("id")
+    named = T.ranges.groupBy(F.col("event_id").alias("id")).agg(F.min_by("rel_file_path", F.when(F.col("rel_file_path").isNotNull(), by)).alias("__rel"), F.min_by("file_path", by).alias("__abs"))
     wrote = ai_edits_scored(T).select("id", "lines_written")
-    return tool_calls_of(T).join(of, "id").join(wrote, "id", "left").join(ranged, "id", "left").select("id", "session_id", "ts", "tool", "family", "ms", "file", "lines_written", "summary", "has_stderr", F.coalesce("ranged", F.lit(False)).alias("ranged"))
+    rows = T.events.where("event_type in ('PostToolUse', 'afterFileEdit') and session_id is not null").join(named.withColumn("ranged", F.lit(True)), "id", "left").join(wrote, "id", "left")
+    file = F.coalesce("rel_file_path", "__rel", "__abs", "file_path")
+    summary = F.substring(F.coalesce(j("$.tool_input.command"), j("$.tool_input.description"), j("$.tool_input.pattern"), j("$.tool_input.prompt"), file), 1, 200)
+    return rows.select(
+        "id", "session_id", "ts", j("$.tool_name").alias("tool"), F.coalesce(tool_family(j("$.tool_name")), F.lit("other")).alias("family"), duration_ms(F.col("payload")).alias("ms"), file.alias("file"),
+        F.coalesce("lines_written", F.lit(0)).alias("lines_written"), summary.alias("summary"), (F.coalesce(j("$.tool_response.stderr"), F.lit("")) != "").alias("has_stderr"), F.coalesce("ranged", F.lit(False)).alias("ranged"),
+    )
 
 
 def stops(T: Tables) -> DataFrame:
@@ -115,25 +124,65 @@ def turn_durations(turns: DataFrame) -> DataFrame:
 
 
 def commit_turns(T: Tables) -> DataFrame:
-    """(session_id, commit_id, turn): the earliest turn that ends within two minutes before the commit or later; the last takes the rest; before the session's start: null."""
-    turns = build_turns(T).select("session_id", "turn", F.col("ended_us"))
+    """(session_id, commit_id, turn): the earliest turn that ends within two minutes before the commit or later; the last takes the rest; before the session's start: null.
+
+    Turns and commits of a session lie on one line of time, and a window finds the next turn's limit: no commit meets every turn.
+    """
+    turns = build_turns(T).select("session_id", "turn", (F.col("ended_us") + LATE_COMMIT_S * 1_000_000).alias("limit"))
     last = turns.groupBy("session_id").agg(F.max("turn").alias("last"))
     own = session_commits(T).select("session_id", "commit_id", F.unix_micros("committed_at").alias("at"))
-    held = own.join(turns, "session_id", "left").where(F.col("ended_us").isNull() | (F.col("at") <= F.col("ended_us") + LATE_COMMIT_S * 1_000_000))
-    first = held.groupBy("session_id", "commit_id").agg(F.min("turn").alias("hit"))
+    marks = turns.where("limit is not null").select("session_id", F.lit(None).cast("string").alias("commit_id"), F.col("limit").alias("at"), "turn")
+    both = own.withColumn("turn", F.lit(None).cast("long")).unionByName(marks)
+    after = Window.partitionBy("session_id").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = both.withColumn("hit", F.min("turn").over(after)).where("commit_id is not null").drop("turn")
     begun = T.sessions.select(F.col("id").alias("session_id"), F.unix_micros("started_at").alias("begun"))
-    placed = own.join(first, ["session_id", "commit_id"], "left").join(last, "session_id", "left").join(begun, "session_id")
+    placed = hits.join(last, "session_id", "left").join(begun, "session_id")
     return placed.select("session_id", "commit_id", F.when(F.col("at") >= F.col("begun"), F.coalesce("hit", "last")).alias("turn"))
 
 
-def file_rows(T: Tables) -> DataFrame:
-    """(session_id, repo_id, file_path, generated, committed): what a session wrote to a file against what its commits kept; generated is at least committed."""
+def file_rows(T: Tables, credited: DataFrame | None = None) -> DataFrame:
+    """(session_id, repo_id, file_path, generated, committed): what a session wrote to a file against what commits credit it with there; generated is at least committed.
+
+    credited: (commit_id, session_id, file_path, lines_attributed), by position if not given.
+    """
     wrote = ai_edits_scored(T).where("session_id is not null and rel_file_path is not null").groupBy("session_id", "repo_id", F.col("rel_file_path").alias("file_path")).agg(F.greatest(F.sum("lines"), F.lit(0)).alias("generated"))
-    kept = session_commits(T).join(T.commit_files, "commit_id").groupBy("session_id", "repo_id", "file_path").agg(F.sum(F.least("lines_added", "lines_attributed")).alias("committed"))
+    rows = attribute_files(T) if credited is None else credited
+    made = T.commits.select(F.col("id").alias("commit_id"), "repo_id")
+    kept = rows.where("lines_attributed > 0").join(made, "commit_id").groupBy("session_id", "repo_id", "file_path").agg(F.sum("lines_attributed").alias("committed"))
     both = wrote.join(kept, ["session_id", "repo_id", "file_path"], "full_outer").fillna(0, ["generated", "committed"])
     return both.withColumn("generated", F.greatest("generated", "committed"))
 
 
+def session_count(T: Tables, f: Filters | None = None) -> DataFrame:
+    """One row: n, the sessions that the list would show, of the filter's outcome if it has one."""
+    found = (f or Filters()).session_list(T).select(F.col("id").alias("session_id"))
+    if f and f.outcome:
+        found = found.join(session_outcomes(T).where(F.col("outcome") == f.outcome), "session_id", "left_semi")
+    return found.agg(F.count(F.lit(1)).alias("n"))
+
+
+def session_stats(T: Tables, usage: DataFrame | None = None) -> DataFrame:
+    """A row a session: wall_minutes (null while it runs, never below 0), active_minutes, prompts typed, turns, tool_calls, edits, files, commits, committed, generated, output_tokens.
+
+    output_tokens falls back to the sum over usage (session_id, output_tokens) read from transcripts.
+    """
+    wall = F.greatest((F.unix_micros("ended_at") - F.unix_micros("started_at")) / 60_000_000, F.lit(0.0))
+    rows = T.sessions.select(F.col("id").alias("session_id"), F.when(F.col("ended_at").isNotNull(), wall).alias("wall_minutes"), F.col("output_tokens").alias("__own"))
+    count = F.count(F.lit(1))
+    parts = [
+        session_active(T), classify_prompts(T.prompts).where("kind = 'user' and ts is not null").groupBy("session_id").agg(count.alias("prompts")), build_turns(T).groupBy("session_id").agg(count.alias("turns")),
+        tool_calls(T).groupBy("session_id").agg(count.alias("tool_calls")), ai_edits_scored(T).groupBy("session_id").agg(count.alias("edits")),
+        file_rows(T).groupBy("session_id").agg(count.alias("files"), F.sum("generated").alias("generated")), session_commits(T).groupBy("session_id").agg(count.alias("commits"), F.sum("lines_attributed").alias("committed")),
+    ]
+    for part in parts:
+        rows = rows.join(part, "session_id", "left")
+    rows = rows.fillna(0, ["active_minutes", "prompts", "turns", "tool_calls", "edits", "files", "generated", "commits", "committed"])
+    if usage is None:
+        return rows.withColumnRenamed("__own", "output_tokens")
+    read = usage.groupBy("session_id").agg(F.sum("output_tokens").alias("__read"))
+    return rows.join(read, "session_id", "left").withColumn("output_tokens", F.coalesce("__own", "__read")).drop("__own", "__read")
+
+
 def idle_gaps(T: Tables, minutes: int = 8) -> DataFrame:
     """(session_id, gaps, idle_ms, active_ms): gaps between distinct event times that are longer than the threshold, and the time outside them."""
     times = T.events.where("session_id is not null").select("session_id", F.unix_micros("ts").alias("us")).distinct()

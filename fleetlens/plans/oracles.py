@@ -22,7 +22,8 @@ gaps AS (SELECT session_id, id, ts, least(epoch_us(ts) - lag(epoch_us(ts)) OVER
 """
 CALLS = """,
 named AS (SELECT *, json_extract_string(payload, '$.tool_name') AS tool, coalesce(TRY_CAST(json_extract_string(payload, '$.duration_ms') AS DOUBLE), TRY_CAST(json_extract_string(payload, '$.duration') AS DOUBLE)) AS ms FROM ev WHERE event_type = 'PostToolUse' AND session_id IS NOT NULL),
-calls AS (SELECT *, CASE WHEN tool = 'Bash' THEN 'shell' WHEN tool IN ('Edit', 'Write', 'MultiEdit', 'apply_patch') THEN 'edit' WHEN tool = 'Read' THEN 'read' WHEN starts_with(tool, 'mcp__') THEN 'mcp' WHEN tool IN ('WebFetch', 'WebSearch') THEN 'web' ELSE 'other' END AS family FROM named WHERE tool IS NOT NULL)
+calls AS (SELECT *, CASE WHEN tool IN ('Bash', 'exec', 'shell') THEN 'shell' WHEN tool IN ('Edit', 'Write', 'NotebookEdit') THEN 'edit' WHEN tool IN ('Read', 'Grep', 'Glob', 'view_image', 'NotebookRead', 'LS') THEN 'read'
+  WHEN regexp_matches(tool, '^(Agent|Task|TaskOutput|SubagentHandback|TaskCreate|TaskUpdate)$|^collaboration') THEN 'agent' WHEN starts_with(tool, 'mcp__') THEN 'mcp' WHEN tool IN ('WebFetch', 'WebSearch', 'webrun') THEN 'web' ELSE 'other' END AS family FROM named WHERE tool IS NOT NULL)
 """
 LANDED = """,
 landed AS (SELECT cs.*, c.repo_id, c.committed_at FROM commit_sessions cs JOIN commits c ON c.id = cs.commit_id)
@@ -75,9 +76,6 @@ FROM k LEFT JOIN a ON a.day = k.day AND a.agent_slug = k.agent_slug LEFT JOIN p
     "funnel": BASE + EDITS + """SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT count(*) FROM sessions s WHERE EXISTS (SELECT 1 FROM edits e WHERE e.session_id = s.id)) AS with_edits,
 (SELECT count(*) FROM sessions s WHERE EXISTS (SELECT 1 FROM commit_sessions c WHERE c.session_id = s.id AND lines_attributed > 0)) AS with_commits, (SELECT CAST(sum(lines) AS BIGINT) FROM edits) AS generated,
 (SELECT CAST(sum(lines_attributed) AS BIGINT) FROM commit_sessions) AS committed, (SELECT count(DISTINCT commit_id) FROM commit_sessions WHERE lines_attributed > 0) AS commits""",
-    "lead_time": BASE + EDITS + LANDED + """, l AS (SELECT session_id, max(ts) AS last FROM edits WHERE session_id IS NOT NULL GROUP BY 1),
-g AS (SELECT commit_id, epoch_us(min(committed_at)) - epoch_us(max(last)) AS gap FROM landed JOIN l USING (session_id) WHERE lines_attributed > 0 AND last <= committed_at GROUP BY 1)
-SELECT count(*) AS commits, count(*) FILTER (gap < 900000000) AS fast, count(*) FILTER (gap >= 86400000000) AS slow FROM g""",
     "model_table": BASE + EDITS + GAPS + CALLS + """,
 pe AS (SELECT session_id, count(*) AS edits, sum(lines) AS generated FROM edits GROUP BY 1),
 pf AS (SELECT session_id, count(*) AS files, count(*) FILTER (n > 1) AS reedited FROM (SELECT session_id, file_path, count(*) AS n FROM edits GROUP BY 1, 2) x GROUP BY 1),

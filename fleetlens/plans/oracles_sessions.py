@@ -9,7 +9,7 @@ fc AS (SELECT commit_id, repo_id, file_path, f.lines_added, epoch_us(committed_a
 er AS (SELECT r.event_id, e.session_id, e.repo_id, e.ts, r.rel_file_path AS file_path, start_line, end_line, epoch_us(e.ts) // 1000000 AS at FROM ranges r JOIN ev e ON e.id = r.event_id WHERE end_line >= start_line AND e.session_id IS NOT NULL AND e.repo_id IS NOT NULL),
 nx AS (SELECT event_id, min(fc.at) AS na FROM er JOIN fc ON fc.repo_id = er.repo_id AND fc.file_path = er.file_path AND fc.at >= er.at GROUP BY 1),
 cr AS (SELECT fc.commit_id, er.file_path, er.event_id, er.session_id, er.ts, er.start_line, er.end_line FROM er JOIN nx ON nx.event_id = er.event_id JOIN fc ON fc.repo_id = er.repo_id AND fc.file_path = er.file_path AND fc.at = nx.na),
-al AS (SELECT commit_id, file_path, unnest(generate_series(1, least(lines_added, 60))) AS line FROM commit_files WHERE lines_added > 0),
+al AS (SELECT commit_id, file_path, unnest(generate_series(1, lines_added)) AS line FROM commit_files WHERE lines_added > 0),
 sp AS (SELECT commit_id, file_path, event_id, session_id, ts, unnest(generate_series(start_line, end_line)) AS line FROM cr),
 ow AS (SELECT * FROM (SELECT sp.*, row_number() OVER (PARTITION BY sp.commit_id, sp.file_path, sp.line ORDER BY ts DESC, event_id DESC, session_id DESC) AS r FROM sp JOIN al ON al.commit_id = sp.commit_id AND al.file_path = sp.file_path AND al.line = sp.line) x WHERE r = 1)
 """
@@ -50,22 +50,29 @@ SELECT commit_id, file_path, session_id, string_agg(CASE WHEN a = b THEN CAST(a
     "commit_of_edit": BASE + """, e AS (SELECT DISTINCT event_id, repo_id, epoch_us(ts) // 1000000 AS at FROM ranges JOIN ev ON ev.id = event_id WHERE repo_id IS NOT NULL)
 SELECT event_id, arg_min(c.id, (epoch_us(committed_at) // 1000000, c.id)) AS commit_id FROM e JOIN commits c ON c.repo_id = e.repo_id AND epoch_us(committed_at) // 1000000 >= e.at GROUP BY 1""",
     "prompt_before": BASE + """SELECT e.id AS event_id, e.session_id, arg_max(p.seq, (p.ts, p.seq)) AS seq, arg_max(p.prompt_text, (p.ts, p.seq)) AS prompt_text FROM ev e LEFT JOIN prompts p ON p.session_id = e.session_id AND p.ts < e.ts WHERE e.session_id IS NOT NULL GROUP BY 1, 2""",
-    "checkout_groups": BASE + "SELECT a.id AS repo_id, b.id AS other_id FROM repositories a JOIN repositories b ON a.id = b.id OR a.remote_url = b.remote_url",
+    "checkout_groups": BASE + "SELECT a.id AS repo_id, min(b.id) AS group_id FROM repositories a JOIN repositories b ON a.id = b.id OR a.remote_url = b.remote_url GROUP BY 1",
+    "lead_time": BASE + FILES + """, a AS (SELECT commit_id, session_id, max(ts) AS last FROM cr GROUP BY ALL), w AS (SELECT DISTINCT commit_id, session_id FROM ow),
+g AS (SELECT epoch_us(committed_at) - epoch_us(last) AS gap FROM a JOIN w ON w.commit_id = a.commit_id AND w.session_id = a.session_id JOIN commits c ON c.id = a.commit_id)
+SELECT count(*) AS total, count(*) FILTER (gap < 900000000) AS under_15m, count(*) FILTER (gap >= 86400000000) AS over_1d FROM g""",
+    "session_count": BASE + EDITS + "SELECT count(*) AS n FROM sessions s WHERE NOT EXISTS (SELECT 1 FROM commit_sessions c WHERE c.session_id = s.id AND lines_attributed > 0) AND EXISTS (SELECT 1 FROM edits e WHERE e.session_id = s.id)",
     "ancestors": BASE + """, p AS (SELECT id, repo_id, row_number() OVER (PARTITION BY repo_id ORDER BY committed_at, id) AS r FROM commits)
-SELECT a.id, b.id AS ancestor, CAST(a.r - b.r AS INTEGER) AS steps FROM p a JOIN p b ON a.repo_id = b.repo_id AND b.r BETWEEN a.r - 20 AND a.r - 1""",
+SELECT a.id, b.id AS ancestor, CAST(a.r - b.r AS INTEGER) AS steps FROM p a JOIN p b ON a.repo_id = b.repo_id AND b.r BETWEEN a.r - 500 AND a.r - 1""",
     "list_sessions": BASE + FACTS + "SELECT * FROM facts ORDER BY started_at DESC, id DESC LIMIT 50",
     "session_detail": BASE + FACTS + "SELECT * FROM facts",
     "files_touched": BASE + EDITS + "SELECT session_id, file_path, count(*) AS edits, CAST(sum(lines) AS BIGINT) AS lines FROM edits WHERE session_id IS NOT NULL GROUP BY 1, 2",
     "session_commits": BASE + LANDED + SC + "SELECT * FROM sc",
-    "tool_calls": BASE + EDITS + CALLS + "SELECT c.id, c.session_id, c.ts, tool, family, ms, coalesce(c.rel_file_path, c.file_path) AS file, lines_written, CAST(NULL AS VARCHAR) AS summary, false AS has_stderr, EXISTS (SELECT 1 FROM ranges r WHERE r.event_id = c.id) AS ranged FROM calls c LEFT JOIN edits e ON e.id = c.id",
+    "tool_calls": BASE + EDITS + CALLS + """, pr AS (SELECT event_id, min(rel_file_path) AS rel FROM ranges GROUP BY 1)
+SELECT v.id, v.session_id, v.ts, json_extract_string(v.payload, '$.tool_name') AS tool, coalesce(c.family, 'other') AS family, coalesce(CAST(json_extract_string(v.payload, '$.duration_ms') AS DOUBLE), CAST(json_extract_string(v.payload, '$.duration') AS DOUBLE)) AS ms, coalesce(v.rel_file_path, rel, v.file_path) AS file,
+coalesce(e.lines_written, 0) AS lines_written, substr(coalesce(v.rel_file_path, rel, v.file_path), 1, 200) AS summary, false AS has_stderr, pr.event_id IS NOT NULL AS ranged
+FROM ev v LEFT JOIN calls c ON c.id = v.id LEFT JOIN edits e ON e.id = v.id LEFT JOIN pr ON pr.event_id = v.id WHERE v.event_type IN ('PostToolUse', 'afterFileEdit') AND v.session_id IS NOT NULL""",
     "stops": BASE + "SELECT id, session_id, ts, json_extract_string(payload, '$.last_assistant_message') AS message, json_extract_string(payload, '$.effort.level') AS effort, json_extract_string(payload, '$.permission_mode') AS permission_mode FROM ev WHERE event_type = 'Stop' AND session_id IS NOT NULL",
     "classify_prompts": BASE + TURNS + "SELECT session_id, seq, ts, agent_slug, prompt_text, kind, CASE WHEN kind = 'resend' THEN CAST(round(gap / CAST(1000000 AS DOUBLE)) AS BIGINT) END AS resend_s FROM pk",
     "build_turns": BASE + TURNS + "SELECT session_id, turn, started_us, ended_us, prompts, tools, shell, edit, read, tool_ms, open, CASE WHEN ended_us IS NOT NULL THEN greatest((ended_us - started_us) / CAST(1000 AS DOUBLE), 0) END AS duration_ms FROM turns",
     "commit_turns": BASE + LANDED + SC + TURNS + """, h AS (SELECT sc.session_id, sc.commit_id, min(turn) AS hit FROM sc JOIN turns t ON t.session_id = sc.session_id AND (ended_us IS NULL OR epoch_us(committed_at) <= ended_us + 120000000) GROUP BY 1, 2),
 m AS (SELECT session_id, max(turn) AS last FROM turns GROUP BY 1)
 SELECT sc.session_id, sc.commit_id, CASE WHEN committed_at >= s.started_at THEN coalesce(hit, last) END AS turn FROM sc JOIN sessions s ON s.id = sc.session_id LEFT JOIN h ON h.session_id = sc.session_id AND h.commit_id = sc.commit_id LEFT JOIN m ON m.session_id = sc.session_id""",
-    "file_rows": BASE + EDITS + LANDED + SC + """, w AS (SELECT session_id, repo_id, rel_file_path AS file_path, greatest(CAST(sum(lines) AS BIGINT), 0) AS generated FROM edits WHERE session_id IS NOT NULL AND rel_file_path IS NOT NULL GROUP BY 1, 2, 3),
-k AS (SELECT session_id, repo_id, file_path, CAST(sum(least(lines_added, lines_attributed)) AS BIGINT) AS committed FROM sc JOIN commit_files f ON f.commit_id = sc.commit_id GROUP BY 1, 2, 3)
+    "file_rows": BASE + EDITS + FILES + """, w AS (SELECT session_id, repo_id, rel_file_path AS file_path, greatest(CAST(sum(lines) AS BIGINT), 0) AS generated FROM edits WHERE session_id IS NOT NULL AND rel_file_path IS NOT NULL GROUP BY 1, 2, 3),
+k AS (SELECT session_id, repo_id, file_path, count(*) AS committed FROM ow JOIN commits c ON c.id = ow.commit_id GROUP BY 1, 2, 3)
 SELECT session_id, repo_id, file_path, greatest(coalesce(generated, 0), coalesce(committed, 0)) AS generated, coalesce(committed, 0) AS committed FROM w FULL OUTER JOIN k USING (session_id, repo_id, file_path)""",
     "idle_gaps": BASE + """, t AS (SELECT DISTINCT session_id, epoch_us(ts) AS us FROM ev WHERE session_id IS NOT NULL), g AS (SELECT session_id, us - lag(us) OVER (PARTITION BY session_id ORDER BY us) AS gap FROM t)
 SELECT session_id, count(*) FILTER (gap > 480000000) AS gaps, CAST(coalesce(sum(gap) FILTER (gap > 480000000), 0) AS BIGINT) / CAST(1000 AS DOUBLE) AS idle_ms, CAST(coalesce(sum(gap) FILTER (gap <= 480000000), 0) AS BIGINT) / CAST(1000 AS DOUBLE) AS active_ms FROM g GROUP BY 1""",

@@ -24,13 +24,13 @@ UNION ALL SELECT 'prompts', count(*) FROM prompts WHERE ts < TIMESTAMP '2024-01-
     "redact_events": BASE + """, t AS (SELECT *, concat(coalesce(json_extract_string(payload, '$.tool_input.new_string'), ''), coalesce(json_extract_string(payload, '$.tool_input.content'), '')) AS txt FROM ev)
 SELECT id, session_id, event_type, coalesce(lines_added, CASE WHEN len(txt) - len(replace(txt, chr(10), '')) > 0 THEN len(txt) - len(replace(txt, chr(10), '')) END) AS lines_added,
 CASE WHEN payload IS NOT NULL THEN concat('{', array_to_string(list_filter(['"tool_name":"' || json_extract_string(payload, '$.tool_name') || '"', '"model":"' || json_extract_string(payload, '$.model') || '"',
-  '"duration":' || json_extract_string(payload, '$.duration'), '"duration_ms":' || json_extract_string(payload, '$.duration_ms'), '"permission_mode":"' || json_extract_string(payload, '$.permission_mode') || '"'], lambda x: x IS NOT NULL), ','), '}') END AS payload FROM t""",
+  '"duration":' || json_extract_string(payload, '$.duration'), '"duration_ms":' || json_extract_string(payload, '$.duration_ms'), '"permission_mode":"' || json_extract_string(payload, '$.permission_mode') || '"', '"tool_input":{}', '"redacted":true'], lambda x: x IS NOT NULL), ','), '}') END AS payload FROM t""",
     "resolve_paths": BASE + "SELECT id, file_path, CASE WHEN file_path IS NOT NULL THEN split_part(file_path, '/', 3) END AS repo, rel_file_path AS rel FROM ev",
     "parse_envelopes": BASE + f"""SELECT session_id, ts, CASE WHEN payload IS NULL THEN 'hook_misfire' ELSE event_type END AS event_type, agent_slug, {_MODEL} AS model, count(*) AS n FROM ev WHERE event_type <> 'hook_misfire' GROUP BY ALL
 UNION ALL SELECT NULL, ts, 'hook_misfire', agent_slug, NULL, count(*) FROM ev WHERE event_type = 'hook_misfire' GROUP BY ALL""",
     "parse_commit_log": BASE + ", p AS (SELECT *, lag(sha) OVER (PARTITION BY repo_id ORDER BY committed_at, id) AS parent_sha FROM commits) SELECT sha, parent_sha, author_email, author_name, committed_at, 'work on ' || id AS message FROM p",
     "parse_numstat": BASE + "SELECT commit_id, CAST(sum(lines_added) AS BIGINT) AS lines_added, CAST(sum(lines_removed) AS BIGINT) AS lines_removed, count(*) AS files_changed FROM commit_files GROUP BY 1",
-    "parse_unified_diff": BASE + "SELECT commit_id, file_path, unnest(generate_series(1, least(lines_added, 60))) AS line_no, 'line ' || unnest(generate_series(1, least(lines_added, 60))) AS text FROM commit_files WHERE lines_added > 0",
+    "parse_unified_diff": BASE + "SELECT commit_id, file_path, unnest(generate_series(1, lines_added)) AS line_no, 'line ' || unnest(generate_series(1, lines_added)) AS text FROM commit_files WHERE lines_added > 0",
     "blame": BASE + BLAME + "SELECT * FROM bb",
     "blame_summary": BASE + BLAME + "SELECT repo_id, file_path, count(*) AS total, count(session_id) AS ai_lines, count(DISTINCT session_id) AS sessions, count(session_id) * CAST(100 AS DOUBLE) / count(*) AS ai_percent FROM bb GROUP BY 1, 2",
     "blame_sessions": BASE + BLAME + "SELECT repo_id, file_path, session_id, count(*) AS lines, min(line) AS first_line FROM bb WHERE session_id IS NOT NULL GROUP BY 1, 2, 3",

@@ -68,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "build_turns": over(lambda T: sessions.turn_durations(sessions.build_turns(T))),
     "commit_turns": over(sessions.commit_turns),
     "file_rows": over(sessions.file_rows),
+    "session_count": over(lambda T: sessions.session_count(T, filters.Filters(outcome="edited"))),
+    "session_stats": over(sessions.session_stats),
     "idle_gaps": over(sessions.idle_gaps),
     "turn_blocks": over(sessions.turn_blocks),
     "build_sessions": over(lambda T: maintenance.build_sessions(T.events)),

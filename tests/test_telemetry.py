@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns
-from fleetlens.operators import attribution, blame, changes, edits, filters, maintenance, metrics, normalize, sessions
+from fleetlens.operators import attribution, backfill, blame, changes, edits, filters, locate, maintenance, metrics, normalize, sessions
 from fleetlens.plans import derived, registry
 from fleetlens.sources import envelopes, git
 from fleetlens.sources.fixtures import Tables
@@ -155,7 +155,7 @@ def test_trimming_is_idempotent_and_redaction_leaks_nothing(spark):
 
 
 def test_columns(spark):
-    texts = [("❯ hello ", "hello"), ("<system-reminder>x", None), ("  ", None)]
+    texts = [("❯ hello ", "hello"), ("<command-name>x", None), ("  ", None), ("<environment_context>", None), ("Caveat: the messages below were generated by", None), ("<system-reminder>x", "<system-reminder>x")]
     assert [r[0] for r in spark.createDataFrame(texts, "t string, w string").select(columns.clean_prompt(F.col("t"))).collect()] == [w for _, w in texts]
     content = [('"a b"', "a b"), ('[{"type":"text","text":"x"},{"type":"image"},{"type":"text","text":"y"}]', "x\ny")]
     assert [r[0] for r in spark.createDataFrame(content, "t string, w string").select(columns.flatten_content(F.col("t"))).collect()] == [w for _, w in content]
@@ -163,6 +163,13 @@ def test_columns(spark):
     assert one.select(columns.is_trivial(F.lit(" }{ ")), columns.is_trivial(F.lit("é"))).head() == (True, False)
     assert one.select(columns.line_hash(F.lit("a\r")) == columns.line_hash(F.lit("a")), columns.norm_hash(F.lit("a b")) == columns.norm_hash(F.lit("ab"))).head() == (True, True)
     assert one.select(columns.moves_content(F.lit("git stash pop")), columns.moves_content(F.lit("git status")), columns.commits(F.lit("x && git commit -m y"))).head() == (True, False, True)
+    said = [("git log -- src/merge.py", False), ("git log --grep=commit", False), ("git -C a/b --no-pager checkout main", True), ("sudo /usr/bin/git -c k=v rebase x", True), ("digit merge", False), ("(git stash apply)", True), ("git stash list", False), ('"/opt/Git Tools/bin/git" pull', True)]
+    assert [r[0] for r in spark.createDataFrame(said, "t string, w boolean").select(columns.moves_content(F.col("t"))).collect()] == [w for _, w in said]
+    assert not one.select(columns.commits(F.lit("git log --grep=commit"))).head()[0]
+    tools = {"exec": "shell", "NotebookEdit": "edit", "view_image": "read", "SubagentHandback": "agent", "collaboration_x": "agent", "webrun": "web", "mcp__a": "mcp", "x": "other"}
+    assert {r[0]: r[1] for r in spark.createDataFrame([(t,) for t in tools], "t string").select("t", columns.tool_family(F.col("t"))).collect()} == tools
+    shapes = [("devin", "PostToolUse", '{"tool_name":"multiedit"}', "MultiEdit"), ("pi", "PostToolUse", '{"tool_name":"edit"}', None), ("cursor", "PostToolUse", '{"tool_name":"Edit"}', None), ("cursor", "afterFileEdit", '{"edits":[]}', "MultiEdit"), ("cursor", "afterFileEdit", '{"new_string":"x"}', "Edit"), ("cursor", "afterFileEdit", '{"content":"x"}', "Write"), ("cursor", "afterFileEdit", '{"content":1}', None), ("codex", "PostToolUse", '{"tool_name":"apply_patch"}', "apply_patch")]
+    assert [r[0] for r in spark.createDataFrame(shapes, "a string, e string, p string, w string").select(columns.range_tool(F.col("a"), F.col("e"), F.col("p"))).collect()] == [w for *_, w in shapes]
     assert one.select(columns.repo_name(F.lit("git@h:o/name.git"), F.lit("/a/b")), columns.repo_name(F.lit(None).cast("string"), F.lit("/a/b"))).head() == ("name", "b")
 
 
@@ -255,3 +262,78 @@ def test_line_origins(spark):
     lines = df.select("file", "version", F.posexplode(F.split("text", "\n")).alias("n", "t")).withColumn("line", F.col("n") + 1).selectExpr("file", "version", "cast(line as bigint) line")
     found = {(r["version"], versions[r["version"]][r["line"] - 1]): r["origin_version"] for r in changes.line_origins(aligned, lines).collect()}
     assert found[4, "a"] == 1 and found[3, "y"] == 3 and found[2, "x"] == 2 and found[3, "b"] == 1
+
+
+def test_file_path_of_an_event(spark):
+    patch = "*** Begin Patch\n*** Update File: p.py\n@@\n+x\n*** End Patch"
+    made = [("1", {"tool_input": {"file_path": "a"}}, "a"), ("2", {"tool_input": {"file_paths": ["b", "c"]}}, "b"), ("3", {"tool_name": "apply_patch", "tool_input": {"command": patch}}, "p.py"), ("4", {"tool_name": "Bash", "tool_input": {"command": "echo x > out.txt"}}, "out.txt"), ("5", {"tool_name": "Read"}, None)]
+    rows = spark.createDataFrame([(i, "codex", json.dumps(p), None) for i, p, _ in made], "id string, agent_slug string, payload string, file_path string")
+    assert got(normalize.with_file_path(rows).fillna("-"), "id", "file_path") == [(i, w or "-") for i, _, w in made]
+
+
+def test_redaction_keeps_allowed_shapes_only(spark):
+    held = {"model": {"prompt": "secret"}, "effort": "high", "workspace_roots": ["/a", "/b"], "file_paths": ["x", {"y": "secret"}], "command": "secret", "tool_input": {"file_path": "f", "command": "secret", "edits": [{"new_string": "a\nb\n"}], "timeout": 5}, "edits": [{"new_string": "c\n"}]}
+    rows = spark.createDataFrame([("1", json.dumps(held), None), ("2", "[1]", None), ("3", "{}", None)], "id string, payload string, lines_added long")
+    out = {r["id"]: r for r in normalize.redact_events(rows).collect()}
+    assert json.loads(out["1"]["payload"]) == {"effort": "high", "workspace_roots": ["/a", "/b"], "tool_input": {"file_path": "f", "timeout": 5}, "redacted": True} and out["1"]["lines_added"] == 3
+    assert json.loads(out["2"]["payload"]) == {"redacted": True, "raw_dropped": True} and json.loads(out["3"]["payload"]) == {"redacted": True}
+
+
+def test_edits_are_located_once_each(spark):
+    e = lambda *news: [("old", n) for n in news]
+    rows = [("1", "a\nb\nx\nb\n", e("b\n", "b\n", "zz\n", "")), ("2", "p\r\nq\r\n", e("p\nq\n")), ("3", None, e("x")), ("4", "xaaay", e("aa", "aa"))]
+    made = locate.locate_edits(spark.createDataFrame(rows, "event_id string, text string, edits array<struct<old_string:string,new_string:string>>"))
+    assert [tuple(r) for r in made.orderBy("event_id", "edit").collect()] == [("1", 0, 2, 2, 1), ("1", 1, 4, 4, 1), ("1", 2, None, None, 1), ("1", 3, None, None, 0), ("2", 0, 1, 2, 2), ("3", 0, None, None, 1), ("4", 0, 1, 1, 1), ("4", 1, None, None, 1)]
+
+
+def test_writes_against_their_bases(spark):
+    rows = [("1", "a\nb\nc\n", "a\nb\n", "z\n", "x\nb\nc\n"), ("2", "a\nb\n", None, None, "q\n"), ("3", "a\n", "x\n", "a\n", None), ("4", "", None, None, "")]
+    writes = spark.createDataFrame(rows, "event_id string, text string, snapshot string, head string, later string")
+    assert got(locate.nearest_base(writes), "event_id", "base", "added") == [("1", "snapshot", 1), ("2", "none", 2), ("3", "head", 0), ("4", "none", 0)]
+    assert got(locate.snapshot_placement(writes), "event_id", "line", "later_line") == [("1", 2, 2), ("1", 3, 3)]
+    marks = spark.createDataFrame([(["a", "b", "c", "d"], "e"), (["a"], "a"), (None, "x")], "m array<string>, c string")
+    assert [r[0] for r in marks.select(locate.counted_in(F.col("m"), F.col("c"))).collect()] == [["b", "c", "d", "e"], ["a"], ["x"]]
+    state = spark.createDataFrame([(1, at(0), 5), (2, at(0) - dt.timedelta(days=31), 5), (3, at(0), 2 << 20)], "id long, updated_at timestamp, size_bytes long")
+    assert got(locate.expire(state, at(0)), "id") == [(1,)]
+
+
+def test_backfills(spark, tables):
+    prompt = "session_id string, seq long, ts timestamp, agent_slug string, prompt_text string"
+    stored, script = spark.createDataFrame([("A", 2, at(1), "x", "one")], prompt), spark.createDataFrame([("A", 1, at(1), "x", "other"), ("B", 1, at(2), "x", "two")], prompt)
+    hooks = spark.createDataFrame([("B", None, at(3), "x", "no"), ("C", None, at(5), "x", "later"), ("C", None, at(4), "x", "first")], prompt)
+    assert got(backfill.fill_prompts(stored, script, hooks), "session_id", "seq", "prompt_text") == [("A", 2, "one"), ("B", 1, "two"), ("C", 1, "first"), ("C", 2, "later")]
+    fresh = spark.createDataFrame([("A", 2, at(9), "x", "again"), ("A", None, at(9), "x", "new"), ("D", None, at(9), "x", "d")], prompt)
+    assert got(backfill.upsert_prompts(stored, fresh), "session_id", "seq", "prompt_text") == [("A", 2, "one"), ("A", 3, "new"), ("D", 1, "d")]
+    summaries = spark.createDataFrame([("B", "m9", 1, 2, 3, 4), ("A", "no", 9, 9, 9, 9)], "session_id string, model_slug string, input_tokens long, output_tokens long, cache_read_tokens long, cache_creation_tokens long")
+    assert got(backfill.fill_sessions(tables.sessions, summaries).where("id in ('A', 'B')"), "id", "model_slug", "output_tokens") == [("A", "m", 10), ("B", "m9", 2)]
+    bare = tables.having(ranges=tables.ranges.withColumn("rel_file_path", F.when(F.col("id") == "g2", F.col("rel_file_path"))))
+    assert got(backfill.fill_rel_paths(bare.ranges, tables.events), "id", "rel_file_path") == [("g1", "a.py"), ("g2", "b.py")]
+    found = spark.createDataFrame([("e1", 0, 1, 2), ("e9", 0, 4, 6), ("e9", 1, None, None)], "event_id string, edit int, start_line int, end_line int")
+    assert got(backfill.fill_ranges(tables, found), "event_id", "start_line") == [("e1", 3), ("e3", 5), ("e9", 4)]
+    once = backfill.repair(tables, summaries)
+    twice = backfill.repair(once, summaries)
+    for name in ("sessions", "events", "ranges"):
+        assert sorted(map(str, getattr(once, name).collect())) == sorted(map(str, getattr(twice, name).collect()))
+
+
+def test_credit_by_file_and_lead_time(spark, tables):
+    assert got(sessions.file_rows(tables), "file_path", "generated", "committed") == [("a.py", 3, 3), ("b.py", 2, 0), ("c.py", 4, 0), ("d.py", 9, 0)]
+    rows = spark.createDataFrame([("c1", "A", at(0), 4), ("c1", "B", at(-90_000), 1), ("c2", "A", at(1500), 2), ("c2", "C", at(0), 0)], "commit_id string, session_id string, last_event_ts timestamp, lines_attributed long")
+    assert tuple(metrics.lead_time(tables, credited=rows).head()) == (3, 2, 1)
+    stats = {r["session_id"]: r for r in sessions.session_stats(tables).collect()}
+    assert stats["B"]["wall_minutes"] is None and stats["A"]["commits"] == 1 and stats["A"]["committed"] == 4 and stats["A"]["files"] == 2
+    assert sessions.session_count(tables).head()["n"] == 3
+    now, before = (spark.createDataFrame([v], "active_minutes double, edits long") for v in ((10.1, 5), (10.0, 0)))
+    assert got(metrics.with_delta(now, before).fillna("-"), "metric", "trend") == [("active_minutes", "flat"), ("edits", "-")]
+
+
+def test_recorded_lines_and_ancestors_of_rewrites(spark, tables):
+    owned = spark.createDataFrame([("c1", "a.py", 1, "A", "e1", at(0)), ("c1", "a.py", 2, "C", "e7", at(0))], "commit_id string, file_path string, line long, session_id string, event_id string, ts timestamp")
+    texts = spark.createDataFrame([("c1", "a.py", 1, "x = 1"), ("c1", "a.py", 2, "y")], "commit_id string, file_path string, line long, text string")
+    files = spark.createDataFrame([("c1", "C", "a.py", 0)], "commit_id string, session_id string, file_path string, lines_attributed long")
+    kept = attribution.recorded_lines(owned, texts, tables.having(extra={"commit_session_files": files}))
+    assert got(kept, "line", "session_id", "model_slug") == [(1, "A", "m")] and attribution.recorded_lines(owned, texts, tables).count() == 2
+    lines = spark.createDataFrame([("c1", "a.py", "one"), ("c2", "a.py", "one")], "commit_id string, file_path string, text string")
+    groups, above = attribution.checkout_groups(tables.repositories), spark.createDataFrame([("c2", "c1")], "id string, ancestor string")
+    assert attribution.carried_overlap(lines, tables.commits, groups).count() == 1 and attribution.carried_overlap(lines, tables.commits, groups, above).count() == 0
+    assert got(groups, "repo_id", "group_id") == [("q", "q"), ("r", "r")]
