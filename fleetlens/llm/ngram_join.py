@@ -212,8 +212,11 @@ def compare_tile(ids: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.nda
     return found
 
 
-def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None) -> DataFrame:
-    """(a, b): pairs that survive the bitmaps in lists (token, id, n) whose documents are in several classes."""
+def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs that survive the bitmaps in lists (token, id, n) whose documents are in several classes; and the rows of those lists.
+
+    A list whose documents are in one class stays so, whatever is linked later: a later round needs only the rows returned.
+    """
     labelled = lists.join(known, "id", "left").select("token", "id", "n", F.coalesce("class", "id").alias("class"))
     labelled = stash(labelled, "lists")
     shape = labelled.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("h2"))
@@ -244,7 +247,7 @@ def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None
         give_back()
 
     dealt = met.repartition("token", "pair").sortWithinPartitions("token", "pair")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long").distinct(), rows.select("token", "id", "n")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -315,9 +318,11 @@ def join(docs: DataFrame) -> DataFrame:
     near = f"{DEN} * least(n, first_n) >= {NUM} * greatest(n, first_n)"
     tried = stash(_bounded(lists.where("id <> first").where(near).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), sets), "tried")
     links = stash(_exact(tried, docs), "links")
+    open_rows = lists.select("token", "id", "n")
     for keep in (FIRST_CANDIDATES, None):
         known = classes(links)
-        fresh = stash(_tiled(lists.select("token", "id", "n"), sets, known, keep).join(tried, ["a", "b"], "left_anti"), "fresh")
+        met, open_rows = _tiled(open_rows, sets, known, keep)
+        fresh = stash(met.join(tried, ["a", "b"], "left_anti"), "fresh")
         found = stash(_exact(fresh, docs), "found")
         links, tried = links.union(found), tried.union(fresh)
     known = classes(links)
