@@ -22,13 +22,13 @@ from pyspark.sql.window import Window
 from .common import rank_within, stash
 
 #: Rounds of propagation at most; it usually settles before. A shard this full of one group is no longer a goal for its other members.
-ROUNDS, FULL = 24, 0.98
+ROUNDS, FULL = 12, 0.98
 #: Groups with more rows than one in so many are joined by broadcast: there are at most HEAVY of them.
 HEAVY = 1000
 #: Rows of a group that are ranked in one piece.
 PIECE = 10_000
 #: Propagation has settled when a round moves fewer than one row in so many.
-SETTLED = 2_000
+SETTLED = 1_000
 
 
 def _join_groups(rows: DataFrame, per_group: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -56,16 +56,20 @@ def assign(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int =
         held = state.where("group is not null").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("c"))
         tally = held.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("tally"))  # at most `shards` entries
         seen = _join_groups(state.where("group is not null"), tally, heavy)
-        # The goal: of the shards that aren't full of the group, that with most of it; ties by a hash that all members share.
+        # The goal: the shard with most of the group; ties by a hash that all members share. A group that needs several
+        # shards has as many goals, and members elsewhere deal themselves out to those that aren't full of it.
         order = F.array_sort(
             F.transform(
-                F.filter(F.map_entries("tally"), lambda e: e["value"] < F.lit(full)),
+                F.map_entries("tally"),
                 lambda e: F.struct((-e["value"]).alias("c"), F.xxhash64("group", e["key"]).alias("h"), e["key"].alias("k")),
             )
         )
         here = F.element_at("tally", F.col("shard"))
-        best = F.get(order, 0)
-        goal = F.when((here >= F.lit(full)) | best.isNull(), F.col("shard")).otherwise(best["k"])
+        goals = F.slice(order, 1, F.ceil(F.col("size") / full).cast("int"))
+        free_goals = F.filter(goals, lambda e: -e["c"] < F.lit(full))
+        best = F.get(free_goals, F.pmod(F.xxhash64("id", F.lit("goal")), F.greatest(F.size(free_goals), F.lit(1))).cast("int"))
+        home = F.exists(goals, lambda e: e["k"] == F.col("shard"))
+        goal = F.when(home | best.isNull(), F.col("shard")).otherwise(best["k"])
         asked = seen.select("id", "group", "size", "shard", here.alias("here"), goal.alias("goal"), (-best["c"] - here + 1).alias("gain"))
         # Links won by a wish; links lost by a row that leaves, which is what it has in its shard.
         step = lambda x: F.when(x > 0, F.floor(F.log2(x.cast("double"))).cast("int") + 1).otherwise(F.lit(0))
