@@ -28,7 +28,7 @@ HEAVY = 1000
 #: Rows of a group that are ranked in one piece.
 PIECE = 10_000
 #: Propagation has settled when a round moves fewer than one row in so many.
-SETTLED = 1_000
+SETTLED = 200
 
 
 def _join_groups(rows: DataFrame, per_group: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -73,12 +73,12 @@ def assign(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int =
         asked = seen.select("id", "group", "size", "shard", here.alias("here"), goal.alias("goal"), (-best["c"] - here + 1).alias("gain"))
         # Links won by a wish; links lost by a row that leaves, which is what it has in its shard.
         step = lambda x: F.when(x > 0, F.floor(F.log2(x.cast("double"))).cast("int") + 1).otherwise(F.lit(0))
-        wishes = asked.where("goal <> shard and gain > 0").select("id", "group", "size", "shard", "goal", step(F.col("gain")).alias("step"))
-        rest = asked.where("not (goal <> shard and gain > 0)").select("id", "group", "size", "shard", F.lit(-1).alias("goal"), step(F.col("here") - 1).alias("step"))
+        wish = (F.col("goal") != F.col("shard")) & (F.col("gain") > 0)
+        linked_rows = asked.select("id", "group", "size", "shard", F.when(wish, F.col("goal")).otherwise(F.lit(-1)).alias("goal"), F.when(wish, step(F.col("gain"))).otherwise(step(F.col("here") - 1)).alias("step"))
         free = state.where("group is null").select("id", "group", "size", "shard", F.lit(-1).alias("goal"), F.lit(0).alias("step"))
         # Members of a group are ranked side by side, so that what must leave leaves together.
         piece = F.xxhash64("group", F.pmod("id", F.ceil(F.coalesce("size", F.lit(1)) / PIECE)), F.when(F.col("group").isNull(), F.col("id")))
-        movers = stash(wishes.unionByName(rest).unionByName(free).withColumn("piece", piece), "wishes")
+        movers = stash(linked_rows.unionByName(free).withColumn("piece", piece), "wishes")
         ranked = stash(rank_within(movers, ["shard", "goal", "step"], ["group", "id"], "rank", salt=F.col("piece")), "movers")
         counts = {(r["shard"], r["goal"], r["step"]): r["n"] for r in ranked.groupBy("shard", "goal", "step").agg(F.count(F.lit(1)).alias("n")).collect()}  # shards x shards x 64 at most
         plan = _plan(counts, shards)
