@@ -12,6 +12,9 @@ from ..functions.columns import norm_hash
 from ..sources.fixtures import Tables
 
 
+SESSION_FILE = ["repo_id", "file_path", "session_id"]
+
+
 def whole_second(ts: Column) -> Column:
     return F.floor(F.unix_micros(ts) / 1_000_000)
 
@@ -30,18 +33,65 @@ def next_at(edits: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
     return both.withColumn("next_at", F.min("mark").over(after)).where("mark is null").drop("mark")
 
 
-def candidate_ranges(T: Tables) -> DataFrame:
+def candidate_ranges(T: Tables, recorded: DataFrame | None = None) -> DataFrame:
     """(commit_id, file_path, event_id, session_id, ts, start_line, end_line): ranges that a commit may have taken.
 
     An edit's range belongs to the first commit of its repository and file at or after it, in
     whole seconds; commits of the same second all get it. Empty ranges and edits without a session don't count.
+    recorded, the rows of earlier attribution (commit_id, session_id, file_path, lines_attributed), holds
+    commits that gave their lines up and so don't end a session's window (see beyond_given_up).
     """
     of = T.events.where("session_id is not null and repo_id is not null").select(F.col("id").alias("event_id"), "session_id", "repo_id", "ts")
     spans = T.ranges.where("end_line >= start_line").select("event_id", F.col("rel_file_path").alias("file_path"), "start_line", "end_line")
     edits = spans.join(of, "event_id").withColumn("at", whole_second(F.col("ts")))
     commits = file_commits(T)
-    dated = next_at(edits, commits, ["repo_id", "file_path"]).where("next_at is not null").drop("at")
-    return dated.join(commits.withColumnRenamed("at", "next_at"), ["repo_id", "file_path", "next_at"]).select("commit_id", "file_path", "event_id", "session_id", "ts", "start_line", "end_line")
+    names = ["commit_id", "file_path", "event_id", "session_id", "ts", "start_line", "end_line"]
+    if recorded is None:
+        return _first_commits(edits, commits, ["repo_id", "file_path"]).select(*names)
+    soft = given_up(T, recorded)
+    keys = soft.select(*SESSION_FILE).distinct()
+    plain = _first_commits(edits.join(keys, SESSION_FILE, "left_anti"), commits, ["repo_id", "file_path"])
+    return plain.select(*names).unionByName(beyond_given_up(edits.join(keys, SESSION_FILE, "left_semi"), commits, soft).select(*names))
+
+
+def _first_commits(edits: DataFrame, commits: DataFrame, keys: list[str]) -> DataFrame:
+    """edits (keys, at, ...) with the commit_id of every commit (keys, at, commit_id) of the first second at or after."""
+    dated = next_at(edits, commits, keys).where("next_at is not null")
+    return dated.join(commits.select(*keys, "commit_id", F.col("at").alias("next_at")), [*keys, "next_at"])
+
+
+def given_up(T: Tables, recorded: DataFrame) -> DataFrame:
+    """(repo_id, file_path, session_id, commit_id, at, only): commits whose row for a session and file is at zero while another commit of the repository has one, no earlier; only: that other, if it is the only one.
+
+    Others are counted with a window over the rows of a session and file from the commit's second on.
+    """
+    of = T.commits.select(F.col("id").alias("commit_id"), "repo_id", whole_second(F.col("committed_at")).alias("at"))
+    rows = recorded.groupBy("commit_id", "session_id", "file_path").agg(F.min("lines_attributed").alias("least")).join(of, "commit_id")
+    later = Window.partitionBy(*SESSION_FILE).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = rows.withColumns({"n": F.count(F.lit(1)).over(later), "lo": F.min("commit_id").over(later), "hi": F.max("commit_id").over(later)})
+    other = F.when(F.col("n") == 2, F.when(F.col("lo") == F.col("commit_id"), F.col("hi")).otherwise(F.col("lo")))
+    return seen.where("least = 0 and n >= 2").select(*SESSION_FILE, "commit_id", "at", other.alias("only"))
+
+
+def beyond_given_up(edits: DataFrame, commits: DataFrame, soft: DataFrame) -> DataFrame:
+    """edits (repo_id, file_path, session_id, event_id, at, ...) with each commit_id whose window no commit of the file has closed.
+
+    soft (of given_up) commits close no window, except that one with a single other commit still closes that other's.
+    A session's windows thus run over its soft commits up to the first that isn't; edits of sessions and files without soft commits don't belong here.
+    """
+    keys = soft.select(*SESSION_FILE).distinct()
+    mine = commits.join(keys, ["repo_id", "file_path"])
+    hard = mine.join(soft, [*SESSION_FILE, "commit_id"], "left_anti")
+    passed = mine.join(soft, [*SESSION_FILE, "commit_id"], "left_semi").select(*SESSION_FILE, "commit_id", F.col("at").alias("commit_at"))
+    dated = next_at(edits, hard, SESSION_FILE)
+    ends = dated.join(hard.select(*SESSION_FILE, "commit_id", F.col("at").alias("commit_at")).withColumn("next_at", F.col("commit_at")), [*SESSION_FILE, "next_at"])
+    between = dated.join(passed, SESSION_FILE).where("commit_at >= at and (next_at is null or commit_at <= next_at)")
+    reached = ends.unionByName(between)
+    # A soft commit needs a row of the file to stand before its only other.
+    closers = mine.select(*SESSION_FILE, "commit_id", "at").join(soft.where("only is not null").select(*SESSION_FILE, "commit_id", "only"), [*SESSION_FILE, "commit_id"])
+    later = commits.select("repo_id", "file_path", F.col("commit_id").alias("only"), F.col("at").alias("only_at"))
+    closed = closers.join(later, ["repo_id", "file_path", "only"]).where("at < only_at").groupBy(*SESSION_FILE, F.col("only").alias("commit_id")).agg(F.max("at").alias("closed_at"))
+    return reached.join(closed, [*SESSION_FILE, "commit_id"], "left").where("closed_at is null or closed_at < at").drop("closed_at")
 
 
 def added_lines(T: Tables) -> DataFrame:

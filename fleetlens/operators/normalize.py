@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import SHELL_TOOLS, canonical_tool, event_type_col, newlines, pick_string
+from .agents import normalize_payloads
 
 # Payload keys that hold a tool's output, and the scalar keys of it that are kept.
 OUTPUT_KEYS = ("tool_response", "tool_output", "tool_result", "toolResult")
@@ -32,13 +33,13 @@ def parse_envelopes(envelopes: DataFrame) -> DataFrame:
     """Events from envelopes (agent, cwd, received_at, payload base64): id, session_id, ts, event_type, agent_slug, cwd, model, payload.
 
     A blank payload is a misfire, without session or payload; text that isn't JSON is kept as
-    {"raw": text}. The id is a hash of the envelope, so a replay repeats it. Records whose time can't be read are dropped.
+    {"raw": text}; payloads of agents with names of their own are brought to the canonical form. The id is a hash of the envelope, so a replay repeats it. Records whose time can't be read are dropped.
     """
     text = F.unbase64("payload").cast("string")
     rows = envelopes.withColumn("text", text).withColumn("ts", F.try_to_timestamp("received_at")).where("ts is not null")
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
     body = F.when(F.try_parse_json(F.col("text")).isNull(), F.to_json(F.struct(F.col("text").alias("raw")))).otherwise(F.col("text"))
-    named = rows.withColumn("payload", F.when(~blank, body))
+    named = normalize_payloads(rows.withColumns({"payload": F.when(~blank, body), "agent_slug": F.col("agent")}))
     p = F.col("payload")
     return named.select(
         F.sha2(F.concat_ws("\x1f", "agent", "received_at", "text"), 256).alias("id"), pick_string(p, "$.session_id", "$.sessionId", "$.conversation_id").alias("session_id"), "ts",

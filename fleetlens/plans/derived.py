@@ -17,6 +17,19 @@ def envelopes(T: Tables) -> DataFrame:
     return T.events.select(F.col("agent_slug").alias("agent"), F.lit("/w").alias("cwd"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("received_at"), F.base64(body.cast("binary")).alias("payload"))
 
 
+def native_payloads(T: Tables) -> DataFrame:
+    """Every event about a file as a report of an edit (on even days) or a new file, in the names and shapes of its own agent."""
+    edit = F.dayofmonth("ts") % 2 == 0
+    field = lambda name, value: F.when(value.isNotNull(), value).alias(name)
+    said = lambda path, old, new, whole: F.struct(F.col("file_path").alias(path), field(old, F.when(edit, F.lit(""))), field(new, F.when(edit, F.col("id"))), field(whole, F.when(~edit, F.col("id"))))
+    name = lambda a, b: F.when(edit, a).otherwise(b)
+    pi = F.to_json(F.struct(name("edit", "write").alias("tool_name"), said("path", "oldText", "newText", "content").alias("tool_input")))
+    copilot = F.to_json(F.struct(name("str_replace", "create").alias("toolName"), F.to_json(said("path", "old_str", "new_str", "file_text")).alias("toolArgs"), F.lit("done").alias("toolResult")))
+    other = F.to_json(F.struct(name("Edit", "Write").alias("tool_name"), said("file_path", "old_string", "new_string", "content").alias("tool_input")))
+    shaped = F.when(F.col("agent_slug") == "pi", pi).when(F.col("agent_slug") == "github-copilot", copilot).otherwise(other)
+    return T.events.where("file_path is not null").select("id", "agent_slug", F.lit("/w").alias("cwd"), shaped.alias("payload"))
+
+
 def commit_log(T: Tables) -> DataFrame:
     parent = F.lag("sha").over(Window.partitionBy("repo_id").orderBy("committed_at", "id"))
     when = F.date_format("committed_at", "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -28,6 +28,10 @@ CASE WHEN payload IS NOT NULL THEN concat('{', array_to_string(list_filter(['"to
     "resolve_paths": BASE + "SELECT id, file_path, CASE WHEN file_path IS NOT NULL THEN split_part(file_path, '/', 3) END AS repo, rel_file_path AS rel FROM ev",
     "parse_envelopes": BASE + f"""SELECT session_id, ts, CASE WHEN payload IS NULL THEN 'hook_misfire' ELSE event_type END AS event_type, agent_slug, {_MODEL} AS model, count(*) AS n FROM ev WHERE event_type <> 'hook_misfire' GROUP BY ALL
 UNION ALL SELECT NULL, ts, 'hook_misfire', agent_slug, NULL, count(*) FROM ev WHERE event_type = 'hook_misfire' GROUP BY ALL""",
+    "normalize_payloads": BASE + """, t AS (SELECT *, day(ts) % 2 = 0 AS edit FROM ev WHERE file_path IS NOT NULL)
+SELECT id, CASE WHEN agent_slug = 'github-copilot' THEN 'PostToolUse' END AS event, CASE WHEN edit THEN 'Edit' ELSE 'Write' END AS tool,
+CASE WHEN agent_slug = 'github-copilot' THEN CASE WHEN edit THEN 'str_replace' ELSE 'create' END END AS copilot_tool, CASE WHEN agent_slug = 'pi' THEN CASE WHEN edit THEN 'edit' ELSE 'write' END END AS pi_tool,
+file_path, CASE WHEN edit THEN '' END AS old_string, CASE WHEN edit THEN id END AS new_string, CASE WHEN NOT edit THEN id END AS content FROM t""",
     "parse_commit_log": BASE + ", p AS (SELECT *, lag(sha) OVER (PARTITION BY repo_id ORDER BY committed_at, id) AS parent_sha FROM commits) SELECT sha, parent_sha, author_email, author_name, committed_at, 'work on ' || id AS message FROM p",
     "parse_numstat": BASE + "SELECT commit_id, CAST(sum(lines_added) AS BIGINT) AS lines_added, CAST(sum(lines_removed) AS BIGINT) AS lines_removed, count(*) AS files_changed FROM commit_files GROUP BY 1",
     "parse_unified_diff": BASE + "SELECT commit_id, file_path, unnest(generate_series(1, lines_added)) AS line_no, 'line ' || unnest(generate_series(1, lines_added)) AS text FROM commit_files WHERE lines_added > 0",

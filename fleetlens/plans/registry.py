@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import attribution, blame, changes, filters, maintenance, metrics, normalize, sessions
+from ..operators import agents, attribution, blame, changes, filters, maintenance, metrics, normalize, sessions
 from ..operators.edits import ai_edits_scored
 from ..sources import git
 from ..sources.fixtures import Tables, load
@@ -82,6 +82,10 @@ QUERIES: dict[str, Query] = {
     "redact_events": over(lambda T: normalize.redact_events(T.events).select("id", "session_id", "event_type", "lines_added", "payload")),
     "resolve_paths": over(lambda T: normalize.resolve_paths(T.events.select("id", "file_path"), T.repositories)),
     "parse_envelopes": over(lambda T: normalize.parse_envelopes(derived.envelopes(T)).groupBy("session_id", "ts", "event_type", "agent_slug", "model").agg(F.count(F.lit(1)).alias("n"))),
+    "normalize_payloads": over(lambda T: agents.normalize_payloads(derived.native_payloads(T)).select(
+        "id", *[F.get_json_object("payload", f"$.{path}").alias(name) for name, path in (
+            ("event", "hook_event_name"), ("tool", "tool_name"), ("copilot_tool", "copilot_tool_name"), ("pi_tool", "pi_tool_name"), ("file_path", "tool_input.file_path"),
+            ("old_string", "tool_input.old_string"), ("new_string", "tool_input.new_string"), ("content", "tool_input.content"))])),
     "parse_commit_log": over(lambda T: git.parse_commit_log(derived.commit_log(T))),
     "parse_numstat": over(lambda T: git.commit_totals_of(git.parse_numstat(derived.numstat(T)))),
     "parse_unified_diff": over(lambda T: git.parse_unified_diff(derived.diffs(T))),
