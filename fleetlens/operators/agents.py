@@ -185,5 +185,9 @@ def normalize_pi(events: DataFrame) -> DataFrame:
 
 
 def normalize_payloads(events: DataFrame) -> DataFrame:
-    """events (agent_slug, cwd, payload, ...) with each agent's payloads in canonical form; other agents' are as they were. One pass, no shuffle."""
+    """events (agent_slug, cwd, payload, ...) with each agent's payloads in canonical form; other agents' are as they were. One pass, no shuffle.
+
+    Write the result before filtering on its payload: a filter that Catalyst pushes below these
+    projections repeats their expressions, and planning becomes slow.
+    """
     return normalize_pi(normalize_copilot(events))
