@@ -110,6 +110,24 @@ def rank_within(df: DataFrame, keys: list[str], by: list[str], out: str, salts:
     return ranked.join(bases, on).select(*[ranked[c] for c in df.columns], (F.col("__base") + F.col("__k") - 1).alias(out))
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs + __row, a number of its own for each row that ascends with doc_id, and whether ids repeat.
+
+    Unique ids are these numbers themselves, a null one as NULL_ID. Where ids repeat, rows are counted
+    from 0 in ascending order of doc_id (null first), those with equal ids in the order in which
+    they are read; the counting moves numbers only, and a frequent id is spread over all tasks.
+    """
+    own = F.coalesce("doc_id", F.lit(NULL_ID))
+    if docs.groupBy(own.alias("__id")).count().where("count > 1").isEmpty():
+        return docs.withColumn("__row", own), False
+    held = stash(docs.withColumn("__read", F.monotonically_increasing_id()), "rows")
+    keys = held.select(own.alias("__id"), "__read")
+    counts = stash(keys.groupBy("__id").agg(F.count(F.lit(1)).alias("__n")), "counts")
+    before = running_start(counts, "__id", "__n", "__before").select("__id", "__before")
+    numbers = rank_within(keys, ["__id"], ["__read"], "__k").join(before, "__id").select("__read", (F.col("__before") + F.col("__k")).alias("__row"))
+    return stash(held.join(numbers, "__read").select(*docs.columns, "__row"), "rows"), True
+
+
 def map_texts(docs: DataFrame, carried: list[str], fields: list[tuple[str, pa.DataType, str]], setup: Callable[[], Callable[[list], list[tuple]]]) -> DataFrame:
     """The carried columns of docs as they are + fields (name, Arrow type, SQL type), one row for each row of docs.
 

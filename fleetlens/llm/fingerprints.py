@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, range_bucket, range_splits, shuffle_partitions, stash, words_pattern
+from .common import NULL_ID, range_bucket, range_splits, shuffle_partitions, stash, told_apart
 
 #: Samples in a signature, words in a term.
 SAMPLES, TERM_WORDS = 16, 2
@@ -110,15 +110,15 @@ def next_ids(ids: DataFrame, col: str) -> DataFrame:
 
 
 def edited_pairs(docs: DataFrame) -> DataFrame:
-    """(doc_id, next_id, n_chars, text, edited): each text and its edited form.
+    """(id, next_id, n_chars, text, edited) for docs (id, text), no id null or twice: each text and its edited form.
 
     Edited: the last floor(n_chars / 3) code points give way to the first as many, or all,
     of the next document's. Text is shuffled once; only the prefixes asked for travel on.
     """
-    held = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    held = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     # Terms are counted where the text lies, so partitions are cut small enough for their hash tables.
     laid = held.repartition(SMALLER * shuffle_partitions(docs.sparkSession), "id")
-    follow = stash(next_ids(held.select("id").distinct(), "id"), "next")
+    follow = stash(next_ids(held.select("id"), "id"), "next")
     asked = held.select("id", F.char_length("text").alias("n")).join(follow, "id")
     asks = asked.select(F.col("next_id").alias("__of"), F.col("id").alias("__for"), "next_id", F.col("n").alias("n_chars"), F.floor(F.col("n") / 3).cast("int").alias("__need"))
     given = laid.join(asks.hint("shuffle_hash"), laid["id"] == asks["__of"]).select("__for", "next_id", "n_chars", "__need", F.col("text").substr(F.lit(1), F.col("__need")).alias("__tail"))
@@ -130,21 +130,23 @@ def edited_pairs(docs: DataFrame) -> DataFrame:
 def edited_fingerprints(docs: DataFrame, samples: int = SAMPLES, n: int = TERM_WORDS) -> DataFrame:
     """Fingerprints of every text and of its edited form, and how near they are.
 
-    doc_id is taken to be unique: rows that repeat an id and its text are one document, rows
-    with one id and unlike texts are pooled. Null id: ordered before all others. Null text: empty.
+    Rows that repeat a doc_id are documents of their own, one after another in the order of ids.
+    A null id is the smallest. Null text: empty.
     """
-    pairs = edited_pairs(docs)
+    docs, repeated = told_apart(docs.select("doc_id", "text"))
+    pairs = edited_pairs(docs.select(F.col("__row").alias("id"), "text"))
     forms = pairs.select("id", F.inline(F.array(F.struct(F.lit(False).alias("form"), F.col("text").alias("body")), F.struct(F.lit(True).alias("form"), F.col("edited").alias("body")))))
     words = forms.select("id", "form", F.explode_outer(terms(F.col("body"), n)).alias("__term"))
     bags = words.groupBy("id", "form", "__term").agg(F.count(F.lit(1)).alias("__weight"))
     sigs = signatures(bags, ["id", "form"], "__term", "__weight", samples)
     pick = lambda form: F.max(F.when(F.col("form") == form, F.col("sig")))
     both = sigs.groupBy("id").agg(pick(False).alias("sig"), pick(True).alias("edited_sig"))
-    facts = pairs.select("id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256")).dropDuplicates(["id"])
+    facts = pairs.select("id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     rows = stash(both.join(facts.hint("shuffle_hash"), "id"), "fingerprints")
     following = rows.select(F.col("id").alias("next_id"), F.col("sig").alias("next_sig"))
+    rows = rows.join(docs.select(F.col("__row").alias("id"), "doc_id"), "id") if repeated else rows.withColumn("doc_id", F.when(F.col("id") != NULL_ID, F.col("id")))
     return rows.join(following, "next_id").select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
+        "doc_id", "n_chars", "edited_sha256",
         as_text(F.col("sig")).alias("fingerprint"), as_text(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig"), samples).alias("near_edited"), likeness(F.col("sig"), F.col("next_sig"), samples).alias("near_next"),
     )
