@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NULL_ID, give_back, range_bucket, stash
+from .common import NULL_ID, give_back, range_bucket, stash, told_apart
 
 #: Words in a shingle; two sets link if DEN * intersection >= NUM * union (the prefix and the bound on differing bits are for 3/4).
 SHINGLE, NUM, DEN = 5, 3, 4
@@ -123,10 +123,10 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return s[order], seen[order]
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is in ids (a stored table), without shuffling text while ids are few."""
+def _only(docs: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
+    """The rows of docs whose key is in ids (a stored table), without shuffling text while ids are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "id", "left_semi")
+    return docs.join(F.broadcast(ids) if few else ids, key, "left_semi")
 
 
 def classes(links: DataFrame) -> DataFrame:
@@ -295,14 +295,12 @@ def linked(x: np.ndarray, y: np.ndarray) -> bool:
     return DEN * common >= NUM * (len(both) - common)
 
 
-def join(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
+def components(docs: DataFrame) -> DataFrame:
+    """(id, n, class) for each row of docs (id, text), no id null or twice: the size of its set and the smallest id that links reach.
 
-    Null or wordless text: an empty set, linked with nothing, its own component. Equal texts are
-    linked. A null id counts as NULL_ID inside and comes back null. Rows with equal ids should not
-    occur; such rows share a component.
+    Null or wordless text: an empty set, linked with nothing. Equal texts are linked.
     """
-    docs = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    docs = docs.select("id", F.coalesce("text", F.lit("")).alias("text"))
     keys = stash(docs.select("id", F.md5("text").alias("key")), "keys")
     firsts = stash(keys.groupBy("key").agg(F.min("id").alias("id")), "firsts")
     texts = _only(docs, firsts.select("id"))
@@ -327,16 +325,31 @@ def join(docs: DataFrame) -> DataFrame:
         links, tried = links.union(found), tried.union(fresh)
     known = classes(links)
     per_text = firsts.join(sets.select("id", "n"), "id").join(known, "id", "left").select("key", F.col("n").cast("long").alias("n"), F.coalesce("class", "id").alias("class"))
-    out = keys.join(per_text, "key").select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class")).alias("class"))
+    return keys.join(per_text, "key").select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("class")).alias("class"))
+
+
+def join(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
+
+    Null or wordless text: an empty set, linked with nothing, its own component. Equal texts are
+    linked. A null id is the smallest. Rows that repeat an id are documents of their own: they share
+    a component only if their texts' links say so.
+    """
+    docs, repeated = told_apart(docs.select("doc_id", "text"))
+    out = components(docs.select(F.col("__row").alias("id"), "text"))
+    if repeated:
+        own = docs.select(F.col("__row").alias("id"), "doc_id")
+        firsts = docs.select(F.col("__row").alias("class"), F.col("doc_id").alias("component_id"))
+        return out.join(own, "id").join(firsts, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("class").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, that of its smallest doc_id; columns as they were."""
-    kept = stash(join(docs).where("doc_id <=> component_id").select("doc_id").distinct(), "kept")
-    few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(kept) if few else kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """One row of docs for each component, that of its smallest doc_id (one of them, if it repeats); columns as they were."""
+    docs, _ = told_apart(docs)
+    kept = stash(components(docs.select(F.col("__row").alias("id"), "text")).where("id = class").select(F.col("id").alias("__row")), "kept")
+    return _only(docs, kept, "__row").select(*docs.columns).drop("__row")
 
 
 SQL = r"""

@@ -353,6 +353,48 @@ def test_toxicity(docs, empty, spark):
     assert flat.weights == {} and toxicity.score(empty, flat).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    """Every operator gives a row for each row: repeated whole, the same id with another text, several null ids."""
+    texts = [" ".join(words(i, 120)) for i in range(6)]
+    made = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0])] * 2 + [(2, " ".join(words(50, 130))), (3, texts[4]), (None, texts[1]), (None, texts[5]), (None, None)]
+    docs = spark.createDataFrame([(k, t, "en", "a", 1, "x", 2, 3, "t", 5, "y", "s", 1) for k, t in made], SCHEMA).repartition(3)
+    n = len(made)
+    held = [(common.NULL_ID if k is None else k, t) for k, t in made]
+    sizes, root = brute_components([t for _, t in held])
+    least = {r: min(k for (k, _), own in zip(held, root) if own == r) for r in root}
+    real = lambda k: None if k == common.NULL_ID else k
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect())
+    assert got == Counter((real(k), s, real(least[r])) for (k, _), s, r in zip(held, sizes, root))
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(real(least[r]) for r in set(root))
+
+    prints = fingerprints.edited_fingerprints(docs).collect()
+    assert Counter((r["doc_id"], r["n_chars"]) for r in prints) == Counter((k, len(t or "")) for k, t in made)
+    assert len({r["fingerprint"] for r in prints}) == len({t or "" for _, t in made})
+    # Each is followed by a row of its own or the next smaller id, so all edits come from such a neighbour.
+    down = sorted({k for k, _ in held}, reverse=True)
+    for r in prints:
+        k = common.NULL_ID if r["doc_id"] is None else r["doc_id"]
+        at = down.index(k)
+        near = [t or "" for j, t in held if j in (k, down[(at + 1) % len(down)])]
+        mine = [t or "" for j, t in held if j == k and len(t or "") == r["n_chars"]]
+        edits = {hashlib.sha256((t[: len(t) - len(t) // 3] + after[: len(t) // 3]).encode()).hexdigest() for t in mine for after in near}
+        assert r["edited_sha256"] in edits
+
+    path = f"{common.scratch_dir(spark)}/t{random.random()}"
+    simple8b.write_tokens(docs, path, tokenizer_path(), end_id=1)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(6)] + [(0, 0), (None, 1)], "doc_id long, toxic int")
+    ids = Counter(k for k, _ in made)
+    for table in (sharding.shard_documents(docs), quality.judge(docs), langid.identify(docs, langid.learned(docs)), mixing.mix(docs), toxicity.score(docs, toxicity.train(docs, marks))):
+        assert Counter(r["doc_id"] for r in table.select("doc_id").collect()) == ids
+    digests = Counter((real(r["doc_id"]), r["ids_crc32"]) for r in simple8b.token_digests(spark, path).collect())
+    assert digests == Counter((k, zlib.crc32(np.asarray(reference_ids(t, 1), dtype="<u4").tobytes())) for k, t in made)
+    placed = packing.pack_documents(docs, tokenizer_path(), 0).select("doc_id", "sequence_id", "offset").collect()
+    assert Counter(r["doc_id"] for r in placed) == ids and len({(r["sequence_id"], r["offset"]) for r in placed}) == n
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (1, "http://b.org/fr/x"), (None, "http://b.org/fr/x"), (None, None)], "page_id long, url string")
+    assert url_filter.judge(pages).count() == 5
+
+
 def test_pipeline(docs, empty, spark, tmp_path):
     import corpus_pipeline
 
