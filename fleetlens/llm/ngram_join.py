@@ -10,6 +10,7 @@
    between tiles of such bands, parity bitmaps bound the overlap from above by bit counts: bits that
    differ are shingles that differ, and J >= 3/4 allows (|A| + |B|) / 7 of those. Pairs that survive
    and lie in different classes are settled by intersecting the sorted arrays of their shingles.
+   A first round takes the nearest few candidates of each document, a second all those of lists where there were more.
    Comparing all of these makes the classes exact; pairs inside a class could add nothing.
 """
 
@@ -179,8 +180,11 @@ def _words(column: pa.Array) -> list[np.ndarray]:
     return [data[lo:hi].view(np.uint64) for lo, hi in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def compare_tile(ids: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.ndarray, bits: list[np.ndarray], cross: bool, keep: int | None) -> list[tuple[int, int]]:
-    """Pairs of ids (smaller first) that sizes n, classes and bitmaps let pass, only between tiles if cross; the nearest `keep` of each document."""
+def compare_tile(ids: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.ndarray, bits: list[np.ndarray], cross: bool, keep: int | None, cut: list[int] | None = None) -> list[tuple[int, int]]:
+    """Pairs of ids (smaller first) that sizes n, classes and bitmaps let pass, only between tiles if cross; the nearest `keep` of each document.
+
+    cut gets the ids of documents that had more than `keep`.
+    """
     order = np.argsort(n, kind="stable")
     ids, n, group, tile = ids[order], n[order].astype(np.int64), group[order], tile[order]
     tops = np.searchsorted(n, n * DEN // NUM, side="right")  # partners of k are k + 1 to tops[k] - 1
@@ -208,14 +212,17 @@ def compare_tile(ids: np.ndarray, n: np.ndarray, group: np.ndarray, tile: np.nda
         j, far = j[near], far[near]
         if keep and len(j) > keep:
             j = j[np.argsort(far, kind="stable")[:keep]]
+            if cut is not None:
+                cut.append(int(ids[k]))
         found.extend((int(min(ids[k], ids[x])), int(max(ids[k], ids[x]))) for x in j)
     return found
 
 
 def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None) -> tuple[DataFrame, DataFrame]:
-    """(a, b): pairs that survive the bitmaps in lists (token, id, n) whose documents are in several classes; and the rows of those lists.
+    """(a, b): pairs that survive the bitmaps in lists (token, id, n) whose documents are in several classes; and the rows of lists still to compare.
 
-    A list whose documents are in one class stays so, whatever is linked later: a later round needs only the rows returned.
+    Those are the lists in which a document had more than `keep` partners. In any other, all pairs that may link are among the
+    pairs returned, and a list whose documents are in one class stays so: a later round needs neither.
     """
     labelled = lists.join(known, "id", "left").select("token", "id", "n", F.coalesce("class", "id").alias("class"))
     labelled = stash(labelled, "lists")
@@ -240,14 +247,18 @@ def _tiled(lists: DataFrame, sets: DataFrame, known: DataFrame, keep: int | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_key(batches, ["token", "pair"]):
             ids, n, group, tile = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("id", "n", "class", "second"))
-            cross = bool(tile.any())
-            if found := compare_tile(ids, n, group, tile, _words(rows.column("bits")), cross, keep):
+            cross, cut = bool(tile.any()), []
+            if found := compare_tile(ids, n, group, tile, _words(rows.column("bits")), cross, keep, cut):
                 a, b = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int64())], names=["a", "b", "cut"])
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), rows.column("token").slice(0, 1)], names=["a", "b", "cut"])
         give_back()
 
     dealt = met.repartition("token", "pair").sortWithinPartitions("token", "pair")
-    return dealt.mapInArrow(run, "a long, b long").distinct(), rows.select("token", "id", "n")
+    made = stash(dealt.mapInArrow(run, "a long, b long, cut long"), "met")
+    cut = made.where("cut is not null").select(F.col("cut").alias("token")).distinct()
+    return made.where("cut is null").select("a", "b").distinct(), rows.select("token", "id", "n").join(cut, "token", "left_semi")
 
 
 def _bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
