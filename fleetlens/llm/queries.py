@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, ngram_join, packing, quality, sharding, simple8b, toxicity, url_filter
+from . import fingerprints, langid, mixing, ngram_join, packing, quality, retrieval_packing, sharding, simple8b, toxicity, url_filter
 from .common import running_start, scratch_dir, stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
+def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op8_mixing": op8_mixing,
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
+    "op11_retrieval_packing": op11_retrieval_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
