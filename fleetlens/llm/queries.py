@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, ngram_join, packing, quality, retrieval_packing, sharding, simple8b, toxicity, url_filter
+from . import fingerprints, langid, mixing, ngram_join, packing, prefix_trie, quality, retrieval_packing, sharding, simple8b, toxicity, url_filter
 from .common import running_start, scratch_dir, stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,10 @@ def op11_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
@@ -93,9 +97,11 @@ QUERIES: dict[str, Query] = {
     "op9_packing": op9_packing,
     "op10_toxicity": op10_toxicity,
     "op11_retrieval_packing": op11_retrieval_packing,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_join": ngram_join.SQL,
     "op8_mixing": mixing.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
 }
