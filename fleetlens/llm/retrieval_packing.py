@@ -105,17 +105,23 @@ def statistics(rows: DataFrame, end_id: int | None) -> Statistics:
 def subject(stats: Statistics, end_id: int | None) -> Column:
     """The two heaviest terms of a document in one number, -1 without any: what documents are ordered by."""
 
+    def heaviest(doc: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Each document's first place of the largest weight."""
+        starts = np.flatnonzero(np.diff(doc, prepend=-1))
+        most = np.maximum.reduceat(weight, starts) if len(starts) else weight
+        at = np.flatnonzero(weight == np.repeat(most, np.diff(np.append(starts, len(doc)))))
+        return at[np.diff(doc[at], prepend=-1) > 0]
+
     @F.arrow_udf("bigint")
     def found(n_tokens: pa.Array, ids: pa.Array) -> pa.Array:
         texts = [x[: len(x) - (end_id is not None)] for x in _ids(n_tokens.to_pylist(), ids.to_pylist())]
         doc, term, count = _terms(texts)
         weight = stats.weigh(doc, term, count, np.array([len(x) for x in texts]))
-        order = np.lexsort((term, -weight, doc))
-        doc, term = doc[order], term[order]
-        first = np.flatnonzero(np.diff(doc, prepend=-1))
-        second = np.minimum(first + 1, len(doc) - 1)
+        first = heaviest(doc, weight)
+        weight[first] = -1
+        second = heaviest(doc, weight)
         out = np.full(len(texts), -1, dtype=np.int64)
-        out[doc[first]] = (term[first] << 31) + np.where(doc[second] == doc[first], term[second], 0)
+        out[doc[first]] = (term[first] << 31) + np.where(weight[second] < 0, 0, term[second])
         return pa.array(out)
 
     return found("n_tokens", "ids")
