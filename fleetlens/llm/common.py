@@ -37,12 +37,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-def stash(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def stash(df: DataFrame, name: str = "table", batch_rows: int = BATCH_ROWS) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors. batch_rows: rows that go to Python and back at once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     rows = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(rows), BATCH_ROWS)))
+    spark.conf.set(_BATCH, str(min(int(rows), batch_rows)))
     try:
         df.write.parquet(path)
     finally:

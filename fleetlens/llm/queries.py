@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, mixing, ngram_join, packing, prefix_trie, quality, retrieval_packing, sharding, simple8b, toxicity, url_filter
+from . import fingerprints, hard_negatives, langid, mixing, ngram_join, packing, prefix_trie, quality, retrieval_packing, sharding, simple8b, toxicity, url_filter
 from .common import running_start, scratch_dir, stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("bigint") + 1) % 10).otherwise(F.col("label").cast("bigint"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_sharding": op2_sharding,
@@ -98,10 +103,12 @@ QUERIES: dict[str, Query] = {
     "op10_toxicity": op10_toxicity,
     "op11_retrieval_packing": op11_retrieval_packing,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_ngram_join": ngram_join.SQL,
     "op8_mixing": mixing.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
