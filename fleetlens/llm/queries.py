@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, hard_negatives, langid, mixing, ngram_join, packing, prefix_trie, quality, retrieval_packing, sharding, simple8b, toxicity, url_filter
-from .common import running_start, scratch_dir, stash, table
+from .common import NULL_ID, running_start, scratch_dir, stash, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -52,7 +52,8 @@ def op6_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
     simple8b.write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), path, tokenizer_path(), end_id=1)
     read = stash(simple8b.token_digests(spark, path), "digests")
-    return running_start(read, "doc_id", "n_tokens", "start").select("doc_id", "start", "n_tokens", "ids_crc32")
+    placed = running_start(read, "doc_id", "n_tokens", "start")
+    return placed.select(F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ Rows start in shards of equal count. In each round a linked row looks for the sh
 of its neighbours and wishes to move there if that cuts fewer links. Moves between two shards are
 made in equal numbers, so counts never change: wishes from a to b are met first by wishes from
 b to a; then, the largest gains first, by those rows of b that lose least by leaving, as long as the
-move gains more than it costs. Rounds go on until no such exchange is left. A group larger
-than a shard fills one and then the next.
+move gains more than it costs. Rounds go on until no such exchange is left, or until several in a row
+have kept no more links together. Shards with equally many of a group are told apart by a hash that
+changes each round, so halves that swapped places once don't for ever. A group larger than a shard fills one and then the next.
 
 Links come as memberships (id, group): all rows of a group are each other's neighbours, so a
 group of any size costs a row per member and no pairs.
@@ -21,14 +22,12 @@ from pyspark.sql.window import Window
 
 from .common import rank_within, stash
 
-#: Rounds of propagation at most; it usually settles before. A shard this full of one group is no longer a goal for its other members.
-ROUNDS, FULL = 12, 0.98
+#: Propagation has settled after so many rounds in a row that keep no more links together than before. A shard this full of one group is no longer a goal for its other members.
+STALE, FULL = 6, 0.98
 #: Groups with more rows than one in so many are joined by broadcast: there are at most HEAVY of them.
 HEAVY = 1000
 #: Rows of a group that are ranked in one piece.
 PIECE = 10_000
-#: Propagation has settled when a round moves fewer than one row in so many.
-SETTLED = 200
 
 
 def _join_groups(rows: DataFrame, per_group: DataFrame, heavy: DataFrame) -> DataFrame:
@@ -38,7 +37,7 @@ def _join_groups(rows: DataFrame, per_group: DataFrame, heavy: DataFrame) -> Dat
     return light.unionByName(rows.join(few, "group", "left_semi").join(F.broadcast(per_group.join(few, "group", "left_semi")), "group", "left"))
 
 
-def assign(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int = ROUNDS) -> DataFrame:
+def assign(nodes: DataFrame, members: DataFrame, shards: int = 8) -> DataFrame:
     """(id, shard) for nodes (id), counts at most one apart, from links members (id, group).
 
     Repeated ids in nodes are rows of their own that share a fate only by chance; members must
@@ -52,23 +51,24 @@ def assign(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int =
     linked = _join_groups(members.where("group is not null"), sizes, heavy).where("size > 1").select("id", "group", "size")
     state = stash(state.join(linked, "id", "left"), "shards")
     full = max(1, int(FULL * (n // shards)))
-    for _ in range(rounds):
+    most, stale, turn = -1.0, 0, 0
+    while stale < STALE:
+        turn += 1
         held = state.where("group is not null").groupBy("group", "shard").agg(F.count(F.lit(1)).alias("c"))
         tally = held.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("shard", "c"))).alias("tally"))  # at most `shards` entries
         seen = _join_groups(state.where("group is not null"), tally, heavy)
-        # The goal: the shard with most of the group; ties by a hash that all members share. A group that needs several
-        # shards has as many goals, and members elsewhere deal themselves out to those that aren't full of it.
+        # The goal: the shard with most of the group; ties by a hash that all members share for the round. A group that needs
+        # several shards has as many goals, and its members go to the first that isn't full of it.
         order = F.array_sort(
             F.transform(
                 F.map_entries("tally"),
-                lambda e: F.struct((-e["value"]).alias("c"), F.xxhash64("group", e["key"]).alias("h"), e["key"].alias("k")),
+                lambda e: F.struct((-e["value"]).alias("c"), F.xxhash64("group", e["key"], F.lit(turn)).alias("h"), e["key"].alias("k")),
             )
         )
         here = F.element_at("tally", F.col("shard"))
         goals = F.slice(order, 1, F.ceil(F.col("size") / full).cast("int"))
-        free_goals = F.filter(goals, lambda e: -e["c"] < F.lit(full))
-        best = F.get(free_goals, F.pmod(F.xxhash64("id", F.lit("goal")), F.greatest(F.size(free_goals), F.lit(1))).cast("int"))
-        home = F.exists(goals, lambda e: e["k"] == F.col("shard"))
+        best = F.get(F.filter(goals, lambda e: -e["c"] < F.lit(full)), 0)
+        home = F.exists(goals, lambda e: (e["k"] == F.col("shard")) & (-e["c"] >= F.lit(full)))
         goal = F.when(home | best.isNull(), F.col("shard")).otherwise(best["k"])
         asked = seen.select("id", "group", "size", "shard", here.alias("here"), goal.alias("goal"), (-best["c"] - here + 1).alias("gain"))
         # Links won by a wish; links lost by a row that leaves, which is what it has in its shard.
@@ -87,8 +87,9 @@ def assign(nodes: DataFrame, members: DataFrame, shards: int = 8, rounds: int =
         moves = F.broadcast(spark.createDataFrame(plan, "shard int, goal int, step int, lo long, hi long, to int"))
         moved = ranked.join(moves, ["shard", "goal", "step"]).where("rank >= lo and rank < hi").select("id", "to")
         state = stash(state.join(moved, "id", "left").select("id", "group", "size", F.coalesce("to", "shard").alias("shard")), "shards")
-        if sum(hi - lo for *_, lo, hi, _ in plan) * SETTLED < n:
-            break
+        kept = held.agg(F.coalesce(F.sum(F.col("c").cast("double") * (F.col("c") - 1)), F.lit(0.0)).alias("kept")).head()["kept"]
+        stale = 0 if kept > most else stale + 1
+        most = max(most, kept)
     return state.select("id", "shard")
 
 
