@@ -58,9 +58,14 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int | None) -> DataFrame:
 def _terms(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, term, how often) of each distinct term of each document, by document and term."""
     lens = np.array([len(x) for x in texts], dtype=np.int64)
-    flat = np.concatenate(texts).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-    keys, counts = np.unique((np.repeat(np.arange(len(texts), dtype=np.int64), lens) << 32) | flat, return_counts=True)
-    return keys >> 32, keys & 0xFFFFFFFF, counts
+    flat = np.concatenate(texts) if len(texts) else np.zeros(0, np.uint16)
+    base = int(flat.max()) + 1 if len(flat) else 1
+    kind = np.uint32 if len(texts) * base < 1 << 32 else np.uint64  # small numbers sort faster
+    keys = np.repeat(np.arange(len(texts), dtype=kind) * kind(base), lens) + flat
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    doc, term = np.divmod(keys[first], kind(base))
+    return doc.astype(np.int64), term.astype(np.int64), np.diff(np.append(first, len(keys)))
 
 
 def _ids(n: list[int], raw: list[bytes]) -> list[np.ndarray]:
@@ -162,7 +167,7 @@ class Packer:
         weight = self.stats.weigh(doc, term, count, np.array([len(x) for x in texts]))
         own = np.searchsorted(doc, np.arange(len(docs) + 1))
         # The inverted index: places in the arrays above, by term.
-        by_term = np.argsort(term, kind="stable")
+        by_term = np.argsort(term.astype(np.uint16) if term.max(initial=0) < 1 << 16 else term, kind="stable")
         kinds, starts = np.unique(term[by_term], return_index=True)
         ends = np.append(starts[1:], len(term))
         post_doc, post_weight = doc[by_term], weight[by_term]
