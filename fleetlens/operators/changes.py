@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.alignment import align, common_ends
 from ..functions.columns import line_hash
 
-#: Fingerprints that a session's ledger of a file holds at most; the oldest go first.
-LEDGER = 50_000
-#: Pairs of equal lines beyond which two stretches count as wholly replaced.
-MAX_CELLS = 4_000_000
-
 
 def hunk_changes(hunks: DataFrame) -> DataFrame:
     """(event_id, kind added or removed, line, text) from hunks (event_id, hunk, new_start, lines array): an added line's number counts the lines of the new side before it."""
@@ -41,41 +35,6 @@ def _lines(text: str) -> list[str]:
     return rows[:-1] if rows[-1] == "" else rows
 
 
-def align(x: list, y: list) -> list[tuple[int, int]]:
-    """Pairs (index in x, index in y) of a longest common subsequence: for each item of x its places in y, last first, extend the shortest chains.
-
-    Beyond MAX_CELLS pairs of equal items nothing is paired: the stretch counts as replaced.
-    """
-    places: dict = {}
-    for j, v in enumerate(y):
-        places.setdefault(v, []).append(j)
-    if sum(len(places.get(v, ())) for v in x) > MAX_CELLS:
-        return []
-    ends: list[int] = []
-    links: list[tuple | None] = []
-    for i, v in enumerate(x):
-        for j in reversed(places.get(v, ())):
-            k = bisect_left(ends, j)
-            link = (i, j, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(link)
-            else:
-                ends[k], links[k] = j, link
-    out, at = [], links[-1] if links else None
-    while at:
-        out.append(at[:2])
-        at = at[2]
-    return out[::-1]
-
-
-def _trimmed(x: list[str], y: list[str]) -> tuple[int, int]:
-    """How many lines both begin with, and then end with."""
-    head = next((i for i, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), min(len(x), len(y)))
-    tail = next((i for i, (p, q) in enumerate(zip(x[head:][::-1], y[head:][::-1], strict=False)) if p != q), min(len(x), len(y)) - head)
-    return head, tail
-
-
 def version_alignment(pairs: DataFrame) -> DataFrame:
     """(file, version, old_line, new_line): lines of before and after that are the same, as version_diff pairs them."""
 
@@ -84,10 +43,7 @@ def version_alignment(pairs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for file, version, a, b in zip(*(batch.column(c).to_pylist() for c in ("file", "version", "before", "after")), strict=True):
                 x, y = _lines(a), _lines(b)
-                head, tail = _trimmed(x, y)
-                out.extend((file, version, i + 1, i + 1) for i in range(head))
-                out.extend((file, version, head + i + 1, head + j + 1) for i, j in align(x[head : len(x) - tail], y[head : len(y) - tail]))
-                out.extend((file, version, len(x) - i, len(y) - i) for i in range(tail - 1, -1, -1))
+                out.extend((file, version, i + 1, j + 1) for i, j in align(x, y))
             columns = list(zip(*out, strict=True)) or [()] * 4
             kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "version", "old_line", "new_line"])
@@ -106,7 +62,7 @@ def version_diff(pairs: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for file, version, a, b in zip(*(batch.column(c).to_pylist() for c in ("file", "version", "before", "after")), strict=True):
                 x, y = _lines(a), _lines(b)
-                head, tail = _trimmed(x, y)
+                head, tail = common_ends(x, y)
                 x, y = x[head : len(x) - tail], y[head : len(y) - tail]
                 same = align(x, y)
                 left, right = {i for i, _ in same}, {j for _, j in same}
@@ -119,42 +75,60 @@ def version_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("file").cast("string").alias("file"), F.col("version").cast("long").alias("version"), "before", "after").mapInArrow(run, "file string, version long, kind string, line long, text string")
 
 
-def rework_event(own: list[int], added: list[int], removed: list[int], before: list[int]) -> tuple[int, int, list[int]]:
+def rework_event(own: list[int], added: list[int], removed: list[int], before: list[int] | None, most: int | None = None) -> tuple[int, int, list[int]]:
     """(lines generated, lines reworked, the ledger after) of one event.
 
     own: fingerprints the session wrote and still stand; before: how many copies of each removed
-    line the file had. A removed line counts as rework only as far as other copies don't explain it.
+    line the file had (null: not known). A removed line counts as rework only as far as other copies don't explain it. With `most`, the
+    ledger forgets its oldest lines beyond so many.
     """
-    mine, gone, there = Counter(own), Counter(removed), Counter(before)
-    reworked, ledger = 0, list(own)
+    mine, gone, there = Counter(own), Counter(removed), Counter(before or ())
+    drop = Counter()
     for h, k in gone.items():
-        n = min(mine[h], max(k - max(max(there[h], k) - mine[h], 0), 0))
-        reworked += n
-        for _ in range(n):
-            ledger.remove(h)
-    return len(added), reworked, (ledger + added)[-LEDGER:]
-
-
-def rework(changes: DataFrame) -> DataFrame:
+        others = max(max(there[h], k) - mine[h], 0) if before is not None else 0
+        drop[h] = min(mine[h], max(k - others, 0))
+    reworked, kept = drop.total(), []
+    for h in own:
+        if drop[h]:
+            drop[h] -= 1
+        else:
+            kept.append(h)
+    ledger = kept + added
+    return len(added), reworked, ledger[-most:] if most else ledger
+
+
+def edit_steps(changes: DataFrame) -> DataFrame:
+    """(session_id, file, at, event_id, added, removed, before) with fingerprints, a row per event and file, from lines (session_id, file, at, event_id, kind, text, copies)."""
+    h = line_hash(F.col("text"))
+    own = lambda kind: F.collect_list(F.when(F.col("kind") == kind, h))
+    copies = F.collect_set(F.when((F.col("kind") == "removed") & (F.coalesce("copies", F.lit(0)) > 0), F.struct(h.alias("h"), F.col("copies").cast("long").alias("n"))))
+    spread = lambda found: F.flatten(F.transform(found, lambda x: F.array_repeat(x["h"], x["n"].cast("int"))))
+    return changes.groupBy("session_id", "file", "at", "event_id").agg(own("added").alias("added"), own("removed").alias("removed"), spread(copies).alias("before"))
+
+
+def rework(changes: DataFrame, most: int | None = None) -> DataFrame:
     """(session_id, file, event_id, generated, reworked) by an ordered fold over each session's file.
 
     changes: (session_id, file, at, event_id, kind, text, copies): lines added and removed by each
     event; copies: how often a removed line stood in the file before. Events are folded in the order
-    (at, event_id). A session's file is one group; its lines are bounded by what one session edits.
+    (at, event_id). Rows come sorted, one event at a time; only the ledger of one session's file is held.
     """
+    names = ["session_id", "file", "event_id", "generated", "reworked"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ledger = None, []
+        for batch in batches:
+            out = []
+            for session, file, event, added, removed, before in zip(*(batch.column(c).to_pylist() for c in ("session_id", "file", "event_id", "added", "removed", "before")), strict=True):
+                if (session, file) != key:
+                    key, ledger = (session, file), []
+                generated, reworked, ledger = rework_event(ledger, added, removed, before, most)
+                out.append((session, file, event, generated, reworked))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*[pa.string()] * 3, pa.int64(), pa.int64()], strict=True)], names=names)
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        ledger: list[int] = []
-        out = []
-        for (_, event), part in rows.sort_values(["at", "event_id"], kind="stable").groupby(["at", "event_id"], sort=True):
-            gone = part[part["kind"] == "removed"]
-            copies = [h for h, n in dict(zip(gone["h"], gone["copies"], strict=True)).items() for _ in range(int(n or 0))]
-            generated, reworked, ledger = rework_event(ledger, part.loc[part["kind"] == "added", "h"].tolist(), gone["h"].tolist(), copies)
-            out.append((rows["session_id"].iloc[0], rows["file"].iloc[0], event, generated, reworked))
-        return pd.DataFrame(out, columns=["session_id", "file", "event_id", "generated", "reworked"])
-
-    held = changes.select("session_id", "file", "at", "event_id", "kind", F.coalesce("copies", F.lit(0)).cast("long").alias("copies"), line_hash(F.col("text")).alias("h"))
-    return held.groupBy("session_id", "file").applyInPandas(fold, "session_id string, file string, event_id string, generated long, reworked long")
+    ordered = edit_steps(changes).repartition("session_id", "file").sortWithinPartitions("session_id", "file", "at", "event_id")
+    return ordered.mapInArrow(run, "session_id string, file string, event_id string, generated long, reworked long")
 
 
 def line_origins(alignment: DataFrame, lines: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import agents, attribution, blame, changes, filters, maintenanc
 from ..operators.edits import ai_edits_scored
 from ..sources import git
 from ..sources.fixtures import Tables, load
-from . import derived, oracles, oracles_sessions, oracles_upkeep
+from . import authors, derived, oracles, oracles_authors, oracles_sessions, oracles_upkeep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,7 +22,7 @@ def over(question: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: question(load(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {
+QUERIES: dict[str, Query] = authors.QUERIES | {
     "ai_edits_scored": over(ai_edits_scored),
     "overview": over(metrics.overview),
     "top_model": over(lambda T: metrics.top_model(ai_edits_scored(T))),
@@ -96,4 +96,4 @@ QUERIES: dict[str, Query] = {
     "notes_round_trip": over(lambda T: git.read_notes(git.build_notes(T.commit_files.where("lines_added > 0").select("commit_id", "file_path", F.concat(F.lit("1-"), F.col("lines_added").cast("string")).alias("runs"), F.lit("codex").alias("agent"), F.lit("s").alias("session"), F.lit("m0").alias("model"))))),
 }
 
-ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_sessions.SQL | oracles_upkeep.SQL
+ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_sessions.SQL | oracles_upkeep.SQL | oracles_authors.SQL

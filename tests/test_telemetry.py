@@ -163,7 +163,7 @@ def test_columns(spark):
     assert one.select(columns.is_trivial(F.lit(" }{ ")), columns.is_trivial(F.lit("é"))).head() == (True, False)
     assert one.select(columns.line_hash(F.lit("a\r")) == columns.line_hash(F.lit("a")), columns.norm_hash(F.lit("a b")) == columns.norm_hash(F.lit("ab"))).head() == (True, True)
     assert one.select(columns.moves_content(F.lit("git stash pop")), columns.moves_content(F.lit("git status")), columns.commits(F.lit("x && git commit -m y"))).head() == (True, False, True)
-    said = [("git log -- src/merge.py", False), ("git log --grep=commit", False), ("git -C a/b --no-pager checkout main", True), ("sudo /usr/bin/git -c k=v rebase x", True), ("digit merge", False), ("(git stash apply)", True), ("git stash list", False), ('"/opt/Git Tools/bin/git" pull', True)]
+    said = [("git log -- src/merge.py", False), ("git log --grep=commit", False), ("git -C a/b --no-pager checkout main", True), ("sudo /usr/bin/git -c k=v rebase x", True), ("digit merge", False), ("(git stash apply)", True), ("git stash list", False), ("\\git merge x", True), ('"$(which git)" pull', True), ("git; merge", False), ("git add apply && ls", False), ("git.exe -C d am", True), ("git\nrevert x", True), ("legit merge", False), ('"/opt/Git Tools/bin/git" pull', True)]
     assert [r[0] for r in spark.createDataFrame(said, "t string, w boolean").select(columns.moves_content(F.col("t"))).collect()] == [w for _, w in said]
     assert not one.select(columns.commits(F.lit("git log --grep=commit"))).head()[0]
     tools = {"exec": "shell", "NotebookEdit": "edit", "view_image": "read", "SubagentHandback": "agent", "collaboration_x": "agent", "webrun": "web", "mcp__a": "mcp", "x": "other"}
