@@ -319,10 +319,10 @@ def components(docs: DataFrame) -> DataFrame:
     fields = [("n", pa.int32(), "int"), ("prefix", pa.list_(pa.int64()), "array<bigint>"), ("bits", pa.binary(), "binary")]
     sets = stash(_map_texts(texts, fields, lambda s: (len(s), prefix(s, *frequent.value).view(np.int64), bitmap(s))), "sets")
 
-    order = Window.partitionBy("token").orderBy("id")
     tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
-    met = tokens.withColumns({"first": F.first("id").over(order), "first_n": F.first("n").over(order), "next": F.lead("id").over(order)})
-    lists = stash(met.where("id <> first or next is not null").drop("next"), "lists")
+    # A list's first document, by partial sums and a join whose large keys Spark can split: no list is ever ordered in one task.
+    firsts_of = tokens.groupBy("token").agg(F.min(F.struct("id", "n")).alias("f"), F.count(F.lit(1)).alias("m")).where("m > 1").select("token", F.col("f.id").alias("first"), F.col("f.n").alias("first_n"))
+    lists = stash(tokens.join(firsts_of, "token"), "lists")
 
     near = f"{DEN} * least(n, first_n) >= {NUM} * greatest(n, first_n)"
     tried = stash(_bounded(lists.where("id <> first").where(near).select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), sets), "tried")
