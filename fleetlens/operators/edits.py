@@ -63,15 +63,18 @@ def ai_edits_scored(T: Tables, f: Filters | None = None) -> DataFrame:
     return f.events(scored) if f else scored
 
 
-def edit_file_lines(events: DataFrame) -> DataFrame:
-    """(session_id, repo_id, file_path, edits, lines) from measured splits: events (id, session_id, repo_id, file_lines JSON).
+def split_lines(events: DataFrame) -> DataFrame:
+    """(id, session_id, repo_id, file_path, lines) of each element of measured splits: events (id, session_id, repo_id, file_lines JSON), net of rework.
 
-    An element without the key repo_id belongs to the event's repository; one whose repo_id is null
-    belongs to none. Lines of a file are never below 0.
+    An element without the key repo_id belongs to the event's repository; one whose repo_id is null belongs to none.
     """
     parts = events.where("file_lines is not null").select("id", "session_id", F.col("repo_id").alias("__repo"), F.explode(F.from_json("file_lines", "array<map<string,variant>>")).alias("m"))
     text = lambda k: F.try_variant_get(F.element_at("m", F.lit(k)), "$", "string")
     number = lambda k: F.coalesce(F.try_variant_get(F.element_at("m", F.lit(k)), "$", "long"), F.lit(0))
     repo = F.when(F.map_contains_key("m", F.lit("repo_id")), text("repo_id")).otherwise(F.col("__repo"))
-    rows = parts.select("id", "session_id", repo.alias("repo_id"), F.coalesce(text("rel_file_path"), text("file_path")).alias("file_path"), (number("lines_generated") - number("lines_reworked")).alias("n"))
-    return rows.groupBy("session_id", "repo_id", "file_path").agg(F.countDistinct("id").alias("edits"), F.greatest(F.sum("n"), F.lit(0)).alias("lines"))
+    return parts.select("id", "session_id", repo.alias("repo_id"), F.coalesce(text("rel_file_path"), text("file_path")).alias("file_path"), (number("lines_generated") - number("lines_reworked")).alias("lines"))
+
+
+def edit_file_lines(events: DataFrame) -> DataFrame:
+    """(session_id, repo_id, file_path, edits, lines) from measured splits (see split_lines). Lines of a file are never below 0."""
+    return split_lines(events).groupBy("session_id", "repo_id", "file_path").agg(F.countDistinct("id").alias("edits"), F.greatest(F.sum("lines"), F.lit(0)).alias("lines"))

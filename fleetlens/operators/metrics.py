@@ -10,7 +10,6 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import duration_ms, json_text, tool_family
 from ..sources.fixtures import Tables
-from .attribution import attribute_sessions
 from .edits import ai_edits_scored
 from .filters import UNKNOWN, Filters, active_repos
 
@@ -200,10 +199,12 @@ def edit_heatmap(T: Tables, f: Filters = ALL) -> DataFrame:
 
 
 def tool_calls_of(T: Tables, f: Filters = ALL) -> DataFrame:
-    """Tool calls with family and duration: id, session_id, ts, agent_slug, tool, family, ms."""
-    calls = T.events.where("event_type = 'PostToolUse' and session_id is not null").where(f.dated(F.col("ts")) & f._among("agent_slug", f.agents) & f._among("repo_id", f.repos))
+    """Tool calls with family and duration: id, session_id, ts, agent_slug, tool, family, ms. One without a name is of the family other; one without a session counts too."""
+    of = T.sessions.select(F.col("id").alias("session_id"), F.col("model_slug").alias("__model"), "engineer_email")
     tool = json_text(F.col("payload"), "$.tool_name")
-    return calls.withColumn("tool", tool).where("tool is not null").select("id", "session_id", "ts", "agent_slug", "tool", tool_family(F.col("tool")).alias("family"), duration_ms(F.col("payload")).alias("ms"))
+    model = F.coalesce("__model", json_text(F.col("payload"), "$.model"), F.lit(UNKNOWN))
+    calls = T.events.where("event_type = 'PostToolUse' and payload is not null").join(of, "session_id", "left").withColumns({"tool": tool, "model": model})
+    return f.events(calls).select("id", "session_id", "ts", "agent_slug", "tool", F.coalesce(tool_family(F.col("tool")), F.lit("other")).alias("family"), duration_ms(F.col("payload")).alias("ms"))
 
 
 def tool_mix(T: Tables, f: Filters = ALL) -> DataFrame:
@@ -248,33 +249,41 @@ def funnel(T: Tables, f: Filters = ALL) -> DataFrame:
     return a.crossJoin(b).crossJoin(c)  # one row each
 
 
-def lead_time(T: Tables, f: Filters = ALL, credited: DataFrame | None = None) -> DataFrame:
-    """One row: total, under_15m, over_1d of the times from a session's last edit in a commit's window to the commit.
+def lead_time(T: Tables, f: Filters = ALL) -> DataFrame:
+    """One row: total, under_15m, over_1d of the times from a session's last edit in a commit's window to the commit, as recorded with the commit's sessions.
 
-    A row of credited (commit_id, session_id, last_event_ts, lines_attributed; by position if not given) with lines counts once.
+    A commit and session with attributed lines count once, by the commit's date and the session's agent, model, repository and engineer.
     """
-    rows = attribute_sessions(T) if credited is None else credited
-    made = T.commits.select(F.col("id").alias("commit_id"), "committed_at").where(f.dated(F.col("committed_at")))
-    gaps = rows.where("lines_attributed > 0").join(made, "commit_id").select((F.unix_micros("committed_at") - F.unix_micros("last_event_ts")).alias("gap"))
+    made = T.commits.select(F.col("id").alias("commit_id"), "committed_at")
+    rows = T.commit_sessions.where("lines_attributed > 0").select("commit_id", "session_id", "last_event_ts").join(made, "commit_id")
+    of = T.sessions.select(F.col("id").alias("session_id"), "agent_slug", "model_slug", "repo_id", "engineer_email")
+    kept = f.sessions(rows.join(of, "session_id", "left"), "committed_at")
+    gaps = kept.select((F.unix_micros("committed_at") - F.unix_micros("last_event_ts")).alias("gap"))
     return gaps.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("gap") < 900_000_000).alias("under_15m"), F.count_if(F.col("gap") >= 86_400_000_000).alias("over_1d"))
 
 
 def model_table(T: Tables, f: Filters = ALL) -> DataFrame:
-    """A row per agent and model over the sessions in scope; their events are not cut by date."""
-    scope = f.sessions(T.sessions).select(F.col("id").alias("session_id"), "agent_slug", F.coalesce("model_slug", F.lit(UNKNOWN)).alias("model"), "output_tokens")
+    """A row per agent and model over the sessions in scope; their events are not cut by date.
+
+    A file is a path in a repository, the edit's own or its first range's; edits that name none touch none.
+    """
+    scope = f.sessions(T.sessions).select(F.col("id").alias("session_id"), "agent_slug", F.coalesce("model_slug", F.lit(UNKNOWN)).alias("model"), "output_tokens", "input_tokens")
     edits = ai_edits_scored(T).where("session_id is not null")
-    per_edit = edits.groupBy("session_id").agg(F.count(F.lit(1)).alias("edits"), F.sum("lines").alias("generated"))
-    touched = edits.groupBy("session_id", "file_path").agg(F.count(F.lit(1)).alias("n")).groupBy("session_id").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("n") > 1).alias("reedited"))
-    tools = tool_calls_of(T).groupBy("session_id").agg(F.count(F.lit(1)).alias("tools"))
-    prompts = T.prompts.groupBy("session_id").agg(F.count(F.lit(1)).alias("prompts"))
-    landed = T.commit_sessions.groupBy("session_id").agg(F.sum("lines_attributed").alias("committed"))
+    count = F.count(F.lit(1))
+    per_edit = edits.groupBy("session_id").agg(count.alias("edits"), F.sum("lines").alias("generated"))
+    named = T.ranges.where("rel_file_path is not null").groupBy(F.col("event_id").alias("id")).agg(F.min_by("rel_file_path", "id").alias("__rel"))
+    of_file = edits.join(named, "id", "left").select("session_id", F.coalesce("rel_file_path", "__rel").alias("f")).where("f is not null")
+    touched = of_file.groupBy("session_id", "f").agg(count.alias("n")).groupBy("session_id").agg(count.alias("files"), F.count_if(F.col("n") > 1).alias("reedited"))
+    own = T.events.where("session_id is not null").groupBy("session_id").agg(F.count_if(F.col("event_type") == "PostToolUse").alias("tools"), F.count_if(F.col("event_type") == "Stop").alias("turns"))
+    prompts = T.prompts.groupBy("session_id").agg(count.alias("prompts"))
+    landed = T.commit_sessions.where("lines_attributed > 0").groupBy("session_id").agg(F.sum("lines_attributed").alias("committed"), F.countDistinct("commit_id").alias("commits"))
     rows = scope
-    for part in (per_edit, touched, tools, prompts, landed, session_active(T)):
+    for part in (per_edit, touched, own, prompts, landed, session_active(T)):
         rows = rows.join(part, "session_id", "left")
     z = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     return rows.groupBy("agent_slug", "model").agg(
-        F.count(F.lit(1)).alias("sessions"), z("edits"), z("generated"), z("files"), z("reedited"), z("tools"), z("prompts"), z("committed"),
-        F.coalesce(F.sum("active_minutes"), F.lit(0.0)).alias("active_minutes"), F.sum("output_tokens").alias("output_tokens"), F.count_if(F.coalesce("committed", F.lit(0)) > 0).alias("shipped"),
+        count.alias("sessions"), F.count("edits").alias("sessions_with_edits"), z("edits"), z("generated"), z("files"), z("reedited"), z("tools"), z("turns"), z("prompts"), z("committed"), z("commits"),
+        F.coalesce(F.sum("active_minutes"), F.lit(0.0)).alias("active_minutes"), F.sum("output_tokens").alias("output_tokens"), F.sum("input_tokens").alias("input_tokens"), F.count("committed").alias("shipped"),
     )
 
 

@@ -11,9 +11,9 @@ from pyspark.sql.window import Window
 from ..functions.columns import duration_ms, json_text, tool_family
 from ..sources.fixtures import Tables
 from .attribution import attribute_files
-from .edits import ai_edits_scored
+from .edits import ai_edits_scored, split_lines
 from .filters import Filters
-from .metrics import session_active, session_outcomes, tool_calls_of
+from .metrics import session_active, session_outcomes
 
 COMPACTION = "This session is being continued from a previous conversation"
 RESEND_S, LATE_COMMIT_S = 180, 120
@@ -100,21 +100,40 @@ def classify_prompts(prompts: DataFrame) -> DataFrame:
 def build_turns(T: Tables) -> DataFrame:
     """(session_id, turn, started_us, ended_us, prompts, tools, shell, edit, read, tool_ms, open): turns end at Stops.
 
-    A row belongs to the turn numbered by the Stops strictly before it, so a turn is
-    (previous Stop, Stop] and the first takes all earlier rows. Rows after the last Stop
-    make an open turn. A turn begins at its first user prompt, else its first row; prompts without a time join none.
+    Turn k is what comes after Stop k - 1, up to Stop k; the first takes all earlier rows too. Prompts or calls after
+    the last Stop make an open turn, up to the session's end if it has one; a session without a Stop is one open turn. A turn
+    begins at its first user prompt (by seq), else its first prompt of any kind, else at the Stop before it or the session's
+    start. Calls are tool reports and file edits; one that has line ranges is an edit. Prompts without a time join none.
     """
-    us = F.unix_micros("ts").alias("us")
-    asks = classify_prompts(T.prompts).where("ts is not null").select("session_id", us, F.lit("prompt").alias("what"), F.col("kind").alias("detail"), F.lit(None).cast("double").alias("ms"))
-    calls = tool_calls_of(T).select("session_id", us, F.lit("tool").alias("what"), F.col("family").alias("detail"), "ms")
-    ends = stops(T).select("session_id", us, F.lit("stop").alias("what"), F.lit(None).cast("string").alias("detail"), F.lit(None).cast("double").alias("ms"))
+    us, none = F.unix_micros("ts").alias("us"), F.lit(None)
+    asks = classify_prompts(T.prompts).where("ts is not null").select("session_id", us, F.lit("prompt").alias("what"), F.col("kind").alias("detail"), none.cast("double").alias("ms"), "seq")
+    family = F.when(F.col("ranged"), "edit").otherwise(F.col("family"))
+    calls = tool_calls(T).select("session_id", us, F.lit("tool").alias("what"), family.alias("detail"), "ms", none.cast("bigint").alias("seq"))
+    ends = stops(T).select("session_id", us, F.lit("stop").alias("what"), none.cast("string").alias("detail"), none.cast("double").alias("ms"), none.cast("bigint").alias("seq"))
     before = Window.partitionBy("session_id").orderBy("us").rangeBetween(Window.unboundedPreceding, -1)
-    rows = reduce(DataFrame.unionByName, [asks, calls, ends]).withColumn("turn", F.coalesce(F.sum((F.col("what") == "stop").cast("long")).over(before), F.lit(0)))
+    counted = reduce(DataFrame.unionByName, [asks, calls, ends]).withColumn("before", F.coalesce(F.sum((F.col("what") == "stop").cast("long")).over(before), F.lit(0)))
+    # Stops of one moment end turns of their own, of which the later ones are empty.
+    nth = F.row_number().over(Window.partitionBy("session_id", "us", "what").orderBy(F.lit(0))) - 1
+    of_session = T.sessions.select(F.col("id").alias("session_id"), F.unix_micros("started_at").alias("begun"), F.unix_micros("ended_at").alias("over"))
+    marks = of_session.select("session_id", F.lit(0).cast("bigint").alias("turn"), F.lit(True).alias("first"))
+    rows = counted.withColumn("turn", F.col("before") + F.when(F.col("what") == "stop", nth).otherwise(0))
     of = lambda what, detail=None: F.count_if((F.col("what") == what) & (F.col("detail") == detail if detail else F.lit(True)))
-    return rows.groupBy("session_id", "turn").agg(
-        F.coalesce(F.min(F.when((F.col("what") == "prompt") & (F.col("detail") == "user"), F.col("us"))), F.min("us")).alias("started_us"), F.max(F.when(F.col("what") == "stop", F.col("us"))).alias("ended_us"),
-        of("prompt").alias("prompts"), of("tool").alias("tools"), of("tool", "shell").alias("shell"), of("tool", "edit").alias("edit"), of("tool", "read").alias("read"),
-        F.coalesce(F.sum("ms"), F.lit(0.0)).alias("tool_ms"), (of("stop") == 0).alias("open"),
+    first = lambda ok: F.min_by("us", F.when(ok, F.col("seq")))
+    closed = rows.where("what = 'stop'").groupBy("session_id", "turn").agg(F.max("us").alias("stop_us"))
+    last = closed.groupBy("session_id").agg((F.max("turn") + 1).alias("stops"), F.max("stop_us").alias("last_stop"))
+    held = rows.where("what <> 'stop'").join(of_session.select("session_id", "over"), "session_id").join(last, "session_id", "left")
+    # An open turn's rows end with the session, but for those of a session's first moments.
+    inside = held.withColumn("late", (F.col("turn") >= F.coalesce("stops", F.lit(0))) & (F.col("us") > F.col("over")))
+    own = inside.withColumns({n: F.when(~F.coalesce("late", F.lit(False)), F.col(n)) for n in ("what", "detail", "ms", "seq")}).groupBy("session_id", "turn").agg(
+        F.coalesce(first((F.col("what") == "prompt") & (F.col("detail") == "user")), first(F.col("what") == "prompt")).alias("asked"), of("prompt").alias("prompts"), of("tool").alias("tools"),
+        of("tool", "shell").alias("shell"), of("tool", "edit").alias("edit"), of("tool", "read").alias("read"), F.coalesce(F.sum("ms"), F.lit(0.0)).alias("tool_ms"),
+    )
+    turns = marks.select("session_id", "turn").unionByName(closed.select("session_id", "turn")).unionByName(own.select("session_id", "turn")).distinct()
+    made = turns.join(closed, ["session_id", "turn"], "left").join(own, ["session_id", "turn"], "left").join(of_session, "session_id")
+    since = F.coalesce(F.lag("stop_us").over(Window.partitionBy("session_id").orderBy("turn")), "begun")
+    return made.withColumn("since", since).select(
+        "session_id", "turn", F.coalesce("asked", "since").alias("started_us"), F.coalesce("stop_us", "over").alias("ended_us"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("prompts", "tools", "shell", "edit", "read")),
+        F.coalesce("tool_ms", F.lit(0.0)).alias("tool_ms"), F.col("stop_us").isNull().alias("open"),
     )
 
 
@@ -124,7 +143,7 @@ def turn_durations(turns: DataFrame) -> DataFrame:
 
 
 def commit_turns(T: Tables) -> DataFrame:
-    """(session_id, commit_id, turn): the earliest turn that ends within two minutes before the commit or later; the last takes the rest; before the session's start: null.
+    """(session_id, commit_id, turn): the earliest turn that ends within two minutes before the commit or later; the last takes the rest; not after the session's start: null.
 
     Turns and commits of a session lie on one line of time, and a window finds the next turn's limit: no commit meets every turn.
     """
@@ -137,20 +156,47 @@ def commit_turns(T: Tables) -> DataFrame:
     hits = both.withColumn("hit", F.min("turn").over(after)).where("commit_id is not null").drop("turn")
     begun = T.sessions.select(F.col("id").alias("session_id"), F.unix_micros("started_at").alias("begun"))
     placed = hits.join(last, "session_id", "left").join(begun, "session_id")
-    return placed.select("session_id", "commit_id", F.when(F.col("at") >= F.col("begun"), F.coalesce("hit", "last")).alias("turn"))
+    return placed.select("session_id", "commit_id", F.when(F.col("at") > F.col("begun"), F.coalesce("hit", "last")).alias("turn"))
+
+
+def edit_files(T: Tables) -> DataFrame:
+    """(session_id, id, repo_id, file_path, lines): what each AI edit of a session wrote, file by file.
+
+    An edit with a measured split (events.file_lines) has a row per element, in that element's repository (the event's where it
+    names none). One that its client didn't measure, with ranges in several files, has a row per file, with its ranges' lines. Any other has
+    one row, on its own file or its first range's; a repository counts only with a path in it. Edits that name no file have none.
+    """
+    edits = ai_edits_scored(T).where("session_id is not null").select("id", "session_id", "repo_id", "rel_file_path", F.col("file_path").alias("own"), "lines")
+    event = T.events if "file_lines" in T.events.columns else T.events.withColumn("file_lines", F.lit(None).cast("string"))
+    split = F.when(F.try_parse_json("file_lines").isNotNull(), F.col("file_lines"))
+    rows = edits.join(event.select("id", F.col("lines_generated").alias("measured"), split.alias("file_lines")), "id")
+    size = F.col("new_text_lines") if "new_text_lines" in T.ranges.columns else F.greatest(F.col("end_line") - F.col("start_line") + 1, F.lit(0))
+    spans = T.ranges.select(F.col("id").alias("range_id"), F.col("event_id").alias("id"), F.col("rel_file_path").alias("rel"), F.coalesce("rel_file_path", "file_path").alias("f"), F.col("file_path").alias("abs"), size.alias("n"))
+    of_event = spans.groupBy("id").agg(F.min_by("rel", F.when(F.col("rel").isNotNull(), F.col("range_id"))).alias("first_rel"), F.min_by("abs", "range_id").alias("first_abs"), F.countDistinct("f").alias("files"))
+    held = rows.join(of_event, "id", "left")
+    by_ranges = F.col("file_lines").isNull() & F.col("measured").isNull() & (F.coalesce("files", F.lit(0)) > 1)
+    columns = ["session_id", "id", "repo_id", "file_path", "lines"]
+    measured = split_lines(held.where("file_lines is not null").select("id", "session_id", "repo_id", "file_lines")).select(*columns)
+    ranged = held.where(by_ranges).select("session_id", "id", "repo_id").join(spans, "id").groupBy("session_id", "id", F.col("f").alias("file_path")).agg(F.max(F.when(F.col("rel").isNotNull(), F.col("repo_id"))).alias("repo_id"), F.sum("n").alias("lines"))
+    rel = F.coalesce("rel_file_path", "first_rel")
+    plain = held.where(F.col("file_lines").isNull() & ~by_ranges).select("session_id", "id", F.when(rel.isNotNull(), F.col("repo_id")).alias("repo_id"), F.coalesce(rel, "first_abs", "own").alias("file_path"), "lines")
+    return measured.unionByName(ranged.select(*columns)).unionByName(plain).where("file_path is not null")
 
 
 def file_rows(T: Tables, credited: DataFrame | None = None) -> DataFrame:
-    """(session_id, repo_id, file_path, generated, committed): what a session wrote to a file against what commits credit it with there; generated is at least committed.
+    """(session_id, repo_id, file_path, generated, committed, edits): what a session wrote to a file against what commits credit it with there; generated is at least committed.
 
-    credited: (commit_id, session_id, file_path, lines_attributed), by position if not given.
+    credited: (commit_id, session_id, file_path, lines_attributed); T's recorded commit_session_files if not given, else by position. A file
+    that is credited with no lines keeps its row.
     """
-    wrote = ai_edits_scored(T).where("session_id is not null and rel_file_path is not null").groupBy("session_id", "repo_id", F.col("rel_file_path").alias("file_path")).agg(F.greatest(F.sum("lines"), F.lit(0)).alias("generated"))
-    rows = attribute_files(T) if credited is None else credited
-    made = T.commits.select(F.col("id").alias("commit_id"), "repo_id")
-    kept = rows.where("lines_attributed > 0").join(made, "commit_id").groupBy("session_id", "repo_id", "file_path").agg(F.sum("lines_attributed").alias("committed"))
-    both = wrote.join(kept, ["session_id", "repo_id", "file_path"], "full_outer").fillna(0, ["generated", "committed"])
-    return both.withColumn("generated", F.greatest("generated", "committed"))
+    none = F.lit("")  # stands for no repository where keys meet
+    wrote = edit_files(T).groupBy("session_id", F.coalesce("repo_id", none).alias("repo"), "file_path").agg(F.greatest(F.sum("lines"), F.lit(0)).alias("generated"), F.count(F.lit(1)).alias("edits"))
+    rows = credited if credited is not None else T.extra.get("commit_session_files")
+    rows = attribute_files(T) if rows is None else rows
+    made = T.commits.select(F.col("id").alias("commit_id"), F.coalesce("repo_id", none).alias("repo"))
+    kept = rows.join(made, "commit_id").groupBy("session_id", "repo", "file_path").agg(F.sum("lines_attributed").alias("committed"))
+    both = wrote.join(kept, ["session_id", "repo", "file_path"], "full_outer").fillna(0, ["generated", "committed", "edits"])
+    return both.select("session_id", F.nullif("repo", none).alias("repo_id"), "file_path", F.greatest("generated", "committed").alias("generated"), "committed", "edits")
 
 
 def session_count(T: Tables, f: Filters | None = None) -> DataFrame:

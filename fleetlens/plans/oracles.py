@@ -21,9 +21,9 @@ GAPS = """,
 gaps AS (SELECT session_id, id, ts, least(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY session_id ORDER BY ts, id), CASE WHEN lag(ts) OVER (PARTITION BY session_id ORDER BY ts, id) IS NULL THEN NULL ELSE 300000000 END) AS gap FROM ev WHERE session_id IS NOT NULL)
 """
 CALLS = """,
-named AS (SELECT *, json_extract_string(payload, '$.tool_name') AS tool, coalesce(TRY_CAST(json_extract_string(payload, '$.duration_ms') AS DOUBLE), TRY_CAST(json_extract_string(payload, '$.duration') AS DOUBLE)) AS ms FROM ev WHERE event_type = 'PostToolUse' AND session_id IS NOT NULL),
+named AS (SELECT *, json_extract_string(payload, '$.tool_name') AS tool, coalesce(TRY_CAST(json_extract_string(payload, '$.duration_ms') AS DOUBLE), TRY_CAST(json_extract_string(payload, '$.duration') AS DOUBLE)) AS ms FROM ev WHERE event_type = 'PostToolUse' AND payload IS NOT NULL),
 calls AS (SELECT *, CASE WHEN tool IN ('Bash', 'exec', 'shell') THEN 'shell' WHEN tool IN ('Edit', 'Write', 'NotebookEdit') THEN 'edit' WHEN tool IN ('Read', 'Grep', 'Glob', 'view_image', 'NotebookRead', 'LS') THEN 'read'
-  WHEN regexp_matches(tool, '^(Agent|Task|TaskOutput|SubagentHandback|TaskCreate|TaskUpdate)$|^collaboration') THEN 'agent' WHEN starts_with(tool, 'mcp__') THEN 'mcp' WHEN tool IN ('WebFetch', 'WebSearch', 'webrun') THEN 'web' ELSE 'other' END AS family FROM named WHERE tool IS NOT NULL)
+  WHEN regexp_matches(tool, '^(Agent|Task|TaskOutput|SubagentHandback|TaskCreate|TaskUpdate)$|^collaboration') THEN 'agent' WHEN starts_with(tool, 'mcp__') THEN 'mcp' WHEN tool IN ('WebFetch', 'WebSearch', 'webrun') THEN 'web' ELSE 'other' END AS family FROM named)
 """
 LANDED = """,
 landed AS (SELECT cs.*, c.repo_id, c.committed_at FROM commit_sessions cs JOIN commits c ON c.id = cs.commit_id)
@@ -76,14 +76,15 @@ FROM k LEFT JOIN a ON a.day = k.day AND a.agent_slug = k.agent_slug LEFT JOIN p
     "funnel": BASE + EDITS + """SELECT (SELECT count(*) FROM sessions) AS sessions, (SELECT count(*) FROM sessions s WHERE EXISTS (SELECT 1 FROM edits e WHERE e.session_id = s.id)) AS with_edits,
 (SELECT count(*) FROM sessions s WHERE EXISTS (SELECT 1 FROM commit_sessions c WHERE c.session_id = s.id AND lines_attributed > 0)) AS with_commits, (SELECT CAST(sum(lines) AS BIGINT) FROM edits) AS generated,
 (SELECT CAST(sum(lines_attributed) AS BIGINT) FROM commit_sessions) AS committed, (SELECT count(DISTINCT commit_id) FROM commit_sessions WHERE lines_attributed > 0) AS commits""",
-    "model_table": BASE + EDITS + GAPS + CALLS + """,
+    "model_table": BASE + EDITS + GAPS + """,
 pe AS (SELECT session_id, count(*) AS edits, sum(lines) AS generated FROM edits GROUP BY 1),
-pf AS (SELECT session_id, count(*) AS files, count(*) FILTER (n > 1) AS reedited FROM (SELECT session_id, file_path, count(*) AS n FROM edits GROUP BY 1, 2) x GROUP BY 1),
-pt AS (SELECT session_id, count(*) AS tools FROM calls GROUP BY 1), pp AS (SELECT session_id, count(*) AS prompts FROM prompts GROUP BY 1),
-pc AS (SELECT session_id, sum(lines_attributed) AS committed FROM commit_sessions GROUP BY 1), pa AS (SELECT session_id, CAST(coalesce(sum(gap), 0) AS BIGINT) / CAST(60000000 AS DOUBLE) AS active FROM gaps GROUP BY 1)
-SELECT s.agent_slug, coalesce(s.model_slug, 'unknown') AS model, count(*) AS sessions, CAST(coalesce(sum(edits), 0) AS BIGINT) AS edits, CAST(coalesce(sum(generated), 0) AS BIGINT) AS generated, CAST(coalesce(sum(files), 0) AS BIGINT) AS files,
- CAST(coalesce(sum(reedited), 0) AS BIGINT) AS reedited, CAST(coalesce(sum(tools), 0) AS BIGINT) AS tools, CAST(coalesce(sum(prompts), 0) AS BIGINT) AS prompts, CAST(coalesce(sum(committed), 0) AS BIGINT) AS committed,
- round(sum(active), 6) AS active_minutes, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, count(*) FILTER (coalesce(committed, 0) > 0) AS shipped
+fr AS (SELECT event_id, arg_min(rel_file_path, id) AS rel FROM ranges WHERE rel_file_path IS NOT NULL GROUP BY 1),
+pf AS (SELECT session_id, count(*) AS files, count(*) FILTER (n > 1) AS reedited FROM (SELECT session_id, coalesce(rel_file_path, rel) AS f, count(*) AS n FROM edits LEFT JOIN fr ON fr.event_id = edits.id GROUP BY 1, 2) x WHERE f IS NOT NULL GROUP BY 1),
+pt AS (SELECT session_id, count(*) FILTER (event_type = 'PostToolUse') AS tools, count(*) FILTER (event_type = 'Stop') AS turns FROM ev GROUP BY 1), pp AS (SELECT session_id, count(*) AS prompts FROM prompts GROUP BY 1),
+pc AS (SELECT session_id, sum(lines_attributed) AS committed, count(DISTINCT commit_id) AS commits FROM commit_sessions WHERE lines_attributed > 0 GROUP BY 1), pa AS (SELECT session_id, CAST(coalesce(sum(gap), 0) AS BIGINT) / CAST(60000000 AS DOUBLE) AS active FROM gaps GROUP BY 1)
+SELECT s.agent_slug, coalesce(s.model_slug, 'unknown') AS model, count(*) AS sessions, count(edits) AS sessions_with_edits, CAST(coalesce(sum(edits), 0) AS BIGINT) AS edits, CAST(coalesce(sum(generated), 0) AS BIGINT) AS generated, CAST(coalesce(sum(files), 0) AS BIGINT) AS files,
+ CAST(coalesce(sum(reedited), 0) AS BIGINT) AS reedited, CAST(coalesce(sum(tools), 0) AS BIGINT) AS tools, CAST(coalesce(sum(turns), 0) AS BIGINT) AS turns, CAST(coalesce(sum(prompts), 0) AS BIGINT) AS prompts, CAST(coalesce(sum(committed), 0) AS BIGINT) AS committed, CAST(coalesce(sum(commits), 0) AS BIGINT) AS commits,
+ round(sum(active), 6) AS active_minutes, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, count(committed) AS shipped
 FROM sessions s LEFT JOIN pe ON pe.session_id = s.id LEFT JOIN pf ON pf.session_id = s.id LEFT JOIN pt ON pt.session_id = s.id LEFT JOIN pp ON pp.session_id = s.id LEFT JOIN pc ON pc.session_id = s.id LEFT JOIN pa ON pa.session_id = s.id GROUP BY 1, 2""",
     "status_counts": BASE + "SELECT count(*) FILTER (event_type <> 'hook_misfire') AS events, count(*) FILTER (event_type = 'hook_misfire') AS misfires, (SELECT count(*) FROM sessions) AS sessions, (SELECT count(*) FROM commits) AS commits, (SELECT count(*) FROM repositories) AS repositories FROM ev",
     "status_agents": BASE + "SELECT agent_slug, count(*) FILTER (event_type <> 'hook_misfire') AS events, count(*) FILTER (event_type = 'hook_misfire') AS misfires FROM ev GROUP BY 1",

@@ -22,6 +22,9 @@ def over(question: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: question(load(spark, sf_dir))
 
 
+#: A filter of each kind, for queries that show what filters do.
+SOME = filters.Filters(start=dt.date(2024, 1, 5), end=dt.date(2024, 1, 25), agents=("codex", "pi"), models=("m0", "unknown"))
+
 QUERIES: dict[str, Query] = authors.QUERIES | {
     "ai_edits_scored": over(ai_edits_scored),
     "overview": over(metrics.overview),
@@ -42,6 +45,8 @@ QUERIES: dict[str, Query] = authors.QUERIES | {
     "session_outcomes": over(metrics.session_outcomes),
     "funnel": over(metrics.funnel),
     "lead_time": over(metrics.lead_time),
+    "lead_time_filtered": over(lambda T: metrics.lead_time(T, SOME)),
+    "tool_mix_filtered": over(lambda T: metrics.tool_mix(T, SOME)),
     "model_table": over(lambda T: metrics.model_table(T).withColumn("active_minutes", F.round("active_minutes", 6))),
     "status_counts": over(metrics.status_counts),
     "status_agents": over(metrics.status_agents),

@@ -35,7 +35,7 @@ FROM (SELECT *, {d['k']} AS k, {d['us'].format('ts')} - {T0} AS off, ({d['us'].f
 SELECT *, CASE WHEN et = 'signup' THEN 'Stop' WHEN et = 'purchase' AND agent_slug = 'cursor' THEN 'afterFileEdit'
     WHEN et = 'error' AND event_id % 4 = 0 THEN 'hook_misfire' ELSE 'PostToolUse' END AS kind,
   CASE WHEN et = 'click' THEN 'Edit' WHEN et = 'purchase' AND agent_slug <> 'cursor' THEN 'Write'
-    WHEN et = 'view' THEN CASE event_id % 20 WHEN 0 THEN 'Grep' WHEN 1 THEN 'Glob' WHEN 2 THEN 'view_image' WHEN 3 THEN 'NotebookRead' WHEN 4 THEN 'LS' WHEN 5 THEN 'exec' WHEN 6 THEN 'shell' WHEN 7 THEN 'NotebookEdit'
+    WHEN et = 'view' AND event_id % 23 = 5 THEN NULL WHEN et = 'view' THEN CASE event_id % 20 WHEN 0 THEN 'Grep' WHEN 1 THEN 'Glob' WHEN 2 THEN 'view_image' WHEN 3 THEN 'NotebookRead' WHEN 4 THEN 'LS' WHEN 5 THEN 'exec' WHEN 6 THEN 'shell' WHEN 7 THEN 'NotebookEdit'
       WHEN 8 THEN 'Agent' WHEN 9 THEN 'Task' WHEN 10 THEN 'TaskOutput' WHEN 11 THEN 'SubagentHandback' WHEN 12 THEN 'TaskCreate' WHEN 13 THEN 'TaskUpdate' WHEN 14 THEN 'collaboration_ask' WHEN 15 THEN 'WebSearch' WHEN 16 THEN 'webrun'
       WHEN 17 THEN 'Read' WHEN 18 THEN 'Bash' ELSE 'mcp__docs__get' END
     WHEN et = 'error' AND event_id % 4 <> 0 THEN 'WebFetch' END AS tool,
@@ -46,9 +46,9 @@ UNION ALL SELECT event_id, user_id, w, k, value, et, sid, repo_id, us + 2000000,
 UNION ALL SELECT event_id, user_id, w, k, value, et, sid, repo_id, us + 9000000, agent_slug, model, rel, 'PostToolUse', 'Write', is_edit, 2 FROM kinds WHERE kind = 'afterFileEdit' AND event_id % 5 = 0""",
         "events": f"""
 SELECT CASE WHEN dup = 0 THEN 'e' || event_id ELSE 'e' || event_id || '_' || dup END AS id,
-  CASE WHEN kind <> 'hook_misfire' THEN sid END AS session_id, {ts.format('us')} AS ts, kind AS event_type, agent_slug,
+  CASE WHEN kind <> 'hook_misfire' AND event_id % 29 <> 7 THEN sid END AS session_id, {ts.format('us')} AS ts, kind AS event_type, agent_slug,
   CASE WHEN is_edit THEN '/w/' || repo_id || '/' || rel END AS file_path, CASE WHEN kind <> 'hook_misfire' THEN repo_id END AS repo_id,
-  CASE WHEN is_edit THEN rel END AS rel_file_path,
+  CASE WHEN is_edit AND event_id % 31 <> 3 THEN rel END AS rel_file_path,
   CASE WHEN is_edit THEN k % 20 END AS lines_added,
   CASE WHEN is_edit AND dup = 0 AND event_id % 3 <> 0 THEN k % 20 END AS lines_generated,
   CASE WHEN is_edit AND dup = 0 AND event_id % 3 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN k % 5 ELSE 0 END END AS lines_reworked,
@@ -60,8 +60,9 @@ SELECT CASE WHEN dup = 0 THEN 'e' || event_id ELSE 'e' || event_id || '_' || dup
     '"tool_input":{{', CASE WHEN is_edit THEN concat('"', CASE WHEN tool = 'Edit' THEN 'new_string' ELSE 'content' END, '":"', repeat({d['nl']}, cast(k % 20 AS int)), '"') ELSE '' END, '}}}}') END AS payload
 FROM spread""",
         "ranges": """
-SELECT 'g' || event_id AS id, 'e' || event_id AS event_id, rel AS rel_file_path, '/w/' || repo_id || '/' || rel AS file_path,
-  cast(1 + k AS bigint) AS start_line, cast(1 + k + k % 20 AS bigint) AS end_line FROM kinds WHERE is_edit AND event_id % 2 = 0""",
+SELECT 'g' || event_id AS id, 'e' || event_id AS event_id, CASE WHEN event_id % 37 <> 4 THEN rel END AS rel_file_path, '/w/' || repo_id || '/' || rel AS file_path,
+  cast(1 + k AS bigint) AS start_line, cast(1 + k + k % 20 AS bigint) AS end_line FROM kinds WHERE event_id % 2 = 0 AND (is_edit OR tool IN ('Bash', 'exec', 'shell'))
+UNION ALL SELECT 'h' || event_id, 'e' || event_id, 'src/g' || (k % 25) || '.py', '/w/' || repo_id || '/src/g' || (k % 25) || '.py', cast(2 AS bigint), cast(2 + k % 3 AS bigint) FROM kinds WHERE is_edit AND event_id % 10 = 4""",
         "sessions": f"""
 SELECT sid AS id, min(agent_slug) AS agent_slug, min(model) AS model_slug, min(repo_id) AS repo_id,
   CASE WHEN min(user_id) % 11 <> 0 THEN 'dev' || (min(user_id) % 20) END AS engineer_email, CASE WHEN min(user_id) % 11 <> 0 THEN 'Dev ' || (min(user_id) % 20) END AS engineer_name,
@@ -81,12 +82,15 @@ SELECT 'c' || o_orderkey AS id, 'r' || (o_custkey % 10) AS repo_id, 'sha' || o_o
 FROM __orders LEFT JOIN (SELECT commit_id, cast(sum(lines_added) AS bigint) AS la, cast(sum(lines_removed) AS bigint) AS lr, count(*) AS n FROM commit_files GROUP BY commit_id) f ON f.commit_id = 'c' || o_orderkey""",
         "numbered": "SELECT id AS session_id, agent_slug, model_slug, started_at, row_number() OVER (ORDER BY id) - 1 AS no FROM sessions",
         "many": "SELECT count(*) AS many FROM sessions",
-        "picked": "SELECT l_orderkey, l_linenumber, l_quantity, l_partkey % many AS pick FROM __lineitem CROSS JOIN many",
+        "picked": "SELECT l_orderkey, l_partkey, l_linenumber, l_quantity, l_partkey % many AS pick FROM __lineitem CROSS JOIN many",
         "asked": "SELECT conv_id, turn, text, conv_id % many AS pick FROM __conversations CROSS JOIN many WHERE role = 'user'",
-        "commit_sessions": """
+        "commit_sessions": f"""
 SELECT 'c' || l_orderkey AS commit_id, session_id, min(agent_slug) AS agent_slug, min(model_slug) AS model_slug, count(*) AS event_count,
-  cast(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_quantity END) AS bigint) AS lines_attributed
+  cast(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_quantity END) AS bigint) AS lines_attributed, {ts.format(d['us'].format('min(started_at)') + ' + cast(sum(l_linenumber) as bigint) * 600000000')} AS last_event_ts
 FROM picked JOIN numbered ON no = pick GROUP BY l_orderkey, session_id""",
+        "commit_session_files": """
+SELECT 'c' || l_orderkey AS commit_id, session_id, 'src/f' || (l_partkey % 25) || '.py' AS file_path, cast(sum(CASE WHEN l_linenumber % 4 = 0 THEN 0 ELSE l_quantity END) AS bigint) AS lines_attributed
+FROM picked JOIN numbered ON no = pick GROUP BY l_orderkey, session_id, l_partkey % 25""",
         "prompts": f"""
 SELECT session_id, cast(row_number() OVER (PARTITION BY session_id ORDER BY conv_id, turn) AS bigint) AS seq,
   {ts.format(d['us'].format('started_at') + ' + cast(turn AS bigint) * 90000000')} AS ts, agent_slug, text AS prompt_text
@@ -123,7 +127,7 @@ def load(spark: SparkSession, sf_dir: str) -> Tables:
         for known in made:
             text = _named(text, known, "{" + known + "}")
         made[name] = spark.sql(text, **{k: v for k, v in made.items() if re.search(rf"(?<!{{){{{k}}}", text)})
-    return Tables(**{k: made[k] for k in ("sessions", "events", "ranges", "commits", "commit_files", "commit_sessions", "prompts", "repositories")})
+    return Tables(**{k: made[k] for k in ("sessions", "events", "ranges", "commits", "commit_files", "commit_sessions", "prompts", "repositories")}, extra={"commit_session_files": made["commit_session_files"]})
 
 
 def _numbered(sessions: DataFrame) -> DataFrame:
