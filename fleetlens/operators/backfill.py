@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import event_type_col
 from ..sources.fixtures import Tables
+from .locate import patch_hunks, place_patches
 from .maintenance import build_sessions, orphan_sessions, remove_phantoms, session_engineer, session_repo
 
 TOKENS = ("input_tokens", "output_tokens", "cache_read_tokens", "cache_creation_tokens")
@@ -59,6 +60,16 @@ def fill_ranges(T: Tables, located: DataFrame) -> DataFrame:
     return T.ranges.unionByName(fresh)
 
 
+def fill_patch_ranges(T: Tables, texts: DataFrame) -> DataFrame:
+    """ranges + those of patches without any: tool reports of apply_patch, placed in each file's text (event_id, file_path as the patch names it, rel_file_path, text)."""
+    patch = F.coalesce(F.get_json_object("payload", "$.tool_input.command"), F.get_json_object("payload", "$.tool_input.patch"))
+    named = T.events.where("event_type = 'PostToolUse'").where(F.get_json_object("payload", "$.tool_name") == "apply_patch").select(F.col("id").alias("event_id"), patch.alias("command"))
+    bare = named.where("command is not null").join(T.ranges.select("event_id"), "event_id", "left_anti")
+    placed = place_patches(patch_hunks(bare).join(texts, ["event_id", "file_path"]))
+    spans = placed.select("event_id", "file_path", F.posexplode("spans").alias("n", "s")).join(texts.select("event_id", "file_path", "rel_file_path"), ["event_id", "file_path"])
+    return T.ranges.unionByName(spans.select(F.concat_ws("#", "event_id", "file_path", F.col("n").cast("string")).alias("id"), "event_id", "rel_file_path", "file_path", F.col("s.a").cast("long").alias("start_line"), F.col("s.b").cast("long").alias("end_line")))
+
+
 def drop_repeated_ranges(T: Tables) -> DataFrame:
     """ranges without those of tool reports that repeat a file edit (edits.drop_duplicates)."""
     from .edits import drop_duplicates

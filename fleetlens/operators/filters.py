@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,8 +71,10 @@ class Filters:
         like = "%" + self.search.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") + "%"
         hit = T.prompts.where(F.col("prompt_text").ilike(like)).select(F.col("session_id").alias("id")).distinct().withColumn("__hit", F.lit(True))
         named = T.repositories.select(F.col("id").alias("repo_id"), F.col("name").alias("__name"))
-        text = F.concat_ws("\n", "id", "agent_slug", "model_slug", "engineer_email", "engineer_name", "__name")
-        return found.join(named, "repo_id", "left").join(hit, "id", "left").where(text.ilike(like) | F.col("__hit")).select(*T.sessions.columns)
+        joined = found.join(named, "repo_id", "left").join(hit, "id", "left")
+        texts = [c for c in ("id", "agent_slug", "model_slug", "branch", "engineer_email", "engineer_name", "__name") if c in joined.columns]
+        met = reduce(or_, [F.coalesce(F.col(c).ilike(like), F.lit(False)) for c in texts])
+        return joined.where(met | F.col("__hit")).select(*T.sessions.columns)
 
 
 def active_repos(T: Tables) -> DataFrame:

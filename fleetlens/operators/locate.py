@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .changes import version_alignment, version_diff
 
@@ -97,3 +101,91 @@ def counted_in(marks: Column, commit: Column, most: int = 4) -> Column:
 def expire(state: DataFrame, now, days: int = 30, most_bytes: int = 1 << 20) -> DataFrame:
     """Rows of a map or ledger (updated_at, size_bytes) that are kept: touched within `days` of now, of files not over most_bytes."""
     return state.where((F.col("updated_at") >= F.lit(now) - F.make_dt_interval(F.lit(days))) & (F.coalesce("size_bytes", F.lit(0)) <= most_bytes))
+
+
+def patch_hunks(patches: DataFrame) -> DataFrame:
+    """(event_id, file_path, hunks) from apply_patch texts (event_id, command): each file's hunks, arrays of marked lines, in order; sections of one file are joined.
+
+    A hunk begins at a line of two at-signs or with its file; a moved file goes by its new name, a deleted one has no hunks.
+    """
+    lines = patches.select("event_id", F.posexplode(F.split(F.regexp_replace("command", "\r\n", "\n"), "\n")).alias("n", "line"))
+    named = F.regexp_extract("line", r"^\*\*\* (?:Add|Update) File: (.*?)\s*$", 1)
+    moved = F.regexp_extract("line", r"^\*\*\* Move to: (.*?)\s*$", 1)
+    opens = F.when(F.col("line").rlike(r"^\*\*\* (?:Add|Update|Delete) File: |^\*\*\* End Patch"), named)
+    order = Window.partitionBy("event_id").orderBy("n")
+    marked = lines.withColumns({"opens": opens, "section": F.sum(opens.isNotNull().cast("int")).over(order), "hunk": F.sum((opens.isNotNull() | F.col("line").startswith("@@")).cast("int")).over(order)})
+    inside = Window.partitionBy("event_id", "section")
+    own = marked.withColumn("file_path", F.coalesce(F.max(F.nullif(moved, F.lit(""))).over(inside), F.max("opens").over(inside))).where("file_path <> ''").where(~F.col("line").rlike(r"^(?:\*\*\* |@@)"))
+    sorted_ = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    each = own.groupBy("event_id", "file_path", "hunk").agg(sorted_("n", "line").alias("rows"))
+    return each.groupBy("event_id", "file_path").agg(sorted_("hunk", "rows").alias("hunks"))
+
+
+def find_lines(post: list[str], places: dict[str, list[int]], window: list[str], added: list[int], claimed: set[int], start: int) -> int:
+    """First place at or after start where window stands in post and none of its added lines (offsets) is claimed, or -1."""
+    for at in places.get(window[0], ()):
+        if at >= start and post[at : at + len(window)] == window and not any(at + k in claimed for k in added):
+            return at
+    return -1
+
+
+def place_hunks(hunks: list[list[str]], post: list[str]) -> tuple[list[int], int]:
+    """(numbers of the added lines in post, hunks not found): each hunk by what it leaves, context and all, from the end of the one before.
+
+    If that isn't there, it is looked for from the top, then with one line of context on each side, then with none.
+    Lines that a hunk has added are not another's.
+    """
+    bare = lambda x: x.removesuffix("\r")
+    post = [bare(x) for x in post]
+    places: dict[str, list[int]] = {}
+    for i, x in enumerate(post):
+        places.setdefault(x, []).append(i)
+    claimed: set[int] = set()
+    found, lost, cursor = [], 0, 0
+    for hunk in hunks:
+        image = [(bare(x[1:]), x[:1] == "+") for x in hunk if x[:1] not in ("-", "\\")]
+        added = [i for i, (_, new) in enumerate(image) if new]
+        if not added:
+            continue
+        for context in (len(image), 1, 0):
+            low, high = max(added[0] - context, 0), min(added[-1] + context + 1, len(image))
+            window, own = [x for x, _ in image[low:high]], [i - low for i in added]
+            at = find_lines(post, places, window, own, claimed, cursor)
+            at = find_lines(post, places, window, own, claimed, 0) if at < 0 else at
+            if at >= 0:
+                claimed.update(at + i for i in own)
+                found += [at + i + 1 for i in own]
+                cursor = at - low + len(image)
+                break
+        else:
+            lost += 1
+    return found, lost
+
+
+def place_patches(patches: DataFrame) -> DataFrame:
+    """(event_id, file_path, added, removed, unlocated, spans) of patched files (event_id, file_path, hunks, text after the patch).
+
+    added and removed count all of the hunks' lines, spans (a, b) are runs of added lines that are in the text. A null text has no lines.
+    """
+    names = ["event_id", "file_path", "added", "removed", "unlocated", "spans"]
+    span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for event, file, hunks, text in zip(*(batch.column(c).to_pylist() for c in ("event_id", "file_path", "hunks", "text")), strict=True):
+                lines = (text or "").split("\n")
+                found, lost = place_hunks(hunks or [], lines[:-1] if lines[-1] == "" else lines)
+                spans: list[dict] = []
+                for n in sorted(found):
+                    if spans and spans[-1]["b"] == n - 1:
+                        spans[-1]["b"] = n
+                    else:
+                        spans.append({"a": n, "b": n})
+                marks = [x[:1] for h in hunks or () for x in h]
+                out.append((event, file, marks.count("+"), marks.count("-"), lost, spans))
+            columns = list(zip(*out, strict=True)) or [()] * 6
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(span)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    return patches.select("event_id", "file_path", "hunks", "text").mapInArrow(run, "event_id string, file_path string, added long, removed long, unlocated long, spans array<struct<a:int,b:int>>")

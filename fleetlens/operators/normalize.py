@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +15,8 @@ from ..functions.columns import SHELL_TOOLS, canonical_tool, event_type_col, new
 OUTPUT_KEYS = ("tool_response", "tool_output", "tool_result", "toolResult")
 KEPT_TEXT = ("stderr", "result_type")
 TEXT_BYTES, STRING_BYTES = 2048, 256 * 1024
+#: Bytes of a cut text that are left for its marker; the key under which a trimmed payload counts what was dropped.
+MARKER_BYTES, TRIM_KEY = 64, "_trimmed"
 # Payload keys that metadata-only export may keep, those of tool_input, and the keys whose value is a list of strings.
 ALLOWED = (
     "hook_event_name", "event", "type",
@@ -47,12 +52,21 @@ def parse_envelopes(envelopes: DataFrame) -> DataFrame:
     )
 
 
+def from_copilot(payload: Column) -> Column:
+    """Whether a payload is one agent's own, whatever hook delivered it: by its transcript's folder, or by keys that it alone has."""
+    path = F.lower(F.replace(F.coalesce(pick_string(payload, "$.transcript_path", "$.transcriptPath"), F.lit("")), F.lit("\\"), F.lit("/")))
+    keys = lambda text: F.coalesce(F.map_keys(F.from_json(text, "map<string,variant>")), F.array().cast("array<string>"))
+    stored = path.contains("github.copilot-chat/") | (path.contains("/session-state/") & path.endswith("/events.jsonl"))
+    named = F.array_contains(keys(payload), "toolArgs") | F.array_contains(keys(F.get_json_object(payload, "$.tool_result")), "text_result_for_llm")
+    return stored | named
+
+
 def drop_cross_delivered(events: DataFrame) -> DataFrame:
     """events without those that another agent's hook delivered a second time."""
     p = F.col("payload")
     cursor = F.coalesce(pick_string(p, "$.cursor_version"), F.lit("")) != ""
-    copilot = F.get_json_object(p, "$.toolArgs").isNotNull() | F.get_json_object(p, "$.tool_result.text_result_for_llm").isNotNull() | F.coalesce(F.get_json_object(p, "$.transcript_path").contains("/.copilot/"), F.lit(False))
-    return events.where(~((cursor & (F.col("agent_slug") != "cursor")) | (copilot & (F.col("agent_slug") != "github-copilot"))))
+    again = (cursor & (F.col("agent_slug") != "cursor")) | (from_copilot(p) & (F.col("agent_slug") != "github-copilot"))
+    return events.where(~F.coalesce(again, F.lit(False)))
 
 
 def resolve_session_ids(events: DataFrame) -> DataFrame:
@@ -81,20 +95,71 @@ def strip_prompts(events: DataFrame, agents: tuple[str, ...] = ("claude-code", "
     return events.withColumn("payload", F.when((F.col("event_type") == "UserPromptSubmit") & F.col("agent_slug").isin(*agents), F.coalesce(bare, "payload")).otherwise(F.col("payload")))
 
 
+def cut_text(text: str, most: int) -> str:
+    """text within `most` UTF-8 bytes, ending in a marker of how many bytes went; the marker has room inside, so cutting again changes nothing."""
+    raw = text.encode("utf-8", "surrogatepass")
+    if len(raw) <= most:
+        return text
+    head = raw[: max(most - MARKER_BYTES, 0)].decode("utf-8", "ignore")
+    return f"{head}[...truncated {len(raw) - len(head.encode())} bytes]"
+
+
+def cut_strings(value):
+    """A JSON value whose strings are cut to STRING_BYTES, however deep they lie."""
+    if isinstance(value, str):
+        return cut_text(value, STRING_BYTES)
+    if isinstance(value, dict):
+        return {k: cut_strings(v) for k, v in value.items()}
+    return [cut_strings(v) for v in value] if isinstance(value, list) else value
+
+
+def cut_output(value):
+    """A tool's output: an object's numbers, booleans, nulls and its status texts, cut to TEXT_BYTES; anything else is null."""
+    if not isinstance(value, dict):
+        return None
+    return {k: cut_text(v, TEXT_BYTES) if isinstance(v, str) else v for k, v in value.items() if v is None or isinstance(v, bool | int | float) or (k in KEPT_TEXT and isinstance(v, str))}
+
+
+def trimmed(payload: str) -> str:
+    """A payload as it is kept: tool outputs reduced, long strings cut, and a mark of the bytes dropped so far; as it came if there is nothing to drop."""
+    try:
+        held = json.loads(payload) if payload.lstrip().startswith("{") else None
+    except ValueError:
+        held = None
+    if not isinstance(held, dict):
+        raw = payload.encode("utf-8", "surrogatepass")
+        return payload if len(raw) <= STRING_BYTES else raw[:STRING_BYTES].decode("utf-8", "ignore")
+    size = lambda v: len(json.dumps(v, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
+    dropped, kept = 0, dict(held)
+    for key, value in held.items():
+        if key == TRIM_KEY:
+            continue
+        new = cut_output(value) if key in OUTPUT_KEYS else value
+        new = cut_strings(new) if size(new) > STRING_BYTES else new
+        if new != value:
+            kept[key], dropped = new, dropped + max(size(value) - size(new), 0)
+    if not dropped:
+        return payload
+    before = held.get(TRIM_KEY)
+    kept[TRIM_KEY] = {"dropped_bytes": dropped + (before.get("dropped_bytes", 0) if isinstance(before, dict) else 0)}
+    return json.dumps(kept, ensure_ascii=False, separators=(",", ":"))
+
+
 def trim_payloads(events: DataFrame) -> DataFrame:
-    """events + dropped_bytes: tool outputs reduced to scalars and the first bytes of stderr; payloads without any are untouched. Trimming again changes nothing."""
-    held = F.from_json("payload", "map<string,variant>")
-    small = lambda v: F.schema_of_variant(v).isin("BOOLEAN", "BIGINT", "DOUBLE") | F.schema_of_variant(v).startswith("DECIMAL")
+    """events + dropped_bytes, what this call dropped: tool outputs reduced, strings over STRING_BYTES cut; trimming again changes nothing.
+
+    Only payloads that name an output or are long go to Python, in Arrow batches; the rest are untouched.
+    """
 
-    def reduced(v: Column) -> Column:
-        inner = F.from_json(F.to_json(v), "map<string,variant>")
-        kept = F.map_filter(inner, lambda k, x: k.isin(*KEPT_TEXT) | small(x))
-        return F.parse_json(F.to_json(F.transform_values(kept, lambda k, x: F.when(small(x), x).otherwise(F.get(F.from_json(F.to_json(F.array(F.substring(F.try_variant_get(x, "$", "string"), 1, TEXT_BYTES))), "array<variant>"), 0)))))
+    @F.arrow_udf("string")
+    def trim(payloads: pa.Array) -> pa.Array:
+        return pa.array([x if x is None else trimmed(x) for x in payloads.to_pylist()], pa.string())
 
-    has = F.exists(F.map_keys(held), lambda k: k.isin(*OUTPUT_KEYS))
-    new = F.to_json(F.transform_values(held, lambda k, v: F.when(k.isin(*OUTPUT_KEYS), F.coalesce(reduced(v), F.parse_json(F.lit("{}")))).otherwise(v)))
-    trimmed = F.when(F.coalesce(has, F.lit(False)), new).otherwise(F.col("payload"))
-    return events.withColumn("__new", trimmed).withColumn("dropped_bytes", F.greatest(F.octet_length("payload") - F.octet_length("__new"), F.lit(0))).withColumn("payload", F.col("__new")).drop("__new")
+    due = (F.octet_length("payload") > STRING_BYTES) | F.col("payload").rlike('"(?:' + "|".join(OUTPUT_KEYS) + ')"')
+    new = events.where(due).withColumn("__new", trim("payload")).unionByName(events.where(~F.coalesce(due, F.lit(False))).withColumn("__new", F.col("payload")))
+    mark = lambda c: F.coalesce(F.get_json_object(c, f"$.{TRIM_KEY}.dropped_bytes").cast("long"), F.lit(0))
+    dropped = F.when(mark("__new") > 0, mark("__new") - mark("payload")).otherwise(F.octet_length("payload") - F.octet_length("__new"))
+    return new.withColumn("dropped_bytes", dropped.cast("long")).withColumn("payload", F.col("__new")).drop("__new")
 
 
 def _kept(held: Column, keys: tuple[str, ...]) -> Column:
@@ -126,10 +191,11 @@ def redact_events(events: DataFrame) -> DataFrame:
 
 
 def file_path(payload: Column, patched: Column, written: Column) -> Column:
-    """The file that an event is about: its input's file_path, the first of file_paths, a patch's first file, a shell command's first target."""
-    first = lambda path: F.get_json_object(payload, path)
-    named = [F.nullif(first(p), F.lit("")) for p in ("$.tool_input.file_path", "$.file_path", "$.tool_input.file_paths[0]", "$.file_paths[0]")]
-    return F.coalesce(*named, patched, written)
+    """The file that an event is about: its input's file_path, the first of its file_paths that is a non-empty string, its own file_path, a patch's first file, a shell command's first target."""
+    listed = F.from_json(F.get_json_object(payload, "$.file_paths"), "array<variant>")
+    texts = F.filter(listed, lambda v: (F.schema_of_variant(v) == "STRING") & (F.try_variant_get(v, "$", "string") != ""))
+    first = F.try_variant_get(F.get(texts, 0), "$", "string")
+    return F.coalesce(pick_string(payload, "$.tool_input.file_path"), first, pick_string(payload, "$.file_path"), patched, written)
 
 
 def with_file_path(events: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import attribution, authorship, content
+from ..operators import attribution, authorship, content, locate
 from ..sources.fixtures import Tables, load
 from . import derived
 
@@ -80,7 +80,15 @@ def uncommitted_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeds.select("repo_id", "file_path", F.size("seeds").cast("bigint").alias("n"), F.get("seeds", 0)["event_id"].alias("first_event"), F.element_at("seeds", -1)["event_id"].alias("last_event"))
 
 
+def patch_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per patched document: lines added and removed, hunks not found, and where the added lines stand."""
+    patches = derived.patched_documents(spark, sf_dir)
+    placed = locate.place_patches(locate.patch_hunks(patches.select("event_id", "command")).join(patches.select("event_id", "text"), "event_id"))
+    starts = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["a"])
+    return placed.select("event_id", "file_path", "added", "removed", "unlocated", F.size("spans").cast("bigint").alias("spans"), starts.alias("starts"))
+
+
 QUERIES = {
     "authorship_map": authorship_map, "look_credits": look_credits, "content_credits": content_credits, "attribution_method": attribution_method,
-    "attribute_by_method": attribute_by_method, "chain_pairs": chain_pairs, "uncommitted_ranges": uncommitted_ranges,
+    "attribute_by_method": attribute_by_method, "chain_pairs": chain_pairs, "uncommitted_ranges": uncommitted_ranges, "patch_placement": patch_placement,
 }

@@ -49,6 +49,47 @@ def diffs(T: Tables) -> DataFrame:
     return T.commit_files.where("lines_added > 0").select("commit_id", F.concat(head, lines).alias("diff"))
 
 
+def note_runs(T: Tables) -> DataFrame:
+    """Two runs of each committed file of four added lines and more, without the line between; files of a multiple of three lines are matched by position."""
+    half = F.expr("lines_added div 2")
+    spans = F.array(F.struct(F.lit(1).cast("long").alias("start_line"), half.alias("end_line")), F.struct((half + 2).alias("start_line"), F.col("lines_added").cast("long").alias("end_line")))
+    rows = T.commit_files.where("lines_added >= 4").select("commit_id", "file_path", (F.col("lines_added") % 3 != 0).alias("exact"), F.inline(spans))
+    return rows.select("*", F.lit("codex").alias("agent"), F.concat(F.lit("s"), "end_line").alias("session"), F.when(F.col("end_line") % 2 == 0, "m0").alias("model"), F.lit("2024-01-01T00:00:00Z").alias("ts"))
+
+
+def _numbered_events(T: Tables) -> DataFrame:
+    return T.events.where("id not like '%\\_%'").withColumn("n", F.expr("try_cast(substring(id, 2) as bigint)"))
+
+
+def delivered(T: Tables) -> DataFrame:
+    """Events (id, agent_slug, payload, shape) that look like other agents' or not, one of eight shapes each."""
+    shapes = [
+        '{"cursor_version":"1.2"}', '{"cursor_version":""}', '{"transcript_path":"C:\\\\u\\\\GitHub.copilot-chat\\\\t.json"}', '{"transcriptPath":"/h/session-state/i/events.jsonl"}',
+        '{"transcript_path":"/h/.copilot/x.jsonl"}', '{"toolArgs":null}', '{"tool_result":{"text_result_for_llm":""}}', '{"tool_result":"text_result_for_llm"}',
+    ]
+    shape = (F.col("n") % 8).cast("int")
+    return _numbered_events(T).select("id", "agent_slug", F.get(F.array(*map(F.lit, shapes)), shape).alias("payload"), shape.alias("shape"))
+
+
+def named_files(T: Tables) -> DataFrame:
+    """Events (id, agent_slug, payload, file_path) that name their file in one of eight ways, or in several."""
+    shapes = [
+        '{"tool_name":"Edit","tool_input":{"file_path":"/a/1"},"file_paths":["/b"]}', '{"file_paths":["",7,"/b/2","/c"],"file_path":"/d"}', '{"file_path":"/d/3","tool_input":{"file_paths":["/e"]}}', '{"tool_input":{"file_paths":["/e"]}}',
+        '{"tool_name":"apply_patch","tool_input":{"command":"*** Begin Patch\\n*** Delete File: x\\n*** Update File: p/5.py\\n@@\\n+x\\n*** End Patch"}}', '{"tool_name":"Bash","tool_input":{"command":"echo x > /o/6 && cat y"}}',
+        '{"tool_name":"Read","tool_input":{"command":"echo x > /o/7"},"file_path":""}', '{"file_paths":[]}',
+    ]
+    return _numbered_events(T).select("id", "agent_slug", F.get(F.array(*map(F.lit, shapes)), (F.col("n") % 8).cast("int")).alias("payload"), F.lit(None).cast("string").alias("file_path"))
+
+
+def long_payloads(T: Tables) -> DataFrame:
+    """Every hundredth event with a status text of 0 to 4,080 two-byte letters and, by turns, a content on both sides of the limit; the rest with neither."""
+    held = _numbered_events(T)
+    text = F.repeat(F.lit("é"), (F.col("n") % 18 * 240).cast("int"))
+    content = F.repeat(F.lit("x"), F.when(F.col("n") % 300 == 0, 300_000).otherwise((F.col("n") % 700).cast("int")))
+    long = F.to_json(F.struct(F.struct(content.alias("content")).alias("tool_input"), F.struct(F.lit(1).alias("code"), text.alias("stderr"), F.lit("gone").alias("stdout")).alias("tool_response")))
+    return held.select("id", F.when(F.col("n") % 100 == 0, long).otherwise(F.lit('{"tool_name":"Read"}')).alias("payload"))
+
+
 INSERTED = "<inserted>"
 
 
@@ -104,3 +145,23 @@ def history_parents(steps: DataFrame) -> DataFrame:
     """(id, parent) of the commits of file_histories()."""
     own = steps.where("commit_id is not null").select(F.col("commit_id").alias("id"), F.split("commit_id", "-")[0].alias("c"), "file")
     return own.select("id", F.when(F.col("c") == "c2", F.concat(F.lit("c1-"), "file")).alias("parent"))
+
+
+def patched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(event_id, command, text): every document with a numbered line put in after lines 5, 16, 27 and so on (from 0), and the patch that did it.
+
+    Each line is a hunk between its neighbours, which in documents of odd ids read otherwise by now, and takes a line away. One hunk more is nowhere in the text.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id is not null and text is not null").select("doc_id", "text")
+    lines = F.split("text", "\n")
+    put = lambda i: F.concat(F.lit("<inserted "), i.cast("string"), F.lit(">"))
+    none = F.array().cast("array<string>")
+    after = F.flatten(F.transform(lines, lambda x, i: F.concat(F.array(x), F.when(i % 11 == 5, F.array(put(i))).otherwise(none))))
+    context = lambda x: F.concat(F.lit(" "), F.when(F.col("doc_id") % 2 == 0, F.coalesce(x, F.lit("end"))).otherwise(F.lit("as it was")))
+    hunk = lambda i: F.array(F.lit("@@"), context(F.get("lines", i)), F.lit("-gone"), F.concat(F.lit("+"), put(i)), F.when(F.get("lines", i + 1).isNotNull(), context(F.get("lines", i + 1))))
+    at = F.filter(F.transform("lines", lambda x, i: i), lambda i: i % 11 == 5)
+    body = F.array_compact(F.flatten(F.transform(at, hunk)))
+    name = F.concat(F.lit("*** Update File: d"), F.col("doc_id").cast("string"))
+    command = F.array_join(F.concat(F.array(F.lit("*** Begin Patch"), name), body, F.array(F.lit("@@"), F.lit("+<nowhere>"), F.lit("*** End Patch"))), "\n")
+    rows = docs.withColumn("lines", lines)
+    return rows.select(F.col("doc_id").cast("string").alias("event_id"), F.array_join(after, "\n").alias("text"), command.alias("command"))

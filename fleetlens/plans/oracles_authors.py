@@ -31,6 +31,9 @@ SQL = {
 SELECT * FROM (
   SELECT file, 'e0-' || file AS event_id, early AS lines FROM counts UNION ALL SELECT file, 'e1-' || file, kept - early FROM counts UNION ALL SELECT file, 'e2-' || file, inserted FROM counts
   UNION ALL SELECT file, 'e3-' || file, 1 FROM counts UNION ALL SELECT file, NULL, hand FROM counts) WHERE lines > 0""",
+    "patch_placement": """
+WITH docs AS (SELECT doc_id::varchar AS event_id, (len(string_split(text, chr(10))) + 5) // 11 AS m FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
+SELECT event_id, 'd' || event_id AS file_path, m + 1 AS added, m AS removed, 1::bigint AS unlocated, m AS spans, 6 * m * (m - 1) + 7 * m AS starts FROM docs""",
     "look_credits": f"""{_COUNTS}
 SELECT 'e3-' || file AS event_id, file, 1::bigint AS lines_generated, 0::bigint AS lines_reworked, 1::bigint AS spans FROM counts""",
     "content_credits": f"""{_COUNTS},

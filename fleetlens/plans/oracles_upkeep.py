@@ -41,5 +41,18 @@ file_path, CASE WHEN edit THEN '' END AS old_string, CASE WHEN edit THEN id END
     "version_diff": """WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, len(string_split(text, chr(10))) AS n FROM documents),
 k AS (SELECT * FROM l WHERE NOT (i = n - 1 AND t = ''))
 SELECT source AS file, doc_id AS version, count(*) FILTER (i % 7 = 3) AS removed, count(*) FILTER (i % 11 = 5) AS added FROM k GROUP BY 1, 2 HAVING count(*) FILTER (i % 7 = 3) + count(*) FILTER (i % 11 = 5) > 0""",
-    "notes_round_trip": BASE + "SELECT commit_id, file_path, '1-' || lines_added AS runs, 'codex' AS agent, 's' AS session, 'm0' AS model FROM commit_files WHERE lines_added > 0",
+    "notes_round_trip": BASE + """, f AS (SELECT *, lines_added // 2 AS half, lines_added % 3 <> 0 AS exact FROM commit_files WHERE lines_added >= 4), v AS (SELECT commit_id, CASE WHEN bool_and(exact) THEN 2 ELSE 1 END AS v FROM f GROUP BY 1),
+r AS (SELECT commit_id, file_path, 1 AS start_line, half AS end_line FROM f UNION ALL SELECT commit_id, file_path, half + 2, lines_added FROM f)
+SELECT r.commit_id, v, file_path, start_line, end_line, 'codex' AS agent, 's' || end_line AS session, CASE WHEN end_line % 2 = 0 THEN 'm0' END AS model, '2024-01-01T00:00:00Z' AS ts FROM r JOIN v ON v.commit_id = r.commit_id""",
+    "search_sessions": BASE + """SELECT id, agent_slug, engineer_name FROM sessions s WHERE agent_slug IN ('codex', 'cursor', 'pi') AND (concat_ws(chr(0), id, agent_slug, model_slug, engineer_email, engineer_name) ILIKE '%DEV 1%'
+  OR EXISTS (SELECT 1 FROM prompts p WHERE p.session_id = s.id AND prompt_text ILIKE '%DEV 1%'))""",
+    "cross_delivered": BASE + """, x AS (SELECT agent_slug, CAST(CAST(substr(id, 2) AS BIGINT) % 8 AS INTEGER) AS shape FROM ev WHERE NOT contains(id, '_'))
+SELECT agent_slug, shape, count(*) AS events FROM x WHERE NOT (shape = 0 AND agent_slug <> 'cursor') AND NOT (shape IN (2, 3, 5, 6) AND agent_slug <> 'github-copilot') GROUP BY 1, 2""",
+    "event_files": BASE + """SELECT id, CASE n % 8 WHEN 0 THEN '/a/1' WHEN 1 THEN '/b/2' WHEN 2 THEN '/d/3' WHEN 4 THEN 'p/5.py' WHEN 5 THEN '/o/6' END AS file_path, CASE n % 8 WHEN 0 THEN 'Edit' WHEN 4 THEN 'apply_patch' WHEN 5 THEN 'Bash' WHEN 6 THEN 'Read' END AS tool
+FROM (SELECT id, CAST(substr(id, 2) AS BIGINT) AS n FROM ev WHERE NOT contains(id, '_')) x""",
+    "trim_payloads": BASE + """, x AS (SELECT id, CAST(substr(id, 2) AS BIGINT) AS n FROM ev WHERE NOT contains(id, '_')), y AS (SELECT *, 480 * (n % 18) AS e, CASE WHEN n % 300 = 0 THEN 300000 ELSE n % 700 END AS c FROM x WHERE n % 100 = 0),
+z AS (SELECT *, CASE WHEN e > 2048 THEN 1984 + length('[...truncated ' || (e - 1984) || ' bytes]') ELSE e END AS e2, CASE WHEN c > 262144 THEN 262080 + length('[...truncated ' || (c - 262080) || ' bytes]') ELSE c END AS c2 FROM y),
+w AS (SELECT *, 24 + (e - e2) - 9 AS out_dropped FROM z)
+SELECT id, CAST(length('{"tool_input":{"content":""},"tool_response":{"code":1,"stderr":""},"_trimmed":{"dropped_bytes":}}') + e2 + c2 + length(CAST(16 + e - e2 + c - c2 AS VARCHAR)) AS INTEGER) AS bytes, true AS dropped, '1' AS code, CAST(e2 AS INTEGER) AS stderr_bytes, CAST(c2 AS INTEGER) AS content_bytes FROM w
+UNION ALL SELECT id, 20, false, NULL, NULL, NULL FROM x WHERE n % 100 <> 0""",
 }

@@ -98,7 +98,13 @@ QUERIES: dict[str, Query] = authors.QUERIES | {
     "blame_summary": over(lambda T: blame.blame_summary(blame.blame(T, blame.latest_lines(T)))),
     "blame_sessions": over(lambda T: blame.blame_sessions(blame.blame(T, blame.latest_lines(T)))),
     "version_diff": lambda spark, sf_dir: changes.version_diff(derived.edited_versions(spark, sf_dir)).groupBy("file", "version").agg(F.count_if(F.col("kind") == "removed").alias("removed"), F.count_if(F.col("kind") == "added").alias("added")),
-    "notes_round_trip": over(lambda T: git.read_notes(git.build_notes(T.commit_files.where("lines_added > 0").select("commit_id", "file_path", F.concat(F.lit("1-"), F.col("lines_added").cast("string")).alias("runs"), F.lit("codex").alias("agent"), F.lit("s").alias("session"), F.lit("m0").alias("model"))))),
+    "notes_round_trip": over(lambda T: git.read_notes(git.build_notes(derived.note_runs(T)))),
+    "search_sessions": over(lambda T: filters.Filters(search="DEV 1", agents=("codex", "cursor", "pi")).session_list(T).select("id", "agent_slug", "engineer_name")),
+    "cross_delivered": over(lambda T: normalize.drop_cross_delivered(derived.delivered(T)).groupBy("agent_slug", "shape").agg(F.count(F.lit(1)).alias("events"))),
+    "event_files": over(lambda T: normalize.with_file_path(derived.named_files(T)).select("id", "file_path", "tool")),
+    "trim_payloads": over(lambda T: normalize.trim_payloads(derived.long_payloads(T)).select(
+        "id", F.octet_length("payload").alias("bytes"), (F.col("dropped_bytes") > 0).alias("dropped"), F.get_json_object("payload", "$.tool_response.code").alias("code"),
+        F.octet_length(F.get_json_object("payload", "$.tool_response.stderr")).alias("stderr_bytes"), F.octet_length(F.get_json_object("payload", "$.tool_input.content")).alias("content_bytes"))),
 }
 
 ORACLE_SQL: dict[str, str] = oracles.SQL | oracles_sessions.SQL | oracles_upkeep.SQL | oracles_authors.SQL

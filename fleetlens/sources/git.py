@@ -77,15 +77,26 @@ def parse_blame(lines: DataFrame) -> DataFrame:
     return content.join(authors, "sha", "left").select("file_path", "final_line", "sha", "orig_line", "content", "author")
 
 
-def build_notes(lines: DataFrame) -> DataFrame:
-    """(commit_id, note): JSON of the runs of lines per file from lines (commit_id, file_path, runs, agent, session, model)."""
-    entry = F.struct("runs", "agent", "session", "model")
-    per_file = lines.groupBy("commit_id", "file_path").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    files = per_file.groupBy("commit_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_path", "e")))).alias("files"))
-    return files.select("commit_id", F.to_json(F.struct(F.lit(2).alias("v"), F.col("commit_id").alias("commit"), "files")).alias("note"))
+_NOTE = "v int, commit string, files map<string, array<struct<lines:string,agent:string,session:string,model:string,ts:string>>>"
+
+
+def build_notes(runs: DataFrame) -> DataFrame:
+    """(commit_id, note): a commit's note, JSON of v, commit and files: for each path its runs of lines like 3-9, in order, with agent, session, model and ts.
+
+    runs: (commit_id, file_path, start_line, end_line, agent, session, model, ts, exact). v is 2 if all of a commit's runs are exact, 1 if a file was matched
+    by position. Missing values are left out; a commit without runs has no note.
+    """
+    lines = F.when(F.col("start_line") == F.col("end_line"), F.col("start_line").cast("string")).otherwise(F.concat_ws("-", F.col("start_line").cast("string"), F.col("end_line").cast("string")))
+    entry = F.struct("start_line", "end_line", lines.alias("lines"), "agent", "session", "model", F.col("ts").cast("string").alias("ts"))
+    per_file = runs.groupBy("commit_id", "file_path").agg(F.array_sort(F.collect_list(entry)).alias("e"), F.min(F.coalesce("exact", F.lit(False)).cast("int")).alias("exact"))
+    plain = F.transform("e", lambda x: F.struct(x["lines"].alias("lines"), x["agent"].alias("agent"), x["session"].alias("session"), x["model"].alias("model"), x["ts"].alias("ts")))
+    files = per_file.groupBy("commit_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("file_path", plain.alias("e"))))).alias("files"), (F.min("exact") + 1).alias("v"))
+    return files.select("commit_id", F.to_json(F.struct("v", F.col("commit_id").alias("commit"), "files")).alias("note"))
 
 
 def read_notes(notes: DataFrame) -> DataFrame:
-    """The inverse of build_notes; notes that aren't JSON give no rows."""
-    held = F.from_json("note", "v int, commit string, files map<string, array<struct<runs:string,agent:string,session:string,model:string>>>")
-    return notes.select(held.alias("x")).select("x.commit", F.explode("x.files").alias("file_path", "e")).select(F.col("commit").alias("commit_id"), "file_path", F.inline("e"))
+    """(commit_id, v, file_path, start_line, end_line, agent, session, model, ts) of notes of either version; what isn't JSON, or names no line or lines, gives no rows."""
+    rows = notes.select(F.from_json("note", _NOTE).alias("x")).select(F.col("x.commit").alias("commit_id"), "x.v", F.explode("x.files").alias("file_path", "e")).select("commit_id", "v", "file_path", F.inline("e"))
+    ends = F.split("lines", "-")
+    spans = rows.where(F.col("lines").rlike(r"^\d+(-\d+)?$")).withColumns({"start_line": F.get(ends, 0).cast("long"), "end_line": F.coalesce(F.get(ends, 1), F.get(ends, 0)).cast("long")})
+    return spans.select("commit_id", "v", "file_path", "start_line", "end_line", "agent", "session", "model", "ts")
