@@ -111,7 +111,7 @@ def test_carried_commits(spark, tables):
 
 def test_turns_and_prompts(tables):
     turns = got(sessions.build_turns(tables), "session_id", "turn", "prompts", "tools", "open")
-    assert turns == [("A", 0, 2, 2, False), ("A", 1, 0, 1, True), ("B", 0, 0, 3, True), ("C", 0, 0, 1, True)]
+    assert turns == [("A", 0, 2, 2, False), ("A", 1, 0, 1, True), ("B", 0, 0, 4, True), ("C", 0, 0, 1, True)]
     assert got(sessions.classify_prompts(tables.prompts).where("seq < 3"), "seq", "kind", "resend_s")[1] == (2, "resend", 15)
     assert [r["seq"] for r in attribution.prompt_before(tables.events.where("session_id = 'A'"), tables.prompts).orderBy("event_id").collect()] == [1, 2, 2, 2]
 
@@ -148,7 +148,7 @@ def test_trimming_is_idempotent_and_redaction_leaks_nothing(spark):
     df = spark.createDataFrame([("1", held, None), ("2", '{"a": 1}', 4), ("3", None, None)], "id string, payload string, lines_added long")
     once = normalize.trim_payloads(df)
     first = {r["id"]: r for r in once.collect()}
-    assert first["2"]["payload"] == '{"a": 1}' and first["1"]["dropped_bytes"] > 10_000 and len(json.loads(first["1"]["payload"])["tool_response"]["stderr"]) == 2048
+    assert first["2"]["payload"] == '{"a": 1}' and first["1"]["dropped_bytes"] > 10_000 and json.loads(first["1"]["payload"])["tool_response"] == {"stderr": "e" * 1984 + "[...truncated 3016 bytes]", "ok": True, "n": 3}
     assert got(normalize.trim_payloads(once).fillna("-"), "id", "payload") == got(once.fillna("-"), "id", "payload")
     bare = {r["id"]: r for r in normalize.redact_events(df).collect()}
     assert "secret" not in bare["1"]["payload"] and bare["1"]["lines_added"] == 2 and bare["2"]["lines_added"] == 4 and bare["3"]["payload"] is None
@@ -266,7 +266,7 @@ def test_line_origins(spark):
 
 def test_file_path_of_an_event(spark):
     patch = "*** Begin Patch\n*** Update File: p.py\n@@\n+x\n*** End Patch"
-    made = [("1", {"tool_input": {"file_path": "a"}}, "a"), ("2", {"tool_input": {"file_paths": ["b", "c"]}}, "b"), ("3", {"tool_name": "apply_patch", "tool_input": {"command": patch}}, "p.py"), ("4", {"tool_name": "Bash", "tool_input": {"command": "echo x > out.txt"}}, "out.txt"), ("5", {"tool_name": "Read"}, None)]
+    made = [("1", {"tool_input": {"file_path": "a"}}, "a"), ("2", {"file_paths": ["", 5, "b", "c"], "file_path": "d", "tool_input": {"file_paths": ["x"]}}, "b"), ("3", {"tool_name": "apply_patch", "tool_input": {"command": patch}}, "p.py"), ("4", {"tool_name": "Bash", "tool_input": {"command": "echo x > out.txt"}}, "out.txt"), ("5", {"tool_name": "Read"}, None)]
     rows = spark.createDataFrame([(i, "codex", json.dumps(p), None) for i, p, _ in made], "id string, agent_slug string, payload string, file_path string")
     assert got(normalize.with_file_path(rows).fillna("-"), "id", "file_path") == [(i, w or "-") for i, _, w in made]
 
@@ -319,7 +319,10 @@ def test_backfills(spark, tables):
 def test_credit_by_file_and_lead_time(spark, tables):
     assert got(sessions.file_rows(tables), "file_path", "generated", "committed") == [("a.py", 3, 3), ("b.py", 2, 0), ("c.py", 4, 0), ("d.py", 9, 0)]
     rows = spark.createDataFrame([("c1", "A", at(0), 4), ("c1", "B", at(-90_000), 1), ("c2", "A", at(1500), 2), ("c2", "C", at(0), 0)], "commit_id string, session_id string, last_event_ts timestamp, lines_attributed long")
-    assert tuple(metrics.lead_time(tables, credited=rows).head()) == (3, 2, 1)
+    credited = tables.having(commit_sessions=rows)
+    assert tuple(metrics.lead_time(credited).head()) == (3, 2, 1)
+    by = lambda **f: metrics.lead_time(credited, filters.Filters(**f)).head()["total"]
+    assert [by(agents=("cursor",)), by(models=("unknown",)), by(engineers=("x@y",)), by(repos=("q",)), by(start=at(1500).date())] == [1, 1, 2, 0, 3]
     stats = {r["session_id"]: r for r in sessions.session_stats(tables).collect()}
     assert stats["B"]["wall_minutes"] is None and stats["A"]["commits"] == 1 and stats["A"]["committed"] == 4 and stats["A"]["files"] == 2
     assert sessions.session_count(tables).head()["n"] == 3
@@ -337,3 +340,86 @@ def test_recorded_lines_and_ancestors_of_rewrites(spark, tables):
     groups, above = attribution.checkout_groups(tables.repositories), spark.createDataFrame([("c2", "c1")], "id string, ancestor string")
     assert attribution.carried_overlap(lines, tables.commits, groups).count() == 1 and attribution.carried_overlap(lines, tables.commits, groups, above).count() == 0
     assert got(groups, "repo_id", "group_id") == [("q", "q"), ("r", "r")]
+
+
+def test_turns_begin_and_end_as_sessions_do(spark, tables):
+    tool = lambda i, s, t, name, kind="PostToolUse": event(i, s, t, kind, tool=name)
+    rows = [
+        tool("a1", "A", -9, "Read"), event("a2", "A", 100, "Stop"), tool("a3", "A", 150, None), tool("a4", "A", 160, "Bash"), event("a5", "A", 200, "Stop"), event("a6", "A", 200, "Stop"), tool("a7", "A", 900, "Bash"), tool("a8", "A", 5000, "Bash"),
+        event("b1", "B", 50, "Stop"),
+    ]
+    asks = [("A", 2, at(120), "g", "later in time"), ("A", 1, at(130), "g", "This session is being continued from a previous conversation"), ("A", 3, at(170), "g", "first"), ("A", 4, at(140), "g", "second")]
+    T = tables.having(
+        events=spark.createDataFrame(rows, EVENT), prompts=spark.createDataFrame(asks, tables.prompts.schema),
+        ranges=spark.createDataFrame([("g1", "a4", None, "/w/r/a.py", 1, 2)], tables.ranges.schema),
+    )
+    us = lambda s: None if s is None else int((at(s) - dt.datetime(1970, 1, 1)).total_seconds() * 1e6)
+    turns = got(sessions.build_turns(T).fillna(-1, ["ended_us"]), "session_id", "turn", "started_us", "ended_us", "prompts", "tools", "shell", "edit", "open")
+    assert turns == [
+        ("A", 0, us(0), us(100), 0, 1, 0, 0, False),  # no prompt: from the session's start
+        ("A", 1, us(120), us(200), 4, 2, 0, 1, False),  # the first user prompt by its number; a call with ranges is an edit, one without a name counts
+        ("A", 2, us(200), us(200), 0, 0, 0, 0, False),  # a second Stop at once
+        ("A", 3, us(200), us(1000), 0, 1, 1, 0, True),  # up to the session's end
+        ("B", 0, us(0), us(50), 0, 0, 0, 0, False),
+        ("C", 0, us(10), -1, 0, 0, 0, 0, True) if tables.sessions.where("id = 'C'").head()["ended_at"] is None else ("C", 0, us(0), us(10), 0, 0, 0, 0, True),
+    ]
+    landed = tables.having(commit_sessions=spark.createDataFrame([("c1", "A", "claude-code", "m", 1, 4)], tables.commit_sessions.schema), events=T.events, prompts=T.prompts, ranges=T.ranges)
+    assert got(sessions.commit_turns(landed), "commit_id", "turn") == [("c1", 3)]
+    start = landed.having(commits=tables.commits.withColumn("committed_at", F.lit(at(0))))
+    assert [r["turn"] for r in sessions.commit_turns(start).collect()] == [None]
+
+
+def test_files_of_edits_by_split_ranges_or_event(spark, tables):
+    split = json.dumps([{"file_path": "/w/r/x", "rel_file_path": "x", "lines_generated": 5, "lines_reworked": 1}, {"repo_id": None, "file_path": "/tmp/y", "lines_generated": 2, "lines_reworked": 9}])
+    rows = [
+        (*event("s", "A", 0, tool="Edit", file="z.py", generated=7), split), (*event("two", "A", 5, tool="apply_patch", file="m.py", added=9), None), (*event("measured", "A", 9, tool="apply_patch", file="m.py", generated=4), "not json"),
+        (*event("shell", "A", 12, tool="Bash", generated=3), None), (*event("none", "A", 15, tool="Edit", text="a\n"), None),
+    ]
+    spans = [("g1", "two", "m.py", "/w/r/m.py", 1, 3), ("g2", "two", "n.py", "/w/r/n.py", 4, 4), ("g3", "two", None, "/tmp/o", 1, 2), ("g4", "measured", "m.py", "/w/r/m.py", 1, 1), ("g5", "measured", "n.py", "/w/r/n.py", 1, 1), ("g6", "shell", None, "/tmp/o", 1, 3)]
+    T = tables.having(events=spark.createDataFrame(rows, EVENT + ", file_lines string"), ranges=spark.createDataFrame(spans, tables.ranges.schema))
+    made = sorted((r["id"], r["file_path"], r["repo_id"] or "-", r["lines"]) for r in sessions.edit_files(T).collect())
+    assert made == [("measured", "m.py", "r", 4), ("s", "/tmp/y", "-", -7), ("s", "x", "r", 4), ("shell", "/tmp/o", "-", 3), ("two", "/tmp/o", "-", 2), ("two", "m.py", "r", 3), ("two", "n.py", "r", 1)]
+    credited = spark.createDataFrame([("c1", "A", "m.py", 9), ("c1", "A", "gone.py", 0)], "commit_id string, session_id string, file_path string, lines_attributed long")
+    found = got(sessions.file_rows(T, credited).fillna("-", ["repo_id"]), "repo_id", "file_path", "generated", "committed", "edits")
+    assert found == [("-", "/tmp/o", 5, 0, 2), ("-", "/tmp/y", 0, 0, 1), ("r", "gone.py", 0, 0, 0), ("r", "m.py", 9, 9, 2), ("r", "n.py", 1, 0, 1), ("r", "x", 4, 0, 1)]
+
+
+def test_calls_without_a_name_or_a_session_are_calls(spark, tables):
+    rows = [event("1", "A", 0, tool="Bash"), event("2", None, 1, tool="Read"), event("3", "A", 2), event("4", "B", 3, agent="cursor", tool="Bash"), event("5", "A", 4, "hook_misfire")]
+    T = tables.having(events=spark.createDataFrame(rows, EVENT))
+    assert got(metrics.tool_mix(T), "agent_slug", "family", "calls") == [("claude-code", "other", 1), ("claude-code", "read", 1), ("claude-code", "shell", 1), ("cursor", "shell", 1)]
+    assert got(metrics.tool_calls_of(T, filters.Filters(engineers=("x@y",))), "id") == [("1",), ("3",)]
+    assert got(metrics.tool_calls_of(T, filters.Filters(models=("unknown",))), "id") == [("2",), ("4",)]
+
+
+def test_trimming_cuts_long_strings_at_any_depth_and_counts_on():
+    text = "é" * 200_000
+    once = json.loads(normalize.trimmed(json.dumps({"a": [{"b": text}], "toolResult": [1], "tool_response": None, "n": 1.5})))
+    cut = once["a"][0]["b"]
+    assert cut.startswith("é" * 1000) and len(cut.encode()) <= normalize.STRING_BYTES and once["toolResult"] is None and once["n"] == 1.5
+    again = json.dumps(once, ensure_ascii=False, separators=(",", ":"))
+    assert normalize.trimmed(again) == again
+    first = once[normalize.TRIM_KEY]["dropped_bytes"]
+    more = json.loads(normalize.trimmed(json.dumps(once | {"tool_output": "x" * 100})))
+    assert more[normalize.TRIM_KEY]["dropped_bytes"] == first + 98
+    assert normalize.trimmed("x" * 300_000) == "x" * normalize.STRING_BYTES and normalize.trimmed('{"a": ') == '{"a": ' and normalize.trimmed("[1]") == "[1]"
+
+
+def test_copilot_payloads_are_known_by_path_or_keys(spark):
+    made = [
+        ({"transcript_path": "C:\\x\\GitHub.Copilot-Chat\\t"}, True), ({"transcriptPath": "/a/session-state/i/events.jsonl"}, True), ({"transcript_path": "/a/session-state/i/other"}, False), ({"transcript_path": "/a/.copilot/t"}, False),
+        ({"toolArgs": None}, True), ({"tool_result": {"text_result_for_llm": None}}, True), ({"tool_result": "text_result_for_llm"}, False), ({}, False),
+    ]
+    df = spark.createDataFrame([(i, json.dumps(p)) for i, (p, _) in enumerate(made)], "i int, p string")
+    assert [r[0] for r in df.orderBy("i").select(normalize.from_copilot(F.col("p"))).collect()] == [w for _, w in made]
+
+
+def test_notes_of_both_versions(spark):
+    runs = [("c1", "a", 10, 12, "codex", "s", "m", "t1", True), ("c1", "a", 9, 9, "pi", "s2", None, "t2", True), ("c1", "b", 1, 1, "pi", "s2", None, None, True), ("c2", "a", 1, 2, "pi", "s", "m", "t", False), ("c2", "b", 1, 2, "pi", "s", "m", "t", True)]
+    made = spark.createDataFrame(runs, "commit_id string, file_path string, start_line long, end_line long, agent string, session string, model string, ts string, exact boolean")
+    notes = git.build_notes(made)
+    first = json.loads(notes.where("commit_id = 'c1'").head()["note"])
+    assert first == {"v": 2, "commit": "c1", "files": {"a": [{"lines": "9", "agent": "pi", "session": "s2", "ts": "t2"}, {"lines": "10-12", "agent": "codex", "session": "s", "model": "m", "ts": "t1"}], "b": [{"lines": "1", "agent": "pi", "session": "s2"}]}}
+    odd = spark.createDataFrame([("x", "no"), ("y", '{"v":1,"commit":"y","files":{"f":[{"lines":"4-"},{"lines":"7"}]}}')], "commit_id string, note string")
+    back = git.read_notes(notes.unionByName(odd))
+    assert sorted((r["commit_id"], r["v"], r["file_path"], r["start_line"], r["end_line"]) for r in back.collect()) == [("c1", 2, "a", 9, 9), ("c1", 2, "a", 10, 12), ("c1", 2, "b", 1, 1), ("c2", 1, "a", 1, 2), ("c2", 1, "b", 1, 2), ("y", 1, "f", 7, 7)]
