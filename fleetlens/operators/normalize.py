@@ -33,25 +33,33 @@ ALLOWED_INPUT = ("file_path", "file_paths", "notebook_path", "cwd", "timeout", "
 LIST_KEYS = ("file_paths", "workspace_roots")
 
 
-def parse_envelopes(envelopes: DataFrame) -> DataFrame:
-    """Events from envelopes (agent, cwd, received_at, payload base64): id, session_id, ts, event_type, agent_slug, cwd, model, payload.
+def decode_envelopes(envelopes: DataFrame) -> DataFrame:
+    """(id, agent_slug, cwd, ts, payload) of envelopes (agent, cwd, received_at, payload base64): text that isn't JSON as {"raw": text}, a blank payload as null.
 
-    A blank payload is a misfire, without session or payload; text that isn't JSON is kept as
-    {"raw": text}. The id is a hash of the envelope, so a replay repeats it. Records whose time can't be read are dropped.
+    The id is a hash of the envelope, so a replay repeats it. Records whose time can't be read are dropped.
     """
     text = F.unbase64("payload").cast("string")
     rows = envelopes.withColumn("text", text).withColumn("ts", F.try_to_timestamp("received_at")).where("ts is not null")
     blank = F.coalesce(F.trim("text"), F.lit("")) == ""
     body = F.when(F.try_parse_json(F.col("text")).isNull(), F.to_json(F.struct(F.col("text").alias("raw")))).otherwise(F.col("text"))
-    named = rows.withColumn("payload", F.when(~blank, body))
+    return rows.select(F.sha2(F.concat_ws("\x1f", "agent", "received_at", "text"), 256).alias("id"), F.col("agent").alias("agent_slug"), "cwd", "ts", F.when(~blank, body).alias("payload"))
+
+
+def name_events(decoded: DataFrame) -> DataFrame:
+    """Events of decoded envelopes: id, session_id, ts, event_type, agent_slug, cwd, model, payload. A null payload is a misfire, without session."""
     p = F.col("payload")
-    return named.select(
-        F.sha2(F.concat_ws("\x1f", "agent", "received_at", "text"), 256).alias("id"), pick_string(p, "$.session_id", "$.sessionId", "$.conversation_id").alias("session_id"), "ts",
-        F.when(blank, "hook_misfire").otherwise(event_type_col(pick_string(p, "$.hook_event_name", "$.hookEventName", "$.event"))).alias("event_type"),
-        F.col("agent").alias("agent_slug"), F.coalesce(pick_string(p, "$.cwd"), "cwd").alias("cwd"), pick_string(p, "$.model", "$.model_id").alias("model"), "payload",
+    return decoded.select(
+        "id", pick_string(p, "$.session_id", "$.sessionId", "$.conversation_id").alias("session_id"), "ts",
+        F.when(p.isNull(), "hook_misfire").otherwise(event_type_col(pick_string(p, "$.hook_event_name", "$.hookEventName", "$.event"))).alias("event_type"),
+        "agent_slug", F.coalesce(pick_string(p, "$.cwd"), "cwd").alias("cwd"), pick_string(p, "$.model", "$.model_id").alias("model"), "payload",
     )
 
 
+def parse_envelopes(envelopes: DataFrame) -> DataFrame:
+    """Events of envelopes, their payloads as sent (see decode_envelopes and name_events; ingest puts them in canonical form in between)."""
+    return name_events(decode_envelopes(envelopes))
+
+
 def from_copilot(payload: Column) -> Column:
     """Whether a payload is one agent's own, whatever hook delivered it: by its transcript's folder, or by keys that it alone has."""
     path = F.lower(F.replace(F.coalesce(pick_string(payload, "$.transcript_path", "$.transcriptPath"), F.lit("")), F.lit("\\"), F.lit("/")))

@@ -13,7 +13,8 @@ from ..sources.fixtures import Tables
 def envelopes(T: Tables) -> DataFrame:
     """Every event as the envelope that its hook would have written."""
     name = F.when(F.col("event_type") == "Stop", "agentStop").when(F.col("event_type") == "PostToolUse", "postToolUse").otherwise(F.col("event_type"))
-    head = F.concat(F.lit('{"hook_event_name":"'), name, F.lit('","session_id":"'), F.col("session_id"), F.lit('",'))
+    session = F.coalesce(F.concat(F.lit('"session_id":"'), F.col("session_id"), F.lit('",')), F.lit(""))
+    head = F.concat(F.lit('{"hook_event_name":"'), name, F.lit('",'), session)
     body = F.when(F.col("event_type") == "hook_misfire", F.lit("  ")).otherwise(F.concat(head, F.expr("substring(payload, 2)")))
     return T.events.select(F.col("agent_slug").alias("agent"), F.lit("/w").alias("cwd"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("received_at"), F.base64(body.cast("binary")).alias("payload"))
 

@@ -25,7 +25,7 @@ UNION ALL SELECT 'prompts', count(*) FROM prompts WHERE ts < TIMESTAMP '2024-01-
 SELECT id, session_id, event_type, coalesce(lines_added, CASE WHEN len(txt) - len(replace(txt, chr(10), '')) > 0 THEN len(txt) - len(replace(txt, chr(10), '')) END) AS lines_added,
 CASE WHEN payload IS NOT NULL THEN concat('{', array_to_string(list_filter(['"tool_name":"' || json_extract_string(payload, '$.tool_name') || '"', '"model":"' || json_extract_string(payload, '$.model') || '"',
   '"duration":' || json_extract_string(payload, '$.duration'), '"duration_ms":' || json_extract_string(payload, '$.duration_ms'), '"permission_mode":"' || json_extract_string(payload, '$.permission_mode') || '"', '"tool_input":{}', '"redacted":true'], lambda x: x IS NOT NULL), ','), '}') END AS payload FROM t""",
-    "resolve_paths": BASE + "SELECT id, file_path, CASE WHEN file_path IS NOT NULL THEN split_part(file_path, '/', 3) END AS repo, rel_file_path AS rel FROM ev",
+    "resolve_paths": BASE + "SELECT id, file_path, CASE WHEN file_path IS NOT NULL THEN split_part(file_path, '/', 3) END AS repo, substr(file_path, length(split_part(file_path, '/', 3)) + 5) AS rel FROM ev",
     "parse_envelopes": BASE + f"""SELECT session_id, ts, CASE WHEN payload IS NULL THEN 'hook_misfire' ELSE event_type END AS event_type, agent_slug, {_MODEL} AS model, count(*) AS n FROM ev WHERE event_type <> 'hook_misfire' GROUP BY ALL
 UNION ALL SELECT NULL, ts, 'hook_misfire', agent_slug, NULL, count(*) FROM ev WHERE event_type = 'hook_misfire' GROUP BY ALL""",
     "normalize_payloads": BASE + """, t AS (SELECT *, day(ts) % 2 = 0 AS edit FROM ev WHERE file_path IS NOT NULL)

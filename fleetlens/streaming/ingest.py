@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.normalize import drop_cross_delivered, parse_envelopes
+from ..operators.agents import normalize_payloads
+from ..operators.normalize import decode_envelopes, drop_cross_delivered, name_events, parse_envelopes
 
 
 def event_stream(envelopes: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -17,9 +18,23 @@ def event_stream(envelopes: DataFrame, late: str = "1 hour") -> DataFrame:
     return drop_cross_delivered(parse_envelopes(envelopes)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
 
 
+def land(decoded: DataFrame, staged: str, out: str) -> None:
+    """Write the events of decoded envelopes to out, with every agent's payload in canonical form: the event's name, session and model are those of that form.
+
+    Canonical payloads are written to staged first and read back: what picks fields of them, or filters on them, then
+    reads a column and doesn't repeat their expressions. Doing it again replaces what was written.
+    """
+    normalize_payloads(drop_cross_delivered(decoded)).write.mode("overwrite").parquet(staged)
+    name_events(decoded.sparkSession.read.schema("id string, agent_slug string, cwd string, ts timestamp, payload string").parquet(staged)).write.mode("overwrite").parquet(out)
+
+
 def start_ingest(envelopes: DataFrame, out: str, checkpoint: str, late: str = "1 hour", once: bool = False):
-    """Write the stream's events to Parquet in out; at-least-once input, exactly-once files."""
-    writer = event_stream(envelopes, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
+    """Write the stream's events to Parquet in out, a folder batch=k for each batch; a batch that runs again after a failure replaces its folder, so each event is there once.
+
+    Payloads are put in canonical form on the way (see land); the step in between is in out + "-staged" and may go once its batch is done.
+    """
+    decoded = decode_envelopes(envelopes).withWatermark("ts", late).dropDuplicatesWithinWatermark(["id"])
+    writer = decoded.writeStream.foreachBatch(lambda rows, k: land(rows, f"{out}-staged/batch={k}", f"{out}/batch={k}")).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 

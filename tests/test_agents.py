@@ -1,8 +1,13 @@
+import base64
 import json
+import time
 
 import pytest
+from pyspark.sql import functions as F
 
-from fleetlens.operators import agents
+from fleetlens.operators import agents, normalize
+from fleetlens.sources import envelopes
+from fleetlens.streaming import ingest
 
 COPILOT = [
     ({"toolName": "create", "toolArgs": '{"path": "a.py", "file_text": "x\\n"}', "toolResult": {"r": 1}, "sessionId": "s"}, ("PostToolUse", "Write", "create", {"file_path": "a.py", "content": "x\n"})),
@@ -51,3 +56,29 @@ def test_other_payloads_stay(spark, agent):
     rows = [(0, agent, None, None), (1, agent, None, ""), (2, agent, None, "not json"), (3, agent, None, "[1]"), (4, agent, None, "{}")]
     assert normalized(spark, rows) == {n: p for n, _, _, p in rows}
     assert normalized(spark, [(5, "codex", None, '{"toolName": "edit"}')]) == {5: '{"toolName": "edit"}'}
+
+
+def test_ingest_lands_events_in_canonical_form(spark, tmp_path):
+    """Events of agents with other tool names and shapes are named by their canonical form, in batch and stream alike; what another agent's hook delivers again is dropped."""
+    sent = [
+        ("github-copilot", {"sessionId": "c", "toolName": "create", "toolArgs": json.dumps({"path": "/w/a.py", "file_text": "x\ny\n"}), "toolResult": "done", "timestamp": 1}),
+        ("claude-code", {"session_id": "x", "toolArgs": "{}", "hook_event_name": "PostToolUse"}),
+        ("pi", {"session_id": "p", "hook_event_name": "PostToolUse", "tool_name": "edit", "tool_input": {"path": "/w/b.py", "oldText": "a", "newText": "b"}}),
+        ("codex", {"session_id": "k", "hook_event_name": "stop"}),
+        ("pi", "  "),
+    ]
+    text = [p if isinstance(p, str) else json.dumps(p) for _, p in sent]
+    rows = [(a, "/w", f"2026-01-01T00:00:0{i}Z", base64.b64encode(t.encode()).decode()) for i, ((a, _), t) in enumerate(zip(sent, text))]
+    made = spark.createDataFrame(rows, envelopes.ENVELOPE)
+    ingest.land(normalize.decode_envelopes(made), str(tmp_path / "staged"), str(tmp_path / "batch"))
+    j = lambda path: F.get_json_object("payload", path)
+    seen = lambda where: sorted(tuple(r) for r in spark.read.parquet(where).select("agent_slug", F.coalesce("session_id", F.lit("-")), "event_type", F.coalesce(j("$.tool_name"), F.lit("-")), F.coalesce(j("$.tool_input.file_path"), F.lit("-")), F.coalesce(j("$.tool_input.new_string"), j("$.tool_input.content"), F.lit("-"))).collect())
+    expected = [("codex", "k", "stop", "-", "-", "-"), ("github-copilot", "c", "PostToolUse", "Write", "/w/a.py", "x\ny\n"), ("pi", "-", "hook_misfire", "-", "-", "-"), ("pi", "p", "PostToolUse", "Edit", "/w/b.py", "b")]
+    assert seen(str(tmp_path / "batch")) == expected
+    made.write.json(str(tmp_path / "in"))
+    ingest.start_ingest(envelopes.read_envelopes(spark, str(tmp_path / "in"), streaming=True), str(tmp_path / "out"), str(tmp_path / "ck"), once=True).awaitTermination()
+    assert seen(str(tmp_path / "out")) == expected
+    # A filter on a payload that has been landed plans at once.
+    began = time.time()
+    spark.read.parquet(str(tmp_path / "out")).where(j("$.tool_name") == "Edit").count()
+    assert time.time() - began < 20
