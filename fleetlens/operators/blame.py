@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import Tables
-from .attribution import added_lines, candidate_ranges, owned_lines
+from .attribution import added_lines, candidate_ranges, commit_of_edit, owned_lines
 
 
 def latest_lines(T: Tables, lines: DataFrame | None = None) -> DataFrame:
@@ -33,3 +33,51 @@ def blame_summary(rows: DataFrame) -> DataFrame:
 def blame_sessions(rows: DataFrame) -> DataFrame:
     """(repo_id, file_path, session_id, lines, first_line) of the sessions that wrote lines, in order of appearance."""
     return rows.where("session_id is not null").groupBy("repo_id", "file_path", "session_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first_line"))
+
+
+_WHO = ["event_id", "session_id", "agent_slug", "model_slug", "ts"]
+_KEY = ["repo_id", "file_path", "commit_id"]
+
+
+def ranged_edits(T: Tables) -> DataFrame:
+    """(repo_id, file_path, commit_id, start_line, end_line, event_id, session_id, agent_slug, model_slug, ts): ranges with the first commit of their repository at or after the edit, null while there is none."""
+    of = T.events.where("repo_id is not null").select(F.col("id").alias("event_id"), "session_id", "repo_id", "agent_slug", F.col("ts").cast("string").alias("ts"))
+    model = T.sessions.select(F.col("id").alias("session_id"), "model_slug")
+    spans = T.ranges.where("end_line >= start_line").select("event_id", F.col("rel_file_path").alias("file_path"), "start_line", "end_line")
+    return spans.join(of, "event_id").join(model, "session_id", "left").join(commit_of_edit(T), "event_id", "left").select(*_KEY, "start_line", "end_line", *_WHO)
+
+
+def credit(lines: DataFrame, ranged: DataFrame, recorded: DataFrame, empty: DataFrame, notes: DataFrame, mapped: DataFrame) -> DataFrame:
+    """lines + source (map, record, range or note; null if no agent wrote the line), event_id, session_id, agent_slug, model_slug, ts.
+
+    lines: (repo_id, file_path, final_line, orig_line, commit_id), as git blames them; commit_id is null where a line is in no commit.
+    A commit's record settles its file: recorded (commit_id, file_path, line, session_id, agent_slug, model_slug, ts) has its lines, empty (commit_id,
+    file_path) the files that it is known to be credited nothing in. Else the latest of its ranged edits counts whose span has the original line;
+    where the file has none of that commit, its note does (read_notes). The map (mapped: repo_id, file_path, line as shown, event_id, session_id,
+    agent_slug, model_slug, ts, counted_in; a row for every line of files that have a map) overrides: for a line in no commit it alone decides, for
+    another it does if it counted the line in that commit. Spans are spread to lines first, so all joins are equi-joins.
+    """
+    pair = ["commit_id", "file_path"]
+    wanted = lines.select(*_KEY, "orig_line").distinct()
+    spread = lambda d: d.withColumn("orig_line", F.explode(F.sequence("start_line", "end_line")))
+    # Null commits meet as one key of their own.
+    keyed = lambda d: d.withColumn("commit_id", F.coalesce("commit_id", F.lit("")))
+    who = F.struct(*_WHO)
+    by_range = keyed(spread(ranged)).join(keyed(wanted).distinct(), [*_KEY, "orig_line"], "left_semi").groupBy(*_KEY, "orig_line").agg(F.max_by(who, F.struct("ts", "event_id")).alias("by_range"))
+    by_record = recorded.withColumn("event_id", F.lit(None).cast("string")).groupBy(*pair, F.col("line").alias("orig_line")).agg(F.max_by(who, F.struct("ts", "session_id")).alias("by_record"))
+    settled = recorded.select(*pair).unionByName(empty.select(*pair)).distinct().withColumn("settled", F.lit(True))
+    local = ranged.where("commit_id is not null").select(*_KEY).distinct().withColumn("local", F.lit(True))
+    noted = spread(notes).select(*pair, "orig_line", F.struct(F.lit(None).cast("string").alias("event_id"), F.col("session").alias("session_id"), F.coalesce("agent", F.lit("unknown")).alias("agent_slug"), F.col("model").alias("model_slug"), "ts").alias("by_note"), F.struct("ts", "start_line").alias("__o"))
+    by_note = noted.groupBy(*pair, "orig_line").agg(F.max_by("by_note", "__o").alias("by_note"))
+    own = mapped.select("repo_id", "file_path", F.col("line").alias("final_line"), F.when(F.col("session_id").isNotNull(), who).alias("by_map"), "counted_in", F.lit(True).alias("has_map"))
+    rows = keyed(lines).join(by_range, [*_KEY, "orig_line"], "left").join(local, _KEY, "left").join(by_record, [*pair, "orig_line"], "left").join(settled, pair, "left")
+    rows = rows.join(by_note, [*pair, "orig_line"], "left").join(own, ["repo_id", "file_path", "final_line"], "left")
+    loose = F.col("commit_id") == ""
+    mapped_here = F.when(loose | F.array_contains("counted_in", F.col("commit_id")), F.col("by_map"))
+    found = F.coalesce(
+        mapped_here,
+        F.when(loose & F.col("has_map").isNotNull(), F.lit(None)).when(F.col("settled"), F.col("by_record")).when(F.col("local") | loose, F.col("by_range")).otherwise(F.col("by_note")),
+    )
+    source = F.when(found.isNull(), F.lit(None)).when(mapped_here.isNotNull(), "map").when(F.col("settled"), "record").when(F.col("local") | loose, "range").otherwise("note")
+    made = rows.withColumns({"source": source, "found": found})
+    return made.select("repo_id", "file_path", "final_line", "orig_line", F.nullif("commit_id", F.lit("")).alias("commit_id"), "source", *(F.col(f"found.{n}").alias(n) for n in _WHO))
