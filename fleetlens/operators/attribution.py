@@ -224,16 +224,21 @@ def carried_overlap(lines: DataFrame, commits: DataFrame, groups: DataFrame, anc
 
     lines: (commit_id, file_path, text); groups: (repo_id, group_id). Lines are counted as multisets per file and trimmed text.
     Commits among ancestors (id, ancestor) are no rewrites' originals and don't count. With `most`, a commit has that many
-    candidates, the newest.
+    candidates, the newest of those that share one of its rarer lines.
     """
     counts = lines.withColumn("t", F.trim("text")).where(F.col("t").rlike(r"[\p{L}\p{Nd}]")).groupBy("commit_id", "file_path", "t").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.groupBy("commit_id").agg(F.sum("n").alias("of"))
     dated = commits.select(F.col("id").alias("commit_id"), "repo_id", "committed_at")
-    held = counts.join(dated, "commit_id").join(groups, "repo_id")
-    new = held.select("commit_id", "file_path", "t", "n", "group_id", "committed_at")
-    old = held.select(F.col("commit_id").alias("carried_id"), "file_path", "t", F.col("n").alias("m"), "group_id", F.col("committed_at").alias("old_at"))
-    met = new.join(old, ["group_id", "file_path", "t"]).where("old_at <= committed_at and carried_id <> commit_id")
-    sums = met.groupBy("commit_id", "carried_id", "old_at").agg(F.sum(F.least("n", "m")).alias("shared")).join(total.withColumnRenamed("commit_id", "carried_id"), "carried_id")
+    held = counts.join(dated, "commit_id").join(groups, "repo_id").select("commit_id", "file_path", "t", "n", "group_id", "committed_at")
+    # A commit's commonest lines that are no more than half of all it adds can't make a carried commit alone: one of the rarer ones is shared too.
+    line = ["group_id", "file_path", "t"]
+    common = held.groupBy(*line).agg(F.count(F.lit(1)).alias("commits"))
+    own = Window.partitionBy("commit_id")
+    rest = own.orderBy(F.desc("commits"), "file_path", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = held.join(common, line).withColumns({"of": F.sum("n").over(own), "rest": F.sum("n").over(rest)})
+    rare = ranked.where("2 * rest > of and commits > 1").select(F.col("commit_id").alias("carried_id"), "of", F.col("committed_at").alias("old_at"), *line)
+    some = rare.join(held.select("commit_id", "committed_at", *line), line).where("old_at <= committed_at and carried_id <> commit_id").select("commit_id", "carried_id", "old_at", "of").distinct()
+    both = some.join(counts.withColumnsRenamed({"commit_id": "carried_id", "n": "m"}), "carried_id").join(counts, ["commit_id", "file_path", "t"])
+    sums = both.groupBy("commit_id", "carried_id", "old_at", "of").agg(F.sum(F.least("n", "m")).alias("shared"))
     if ancestors is not None:
         sums = sums.join(ancestors.select(F.col("id").alias("commit_id"), F.col("ancestor").alias("carried_id")), ["commit_id", "carried_id"], "left_anti")
     if most:
