@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.columns import norm_hash
 from ..sources.fixtures import Tables
+from .rounds import kept
 
 
 SESSION_FILE = ["repo_id", "file_path", "session_id"]
@@ -193,12 +194,11 @@ def _doubled(parents: DataFrame, depth: int) -> DataFrame:
 
     A round's rows are kept between rounds: the next reads them three times, so a nested plan would hold its first 3^rounds times.
     """
-    keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
-    edge = known = keep(parents.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
+    edge = known = kept(parents.where("parent is not null").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("steps")))
     reach = 1
     while reach < depth:
         far = known.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"), F.col("steps").alias("more")).where(F.col("more") <= depth - reach)
-        made = keep(edge.where(F.col("steps") == reach).join(far, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
+        made = kept(edge.where(F.col("steps") == reach).join(far, "ancestor").select("id", F.col("next").alias("ancestor"), (F.col("steps") + F.col("more")).alias("steps")))
         known, edge = known.unionByName(made), made
         reach *= 2
     return known

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions.alignment import align, common_ends
 from ..functions.columns import line_hash
+from .rounds import kept
 
 
 def hunk_changes(hunks: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def line_origins(alignment: DataFrame, lines: DataFrame) -> DataFrame:
     up = alignment.select("file", "version", F.col("new_line").alias("line"), F.col("prior").alias("o_version"), F.col("old_line").alias("o_line"))
     held = at.join(up, ["file", "version", "line"], "left").withColumns({"o_version": F.coalesce("o_version", "version"), "o_line": F.coalesce("o_line", "line")})
     while True:
-        held = held.checkpoint() if held.sparkSession.sparkContext.getCheckpointDir() else held.cache()
+        held = kept(held)
         far = held.select("file", F.col("version").alias("o_version"), F.col("line").alias("o_line"), F.col("o_version").alias("n_version"), F.col("o_line").alias("n_line"))
         next_ = held.join(far, ["file", "o_version", "o_line"]).select("file", "version", "line", F.col("n_version").alias("o_version"), F.col("n_line").alias("o_line"), ((F.col("n_version") != F.col("o_version")) | (F.col("n_line") != F.col("o_line"))).alias("moved"))
         if next_.where("moved").isEmpty():

@@ -15,16 +15,12 @@ from pyspark.sql import functions as F
 from ..functions.alignment import align
 from ..sources.fixtures import Tables
 from . import attribution, authorship
+from .rounds import kept
 
 #: First parents that are followed from a commit to find an ancestor.
 DEPTH = 500
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df as a table between rounds: a checkpoint where there is a folder for it; without one (a single process) it stays in memory."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-
-
 def on_chain(pairs: DataFrame, parents: DataFrame, depth: int = DEPTH) -> DataFrame:
     """The pairs (id, ancestor) of which the second is reached from the first along first parents (id, parent) in 1 to depth steps.
 
@@ -32,24 +28,24 @@ def on_chain(pairs: DataFrame, parents: DataFrame, depth: int = DEPTH) -> DataFr
     lifted by it, a power of two a round: rows are commits or pairs, never commits times ancestors.
     """
     edge = parents.select("id", F.when(F.col("parent") != F.col("id"), F.col("parent")).alias("up"))
-    far = _kept(edge.select("id", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), "up"))
+    far = kept(edge.select("id", F.when(F.col("up").isNull(), 0).otherwise(1).cast("bigint").alias("steps"), "up"))
     rounds = 0
     while not far.where("up is not null").isEmpty():
         above = far.select(F.col("id").alias("up"), F.col("steps").alias("more"), F.col("up").alias("next"))
         # A parent that isn't on record is a root of its own.
-        far = _kept(far.join(above, "up", "left").select("id", (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").alias("up")))
+        far = kept(far.join(above, "up", "left").select("id", (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("next").alias("up")))
         rounds += 1
         if rounds > 62:
             raise ValueError("first parents run in a circle")
     height = far.select("id", "steps")
     apart = pairs.select("id", "ancestor").distinct().join(height, "id").join(height.select(F.col("id").alias("ancestor"), F.col("steps").alias("of")), "ancestor")
-    held = _kept(apart.withColumn("left", F.col("steps") - F.col("of")).where((F.col("left") > 0) & (F.col("left") <= depth)).select("id", "ancestor", "left", F.col("id").alias("at")))
+    held = kept(apart.withColumn("left", F.col("steps") - F.col("of")).where((F.col("left") > 0) & (F.col("left") <= depth)).select("id", "ancestor", "left", F.col("id").alias("at")))
     jump = edge.where("up is not null")
     for bit in range(int(math.log2(depth)) + 1):
         due = F.col("left").bitwiseAND(F.lit(1 << bit)) > 0
         lifted = held.where(due).join(jump.select(F.col("id").alias("at"), F.col("up").alias("next")), "at").select("id", "ancestor", "left", F.col("next").alias("at"))
-        held = _kept(held.where(~due).unionByName(lifted))
-        jump = _kept(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
+        held = kept(held.where(~due).unionByName(lifted))
+        jump = kept(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", F.col("next").alias("up")))
     return held.where(F.col("at") == F.col("ancestor")).select("id", "ancestor")
 
 
@@ -59,7 +55,7 @@ def map_credits(steps: DataFrame, parents: DataFrame, carried: DataFrame | None
     counts is false where an ancestor (parents: id, parent) has counted the line: it was undone in between and is not counted
     twice. A commit that this one carries (commit_id, carried_id) is no ancestor.
     """
-    lines = _kept(authorship.fold(steps).where("kind = 'commit'").withColumnRenamed("by", "commit_id"))
+    lines = kept(authorship.fold(steps).where("kind = 'commit'").withColumnRenamed("by", "commit_id"))
     marks = lines.select("commit_id", F.explode("counted_in").alias("ancestor")).where("ancestor <> commit_id").distinct()
     if carried is not None:
         marks = marks.join(carried.select("commit_id", F.col("carried_id").alias("ancestor")), ["commit_id", "ancestor"], "left_anti")
