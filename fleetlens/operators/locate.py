@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.alignment import align
 from .changes import version_alignment, version_diff
 
 _SPANS = "array<struct<a:int,b:int>>"
@@ -189,3 +190,40 @@ def place_patches(patches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
     return patches.select("event_id", "file_path", "hunks", "text").mapInArrow(run, "event_id string, file_path string, added long, removed long, unlocated long, spans array<struct<a:int,b:int>>")
+
+
+def edit_changes(edits: DataFrame) -> DataFrame:
+    """(event_id, edit, added, removed, spans) of events' edits (see locate_edits): the lines that each edit added and removed, without those that its old and new strings share.
+
+    spans (a, b) are runs of the added lines where the new string stands in the text; an edit that isn't found has none and still counts. An
+    empty new string removes its old one's lines.
+    """
+    names = ["event_id", "edit", "added", "removed", "spans"]
+    span = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+
+    def lines(text: str | None) -> list[str]:
+        rows = [x.removesuffix("\r") for x in (text or "").split("\n")]
+        return rows[:-1] if rows[-1] == "" else rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for event, edit, start, old, new in zip(*(batch.column(c).to_pylist() for c in ("event_id", "edit", "start_line", "old", "new")), strict=True):
+                before, after = lines(old), lines(new)
+                same = align(before, after)
+                shared = {j for _, j in same}
+                fresh = [j for j in range(len(after)) if j not in shared]
+                spans: list[dict] = []
+                for j in fresh if start is not None else ():
+                    if spans and spans[-1]["b"] == start + j - 1:
+                        spans[-1]["b"] = start + j
+                    else:
+                        spans.append({"a": start + j, "b": start + j})
+                out.append((event, edit, len(fresh), len(before) - len(same), spans))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            kinds = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.list_(span)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    each = edits.select("event_id", F.posexplode("edits").alias("edit", "e")).select("event_id", "edit", F.col("e.old_string").alias("old"), F.col("e.new_string").alias("new"))
+    found = each.join(locate_edits(edits).select("event_id", "edit", "start_line"), ["event_id", "edit"])
+    return found.select("event_id", "edit", "start_line", "old", "new").mapInArrow(run, "event_id string, edit int, added long, removed long, spans array<struct<a:int,b:int>>")

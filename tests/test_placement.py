@@ -79,3 +79,19 @@ def test_patches_without_ranges_are_placed_in_their_files(spark):
     assert sorted((r["rel_file_path"], r["start_line"], r["end_line"]) for r in got.collect()) == [("src/a.py", 2, 2), ("src/a.py", 4, 4), ("src/b.py", 1, 2)]
     placed = locate.place_patches(locate.patch_hunks(spark.createDataFrame([("e1", command)], "event_id string, command string")).join(texts, ["event_id", "file_path"]))
     assert sorted((r["file_path"], r["added"], r["removed"], r["unlocated"]) for r in placed.collect()) == [("a.py", 2, 0, 0), ("b.py", 2, 0, 0), ("c.py", 1, 0, 1)]
+
+
+def test_lines_that_old_and_new_share_are_no_change(spark):
+    edits = [
+        ("e1", "top\nkeep\nnew 1\nmid\nnew 2\nend\n", [("keep\nold\nmid\nend", "keep\nnew 1\nmid\nnew 2\nend")]),
+        ("e2", "a\r\nb\r\n", [("a\n", "a\nb\n"), ("x\ny", "")]),  # found with carriage returns folded; a deletion
+        ("e3", "nothing of it", [("p\nq", "p\nr\ns")]),  # not found, counted
+        ("e4", "z\nz\n", [("", "z\n"), ("", "z\n")]),  # each takes its own place
+        ("e5", None, [(None, "v")]),
+    ]
+    df = spark.createDataFrame(edits, "event_id string, text string, edits array<struct<old_string:string,new_string:string>>")
+    got = {(r["event_id"], r["edit"]): (r["added"], r["removed"], [tuple(s) for s in r["spans"]]) for r in locate.edit_changes(df).collect()}
+    assert got == {
+        ("e1", 0): (2, 1, [(3, 3), (5, 5)]), ("e2", 0): (1, 0, [(2, 2)]), ("e2", 1): (0, 2, []), ("e3", 0): (2, 1, []),
+        ("e4", 0): (1, 0, [(1, 1)]), ("e4", 1): (1, 0, [(2, 2)]), ("e5", 0): (1, 0, []),
+    }
