@@ -132,6 +132,42 @@ def attribute_sessions(T: Tables, lines: DataFrame | None = None) -> DataFrame:
     return seen.join(won, ["commit_id", "session_id"], "left").fillna(0, ["files_touched", "lines_attributed"])
 
 
+# How a commit's row for a session says where its lines come from, and how sure that is.
+BY_POSITION, BY_CHURN, BY_CONTENT = ("committed_diff", "line_range_committed_intersect"), ("committed_diff", "fallback_capped"), ("committed_content", "line_content_match")
+
+
+def credited_files(owned: DataFrame) -> DataFrame:
+    """(commit_id, session_id, file_path, first_event_ts, last_event_ts, event_count, lines_attributed) of lines credited (owned_lines)."""
+    return owned.groupBy("commit_id", "session_id", "file_path").agg(
+        F.min("ts").alias("first_event_ts"), F.max("ts").alias("last_event_ts"), F.countDistinct("event_id").alias("event_count"), F.count(F.lit(1)).alias("lines_attributed")
+    )
+
+
+def roll_up(files: DataFrame, candidates: DataFrame, sessions: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """A row per commit and session: agent_slug, model_slug, first_event_ts, last_event_ts, event_count, files_touched, lines_attributed, attribution_source, confidence.
+
+    files: credited_files + method (position, churn or content). Every session with a candidate edit (candidates: commit_id, session_id, ts)
+    has a row, at zero if it is credited nothing; so has every one that was credited before (previous: these columns), with
+    what its row said then but for the counts. A later copy of a row thus replaces an earlier one wherever rows are only appended.
+    """
+    key = ["commit_id", "session_id"]
+    seen = candidates.groupBy(*key).agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    of = lambda m: F.max(F.col("method") == m).alias(m)
+    won = files.where("lines_attributed > 0").groupBy(*key).agg(
+        F.min("first_event_ts").alias("lo2"), F.max("last_event_ts").alias("hi2"), F.sum("event_count").alias("event_count"), F.count(F.lit(1)).alias("files_touched"), F.sum("lines_attributed").alias("lines_attributed"), of("churn"), of("content")
+    )
+    label = lambda i: F.when(F.col("churn"), BY_CHURN[i]).when(F.col("content"), BY_CONTENT[i]).otherwise(BY_POSITION[i])
+    named = seen.join(won, key, "full_outer").join(sessions.select(F.col("id").alias("session_id"), "agent_slug", "model_slug"), "session_id", "left")
+    rows = named.select(
+        *key, "agent_slug", "model_slug", F.least("lo", "lo2").alias("first_event_ts"), F.greatest("hi", "hi2").alias("last_event_ts"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("event_count", "files_touched", "lines_attributed")),
+        label(0).alias("attribution_source"), label(1).alias("confidence"),
+    )
+    if previous is None:
+        return rows
+    gone = previous.join(rows.select(*key), key, "left_anti").withColumns({c: F.lit(0).cast("bigint") for c in ("event_count", "files_touched", "lines_attributed")})
+    return rows.unionByName(gone.select(*rows.columns))
+
+
 def attribute_by_churn(T: Tables) -> DataFrame:
     """(commit_id, file_path, session_id, lines_attributed) where no diff is at hand: range lines per session, scaled down to the file's added lines if they are more."""
     churn = candidate_ranges(T).groupBy("commit_id", "file_path", "session_id").agg(F.sum(F.col("end_line") - F.col("start_line") + 1).alias("churn"))

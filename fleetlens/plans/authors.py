@@ -106,7 +106,17 @@ def blame_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("repo_id", "file_path", "final_line", "commit_id", "source", "event_id", "session_id")
 
 
+def commit_sessions_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of commits' sessions after attribution by position, over the rows on record before; files of an even number of credited lines pass as matched by content."""
+    T = load(spark, sf_dir)
+    candidates = attribution.candidate_ranges(T)
+    files = attribution.credited_files(attribution.owned_lines(candidates, attribution.added_lines(T)))
+    method = F.when(F.col("lines_attributed") % 2 == 0, "content").otherwise("position")
+    before = T.commit_sessions.select("commit_id", "session_id", "agent_slug", "model_slug", F.lit(None).cast("timestamp").alias("first_event_ts"), "last_event_ts", F.lit("before").alias("attribution_source"), F.lit("once").alias("confidence"))
+    return attribution.roll_up(files.withColumn("method", method), candidates, T.sessions, before)
+
+
 QUERIES = {
     "authorship_map": authorship_map, "look_credits": look_credits, "content_credits": content_credits, "attribution_method": attribution_method,
-    "attribute_by_method": attribute_by_method, "chain_pairs": chain_pairs, "uncommitted_ranges": uncommitted_ranges, "patch_placement": patch_placement, "blame_credit": blame_credit,
+    "attribute_by_method": attribute_by_method, "chain_pairs": chain_pairs, "uncommitted_ranges": uncommitted_ranges, "patch_placement": patch_placement, "blame_credit": blame_credit, "commit_sessions_rollup": commit_sessions_rollup,
 }

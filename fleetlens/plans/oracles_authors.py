@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from ..operators.attribution import BY_CONTENT, BY_POSITION
 from ..sources.fixtures import duck_base
+from .oracles_sessions import FILES
 
 #: How many lines a document has, and how many of them each step keeps or adds.
 _COUNTS = """
@@ -43,6 +45,14 @@ kind AS (SELECT z.*, br.event_id, nullif(br.session_id, '-') AS session_id, br.e
 told AS (SELECT *, CASE kind WHEN 'map' THEN true WHEN 'record' THEN n % 3 = 0 AND line <= la // 2 WHEN 'range' THEN ranged WHEN 'note' THEN n % 3 = 2 AND la >= 4 AND line <> la // 2 + 1 ELSE false END AS known FROM kind)"""
 
 SQL = {
+    "commit_sessions_rollup": f"""{duck_base()}{FILES},
+f AS (SELECT commit_id, session_id, file_path, min(ts) AS lo2, max(ts) AS hi2, count(DISTINCT event_id) AS n, count(*) AS lines FROM ow GROUP BY 1, 2, 3),
+w AS (SELECT commit_id, session_id, sum(n)::bigint AS event_count, count(*) AS files_touched, sum(lines)::bigint AS lines_attributed, bool_or(lines % 2 = 0) AS content FROM f GROUP BY 1, 2),
+s AS (SELECT commit_id, session_id, min(ts) AS first_event_ts, max(ts) AS last_event_ts FROM cr GROUP BY 1, 2)
+SELECT s.commit_id, s.session_id, agent_slug, model_slug, first_event_ts, last_event_ts, coalesce(event_count, 0) AS event_count, coalesce(files_touched, 0) AS files_touched, coalesce(lines_attributed, 0) AS lines_attributed,
+  CASE WHEN content THEN '{BY_CONTENT[0]}' ELSE '{BY_POSITION[0]}' END AS attribution_source, CASE WHEN content THEN '{BY_CONTENT[1]}' ELSE '{BY_POSITION[1]}' END AS confidence
+FROM s LEFT JOIN w ON w.commit_id = s.commit_id AND w.session_id = s.session_id LEFT JOIN sessions x ON x.id = s.session_id
+UNION ALL SELECT commit_id, session_id, agent_slug, model_slug, NULL, last_event_ts, 0, 0, 0, 'before', 'once' FROM commit_sessions c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.commit_id = c.commit_id AND s.session_id = c.session_id)""",
     "blame_credit": f"""{duck_base()},{_BLAME}
 SELECT repo_id, file_path, line AS final_line, commit_id, CASE WHEN known THEN kind END AS source, CASE WHEN NOT known THEN NULL WHEN kind = 'map' THEN 'm' WHEN kind = 'range' THEN event_id END AS event_id,
   CASE WHEN NOT known THEN NULL WHEN kind = 'map' THEN 'm' WHEN kind = 'record' THEN 'rec-' || commit_id WHEN kind = 'range' THEN session_id ELSE 's' || CASE WHEN line <= la // 2 THEN la // 2 ELSE la END END AS session_id FROM told""",

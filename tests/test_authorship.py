@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import alignment
-from fleetlens.operators import authorship, changes, content
+from fleetlens.operators import attribution, authorship, changes, content
 from fleetlens.streaming import stateful
 
 RAW = (
@@ -264,3 +264,17 @@ def test_looks_wait_for_the_watermark(spark):
     # The first look sees nothing before it; the one that no later event's watermark passes still waits.
     assert "six" not in found and {k for k, r in found.items() if r["credits"]} == {"two", "three", "five"}
     assert all(r["looked_ms"] >= r["fired_ms"] + 500 for r in found.values())
+
+
+def test_roll_up_keeps_a_row_for_every_session_that_was_looked_at(spark):
+    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    files = [("c", "A", "f", at(5), at(9), 2, 4, "position"), ("c", "A", "g", at(3), at(4), 1, 1, "content"), ("c", "B", "f", at(1), at(1), 1, 0, "position"), ("c", "D", "f", at(2), at(2), 1, 3, "churn")]
+    of = spark.createDataFrame(files, "commit_id string, session_id string, file_path string, first_event_ts timestamp, last_event_ts timestamp, event_count long, lines_attributed long, method string")
+    candidates = spark.createDataFrame([("c", "A", at(6)), ("c", "B", at(1)), ("c", "B", at(8))], "commit_id string, session_id string, ts timestamp")
+    sessions = spark.createDataFrame([("A", "codex", "m"), ("B", "pi", None)], "id string, agent_slug string, model_slug string")
+    before = spark.createDataFrame([("c", "A", "codex", "m", at(0), at(0), "old", "old"), ("c", "Z", "cursor", "z", at(0), at(7), "was", "so")], "commit_id string, session_id string, agent_slug string, model_slug string, first_event_ts timestamp, last_event_ts timestamp, attribution_source string, confidence string")
+    got = {r["session_id"]: tuple(r)[2:] for r in attribution.roll_up(of, candidates, sessions, before).collect()}
+    assert got == {
+        "A": ("codex", "m", at(3), at(9), 3, 2, 5, *attribution.BY_CONTENT), "B": ("pi", None, at(1), at(8), 0, 0, 0, *attribution.BY_POSITION),
+        "D": (None, None, at(2), at(2), 1, 1, 3, *attribution.BY_CHURN), "Z": ("cursor", "z", at(0), at(7), 0, 0, 0, "was", "so"),
+    }
