@@ -6,13 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.fixtures import Tables
-from .attribution import added_lines, candidate_ranges, commit_of_edit, owned_lines
+from .attribution import commit_of_edit, owned as owned_of
 
 
 def latest_lines(T: Tables, lines: DataFrame | None = None) -> DataFrame:
     """(repo_id, file_path, line, commit_id): stands in for git blame, the newest commit that added each line; same time: the largest id."""
-    dated = (added_lines(T) if lines is None else lines).join(T.commits.select(F.col("id").alias("commit_id"), "repo_id", "committed_at"), "commit_id")
-    return dated.groupBy("repo_id", "file_path", "line").agg(F.max_by("commit_id", F.struct("committed_at", "commit_id")).alias("commit_id"))
+    of = T.commits.select(F.col("id").alias("commit_id"), "repo_id", "committed_at")
+    newest = F.max(F.struct("committed_at", "commit_id")).alias("c")
+    if lines is None:
+        # Of commits that add as many lines (1 to n) to a file only the newest can hold one; no other is spread to lines.
+        longest = T.commit_files.where("lines_added > 0").join(of, "commit_id").groupBy("repo_id", "file_path", "lines_added").agg(newest)
+        dated = longest.select("repo_id", "file_path", "c.*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("lines_added").cast("bigint"))).alias("line"))
+    else:
+        dated = lines.join(of, "commit_id")
+    return dated.groupBy("repo_id", "file_path", "line").agg(newest).select("repo_id", "file_path", "line", "c.commit_id")
 
 
 def blame(T: Tables, blame_lines: DataFrame, owned: DataFrame | None = None) -> DataFrame:
@@ -20,7 +27,7 @@ def blame(T: Tables, blame_lines: DataFrame, owned: DataFrame | None = None) ->
 
     Ranges are spread to lines first, so this is an equi-join on commit, file and line.
     """
-    own = owned_lines(candidate_ranges(T), added_lines(T)) if owned is None else owned
+    own = owned_of(T) if owned is None else owned
     return blame_lines.join(own, ["commit_id", "file_path", "line"], "left").select("repo_id", "file_path", "line", "commit_id", "session_id", "event_id", "ts")
 
 
