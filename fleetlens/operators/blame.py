@@ -65,6 +65,9 @@ def credit(lines: DataFrame, ranged: DataFrame, recorded: DataFrame, empty: Data
     another it does if it counted the line in that commit. Spans are spread to lines first, so all joins are equi-joins.
     """
     pair = ["commit_id", "file_path"]
+    # What is on record or noted for other files than these lines' is left out before it is spread to lines or sorted.
+    files = lines.select(*pair).distinct()
+    recorded, empty, notes = (d.join(files, pair, "left_semi") for d in (recorded, empty, notes))
     wanted = lines.select(*_KEY, "orig_line").distinct()
     spread = lambda d: d.withColumn("orig_line", F.explode(F.sequence("start_line", "end_line")))
     # Null commits meet as one key of their own.

@@ -34,3 +34,16 @@ def test_latest_lines_spread_only_the_newest_of_a_length(spark):
     assert sorted(tuple(x) for x in lines.select("file_path", "line", "commit_id").collect()) == [("f", 1, "c3"), ("f", 2, "c3"), ("f", 3, "c2"), ("f", 4, "c2"), ("g", 1, "c3")]
     plan = lines._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" in plan[plan.index("Generate explode"):]  # commits are thinned out before lines are made
+
+
+def test_blame_leaves_out_files_that_have_no_line(spark):
+    T = made(spark, [("c1", "f", 2)])
+    shown = blame.latest_lines(T).select("repo_id", "file_path", "line", "commit_id").toDF("repo_id", "file_path", "final_line", "commit_id").withColumn("orig_line", blame.F.col("final_line"))
+    who = "event_id string, session_id string, agent_slug string, model_slug string, ts string"
+    none = lambda schema: spark.createDataFrame([], schema)
+    notes = spark.createDataFrame([("c1", 2, "f", 2, 2, "pi", "s", None, "1"), ("c9", 2, "f", 1, FAR, "pi", "no", None, "1"), ("c1", 2, "h", 1, FAR, "pi", "no", None, "1")], "commit_id string, v int, file_path string, start_line long, end_line long, agent string, session string, model string, ts string")
+    got = blame.credit(
+        shown, none(f"repo_id string, file_path string, commit_id string, start_line long, end_line long, {who}"), none("commit_id string, file_path string, line long, session_id string, agent_slug string, model_slug string, ts string"),
+        none("commit_id string, file_path string"), notes, none(f"repo_id string, file_path string, line long, {who}, counted_in array<string>"),
+    )
+    assert sorted(tuple(x) for x in got.select("final_line", "source", "session_id").collect()) == [(1, None, None), (2, "note", "s")]
