@@ -1,8 +1,9 @@
 """Work that must not grow with what a question leaves out: spans that only count at their ends, and files that nobody asks about."""
 
 import datetime as dt
+import random
 
-from fleetlens.operators import attribution, blame
+from fleetlens.operators import attribution, blame, maintenance
 from fleetlens.sources.fixtures import Tables
 
 T0 = dt.datetime(2026, 1, 1)
@@ -47,3 +48,21 @@ def test_blame_leaves_out_files_that_have_no_line(spark):
         none("commit_id string, file_path string"), notes, none(f"repo_id string, file_path string, line long, {who}, counted_in array<string>"),
     )
     assert sorted(tuple(x) for x in got.select("final_line", "source", "session_id").collect()) == [(1, None, None), (2, "note", "s")]
+
+
+def test_the_only_author_of_a_span_against_brute_force(spark):
+    rng = random.Random(3)
+    at = lambda s: T0 + dt.timedelta(hours=s)
+    commits = [(rng.choice("rq"), rng.choice(["a", "b", None]), rng.randrange(60)) for _ in range(50)]
+    spans = [(f"s{i}", rng.choice("rq"), a, a + rng.randrange(8)) for i in range(120) for a in [rng.randrange(60)]] + [("none", None, 1, 2), ("open", "r", 1, None), ("back", "r", 5, 4)]
+    want = {}
+    for s, repo, a, b in spans:
+        who = {w for r, w, t in commits if r == repo and w and b is not None and a <= t <= b}
+        if len(who) == 1:
+            want[s] = who.pop()
+    sessions = spark.createDataFrame([(s, r, at(a), None if b is None else at(b)) for s, r, a, b in spans], "id string, repo_id string, started_at timestamp, ended_at timestamp")
+    made = maintenance.session_engineer(sessions, spark.createDataFrame([(r, w, at(t)) for r, w, t in commits], "repo_id string, author_email string, committed_at timestamp"))
+    assert len(want) > 20 and {x["session_id"]: x["engineer_email"] for x in made.collect()} == want
+    # Commits and spans share no join: pairs of a busy repository and day would be their product.
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
