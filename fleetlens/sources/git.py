@@ -33,14 +33,20 @@ _HUNK = re.compile(r"@@ -\d+(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
 def _added(diff: str) -> Iterator[tuple[str, int, str]]:
-    path, old, new, at = None, 0, 0, 0
-    for line in diff.split("\n"):
+    """(path, number of the first, text with its marks) of each run of added lines."""
+    lines = diff.split("\n")
+    path, old, new, at, i = None, 0, 0, 0, 0
+    while i < len(lines):
+        line, step = lines[i], 1
         if old > 0 or new > 0:  # inside a hunk everything is content, whatever it looks like
             mark = line[:1]
             if mark == "+":
+                end = len(lines) if old > 0 else min(len(lines), i + new)
+                while i + step < end and lines[i + step].startswith("+"):
+                    step += 1
                 if path:
-                    yield path, at, line[1:]
-                at, new = at + 1, new - 1
+                    yield path, at, "\n".join(lines[i:i + step])
+                at, new = at + step, new - step
             elif mark == "-":
                 old -= 1
             elif mark != "\\":
@@ -50,19 +56,22 @@ def _added(diff: str) -> Iterator[tuple[str, int, str]]:
             path = name[2:] if name.startswith("b/") else None  # /dev/null and quoted names are skipped
         elif m := _HUNK.match(line):
             old, at, new = int(m[1] or 1), int(m[2]), int(m[3] or 1)
+        i += step
 
 
 def parse_unified_diff(diffs: DataFrame) -> DataFrame:
-    """(commit_id, file_path, line_no, text): added lines of diffs (commit_id, diff), numbered from the hunk headers."""
+    """(commit_id, file_path, line_no, text): added lines of diffs (commit_id, diff), numbered from the hunk headers. Python finds runs of added lines; Spark parts them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(c, *x) for c, d in zip(batch.column("commit_id").to_pylist(), batch.column("diff").to_pylist(), strict=True) for x in _added(d or "")]
             columns = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.string(), pa.string(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["commit_id", "file_path", "line_no", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["commit_id", "file_path", "at", "run"])
 
-    return diffs.select("commit_id", "diff").mapInArrow(run, "commit_id string, file_path string, line_no long, text string")
+    runs = diffs.select("commit_id", "diff").mapInArrow(run, "commit_id string, file_path string, at long, run string")
+    lines = runs.select("commit_id", "file_path", "at", F.posexplode(F.split("run", "\n")).alias("n", "marked"))
+    return lines.select("commit_id", "file_path", (F.col("at") + F.col("n")).alias("line_no"), F.expr("substring(marked, 2)").alias("text"))
 
 
 def parse_blame(lines: DataFrame) -> DataFrame:

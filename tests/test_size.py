@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from fleetlens.operators import attribution, blame, maintenance
+from fleetlens.sources import git
 from fleetlens.sources.fixtures import Tables
 
 T0 = dt.datetime(2026, 1, 1)
@@ -66,3 +67,10 @@ def test_the_only_author_of_a_span_against_brute_force(spark):
     # Commits and spans share no join: pairs of a busy repository and day would be their product.
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_a_run_of_added_lines_is_one_row_of_python(spark):
+    diff = "--- a/x\n+++ b/x\n@@ -1,2 +1,5 @@\n a\n+b\n++c\n+\n-d\n\\ No newline at end of file\n+e\n+++ b/y\n@@ -0,0 +7,2 @@\n++++ z\n+f"
+    assert list(git._added(diff)) == [("x", 2, "+b\n++c\n+"), ("x", 5, "+e"), ("y", 7, "++++ z\n+f")]
+    rows = git.parse_unified_diff(spark.createDataFrame([("c", diff), ("d", None)], "commit_id string, diff string")).collect()
+    assert sorted(tuple(r) for r in rows) == [("c", "x", 2, "b"), ("c", "x", 3, "+c"), ("c", "x", 4, ""), ("c", "x", 5, "e"), ("c", "y", 7, "+++ z"), ("c", "y", 8, "f")]
