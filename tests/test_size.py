@@ -3,9 +3,9 @@
 import datetime as dt
 import random
 
-from fleetlens.operators import attribution, blame, maintenance
+from fleetlens.operators import attribution, blame, maintenance, metrics
 from fleetlens.sources import git
-from fleetlens.sources.fixtures import Tables
+from fleetlens.sources.fixtures import Tables, load
 
 T0 = dt.datetime(2026, 1, 1)
 FAR = 3_000_000_000  # more lines than an array can hold
@@ -74,3 +74,11 @@ def test_a_run_of_added_lines_is_one_row_of_python(spark):
     assert list(git._added(diff)) == [("x", 2, "+b\n++c\n+"), ("x", 5, "+e"), ("y", 7, "++++ z\n+f")]
     rows = git.parse_unified_diff(spark.createDataFrame([("c", diff), ("d", None)], "commit_id string, diff string")).collect()
     assert sorted(tuple(r) for r in rows) == [("c", "x", 2, "b"), ("c", "x", 3, "+c"), ("c", "x", 4, ""), ("c", "x", 5, "e"), ("c", "y", 7, "+++ z"), ("c", "y", 8, "f")]
+
+
+def test_sessions_join_summed_line_items_and_edits_are_scored_once(spark):
+    T = load(spark, "/root/testdata/sf0.001")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    for table in (T.commit_sessions, T.extra["commit_session_files"]):
+        assert "Join Inner" in plan(table) and "Aggregate" not in plan(table)[: plan(table).index("Join Inner")]
+    assert "tool_name" not in plan(metrics.breakdown(T, by="agent"))
