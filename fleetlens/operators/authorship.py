@@ -37,7 +37,12 @@ def text_lines(text: Column) -> Column:
     """Array of (hash, norm, trivial) of a text's lines; an end of line at its end begins no other."""
     rows = F.split(text, "\n")
     own = F.when(text == "", F.slice(rows, 1, 0)).when(text.endswith("\n"), F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows)
-    return F.transform(own, lambda x: F.struct(line_hash(x).alias("hash"), norm_hash(x).alias("norm"), is_trivial(x).alias("trivial")))
+    return F.transform(own, prints)
+
+
+def prints(line: Column) -> Column:
+    """What the fold knows of a line."""
+    return F.struct(line_hash(line).alias("hash"), norm_hash(line).alias("norm"), is_trivial(line).alias("trivial"))
 
 
 def as_steps(rows: DataFrame) -> DataFrame:
@@ -265,12 +270,12 @@ def settled_credits(folded: DataFrame) -> DataFrame:
 
     spans are the runs of lines that are still the event's in the map; an event that has none left keeps a row with none.
     """
-    # The latest of two steps for a line comes last, so signed rows can be summed in any order.
+    # The latest of two steps for a line comes last, so signed rows can be summed in any order. One grouping gives it all, so histories are folded once.
     sign = F.when(F.col("kind") == "look", 1).when(F.col("kind") == "taken", -1).otherwise(0)
-    events = folded.where("kind = 'look'").select("event_id", "file").distinct()
-    sums = folded.groupBy("event_id", "file").agg(F.greatest(F.sum(sign), F.lit(0)).alias("lines_generated"), F.count_if(F.col("kind") == "rework").alias("lines_reworked"))
-    own = folded.where("kind = 'map' and event_id is not null").join(events, ["event_id", "file"], "left_semi")
-    run = own.withColumn("island", F.col("line") - F.row_number().over(Window.partitionBy("event_id", "file").orderBy("line")))
-    spans = run.groupBy("event_id", "file", "island").agg(F.min("line").alias("a"), F.max("line").alias("b")).groupBy("event_id", "file").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("spans"))
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-    return events.join(sums, ["event_id", "file"]).join(spans, ["event_id", "file"], "left").withColumn("spans", F.coalesce("spans", empty))
+    sums = folded.where("event_id is not null").groupBy("event_id", "file").agg(
+        F.max(F.col("kind") == "look").alias("looked"), F.greatest(F.sum(sign), F.lit(0)).alias("lines_generated"), F.count_if(F.col("kind") == "rework").alias("lines_reworked"),
+        F.array_sort(F.collect_list(F.when(F.col("kind") == "map", F.col("line")))).alias("own"),
+    )
+    edge = lambda step: F.filter("own", lambda x, i: F.coalesce(F.when((i + step) >= 0, F.get("own", i + step)) != x + step, F.lit(True)))
+    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return sums.where("looked").select("event_id", "file", "lines_generated", "lines_reworked", spans.alias("spans"))

@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.operators import attribution, chains, content
+from fleetlens.operators import attribution, authorship, chains, content
+from fleetlens.plans import derived
 
 
 def histories(spark, seed, stretches, n=160):
@@ -70,3 +71,24 @@ def test_rounds_do_not_grow_with_a_chain(spark, monkeypatch):
     got = content.on_chain(spark.createDataFrame(pairs, "id string, ancestor string").where("ancestor < 'c004096'"), attribution.parents_by_time(commits))
     assert sorted(tuple(x) for x in got.collect()) == sorted((f"c{i:06}", f"c{i - k:06}") for i in range(600, n, 500) for k in (1, 500))
     assert len(rounds) <= 6
+
+
+def test_histories_are_folded_once_for_looks(spark, tmp_path):
+    texts = [(i, "\n".join(f"{i} line {k}" for k in range(i * 9)) + "\n" * (i % 2)) for i in range(6)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    steps = derived.file_histories(spark, str(tmp_path))
+    settled = authorship.settled_credits(authorship.fold(steps))
+    assert settled._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = sorted((x["event_id"], x["lines_generated"], x["lines_reworked"], len(x["spans"])) for x in settled.collect())
+    assert got == [(f"e3-{i}", 1, 0, 1) for i in range(6)]
+    whole = {x["file"]: x["lines"] for x in steps.where("seq = 1").collect()}
+    for x in spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", authorship.text_lines(F.col("text")).alias("lines")).collect():
+        assert whole[str(x["doc_id"])] == x["lines"]
+
+
+def test_spans_are_the_runs_of_an_events_lines(spark):
+    lines = {"e": [1, 2, 3, 5, 8, 9], "f": [4], "g": []}
+    rows = [("map", "x", e, n) for e, at in lines.items() for n in at] + [("look", "x", e, n) for e in lines for n in range(3)] + [("map", "x", "edit", 6), ("map", "x", None, 7)]
+    folded = spark.createDataFrame(rows, "kind string, file string, event_id string, line int")
+    got = {x["event_id"]: [tuple(s) for s in x["spans"]] for x in authorship.settled_credits(folded).collect()}
+    assert got == {"e": [(1, 3), (5, 5), (8, 9)], "f": [(4, 4)], "g": []}
