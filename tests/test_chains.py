@@ -53,6 +53,25 @@ def test_a_chain_moves_lines_and_not_pairs(spark):
     assert made.agg(F.count(F.lit(1)), F.sum("steps"), F.countDistinct("id")).head()[:] == (n * 500 - 500 * 501 // 2, sum(min(i, 500) * (min(i, 500) + 1) // 2 for i in range(n)), n - 1)
 
 
+def test_lines_are_spread_out_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(chains, "PIECE", 15)
+    for depth in (1, 4, 5, 37):  # 15, 3, 3 and 1 commits a piece
+        parent, rows = histories(spark, depth, "time")
+        got = [tuple(x) for x in attribution.ancestor_closure(rows, depth).select("id", "ancestor", "steps").collect()]
+        assert sorted(got) == sorted((c, a, k) for c in parent for k, a in enumerate(above(parent, c, depth), 1))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = attribution.ancestor_closure(rows, 5)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    # A compiled stage, "*(n)", gathers all rows of one that it reads: the last one reads pieces, not lines.
+    last = [x for x in plan if "*(" in x and x.split("*(")[1].split(")")[0] == plan[0].split("*(")[1].split(")")[0]]
+    assert sum("Generate explode" in x for x in last) == 2
+    cut = [x for x in plan if "Generate inline" in x]
+    assert len(cut) == 1 and "*(" not in cut[0].split("Generate")[0]
+
+
 @pytest.mark.parametrize("stretches, depth", [("time", 20), ("one", 20), ("any", 5)])
 def test_pairs_on_one_chain_by_lines(spark, stretches, depth):
     parent, rows = histories(spark, depth + 1, stretches)
